@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .simhash import op10_simhash_near_dedup
+from .suffix_dedup import op6_suffix_array_dedup
 
 QUERIES = {
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
