@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from .mixing import OP8_SQL, op8_mixing
+from .packing import op7_packing
+from .sharding import op5_sharding
 from .simhash import op10_simhash_near_dedup
+from .sketch import op4_fingerprints
 from .suffix_dedup import op6_suffix_array_dedup
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_sharding": op5_sharding,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_packing": op7_packing,
+    "op8_mixing": op8_mixing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_mixing": OP8_SQL,
+}
