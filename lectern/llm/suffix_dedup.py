@@ -30,7 +30,7 @@ GRAM = 32
 #: A suffix is ordered to these depths in turn; the last step may overlap the one before.
 FIRST = 7
 #: Bytes of fragments merged at a time, and shards they are dealt to.
-BIN_BYTES = 1 << 20
+BIN_BYTES = 1 << 19
 SHARDS = 4
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -129,10 +129,10 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, hashes, texts, runs = (b.column(i) for i in range(4))
-            names, rows, firsts, parts, held = [], [], [], [], 0
+            names, rows, firsts, parts, inner, held = [], [], [], [], [], 0
 
             def flush():
-                return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.binary()), ids.take(pa.array(rows)), hashes.take(pa.array(rows)), pa.array(firsts, pa.int32())], ["name", "part", "doc_id", "text_hash", "first"])
+                return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.binary()), ids.take(pa.array(rows)), hashes.take(pa.array(rows)), pa.array(firsts, pa.int32()), pa.array(inner, pa.bool_())], ["name", "part", "doc_id", "text_hash", "first", "inner"])
 
             for i in range(b.num_rows):
                 data = texts[i].as_buffer().to_pybytes()
@@ -140,11 +140,12 @@ def _cut(length: int):
                     names.append(r["name"])
                     rows.append(i)
                     firsts.append(r["first"])
+                    inner.append(r["inner"])
                     parts.append(data[r["first"] : r["stop"] + length - 1])
                     held += len(parts[-1])
                 if held > 8 << 20:
                     yield flush()
-                    names, rows, firsts, parts, held = [], [], [], [], 0
+                    names, rows, firsts, parts, inner, held = [], [], [], [], [], 0
             if names:
                 yield flush()
 
@@ -164,60 +165,72 @@ class ShardBwt:
         steps = depths(length)
         size = np.array([len(f) + 1 for f in fragments])
         start = np.cumsum(size) - size
-        text = np.zeros(size.sum(), np.int64)
-        body = np.ones(len(text), bool)
+        n = int(size.sum())
+        text = np.zeros(n, np.int64)
+        body = np.ones(n, bool)
         body[start + size - 1] = False
         text[body] = np.frombuffer(b"".join(fragments), np.uint8).astype(np.int64) + 1
         home, cycle = np.repeat(start, size), np.repeat(size, size)
-        offset = np.arange(len(text)) - home
-        later = lambda n: home + (offset + n) % cycle
-        key = np.zeros(len(text), np.int64)
-        for k in range(steps[0]):
-            key = key * 257 + text[later(k)]
-        self.parts = np.full(len(text), len(steps), np.int8)
+        offset = np.arange(n) - home
+
+        def later(k: int) -> np.ndarray:
+            at = offset + k
+            if k >= size.min():
+                return home + at % cycle
+            at[at >= cycle] -= cycle[at >= cycle]
+            return home + at
+
+        key, symbol, following = np.zeros(n, np.int64), text, later(1)
+        for _ in range(steps[0]):
+            key = key * 257 + symbol
+            symbol = symbol[following]
+        self.parts = np.full(n, len(steps), np.int8)
         depth, level = steps[0], 0
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
             differs = np.concatenate([[True], ordered[1:] != ordered[:-1]])
             if level < len(steps):
                 self.parts[differs & (self.parts > level)] = level
-            if depth >= size.max() or level >= len(steps) and differs.all():
+            if depth >= size.max() or level >= len(steps) - 1 and differs.all():
                 break
-            rank = np.empty(len(text), np.int64)
+            rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(differs) - 1
             level += 1
             step = (steps[level] - depth) if level < len(steps) else depth
-            key = rank * (len(text) + 1) + rank[later(step)]
+            key = rank * n + rank[later(step)]
             depth += step
         self.at = order
-        self.bwt = text[later(-1)][order].astype(np.int16)
-
-    def later(self) -> np.ndarray:
-        """For each rotation, the one that starts a symbol later: the stable order of the symbols of bwt."""
-        return np.argsort(self.bwt, kind="stable")
-
-    def leap(self, n: int) -> np.ndarray:
-        """For each rotation, the one that starts n symbols later, by doubling."""
-        out, step = np.arange(len(self.bwt)), self.later()
-        while n:
-            if n & 1:
-                out = step[out]
-            step, n = step[step], n >> 1
-        return out
+        previous = order - 1
+        first = offset[order] == 0
+        previous[first] = (home + cycle - 1)[order[first]]
+        self.bwt = text[previous].astype(np.int16)
+        # For each rotation, the one that starts a symbol later: the stable order of the symbols of bwt.
+        self._later = [np.argsort(self.bwt, kind="stable")]
+
+    def leap(self, at: np.ndarray, n: int) -> np.ndarray:
+        """For the rotations at, those that start n symbols later, by powers of two."""
+        k = 0
+        while n >> k:
+            if len(self._later) <= k:
+                self._later.append(self._later[-1][self._later[-1]])
+            if n >> k & 1:
+                at = self._later[k][at]
+            k += 1
+        return at
 
     def begins(self, n: int) -> np.ndarray:
         """The first n symbols of each rotation, packed into a number."""
-        symbols, step, at = np.sort(self.bwt).astype(np.int64), self.later(), np.arange(len(self.bwt))
+        symbols, at = np.sort(self.bwt, kind="stable").astype(np.int64), np.arange(len(self.bwt))
         out = np.zeros(len(at), np.int64)
         for _ in range(n):
             out = out * 257 + symbols[at]
-            at = step[at]
+            at = self._later[0][at]
         return out
 
 
 def merged_repeats(shards: list[ShardBwt], length: int = LENGTH) -> list[np.ndarray]:
-    """For each shard and sorted suffix: does its string of `length` start at another suffix too?
+    """For each shard and sorted rotation: does its string of `length` start at another one too?
 
     A block's number is its place in the merged order. A round splits the blocks that several shards
     share by the blocks that follow; blocks of one shard alone are settled and keep their number."""
@@ -225,9 +238,8 @@ def merged_repeats(shards: list[ShardBwt], length: int = LENGTH) -> list[np.ndar
     firsts = [s.begins(steps[0]) for s in shards]
     merged = np.sort(np.concatenate(firsts), kind="stable")
     block = [np.searchsorted(merged, f) for f in firsts]
-    shared = _shared(block, [np.ones(len(b), bool) for b in block])
+    shared = _shared(block, [np.ones(len(b), bool) for b in block], len(merged))
     for level in range(1, len(steps)):
-        leap = steps[level] - steps[level - 1]
         heads, sizes, here, after, who = [], [], [], [], []
         for k, s in enumerate(shards):
             head = np.flatnonzero(s.parts <= level)
@@ -237,24 +249,22 @@ def merged_repeats(shards: list[ShardBwt], length: int = LENGTH) -> list[np.ndar
             heads.append(head)
             sizes.append(size)
             here.append(block[k][head])
-            after.append(block[k][s.leap(leap)[head]])
-            who.append(np.full(len(head), k))
+            after.append(block[k][s.leap(head, steps[level] - steps[level - 1])])
+            who.append(np.full(len(head), k, np.int8))
         h, a, w, z = (np.concatenate(x) for x in (here, after, who, sizes))
         if not len(h):
             break
-        order = np.lexsort((a, h))  # stable: entries of one shard keep their order
+        order = np.argsort(h * len(merged) + a, kind="stable")  # entries of one shard keep their order
         ho, ao, wo, zo = h[order], a[order], w[order], z[order]
-        parted = np.concatenate([[True], (ho[1:] != ho[:-1]) | (ao[1:] != ao[:-1]) | (wo[1:] == wo[:-1])])
+        outer = np.concatenate([[True], ho[1:] != ho[:-1]])
+        inner = outer | np.concatenate([[True], (ao[1:] != ao[:-1]) | (wo[1:] == wo[:-1])])
         began = np.cumsum(zo) - zo
-        outer = np.maximum.accumulate(np.where(np.concatenate([[True], ho[1:] != ho[:-1]]), np.arange(len(ho)), 0))
-        inner = np.maximum.accumulate(np.where(parted, np.arange(len(ho)), 0))
         number = np.empty(len(h), np.int64)
-        number[order] = ho + began[inner] - began[outer]
+        number[order] = ho + began[inner][np.cumsum(inner) - 1] - began[outer][np.cumsum(outer) - 1]
         cut = np.cumsum([len(x) for x in heads])[:-1]
         for k, (head, size, num) in enumerate(zip(heads, sizes, np.split(number, cut))):
-            at = np.repeat(head - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            block[k][at] = np.repeat(num, size)
-        shared = _shared(block, shared)
+            block[k][np.flatnonzero(shared[k])] = np.repeat(num, size)
+        shared = _shared(block, shared, len(merged))
     out = []
     for k, s in enumerate(shards):
         head = np.flatnonzero(s.parts < len(steps))
@@ -263,12 +273,14 @@ def merged_repeats(shards: list[ShardBwt], length: int = LENGTH) -> list[np.ndar
     return out
 
 
-def _shared(block: list[np.ndarray], among: list[np.ndarray]) -> list[np.ndarray]:
-    """Which suffixes stand in a block that another shard has a part of."""
-    own = [np.unique(b[m]) for b, m in zip(block, among)]
-    numbers, counts = np.unique(np.concatenate(own), return_counts=True)
-    common = numbers[counts > 1]
-    return [m & np.isin(b, common, assume_unique=False) if len(common) else np.zeros(len(b), bool) for b, m in zip(block, among)]
+def _shared(block: list[np.ndarray], among: list[np.ndarray], total: int) -> list[np.ndarray]:
+    """Which rotations, of those among, stand in a block that another shard has a part of."""
+    shards = np.zeros(total, np.int16)
+    for b, m in zip(block, among):
+        here = np.zeros(total, bool)
+        here[b[m]] = True
+        shards += here
+    return [m & (shards[b] > 1) for b, m in zip(block, among)]
 
 
 def repeated_windows(fragments: list[bytes], length: int = LENGTH, shards: int = SHARDS) -> list[np.ndarray]:
@@ -292,47 +304,64 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compared(length: int):
-    """Rows (name, part, doc_id, text_hash, first) sorted by name and part -> covered byte spans.
+    """Rows (name, part, doc_id, text_hash, first, inner) sorted by name and part -> covered byte spans.
 
-    Whole names are gathered up to BIN_BYTES of different fragments, then merged together."""
+    Equal fragments are combined: all their windows repeat. A name that is left with one fragment which
+    cannot repeat itself needs no more; whole names of several fragments are gathered up to BIN_BYTES,
+    then merged together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema_ids: list[pa.DataType] = []
-        parts: list[bytes] = []
-        counts: list[int] = []
-        owners: list[list[tuple]] = []
-        held, last = 0, None
-        name_starts = 0  # the first fragment of the name that is being read
-
-        def emit(upto: int) -> pa.RecordBatch:
-            some = [i for i in range(upto)]
-            flags = repeated_windows([parts[i] for i in some], length)
-            rows = []
-            for i in some:
-                spans = [(0, len(parts[i]))] if counts[i] > 1 else [(a, b + length - 1) for a, b in _runs(flags[i])]
-                rows += [(d, h, f + a, f + b) for d, h, f in owners[i] for a, b in spans]
-            d, h, a, b = zip(*rows) if rows else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(d, schema_ids[0]), pa.array(h, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "text_hash", "begin", "end"])
+        gathered: list[tuple[bytes, list[tuple]]] = []  # different fragments with their owners
+        mine: list[tuple[bytes, list[tuple]]] = []  # those of the name that is being read
+        done: list[tuple] = []
+        held, last, id_type, inner = 0, None, None, False
+
+        def record() -> pa.RecordBatch:
+            d, h, a, b = zip(*done)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(d, id_type), pa.array(h, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "text_hash", "begin", "end"])
+
+        def close() -> None:
+            """The name that was read is complete."""
+            nonlocal held
+            if len(mine) == 1 and not inner:
+                part, owners = mine[0]
+                if len(owners) > 1:
+                    done.extend((d, h, f, f + len(part)) for d, h, f in owners)
+            else:
+                gathered.extend(mine)
+                held += sum(len(p) for p, _ in mine)
+            mine.clear()
+
+        def merge() -> None:
+            nonlocal held
+            for (part, owners), flags in zip(gathered, repeated_windows([p for p, _ in gathered], length)):
+                spans = [(0, len(part))] if len(owners) > 1 else [(a, b + length - 1) for a, b in _runs(flags)]
+                done.extend((d, h, f + a, f + b) for d, h, f in owners for a, b in spans)
+            gathered.clear()
+            held = 0
 
         for batch in batches:
-            schema_ids[:] = [batch.schema.field(2).type]
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for name, part, doc, text_hash, first in zip(*columns):
+            id_type = batch.schema.field(2).type
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for name, part, doc, text_hash, first, again in zip(*columns):
                 if name != last:
+                    close()
+                    last, inner = name, False
                     if held > BIN_BYTES:
-                        yield emit(len(parts))
-                        parts, counts, owners, held = [], [], [], 0
-                    last, name_starts = name, len(parts)
-                if len(parts) > name_starts and parts[-1] == part:
-                    counts[-1] += 1
-                    owners[-1].append((doc, text_hash, first))
+                        merge()
+                inner = inner or again
+                if mine and mine[-1][0] == part:
+                    mine[-1][1].append((doc, text_hash, first))
                 else:
-                    parts.append(part)
-                    counts.append(1)
-                    owners.append([(doc, text_hash, first)])
-                    held += len(part)
-        if parts:
-            yield emit(len(parts))
+                    mine.append((part, [(doc, text_hash, first)]))
+            if len(done) > 20_000:
+                yield record()
+        close()
+        if gathered:
+            merge()
+        if done:
+            yield record()
 
     return run
 
@@ -346,11 +375,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.octet_length("text") >= length)
     names = keyed.mapInArrow(_named(length), f"name long, doc_id {id_type}, text_hash long, first int, stop int, inner boolean")
     twice = names.repartition("name").sortWithinPartitions("name").mapInArrow(_repeated_names, names.schema)
-    runs = twice.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("name", "first", "stop")).alias("runs"))
+    runs = twice.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("name", "first", "stop", "inner")).alias("runs"))
     runs = runs.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "runs")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
     with_text = keyed.join(runs.hint("merge"), same).select("doc_id", "text_hash", "text", "runs")
-    parts = with_text.mapInArrow(_cut(length), f"name long, part binary, doc_id {id_type}, text_hash long, first int")
+    parts = with_text.mapInArrow(_cut(length), f"name long, part binary, doc_id {id_type}, text_hash long, first int, inner boolean")
     dealt = parts.repartition("name").sortWithinPartitions("name", "part")
     return dealt.mapInArrow(_compared(length), f"doc_id {id_type}, text_hash long, begin int, end int")
 
@@ -360,7 +389,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     went, in bytes, maximal and in order). A row for each row of docs, other columns as they are.
 
     A byte goes if a string of `length` bytes over it also starts anywhere else in docs, the same
-    document included. Null texts count as empty; shorter texts stay whole; equal rows go together."""
+    document included. Columns of docs named kept or spans are replaced. Null texts count as empty; shorter texts stay whole; equal rows go together."""
+    docs = docs.drop("kept", "spans", "_d", "_h", "_found", "_cut")
     found = repeated_spans(docs, length).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("_found"))
     found = materialize(found, "spans").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "_found")
 
@@ -386,6 +416,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.withColumn("_cut", cut("text", "_found")).select(*docs.columns, "_cut.kept", "_cut.spans")
 
 
+def whole_characters(kept) -> F.Column:
+    """Kept bytes as text, without the parts of code points that a cut went through."""
+
+    @F.pandas_udf("string")
+    def decode(values: pd.Series) -> pd.Series:
+        return pd.Series([v.decode("utf-8", "ignore") for v in values], dtype=object)
+
+    return decode(kept)
+
+
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import ship, table
 
