@@ -160,13 +160,18 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int) ->
                 basis[i, j] = n
                 left[j] -= n * use[i]
                 room -= n * lengths[j]
-    inverse = np.linalg.inv(basis.T)
+    # Sums of products rather than matrix products: the driver's BLAS threads are left alone.
+    inverse = np.zeros((m, m))
+    for i in range(m - 1, -1, -1):
+        inverse[i] = -(basis[i + 1 :, i, None] * inverse[i + 1 :]).sum(axis=0)
+        inverse[i, i] += 1
+        inverse[i] /= basis[i, i]
     for _ in range(COLUMNS):
         worth = inverse.sum(axis=0)  # every pattern costs one sequence
         value, column = _price(lengths, np.maximum(worth, 0), capacity)
         if value <= 1 + 1e-9 or use.sum() * (1 - 1 / value) <= GAP * use.sum():
             break
-        direction = inverse @ column
+        direction = (inverse * column).sum(axis=1)
         positive = direction > 1e-9
         ratio = np.full(m, np.inf)
         ratio[positive] = use[positive] / direction[positive]
