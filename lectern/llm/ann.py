@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 SAMPLE = 16_384
 MAX_LISTS = 1024
 #: Share of the lists that a query probes, and the least number of them.
-PROBE_SHARE, PROBE_LEAST = 0.12, 16
+PROBE_SHARE, PROBE_LEAST = 0.55, 16
 #: Columns read at a time, and how many standard errors the test allows.
 BLOCK, EPSILON = 16, 2.1
 #: Vectors of a list, and queries, that meet in one task at most (on average).
@@ -115,7 +115,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     base, asked = usable(vectors), usable(queries)
     n = base.count()
-    lists = max(1, min(MAX_LISTS, math.isqrt(n)))
+    lists = max(1, min(MAX_LISTS, math.isqrt(n) // 2))
     probes = min(lists, max(PROBE_LEAST, math.ceil(PROBE_SHARE * lists)))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
