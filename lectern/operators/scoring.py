@@ -115,7 +115,7 @@ def duration_filter_or_all(clips: DataFrame, min_ms: int = 45_000, max_ms: int =
     return clips.withColumn("_fits", fits).withColumn("_any", any_fits).where("_fits or not _any").drop("_fits", "_any")
 
 
-def score_filter(clips: DataFrame, min_pm: int = 300) -> DataFrame:
+def score_filter(clips: DataFrame, min_pm: int = 450) -> DataFrame:
     return clips.where(F.col("score_pm") >= min_pm)
 
 
@@ -124,7 +124,7 @@ def top_clips(clips: DataFrame, n: int = 12, key: str = "video_id") -> DataFrame
     return clips.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def score_transcript(segments: DataFrame, answers: DataFrame | None = None, max_ms: int = 90_000, min_ms: int = 45_000, min_pm: int = 300, top_n: int = 12) -> DataFrame:
+def score_transcript(segments: DataFrame, answers: DataFrame | None = None, max_ms: int = 90_000, min_ms: int = 45_000, min_pm: int = 450, top_n: int = 12) -> DataFrame:
     """The whole job: terms, scores, model ratings, merging, filters, the best clips of each video."""
     scored = score_segments(segments, extract_terms(segments))
     if answers is not None:

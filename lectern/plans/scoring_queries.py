@@ -66,7 +66,7 @@ QUERIES = {
 }
 
 SQL = {
-    "score_transcript": sql(_MERGED + f", rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score_pm DESC, start_ms) AS rank FROM ({_FALLBACK}) WHERE score_pm >= 300) WHERE rank <= 12", True, **_merge_cte("blended")),
+    "score_transcript": sql(_MERGED + f", rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score_pm DESC, start_ms) AS rank FROM ({_FALLBACK}) WHERE score_pm >= 450) WHERE rank <= 12", True, **_merge_cte("blended")),
     "global_terms": sql("SELECT * FROM terms"),
     "segment_scores": sql(f"SELECT video_id, ord, {', '.join(_PM)}, self_contained, array_to_string(tags, '|') AS tags FROM scored"),
     "blended_scores": sql("SELECT video_id, ord, score_pm, array_to_string(tags, '|') AS tags FROM blended"),

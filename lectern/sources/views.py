@@ -127,3 +127,13 @@ def detections(spark: SparkSession, sf_dir: str, smooth: bool = False) -> DataFr
     rows = e.withColumn("n", n).withColumn("w", width.cast("long"))
     conf = F.when(F.col("event_type") == "error", 0).otherwise(600 + F.col("event_id") % 400)
     return rows.select(F.col("user_id").alias("clip_id"), "n", (F.col("n") * 1000).alias("t_ms"), x.alias("x"), F.lit(100).cast("long").alias("y"), "w", F.floor(F.col("w") * 14 / 10).cast("long").alias("h"), conf.cast("long").alias("conf_pm"), (F.col("event_type") == "signup").alias("cut"))
+
+
+def window_answers(windows: DataFrame) -> DataFrame:
+    """Model answers to windows (video_id, window_no): some missing, some twice, some without an end line."""
+    v, i = F.col("video_id"), F.col("window_no")
+    rows = windows.select("video_id", "window_no").where(i % 13 != 12)
+    rows = rows.withColumn("n", F.explode(F.when(i % 17 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")))
+    start = (7 * i + v + F.col("n")) % 5
+    end = F.when(i % 19 != 5, (start + 4 + (3 * i) % 9).cast("string"))
+    return rows.select("video_id", "window_no", F.col("n").alias("answer_no"), start.cast("string").alias("start_line"), end.alias("end_line"), ((37 * i + 11 * v) % 1001).alias("hook_pm"), ((53 * i + 7 * v) % 1001).alias("complete_pm"), ((71 * i + 3 * v) % 1001).alias("value_pm"))
