@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-_CLIP = Window.partitionBy("clip_id")
+
+
+def _clip() -> WindowSpec:
+    return Window.partitionBy("clip_id")
 
 
 def sample_grid(clips: DataFrame, step_ms: int = 1000, key: str = "video_id") -> DataFrame:
@@ -24,15 +28,15 @@ def best_faces(candidates: DataFrame, width: int, height: int, threshold_pm: int
 
 def moving_average(detections: DataFrame, window: int = 5) -> DataFrame:
     """x, y, w, h averaged over a centred window, rounded down; clips of no more than window samples stay."""
-    near = _CLIP.orderBy("n").rowsBetween(-(window // 2), window // 2)
-    mean = lambda c: F.when(F.count(F.lit(1)).over(_CLIP) > window, F.floor(F.sum(c).over(near) / F.count(c).over(near))).otherwise(F.col(c)).cast("long")
+    near = _clip().orderBy("n").rowsBetween(-(window // 2), window // 2)
+    mean = lambda c: F.when(F.count(F.lit(1)).over(_clip()) > window, F.floor(F.sum(c).over(near) / F.count(c).over(near))).otherwise(F.col(c)).cast("long")
     return detections.select("clip_id", "n", *[mean(c).alias(c) for c in "xywh"], "conf_pm")
 
 
 def shots(detections: DataFrame, size_ratio_pct: int = 135, jump_pct: int = 50) -> DataFrame:
     """detections with shot_no: a new shot where a face appears or goes, its size changes by more than
     size_ratio_pct or its centre jumps by more than jump_pct of the larger width."""
-    w = _CLIP.orderBy("n")
+    w = _clip().orderBy("n")
     prev = lambda c: F.lag(c).over(w)
     seen, before = F.col("conf_pm") > 0, F.lag("conf_pm").over(w) > 0
     larger, smaller = F.greatest("w", prev("w")), F.least("w", prev("w"))
@@ -61,7 +65,7 @@ def cuts_at_boundaries(shot_rows: DataFrame, cuts: DataFrame, half_ms: int = 500
     """For each start of a shot the latest cut later than half a step before the sample before, up to half a
     step behind its first sample. cuts: clip_id, cut_ms."""
     first = shot_rows.groupBy("clip_id", "shot_no").agg(F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"))
-    before = F.lag("last_ms").over(_CLIP.orderBy("shot_no"))
+    before = F.lag("last_ms").over(_clip().orderBy("shot_no"))
     edges = first.withColumn("prev_ms", before).where("prev_ms is not null")
     e, c = edges.alias("e"), cuts.alias("c")
     on = (F.col("e.clip_id") == F.col("c.clip_id")) & (F.col("c.cut_ms") > F.col("e.prev_ms") - half_ms) & (F.col("c.cut_ms") <= F.col("e.first_ms") + half_ms)
@@ -70,7 +74,7 @@ def cuts_at_boundaries(shot_rows: DataFrame, cuts: DataFrame, half_ms: int = 500
 
 def resample(track: DataFrame, step_ms: int = 100) -> DataFrame:
     """A clip's x on a grid of step_ms, linear between samples (rounded down): clip_id, t_ms, x."""
-    nxt_t, nxt_x = F.lead("t_ms").over(_CLIP.orderBy("t_ms")), F.lead("x").over(_CLIP.orderBy("t_ms"))
+    nxt_t, nxt_x = F.lead("t_ms").over(_clip().orderBy("t_ms")), F.lead("x").over(_clip().orderBy("t_ms"))
     rows = track.select("clip_id", "t_ms", "x").withColumn("_t", nxt_t).withColumn("_x", nxt_x)
     last = F.when(F.col("_t").isNull(), F.col("t_ms")).otherwise(F.col("_t") - step_ms)
     rows = rows.withColumn("at", F.explode(F.sequence("t_ms", F.greatest(last, "t_ms"), F.lit(step_ms).cast("long"))))
@@ -80,8 +84,8 @@ def resample(track: DataFrame, step_ms: int = 100) -> DataFrame:
 
 def running_median(track: DataFrame, radius: int = 2) -> DataFrame:
     """x with the median over up to radius samples to each side, fewer near the ends, in halves (x2)."""
-    w = _CLIP.orderBy("n")
-    n, i = F.count(F.lit(1)).over(_CLIP), F.row_number().over(w)
+    w = _clip().orderBy("n")
+    n, i = F.count(F.lit(1)).over(_clip()), F.row_number().over(w)
     rows = track.select("clip_id", "n", "x", F.least(F.lit(radius), i - 1, n - i).alias("_m"))
     near = lambda r: F.percentile("x", F.lit(0.5)).over(w.rowsBetween(-r, r))
     value = F.when(F.col("_m") == 0, F.col("x").cast("double"))

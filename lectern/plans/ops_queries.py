@@ -9,11 +9,13 @@ from ..operators import quality as Q
 from ..sources import views as V
 from .oracle import sql
 
-NOW = F.lit("2001-08-10 00:00:00").cast("timestamp")
+
+def _now():
+    return F.lit("2001-08-10 00:00:00").cast("timestamp")
 
 
 def _removed(s, d):
-    return O.expired_jobs(V.jobs(s, d), NOW)
+    return O.expired_jobs(V.jobs(s, d), _now())
 
 
 def _clips_reviews(s, d):
