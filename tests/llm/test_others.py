@@ -1,0 +1,223 @@
+"""Mixing, sketches, toxicity, nearest neighbours, quality and archives."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.llm import ann, mixing, quality, registry, sketch, toxicity, warc
+from lectern.llm.common import salted_rank, table
+
+from ..conftest import SMALL
+from ..test_oracle import TABLES, plain
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_query_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    got, want = registry.QUERIES[name](spark, SMALL).toPandas(), con.sql(registry.SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
+
+
+def test_salted_rank(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 900, F.lit(None)).otherwise(F.lit(1)).alias("k"), "id")
+    out = salted_rank(df, ["k"], ["id"], "r", 8).collect()
+    assert sorted(r["r"] for r in out if r["k"] is None) == list(range(900)) and sorted(r["r"] for r in out if r["k"]) == list(range(100))
+
+
+# --- mixing
+
+
+def poisson(seed, doc, rate):
+    parts = max(1, math.ceil(rate / mixing.PART))
+    n = 0
+    for part in range(1, parts + 1):
+        u = int(hashlib.md5(f"{seed}|{part}|{doc}".encode()).hexdigest()[:13], 16) / 16**13
+        p = c = math.exp(-rate / parts)
+        k = 0
+        while c <= u:
+            k += 1
+            p *= rate / parts / k
+            c += p
+            n += 1
+    return n
+
+
+def test_mixing(spark, edges, edge_rows, clashing, nothing):
+    weights = spark.createDataFrame([("s0", 1.0), ("s1", 40.0), (None, 2.0), ("absent", 9.0), ("s2", None)], "source string, weight double")
+    out = mixing.mix(edges, weights, F.lit(400)).collect()
+    sizes = Counter(r[3] for r in edge_rows)
+    got = Counter((r["doc_id"], r["source"]) for r in out)
+    for (doc, source), rows in Counter((r[0], r[3]) for r in edge_rows).items():
+        rate = 400 * ({"s0": 1.0, "s1": 40.0, None: 2.0}.get(source, 0.0) / 43) / sizes[source]
+        assert got[(doc, source)] == rows * poisson(mixing.SEED, "" if doc is None else doc, rate)
+    assert [r["mix_key"] for r in out] == sorted(r["mix_key"] for r in out) and all(0 <= r["copy"] < r["n_copies"] for r in out)
+    assert mixing.mix(nothing).count() == 0 and mixing.mix(clashing).count() == mixing.mix(edges).count()
+
+
+# --- sketches
+
+
+def test_sketches(spark, edges, edge_rows, clashing, nothing):
+    rows = {r["doc_id"]: r["sketch"] for r in sketch.fingerprints(edges).collect() if r["doc_id"] is not None}
+    assert rows[0] == [] and rows[1] == [] and rows[2] == [] and len(rows[3]) == 1 and rows[5] == rows[6] == rows[7]
+    assert abs(len(rows[11]) * sketch.FRACTION / 977 - 1) < 0.5 and rows[11] == sorted(set(rows[11]))
+    c = lambda a, b: spark.range(1).select(sketch.containment(F.array(*[F.lit(x) for x in a]).cast("array<long>"), F.array(*[F.lit(x) for x in b]).cast("array<long>"))).first()[0]
+    assert (c([], []), c([], [1]), c([1, 2], [2, 3, 4]), c([1], [1])) == (1.0, 0.0, 0.5, 1.0)
+    assert sketch.fingerprints(nothing).count() == 0 and sketch.fingerprints(clashing).columns == clashing.columns
+
+
+@pytest.mark.parametrize("ids", [[5], [1, 2, 3], [0, 1000, 1001, 10**12], list(range(3000))])
+def test_next_rows(spark, ids):
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    got = {r["doc_id"]: r["next_text"] for r in sketch.with_next(df, ["text"]).collect()}
+    assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+
+
+def test_next_of_nothing_and_of_edges(edges, edge_rows, nothing):
+    assert sketch.with_next(nothing, ["text"]).count() == 0
+    out = sketch.edited(sketch.with_next(edges, ["text", "sketch"], sketch.fingerprints)).collect()
+    assert len(out) == len(edge_rows)
+
+
+def test_op4(spark):
+    texts = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
+    ids = sorted(texts)
+    for r in registry.QUERIES["op4_fingerprints"](spark, SMALL).collect():
+        mine, after = texts[r["doc_id"]], texts[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
+        half = len(mine) // 2
+        assert r["n_chars"] == len(mine) and r["edited_sha256"] == hashlib.sha256((mine[: len(mine) - half] + after[:half]).encode()).hexdigest()
+        assert 0 <= r["near_next"] <= 1 and (r["near_next"] == 1 or mine != after)
+
+
+# --- toxicity
+
+
+def test_toxicity_learns_misspellings():
+    rng = np.random.default_rng(0)
+    common = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 8))) for _ in range(300)]
+    clean = [" ".join(rng.choice(common, 60)) for _ in range(300)]
+    bad = [" ".join([*rng.choice(common, 57), *rng.choice(["worthless", "pathetic"], 3)]) for _ in range(100)]
+    model = toxicity.train(clean + bad, np.array([0] * 300 + [1] * 100))
+    score = model.scorer()
+    assert np.mean([score(t) for t in bad]) > 0.8 > 0.2 > np.mean([score(t) for t in clean])
+    assert score(clean[0] + " worthlesss patheticc w0rthless") > score(clean[0])
+    assert 0 <= score("") <= 1 and score(None) == score("")
+    assert toxicity.train([], np.zeros(0, int)).bias == 0 and toxicity.train(["a"], np.array([1])).scorer()("a") > 0.5
+
+
+def test_toxicity_of_edges(spark, edges, edge_rows, clashing, nothing):
+    labels = spark.createDataFrame([(3, 1), (5, 0), (None, 1), (6, None), (7, 5), (9, 1), (9, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(edges, labels)
+    out = toxicity.score(clashing, model).collect()
+    assert len(out) == len(edge_rows) and all(0 <= r["score"] <= 1 for r in out)
+    assert toxicity.score(nothing, toxicity.fit(nothing, labels.limit(0))).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, "/root/testdata/sf0.1", "labels").collect()}
+    rows = [r for r in registry.QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in labels]
+    bad = [r["score"] for r in rows if labels[r["doc_id"]]]
+    good = [r["score"] for r in rows if not labels[r["doc_id"]]]
+    assert np.mean([[b > g for g in good] for b in bad]) > 0.9
+    assert np.mean([g >= 0.5 for g in good]) < 0.05
+
+
+# --- nearest neighbours
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(700, 24)).astype("float32")
+    v[100:130] = v[100]
+    rows = [(i, [float(x) for x in e]) for i, e in enumerate(v)]
+    rows += [(900, None), (901, []), (902, [0.0] * 24), (903, [float("nan")] * 24), (904, [None] * 24), (905, [1.0, 2.0]), (None, [1.0] * 24), (906, [float("inf")] * 24)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 10 = 0"), 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    assert set(got) == set(range(0, 700, 10))
+    hits = 0
+    for q, found in got.items():
+        s = unit @ unit[q]
+        s[q] = -9
+        want = np.lexsort((np.arange(700), -np.round(s, 12)))[:5]
+        hits += len(set(want) & {f[1] for f in found})
+        assert [f[0] for f in sorted(found)] == [1, 2, 3, 4, 5] and all(abs(f[2] - s[f[1]]) < 1e-9 for f in found)
+    assert hits >= 0.9 * 5 * len(got)
+    assert [f[1] for f in sorted(got[100])] == [101, 102, 103, 104, 105]
+    assert ann.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_scan_abandons_none_of_the_nearest():
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(64, 5000)), rng.normal(size=64)
+    near = ((x - q[:, None]) ** 2).sum(axis=0)
+    assert len(set(np.argsort(near)[:6]) & set(ann.scan(x, q, 6))) >= 5
+    r = ann.rotation(16)
+    assert np.allclose(r @ r.T, np.eye(16), atol=1e-9)
+
+
+# --- quality
+
+
+def test_labellers_accuracies_are_found():
+    rng = np.random.default_rng(3)
+    truth = rng.random(20_000) < 0.7
+    right = np.array([0.95, 0.9, 0.75, 0.6, 0.85])
+    votes = np.where(rng.random((20_000, 5)) < right, truth[:, None], ~truth[:, None]).astype(int)
+    votes[rng.random(votes.shape) < 0.2] = -1
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    posterior, found, prior = quality.expectation_maximisation(patterns, counts.astype(float))
+    assert np.abs(found - right[:, None]).max() < 0.05 and abs(prior - 0.7) < 0.03
+
+
+def test_quality(spark, edges, edge_rows, clashing, nothing):
+    out = quality.score(clashing).collect()
+    assert len(out) == len(edge_rows) and all(0 <= r["score"] <= 1 for r in out)
+    assert quality.score(nothing).count() == 0
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
+    rows = [r for r in registry.QUERIES["op3_quality"](spark, "/root/testdata/sf0.01").collect() if r["doc_id"] in labels]
+    good = [r["score"] for r in rows if labels[r["doc_id"]]]
+    bad = [r["score"] for r in rows if not labels[r["doc_id"]]]
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.97
+
+
+# --- archives
+
+
+def test_revisits(spark):
+    t = lambda s: F.timestamp_seconds(F.lit(s))
+    rows = [
+        (1, "http://www.A.com/x/#f", 100, 200, {"ETag": '"1"', "Content-Length": "5", "Date": "a"}),
+        (2, "https://a.com/x?utm_source=q", 200, 200, {"etag": '"2"', "content-type": "t"}),
+        (3, "http://a.com:80/x", 150, 304, {"ETAG": 'W/"1"', "Date": "b", "Content-Length": "0"}),
+        (4, "http://a.com/x", 90_000_000, 304, {"etag": '"2"', "date": "c"}),
+        (5, "http://a.com/x", 200, 304, {"etag": '"2"'}),
+        (6, "http://a.com/x", 50, 304, {"etag": '"1"'}),
+        (7, "http://a.com/x", 300, 304, None),
+        (8, None, 300, 304, {"etag": "x"}),
+        (9, "http://a.com/x", None, 304, {"etag": "x"}),
+        (10, "http://a.com/x", 400, 404, {}),
+        (11, "http://b.com/y?a=1", 10, 200, {"Last-Modified": "m"}),
+        (12, "http://b.com/y?a=1&ref=z", 20, 304, {"Last-Modified": "m", "Expires": "e"}),
+        (13, "http://b.com/y?a=1", 20, 304, {"Last-Modified": "n"}),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, url string, s long, status int, headers map<string,string>").select("record_id", "url", F.timestamp_seconds("s").alias("ts"), "status", "headers")
+    got = {r["record_id"]: (r["response_id"], r["outcome"], r["headers"]) for r in warc.resolve_revisits(df).collect()}
+    assert got[3] == (1, "resolved", {"etag": 'W/"1"', "content-length": "5", "date": "b"})
+    assert got[4] == (2, "resolved", {"etag": '"2"', "content-type": "t", "date": "c"})
+    assert got[5][:2] == (1, "changed") and got[6][:2] == (None, "no_response") and got[7][:2] == (2, "no_validator")
+    assert got[8][1] == got[9][1] == "no_response" and 10 not in got
+    assert got[12] == (11, "resolved", {"last-modified": "m", "expires": "e"}) and got[13][:2] == (11, "changed")
+    assert warc.resolve_revisits(df.limit(0)).count() == 0
+    del t
