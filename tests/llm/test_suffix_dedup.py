@@ -53,7 +53,7 @@ def test_spans_are_maximal(spark):
     text = "x" * 150 + "".join(map(str, range(200)))
     docs = spark.createDataFrame([(1, text), (2, "head" + text[:260]), (3, text[300:])], "doc_id long, text string")
     spans = {r["doc_id"]: [(s["begin"], s["end"]) for s in r["spans"]] for r in S.remove_repeats(docs).collect()}
-    assert spans == {1: [(0, len(text))], 2: [(4, 264)], 3: [(0, len(text) - 300)]}
+    assert spans == {1: [(0, 260), (300, 640)], 2: [(4, 264)], 3: [(0, len(text) - 300)]}
 
 
 def test_cut_characters_go_whole(spark):
