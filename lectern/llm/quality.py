@@ -27,29 +27,37 @@ FUNCTION_WORDS = ["the", "of", "and", "to", "in", "is", "der", "die", "und", "da
 
 
 def _share(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
+    return F.regexp_count(text, F.lit(pattern)) / F.greatest(F.col("length"), F.lit(1))
 
 
-def votes(text: Column) -> dict[str, Column]:
-    """Labellers: 1 good, 0 bad, -1 no vote."""
-    t = F.coalesce(text, F.lit(""))
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, t, words, n, distinct, known, lines, n_lines). The generators of one row keep what
+    several labellers use from being computed for each of them."""
+    t = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
-    n = F.size(words)
     lines = F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
+    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(F.array(F.struct(t.alias("t"), words.alias("words"), lines.alias("lines")))))
+    listed = F.array(*[F.lit(w) for w in FUNCTION_WORDS])
+    sizes = F.struct(F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("distinct"), F.size(F.array_intersect("words", listed)).alias("known"), F.size("lines").alias("n_lines"), F.size(F.array_distinct("lines")).alias("distinct_lines"), F.length("t").alias("length"))
+    return split.select("doc_id", "text_hash", "t", F.inline(F.array(sizes)))
+
+
+def votes() -> dict[str, Column]:
+    """Labellers over the columns of measured(): 1 good, 0 bad, -1 no vote."""
+    t, n, lines, different = F.col("t"), F.col("n"), F.col("n_lines"), F.col("distinct_lines")
 
     def vote(good: Column, bad: Column) -> Column:
         return F.when(bad, 0).when(good, 1).otherwise(-1)
 
-    distinct = F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1))
-    known = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in FUNCTION_WORDS])))
-    width = F.length(t) / F.greatest(n, F.lit(1))
+    distinct, known = F.col("distinct") / F.greatest(n, F.lit(1)), F.col("known")
+    width = F.col("length") / F.greatest(n, F.lit(1))
     symbols, capitals, digits = _share(t, r"[#$%&*|{}<>=_!\\]"), _share(t, r"\p{Lu}"), _share(t, r"[0-9]")
     return {
         "long_enough": vote(n >= 40, n < 12),
         "word_width": vote((width >= 3.5) & (width <= 9), (width < 2.5) | (width > 14)),
         "few_symbols": vote(symbols < 0.01, symbols > 0.04),
         "varied_words": vote(distinct > 0.35, (distinct < 0.15) & (n >= 40)),
-        "varied_lines": vote((F.size(F.array_distinct(lines)) == F.size(lines)) & (F.size(lines) > 1), F.size(F.array_distinct(lines)) * 10 < F.size(lines) * 7),
+        "varied_lines": vote((different == lines) & (lines > 1), different * 10 < lines * 7),
         "function_words": vote(known >= 4, known < 1),
         "lower_case": vote(capitals < 0.08, capitals > 0.3),
         "few_digits": vote(digits < 0.02, digits > 0.1),
@@ -153,11 +161,9 @@ def score(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     from .common import materialize
 
     spark = docs.sparkSession
-    names = list(votes(F.col("text")))
-    named = docs.select("doc_id", "text", F.inline(F.array(F.struct(*[v.cast("tinyint").alias(f"v_{k}") for k, v in votes(F.col("text")).items()]))))
-    columns = [f"v_{k}" for k in names]
-    pattern = sum(((F.col(c) + 1) * 3**i for i, c in enumerate(columns)), F.lit(0)).cast("int")
-    voted = materialize(named.select("doc_id", F.xxhash64("text").alias("text_hash"), pattern.alias("pattern")), "votes")
+    names = list(votes())
+    pattern = sum(((v + 1) * 3**i for i, v in enumerate(votes().values())), F.lit(0)).cast("int")
+    voted = materialize(measured(docs).select("doc_id", "text_hash", pattern.alias("pattern")), "votes")
     table = voted.groupBy("pattern").count().toPandas()  # 3 ** 9 rows at most
     digits = (table["pattern"].to_numpy()[:, None] // 3 ** np.arange(len(names))) % 3 - 1
     posterior, _, _ = expectation_maximisation(digits, table["count"].to_numpy(float)) if len(table) else (np.zeros(0), None, 0)
