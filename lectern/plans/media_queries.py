@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
+from ..operators import camera as K_camera
 from ..operators import chapters as C
 from ..operators import cues as U
 from ..operators import ops as O
@@ -178,3 +179,9 @@ SQL = {
 SQL["srt_documents"] = SQL["cues"].rsplit("SELECT * FROM cue_rows", 1)[0] + """SELECT video_id, clip_no, string_agg(n || chr(10) || a || ' --> ' || b || chr(10) || text || chr(10), chr(10) ORDER BY n) AS document FROM (SELECT *, row_number() OVER (PARTITION BY video_id, clip_no ORDER BY ord, cue_no) AS n,
   lpad((start_ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((start_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((start_ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((start_ms % 1000)::VARCHAR, 3, '0') AS a,
   lpad((end_ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((end_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((end_ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((end_ms % 1000)::VARCHAR, 3, '0') AS b FROM cue_rows) GROUP BY ALL"""
+
+# Camera paths are iterated floating-point smoothing; tests hold them against a direct calculation.
+QUERIES["camera_paths"] = lambda s, d: (
+    K_camera.camera_paths(V.detections(s, d).where("conf_pm > 0").select("clip_id", "t_ms", (F.col("x") + F.col("w") / 2).alias("cx")), 607, 1920)
+    .select("clip_id", "start_ms", F.size("path").alias("points"), F.round(F.array_min("path"), 1).alias("leftmost"), F.round(F.array_max("path"), 1).alias("rightmost"))
+)
