@@ -4,7 +4,10 @@ The 64 bits form a ring of five segments. If two fingerprints differ in at most
 segments' differences average at most 4/5, so some start on the ring has every chain of l
 consecutive segments within its share: floor(4 l / 5) = 0, 1, 2, 3, 4 bits. Candidates are found
 by the first two links of that chain (one equal segment, the next within one bit), then the longer
-chains are checked, and only what is left is compared in full."""
+chains are checked, and only what is left is compared in full.
+
+Four bits miss most pairs of a Jaccard similarity of 0.8, so the pipeline's stage (keep_first) finds its
+candidates by bands of least shingle hashes and confirms each on the exact sets."""
 
 from __future__ import annotations
 
@@ -26,28 +29,38 @@ OFFSETS = (0, 13, 26, 39, 52)
 BITS = 4
 #: Runs of one key up to this length are compared by shifts; longer ones by elimination.
 SHORT_RUN = 24
+#: Bands of least hashes that bring sets of shingles together, and hashes in a band.
+BANDS, BAND_ROWS = 24, 4
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: For a hash's eight bytes: which of the eight bits a byte value sets.
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE_AT = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """SimHash of width-word shingles with repeats; 0 without words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the width-word shingles of text, with repeats; fewer words than width are one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     if n == 1:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = ends - sizes
-        digest = xxhash.xxh64_intdigest
-        spans = zip(starts[:n].tolist(), ends[width - 1 :].tolist())
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    digest = xxhash.xxh64_intdigest
+    spans = zip(starts[:n].tolist(), ends[width - 1 :].tolist())
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """SimHash of width-word shingles with repeats; 0 without words."""
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
+    if not n:
+        return 0
     at = (hashes.view(np.uint8).reshape(n, 8) + _BYTE_AT).ravel()
     counts = np.bincount(at, minlength=2048).reshape(8, 256) @ _BYTE_BITS
     bits = (counts.ravel() * 2 > n).astype(np.uint8)
@@ -177,9 +190,102 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     return prints.join(materialize(named, "components").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
+# --- near copies by exact similarity, for the pipeline's stage -----------------------------------
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingle hashes: each joins BAND_ROWS least values under random orders."""
+    least = np.full(len(_ORDERS), np.iinfo(np.uint64).max)
+    for a in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[a : a + 1024, None] * _ORDERS).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BAND_ROWS, BANDS):
+        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+    return key
+
+
+def shingle_set(text: str | None, width: int) -> tuple[int, np.ndarray]:
+    """A name of the set of shingles of text (equal sets, equal names; 0 without words), and the set."""
+    hashes = np.unique(shingle_hashes(text, width))
+    return (xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0), hashes
+
+
+def _candidate_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, n) sorted by key and node -> pairs (u, v) of nodes with a key in common whose sizes
+    allow a Jaccard similarity of 0.8. Longer runs than SHORT_RUN give each node its SHORT_RUN next ones and the run's first."""
+    rest = [np.empty(0, np.int64)] * 3
+
+    def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+        size = np.diff(np.append(edge, len(key)))
+        first = np.repeat(edge, size)
+        far = np.flatnonzero(np.arange(len(key)) - first > SHORT_RUN)
+        left, right = [first[far]], [far]
+        for t in range(1, min(SHORT_RUN + 1, int(size.max(initial=0)))):
+            at = np.flatnonzero(key[t:] == key[:-t])
+            left.append(at)
+            right.append(at + t)
+        u, v = np.concatenate(left), np.concatenate(right)
+        ok = (np.minimum(n[u], n[v]) * 5 >= np.maximum(n[u], n[v]) * 4) & (node[u] != node[v])
+        return pa.RecordBatch.from_arrays([pa.array(node[u[ok]]), pa.array(node[v[ok]])], ["u", "v"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, node, n = (np.concatenate([r, b.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest))
+        cut = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
+        rest = [key[cut:], node[cut:], n[cut:]]
+        if cut:
+            yield pairs(key[:cut], node[:cut], n[:cut])
+    if len(rest[0]):
+        yield pairs(*rest)
+
+
+def similar_copies(docs: DataFrame, width: int = 5) -> DataFrame:
+    """docs (doc_id without nulls, text) -> (doc_id, component_id), a row for each row of docs.
+
+    component_id is the smallest doc_id reachable by steps between texts whose sets of width-word shingles
+    have a Jaccard similarity of 0.8 or more. Candidates share a band of least hashes (a pair at 0.8 shares
+    none of the BANDS with a chance of 3 in a million); each is confirmed on the whole sets. Texts without words are equal."""
+
+    @F.pandas_udf("struct<node: long, n: long, keys: array<long>>")
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, width) for t in texts]
+        nodes = np.array([x for x, _ in sets], np.uint64).view(np.int64)
+        keys = [band_keys(h).view(np.int64) if len(h) else np.empty(0, np.int64) for _, h in sets]
+        return pd.DataFrame({"node": nodes, "n": np.array([len(h) for _, h in sets], np.int64), "keys": pd.Series(keys, dtype=object)})
+
+    @F.pandas_udf("array<long>")
+    def whole(want: pd.Series, texts: pd.Series) -> pd.Series:
+        # It takes the wanted name too, so that it can't be evaluated before the join, on all texts.
+        sets = [(w, *shingle_set(t, width)) for w, t in zip(want.to_numpy().view(np.uint64).tolist(), texts)]
+        return pd.Series([h.view(np.int64) if w == node else None for w, node, h in sets], dtype=object)
+
+    prints = materialize(docs.select("doc_id", signed("text").alias("s")).select("doc_id", "s.*"), "shingles")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets")
+    dealt = nodes.select(F.explode("keys").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", "node")
+    pairs = materialize(dealt.mapInArrow(_candidate_runs, "u long, v long").distinct(), "candidates")
+
+    # The sets of the candidates only, made again from one text each. (An id may have several texts.)
+    named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    named = named.join(nodes.select("node", "first_id").hint("merge"), "node").select(F.col("node").alias("want"), "first_id")
+    texts = docs.select("doc_id", "text").join(named.hint("merge"), F.col("doc_id") == F.col("first_id")).select("want", whole("want", "text").alias("hashes"))
+    sets = materialize(texts.groupBy("want").agg(F.first("hashes", ignorenulls=True).alias("hashes")), "candidate-sets")
+    a, b = (sets.select(F.col("want").alias(k), F.col("hashes").alias(f"{k}_set")).hint("merge") for k in ("u", "v"))
+    shared = F.size(F.array_intersect("u_set", "v_set"))
+    sure = pairs.join(a, "u").join(b, "v").where(shared * 9 >= (F.size("u_set") + F.size("v_set")) * 4).select("u", "v")
+
+    root = F.coalesce("root", "node")
+    joined = components(sure).select(F.col("node").alias("_n"), "root")
+    placed = nodes.select("node", "first_id").join(joined.hint("merge"), F.col("node") == F.col("_n"), "left").select("node", "first_id", root.alias("root"))
+    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    ends = materialize(placed.select("node", "root").join(least.hint("merge"), "root").select("node", "component_id"), "components")
+    return prints.select("doc_id", "node").join(ends.hint("merge"), "node").select("doc_id", "component_id")
+
+
 def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of docs whose doc_id names their group; rows without an id stay."""
-    groups = near_duplicates(docs.where("doc_id is not null").select("doc_id", "text"), width)
+    """The rows of docs whose doc_id names their group of similar_copies; rows without an id stay."""
+    groups = similar_copies(docs.where("doc_id is not null").select("doc_id", "text"), width)
     rest = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(rest.hint("merge"), "doc_id", "left_anti")
 

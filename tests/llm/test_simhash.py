@@ -83,3 +83,39 @@ def test_components_of_long_paths(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (200, 201), (201, 200)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.components(df).collect()}
     assert got == {**{i: 0 for i in range(61)}, 200: 200, 201: 200}
+
+
+def brute_similar(rows, width=5):
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    groups = brute_groups(sets, lambda a, b: a == b or (a | b) and 5 * len(a & b) >= 4 * len(a | b))
+    return {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if groups[j] == groups[i]) for i in range(len(rows))}
+
+
+def test_stage_finds_what_brute_force_jaccard_finds(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    rows = []
+    for n in [*range(5, 40), *[120] * 40]:
+        base = [word() for _ in range(n)]
+        rows.append(base)
+        for edits in (1, 2, 3):  # each changes five shingles at most
+            copy = list(base)
+            for _ in range(edits):
+                copy[r.randrange(n)] = word()
+            rows.append(copy)
+        rows.append(base[: n - n // 10] + [word()])
+    base = [word() for _ in range(100)]
+    for _ in range(120):  # a run longer than SHORT_RUN
+        copy = list(base)
+        copy[r.randrange(100)] = word()
+        rows.append(copy)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    r.shuffle(rows)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = brute_similar(rows)
+    assert got == want and len(set(want.values())) < len(rows) / 2
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(want.values()))
