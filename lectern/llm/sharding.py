@@ -129,11 +129,21 @@ def best_fit(classes: list[tuple[int, int]], bins: int, capacity: int) -> list[t
 
 
 def assign(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
-    """The best-fit-decreasing packing of the least capacity found that needs no more than `bins` bins."""
+    """The best-fit-decreasing packing of the least capacity found that needs no more than `bins` bins.
+
+    A group above the mean of what is left stands alone in one of the last bins, so that it doesn't lift the
+    capacity of the others; the rest is packed into the bins before."""
     classes = sorted(classes, reverse=True)
-    if not classes:
-        return []
     total = sum(s * n for s, n in classes)
+    alone: list[tuple[int, int, int]] = []
+    while classes and classes[0][0] * bins > total:
+        size, count = classes.pop(0)
+        if count > 1:
+            classes.insert(0, (size, count - 1))
+        bins, total = bins - 1, total - size
+        alone.append((size, bins, 1))
+    if not classes:
+        return alone
     low = max(-(-total // bins), classes[0][0])
     high, packed = low, best_fit(classes, bins, low)
     while packed is None:
@@ -145,7 +155,7 @@ def assign(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, in
         middle = (low + high) // 2
         tried = best_fit(classes, bins, middle)
         low, high, packed = (middle, high, packed) if tried is None else (low, middle, tried)
-    return packed
+    return alone + packed
 
 
 def size_class(size) -> F.Column:
@@ -160,8 +170,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, size, text_crc32, shard, slot, a row for each row of docs.
 
     size: UTF-8 bytes and 8 for framing; null counts as the empty text. Equal texts share a shard.
-    slot numbers a shard's rows from 0 without gaps. A group above the mean shard size fills a shard of
-    its own, which then stands above the others: groups are never divided."""
+    slot numbers a shard's rows from 0 without gaps. A group above the mean of what remains fills a shard of
+    its own, which then stands above the others (groups are never divided); the others' sizes stay near equal."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         "doc_id",

@@ -73,3 +73,25 @@ def test_sizes_near_equal(spark):
     check(rows, [(r["doc_id"], r["text"]) for r in docs.collect()], 5)
     total = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(5)]
     assert max(total) < 1.02 * sum(total) / 5
+
+
+def test_hot_groups_leave_the_others_near_equal(spark):
+    r = random.Random(6)
+    sizes = [r.randint(50, 400) for _ in range(4000)]
+    for hot in ([sum(sizes) // 2], [sum(sizes) // 15], [sum(sizes) // 2] * 2 + [sum(sizes) // 20]):
+        both = sizes + hot
+        out = S.assign(sorted({(s, both.count(s)) for s in both}), 24)
+        placed, room = [], [0] * 24
+        for s, b, n in out:
+            placed += [s] * n
+            room[b] += s * n
+        rest = sorted(room)[: 24 - len(hot)]
+        assert sorted(placed) == sorted(both) and sorted(room)[24 - len(hot) :] == sorted(hot)
+        assert max(rest) < 1.01 * sum(sizes) / len(rest)
+    assert S.assign([(9, 1)], 3) == [(9, 2, 1)] and sorted(b for _, b, _ in S.assign([(9, 2)], 1)) == [0]
+    texts = ["".join(r.choices("abcdef", k=r.randint(20, 90))) for _ in range(1200)]
+    texts += ["copy" * 10] * (sum(len(t) + 8 for t in texts) // 2 // 48)
+    rows = S.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    check(rows, list(enumerate(texts)), 24)
+    total = sorted(sum(x["size"] for x in rows if x["shard"] == s) for s in range(24))
+    assert total[22] < 1.05 * sum(total[:23]) / 23 and total[0] > 0.8 * sum(total[:23]) / 23
