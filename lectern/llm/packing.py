@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_rank
+from .common import PART_ROWS, materialize, salted_rank
 
 CAPACITY = 1024
 #: Remainders are planned by length in steps of this many tokens, rounded up: fewer rows for the program,
@@ -37,69 +37,53 @@ CACHE = 800_000
 GROUP = 1 << 20
 #: White space other than blanks and line breaks.
 OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-#: Fixed value: the split of byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-TRIAL = ["The quick brown fox, 1234 times; it's über-schön!", " naïve\nçaña ###$$ x", "token = \"a1b2\"", "\u4e2d\u6587 \U0001f600"]
+MARKS = ",.!?;:"
 
 
 # --- tokens -----------------------------------------------------------------------------------
 
 
-def _byte_ranks(path: str) -> dict[bytes, int]:
-    """The vocabulary file's tokens as bytes. Byte-level files write a printable Latin-1 byte as itself and the
-    others, in order, as the characters from 256 on."""
-    with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
-    rest = [b for b in range(256) if b not in plain]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-    return {bytes(map(byte_of.__getitem__, token)): i for token, i in vocab.items() if all(c in byte_of for c in token)}
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Tokens:
     """text -> little-endian 32-bit ids, as tokenizers gives them without special tokens added.
 
-    Where every white space is a lone blank or line break, the vocabulary's split never crosses the place
-    before one, so the text is taken apart there and each part's ids are remembered; new parts are encoded
-    from the same vocabulary by tiktoken, which is quicker on short strings. Texts with other white space
-    or special tokens are encoded whole by tokenizers, and so are all parts if a trial of both disagrees."""
+    Where every white space is a lone blank or line break, a byte-level vocabulary's split never crosses the
+    place before one, so the text is taken apart there and each part's ids are remembered; new parts are
+    encoded together. Texts with other white space or special tokens are encoded whole, and so is every
+    text if the vocabulary file names another split or changes texts first."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.special = [str(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        ranks = _byte_ranks(path)
-        quick = tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if k.decode("latin-1") not in self.special}, special_tokens={})
-        self._part = quick.encode_ordinary
-        if any(self._part(t) != self.whole.encode(t, add_special_tokens=False).ids for t in TRIAL):
-            self._part = lambda t: self.whole.encode(t, add_special_tokens=False).ids
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        split = file.get("pre_tokenizer") or {}
+        self.apart = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not file.get("normalizer") and not file["model"].get("dropout")
+        self.mark = dict(zip(MARKS, self._encode(list(MARKS))))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_packed(e.ids) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spell(self, text: str) -> bytes:
-        ids = self._part(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, parts: set[str]) -> set[str]:
         """Ids of parts not met yet; a mark behind a letter or digit is a token run of its own. When too many
-        are known, those of this group stay."""
-        if len(self.known) > CACHE:
-            self.known = {p: self.known[p] for p in parts if p in self.known}
-        known, spell = self.known, self._spell
-        for p in parts - known.keys():
-            if len(p) > 1 and p[-1] in ",.!?;:" and p[-2].isalnum():
-                stem = p[:-1]
-                ids = known.get(stem)
-                if ids is None:
-                    ids = known[stem] = spell(stem if stem[0] == "\n" else " " + stem)
-                known[p] = ids + spell(p[-1])
-            else:
-                known[p] = spell(p if p[0] == "\n" else " " + p)
+        are known, those of this group stay. Returns the parts with other white space, which have none."""
+        known = self.known
+        if len(known) > CACHE:
+            known = self.known = {p: known[p] for p in parts if p in known}
+        new = parts.difference(known)
+        odd = {p for p in new if OTHER_SPACE.search(p)}
+        marked = [p for p in new - odd if p[-1] in MARKS and p[-2:-1].isalnum()]
+        ask = list((new - odd).difference(marked).union(p[:-1] for p in marked).difference(known))
+        known.update(zip(ask, self._encode([p if p[0] == "\n" else " " + p for p in ask])))
+        known.update((p, known[p[:-1]] + self.mark[p[-1]]) for p in marked)
+        return odd
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; texts are taken in groups, so that new parts are met together."""
@@ -113,23 +97,24 @@ class Tokens:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        split: list[tuple[str, list[str]] | None] = []
+        split: list[list[str] | None] = []
         met: set[str] = set()
         for t in texts:
-            taken = None
-            if t and not OTHER_SPACE.search(t) and not any(s in t for s in self.special):
+            parts = None
+            if self.apart and t and not any(s in t for s in self.special):
                 parts = t.replace("\n", " \n").split(" ")
-                if "" not in parts and "\n" not in parts:
-                    taken = parts[0], parts[1:]  # the first has no blank before it
-                    met.update(taken[1])
-            split.append(taken)
-        self._learn(met)
+                if "" in parts or "\n" in parts:
+                    parts = None
+                else:
+                    met.update(parts[1:])
+            split.append(parts)
+        odd = self._learn(met)
         get = self.known.__getitem__
-        for t, taken in zip(texts, split):
-            if taken is None:
+        for t, parts in zip(texts, split):
+            if parts is None or OTHER_SPACE.search(parts[0]) or (odd and not odd.isdisjoint(parts)):
                 yield self._encode([t])[0] if t else b""
-            else:
-                yield self._spell(taken[0]) + b"".join(map(get, taken[1]))
+            else:  # the first part has no blank before it
+                yield self._encode(parts[:1])[0] + b"".join(map(get, parts[1:]))
 
 
 def pieces_of(ids: bytes, capacity: int = CAPACITY) -> list[int]:
@@ -271,12 +256,13 @@ def plan_rows(patterns: list[tuple[int, dict[int, int]]]) -> pd.DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece of every row of docs (doc_id, text; other columns are left out): doc_id, start,
+    """Every piece of every row of docs (doc_id, text; other columns are left out, whatever their names): doc_id, start,
     length, ids_crc32, doc_tokens, sequence_id and offset.
 
     A document's ids end with 0, so null and empty texts have one id. Repeated rows and ids are packed
     each for itself. Pieces of a sequence lie gapless from offset 0; sequences are at most capacity
-    long. sequence_id counts the shared sequences first, then the full pieces."""
+    long. sequence_id counts the shared sequences first, then the full pieces. The plan stops at COLUMNS columns or
+    within GAP of the least number of sequences; that bears on padding alone, every piece is placed."""
     spark = docs.sparkSession
     named = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
     tokens = materialize(tokenized(named, tokenizer, capacity), "tokens")
@@ -301,16 +287,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
             out[here, 0], out[here, 1] = row[:, 2] + copy, row[:, 3] + slot
         return pd.DataFrame(out, columns=["sequence_id", "slot"])
 
-    placed = salted_rank(rest, ["_class"], ["_row"], "_rank").withColumn("_p", place("_class", "_rank"))
+    placed = salted_rank(rest, ["_class"], ["_row"], "_rank", sum(counts.values())).withColumn("_p", place("_class", "_rank"))
     before = Window.partitionBy("_sequence").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select(F.col("_row").alias("_r"), F.col("_p.sequence_id").alias("_sequence"), F.col("_p.slot").alias("_slot"), "_rest")
     placed = placed.select("_r", "_sequence", F.coalesce(F.sum("_rest").over(before), F.lit(0)).alias("_offset"))
     full = (F.col("doc_tokens") / capacity).cast("long")
     # Where each document's full pieces begin: sums by parts of the rows, then within a part.
-    part = F.pmod(F.xxhash64("_row"), F.lit(256))
+    parts = max(256, tokens.count() // PART_ROWS)
+    part = F.pmod(F.xxhash64("_row"), F.lit(parts))
     fulls = tokens.select("_row", part.alias("_part"), full.alias("_full"))
     by_part = fulls.groupBy("_part").agg(F.sum("_full").alias("_sum"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows
     by_part = by_part.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     begun = fulls.join(F.broadcast(by_part), "_part").select(

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_rank
+from .common import join_skewed, materialize, salted_rank
 
 SHARDS = 24
 PRECISION = 10
@@ -169,7 +169,8 @@ def size_class(size) -> F.Column:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, size, text_crc32, shard, slot, a row for each row of docs.
 
-    size: UTF-8 bytes and 8 for framing; null counts as the empty text. Equal texts share a shard.
+    size: UTF-8 bytes and 8 for framing; null counts as the empty text. Equal texts share a shard; repeated rows
+    are rows like any other. Other columns of docs are left out, whatever their names.
     slot numbers a shard's rows from 0 without gaps. A group above the mean of what remains fills a shard of
     its own, which then stands above the others (groups are never divided); the others' sizes stay near equal."""
     text = F.coalesce("text", F.lit(""))
@@ -181,9 +182,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.monotonically_increasing_id().alias("_row"),
     )
     rows = materialize(rows, "sizes")
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes")).select("_group", size_class(F.col("_bytes")).alias("_class"))
-    groups = materialize(groups, "groups")
-    histogram = [(r["_class"], r["n"]) for r in groups.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect()]  # bounded classes
+    groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
+    groups = materialize(groups.select("_group", size_class(F.col("_bytes")).alias("_class"), "_n"), "groups")
+    # A row for each class, of which there are 1024 for each power of two at most.
+    classes = groups.groupBy("_class").agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("rows")).collect()
+    histogram, total = [(r["_class"], r["n"]) for r in classes], sum(r["rows"] for r in classes)
     runs: dict[int, list[tuple[int, int]]] = {}
     for size, bin_, n in assign(histogram, shards):
         runs.setdefault(size, []).append((n, bin_))
@@ -200,9 +203,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             out[at] = bins[np.searchsorted(end, r[at], "right")]
         return pd.Series(out)
 
-    placed = salted_rank(groups, ["_class"], ["_group"], "_rank").select(F.col("_group").alias("_g"), bin_of("_class", "_rank").alias("shard"))
-    dealt = rows.join(placed.hint("merge"), F.col("_group") == F.col("_g")).select("doc_id", "size", "text_crc32", "shard", "_row")
-    return salted_rank(dealt, ["shard"], ["_row"], "slot", salts=256).drop("_row")
+    placed = salted_rank(groups, ["_class"], ["_group"], "_rank", sum(n for _, n in histogram))
+    placed = materialize(placed.select("_group", "_n", bin_of("_class", "_rank").alias("shard")), "placed")
+    # A text that very many rows share is not one task of the join.
+    dealt = join_skewed(rows, placed, ["_group"], total).drop("_group")
+    return salted_rank(dealt, ["shard"], ["_row"], "slot", total).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
