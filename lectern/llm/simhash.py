@@ -17,10 +17,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_skewed, materialize
 from .components import components
 
 SEED = 42
@@ -31,6 +31,8 @@ BITS = 4
 SHORT_RUN = 24
 #: Bands of least hashes that bring sets of shingles together, and hashes in a band.
 BANDS, BAND_ROWS = 24, 4
+#: Partners that a node of a longer run gets in each band; the run's order is another one in each.
+PARTNERS = 48
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: For a hash's eight bytes: which of the eight bits a byte value sets.
@@ -92,7 +94,7 @@ def _viable(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _clusters(fps: np.ndarray) -> np.ndarray:
+def _stars(fps: np.ndarray) -> np.ndarray:
     """Links that join exactly the groups of fps reachable by steps of at most BITS bits.
 
     A found point leaves the list that later points are compared with, so a dense group costs
@@ -115,23 +117,25 @@ def _clusters(fps: np.ndarray) -> np.ndarray:
 
 
 def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key -> links (u, v) between fingerprints that share a key."""
-    key_rest, fp_rest = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        size = np.diff(np.append(edge, len(key)))
+    """Rows (part, key, fp) sorted by part -> links (u, v) between fingerprints that share a part."""
+    rest: list[pa.RecordBatch] = []  # the run that is being read
+
+    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part, key, fp = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in rows]) for i in range(3))
+        fp = fp.view(np.uint64)
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        size = np.diff(np.append(edge, len(part)))
         found = []
         short = np.repeat(size <= SHORT_RUN, size)
         for t in range(1, min(SHORT_RUN, int(size.max(initial=0)))):
-            at = np.flatnonzero((key[t:] == key[:-t]) & short[t:])
+            at = np.flatnonzero((part[t:] == part[:-t]) & short[t:])
             if not len(at):
                 break
             x = fp[at] ^ fp[at + t]
             ok = _viable(x, ((key[at] >> 1) & 7).astype(np.int64)) & (x != 0)
             found.append(np.stack([fp[at[ok]], fp[at[ok] + t]], axis=1))
         for a, n in zip(edge[size > SHORT_RUN], size[size > SHORT_RUN]):
-            found.append(_clusters(fp[a : a + n]))
+            found.append(_stars(fp[a : a + n]))
         pairs = np.concatenate(found) if found else np.empty((0, 2), np.uint64)
         pairs = pairs.view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
@@ -139,14 +143,16 @@ def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        key = np.concatenate([key_rest, b.column(0).to_numpy(zero_copy_only=False)])
-        fp = np.concatenate([fp_rest, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        cut = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
-        key_rest, fp_rest = key[cut:], fp[cut:]
-        if cut:
-            yield links(key[:cut], fp[:cut])
-    if len(key_rest):
-        yield links(key_rest, fp_rest)
+        part = b.column(0)
+        last = part[b.num_rows - 1].as_py()
+        if part[0].as_py() == last and (not rest or rest[-1].column(0)[0].as_py() == last):
+            rest.append(b)  # the whole batch belongs to the run
+            continue
+        cut = int(np.searchsorted(part.to_numpy(zero_copy_only=False), last))
+        yield links([*rest, b.slice(0, cut)])
+        rest = [b.slice(cut)]
+    if rest:
+        yield links(rest)
 
 
 def chain_keys(fps: DataFrame) -> DataFrame:
@@ -167,27 +173,57 @@ def chain_keys(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.concat(*keys)).alias("key"), "fp")
 
 
+#: Of fingerprints, one in SAMPLED is counted to find keys that many share; keys with more than CROWD of those are divided.
+SAMPLED, CROWD = 64, 64
+#: What the rest of a fingerprint is divided into for such keys. Four bits leave two of six pieces as they are.
+PIECES = 6
+
+
+def _divided(keys: DataFrame) -> DataFrame:
+    """(key, fp) -> (part, key, fp): fingerprints of a crowded key meet where two of the PIECES of their 64 bits
+    are equal too, which no two within BITS bits can miss. So no task compares a whole crowd, and the
+    crowd's own dense groups stay together."""
+    some = keys.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(SAMPLED)) == 0)
+    counts = some.groupBy("key").count()
+    # At most SAMPLED * 1000 keys by the second condition: a key that holds over a 64,000th of the sample.
+    total = some.count()
+    crowded = counts.where((F.col("count") > CROWD) & (F.col("count") * (SAMPLED * 1000) > total)).select(F.col("key").alias("_crowded"))
+    edges = [64 * i // PIECES for i in range(PIECES + 1)]
+    piece = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
+    pairs = [F.xxhash64("key", F.lit(i * PIECES + j), piece[i], piece[j]) for i in range(PIECES) for j in range(i)]
+    marked = keys.join(F.broadcast(crowded), F.col("key") == F.col("_crowded"), "left")
+    part = F.explode(F.when(F.col("_crowded").isNull(), F.array(F.col("key"))).otherwise(F.array(*pairs)))
+    return marked.select(part.alias("part"), "key", "fp")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> links (u, v) that connect exactly those reachable from each other
     by steps of at most four bits. Within a large group of near copies only a star is given."""
-    dealt = chain_keys(fps).repartition("key").sortWithinPartitions("key")
+    dealt = _divided(chain_keys(fps)).repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(_link_runs, "u long, v long")
 
 
+def _named(nodes: DataFrame, edges: DataFrame, node: str, total: int) -> DataFrame:
+    """nodes (node, first, _n) and links between them -> (node, component, _n): the least `first` of all that are
+    reachable. total: how many nodes there are."""
+    joined = components(edges).select(F.col("node").alias("_node"), "root")
+    placed = nodes.join(joined.hint("merge"), F.col(node) == F.col("_node"), "left").select(node, "first", "_n", F.coalesce("root", node).alias("root"))
+    placed = materialize(placed, "placed")
+    least = placed.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("_n"))
+    return join_skewed(placed.withColumnRenamed("_n", "_rows"), least, ["root"], total).select(node, "component", F.col("_rows").alias("_n"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, fp, component_id), a row for each row of docs.
+    """docs (doc_id, text; other columns are left out) -> (doc_id, fp, component_id), a row for each row of docs.
 
     component_id is the smallest doc_id reachable over fingerprints at most four bits apart. Null and
     empty texts have fingerprint 0 and are linked like any other. Equal doc_ids keep their rows. A null
     doc_id takes part but never names a component (null only if the whole component has no id)."""
     prints = materialize(fingerprints(docs, width), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    joined = components(links(nodes.select("fp")))
-    root = F.coalesce("root", "fp")
-    placed = nodes.join(joined.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first_id", root.alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id")
-    return prints.join(materialize(named, "components").hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("_n")), "nodes")
+    distinct, rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    named = materialize(_named(nodes, links(nodes.select("fp")), "fp", distinct), "components")
+    return join_skewed(prints, named, ["fp"], rows).select("doc_id", "fp", F.col("component").alias("component_id"))
 
 
 # --- near copies by exact similarity, for the pipeline's stage -----------------------------------
@@ -211,17 +247,17 @@ def shingle_set(text: str | None, width: int) -> tuple[int, np.ndarray]:
 
 
 def _candidate_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n) sorted by key and node -> pairs (u, v) of nodes with a key in common whose sizes
-    allow a Jaccard similarity of 0.8. Longer runs than SHORT_RUN give each node its SHORT_RUN next ones and the run's first."""
+    """Rows (key, node, n) sorted by key, a key's in a random order -> pairs (u, v) of nodes with a key in common whose
+    sizes allow a Jaccard similarity of 0.8. Longer runs than PARTNERS give each node its PARTNERS next ones and the run's first."""
     rest = [np.empty(0, np.int64)] * 3
 
     def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
         size = np.diff(np.append(edge, len(key)))
         first = np.repeat(edge, size)
-        far = np.flatnonzero(np.arange(len(key)) - first > SHORT_RUN)
+        far = np.flatnonzero(np.arange(len(key)) - first > PARTNERS)
         left, right = [first[far]], [far]
-        for t in range(1, min(SHORT_RUN + 1, int(size.max(initial=0)))):
+        for t in range(1, min(PARTNERS + 1, int(size.max(initial=0)))):
             at = np.flatnonzero(key[t:] == key[:-t])
             left.append(at)
             right.append(at + t)
@@ -241,12 +277,8 @@ def _candidate_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pairs(*rest)
 
 
-def similar_copies(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs (doc_id without nulls, text) -> (doc_id, component_id), a row for each row of docs.
-
-    component_id is the smallest doc_id reachable by steps between texts whose sets of width-word shingles
-    have a Jaccard similarity of 0.8 or more. Candidates share a band of least hashes (a pair at 0.8 shares
-    none of the BANDS with a chance of 3 in a million); each is confirmed on the whole sets. Texts without words are equal."""
+def _signed_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_id, node, n, keys) of each row: the text's MD5, its set's name, size and band keys."""
 
     @F.pandas_udf("struct<node: long, n: long, keys: array<long>>")
     def signed(texts: pd.Series) -> pd.DataFrame:
@@ -255,39 +287,57 @@ def similar_copies(docs: DataFrame, width: int = 5) -> DataFrame:
         keys = [band_keys(h).view(np.int64) if len(h) else np.empty(0, np.int64) for _, h in sets]
         return pd.DataFrame({"node": nodes, "n": np.array([len(h) for _, h in sets], np.int64), "keys": pd.Series(keys, dtype=object)})
 
+    return docs.select("doc_id", _text_id(F.col("text")).alias("text_id"), signed("text").alias("s")).select("doc_id", "text_id", "s.*")
+
+
+def _text_id(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def similar_copies(docs: DataFrame, width: int = 5) -> DataFrame:
+    """docs (doc_id, text; other columns are left out) -> (doc_id, text_id, component), a row for each row of docs.
+
+    component, a struct of doc_id and text_id (the MD5 of the text, null and empty being equal), is the least
+    row reachable by steps between texts whose sets of width-word shingles have a Jaccard similarity of 0.8
+    or more; a null doc_id comes last. Candidates share a band of least hashes (a pair at 0.8 shares none of
+    the BANDS with a chance of 3 in a million); each is confirmed on the whole sets. Texts without words are equal."""
+
     @F.pandas_udf("array<long>")
     def whole(want: pd.Series, texts: pd.Series) -> pd.Series:
         # It takes the wanted name too, so that it can't be evaluated before the join, on all texts.
         sets = [(w, *shingle_set(t, width)) for w, t in zip(want.to_numpy().view(np.uint64).tolist(), texts)]
         return pd.Series([h.view(np.int64) if w == node else None for w, node, h in sets], dtype=object)
 
-    prints = materialize(docs.select("doc_id", signed("text").alias("s")).select("doc_id", "s.*"), "shingles")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets")
-    dealt = nodes.select(F.explode("keys").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", "node")
+    prints = materialize(_signed_rows(docs, width), "shingles")
+    row = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_id")
+    nodes = prints.groupBy("node").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes, "sets")
+    distinct, rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    dealt = nodes.select(F.explode("keys").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
     pairs = materialize(dealt.mapInArrow(_candidate_runs, "u long, v long").distinct(), "candidates")
 
-    # The sets of the candidates only, made again from one text each. (An id may have several texts.)
+    # The sets of the candidates only, made again from one text each.
     named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    named = named.join(nodes.select("node", "first_id").hint("merge"), "node").select(F.col("node").alias("want"), "first_id")
-    texts = docs.select("doc_id", "text").join(named.hint("merge"), F.col("doc_id") == F.col("first_id")).select("want", whole("want", "text").alias("hashes"))
+    named = named.join(nodes.select("node", "first").hint("merge"), "node").select(F.col("node").alias("want"), F.col("first.doc_id").alias("d"), F.col("first.text_id").alias("t"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_id") == F.col("t"))
+    texts = docs.select("doc_id", "text", _text_id(F.col("text")).alias("text_id")).join(named.hint("merge"), same).select("want", whole("want", "text").alias("hashes"))
     sets = materialize(texts.groupBy("want").agg(F.first("hashes", ignorenulls=True).alias("hashes")), "candidate-sets")
     a, b = (sets.select(F.col("want").alias(k), F.col("hashes").alias(f"{k}_set")).hint("merge") for k in ("u", "v"))
     shared = F.size(F.array_intersect("u_set", "v_set"))
     sure = pairs.join(a, "u").join(b, "v").where(shared * 9 >= (F.size("u_set") + F.size("v_set")) * 4).select("u", "v")
-
-    root = F.coalesce("root", "node")
-    joined = components(sure).select(F.col("node").alias("_n"), "root")
-    placed = nodes.select("node", "first_id").join(joined.hint("merge"), F.col("node") == F.col("_n"), "left").select("node", "first_id", root.alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ends = materialize(placed.select("node", "root").join(least.hint("merge"), "root").select("node", "component_id"), "components")
-    return prints.select("doc_id", "node").join(ends.hint("merge"), "node").select("doc_id", "component_id")
+    ends = materialize(_named(nodes.select("node", "first", "_n"), sure, "node", distinct), "components")
+    return join_skewed(prints.select("doc_id", "text_id", "node"), ends, ["node"], rows).select("doc_id", "text_id", "component")
 
 
 def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of docs whose doc_id names their group of similar_copies; rows without an id stay."""
-    groups = similar_copies(docs.where("doc_id is not null").select("doc_id", "text"), width)
-    rest = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(rest.hint("merge"), "doc_id", "left_anti")
+    """Of each group of similar_copies one row of docs: the least by doc_id, then by MD5 of the text (rows without an
+    id last; of rows equal in both any one). All columns of docs stay, but for one named _text_id."""
+    docs = docs.drop("_text_id")
+    row = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_id")
+    kept = similar_copies(docs.select("doc_id", "text"), width).where(row == F.col("component")).select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t")).distinct()
+    # Equal rows are thinned where they lie before they are shuffled, so a hot one is no hot task.
+    single = docs.withColumn("_text_id", _text_id(F.col("text"))).dropDuplicates(["doc_id", "_text_id"])
+    return single.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_id") == F.col("_t")), "left_semi").select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -75,8 +75,37 @@ def test_documents(edges, clashing, nothing, edge_rows):
     assert simhash.near_duplicates(clashing).count() == len(edge_rows)
     assert simhash.near_duplicates(nothing).count() == 0
     kept = simhash.keep_first(clashing)
-    assert kept.columns == clashing.columns and kept.where("doc_id is null").count() == 2
-    assert {r["doc_id"] for r in kept.collect()} >= {0, 3, 4, 5, 11}
+    assert kept.columns == clashing.columns and kept.where("doc_id is null").count() == 0
+    rows = [r["doc_id"] for r in kept.collect()]
+    assert set(rows) >= {0, 3, 4, 5, 11} and not {1, 2, 6, 7, 8} & set(rows) and len(rows) == len(set(rows))
+
+
+def test_rows_go_by_text_not_by_id(spark):
+    text = "this is a text of more than five words in all"
+    other = "here stands quite another one of as many words as that"
+    rows = [(1, text), (5, text), (5, other), (5, other), (None, other), (None, "alone"), (7, None), (8, "")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept.collect()) == [(0, "alone"), (1, text), (5, other), (7, None)]
+
+
+def test_crowded_keys_are_divided(spark, monkeypatch):
+    """A third of the fingerprints share the first two segments: half of those at random, half in one dense group."""
+    monkeypatch.setattr(simhash, "SAMPLED", 4)
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    r = random.Random(11)
+    base, low = r.getrandbits(64), (1 << 26) - 1
+    values = {r.getrandbits(64) for _ in range(800)} | {r.getrandbits(64) & ~low | base & low for _ in range(200)}
+    values |= {base ^ (1 << r.randrange(26, 64)) ^ (1 << r.randrange(26, 64)) for _ in range(200)}
+    values |= {v ^ 3 << 40 for v in list(values)[:60]}
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    fps = spark.createDataFrame([(v,) for v in signed], "fp long")
+    keys = simhash.chain_keys(fps)
+    assert simhash._divided(keys).count() > keys.count()
+    root = {x["node"]: x["root"] for x in components.components(simhash.links(fps)).collect()}
+    got = [root.get(v, v) for v in signed]
+    want = brute_groups(signed, lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1") <= 4)
+    same = lambda labels: {tuple(i for i, x in enumerate(labels) if x == y) for y in set(labels)}
+    assert same(got) == same(want)
 
 
 def test_components_of_long_paths(spark):
@@ -108,13 +137,13 @@ def test_stage_finds_what_brute_force_jaccard_finds(spark):
             rows.append(copy)
         rows.append(base[: n - n // 10] + [word()])
     base = [word() for _ in range(100)]
-    for _ in range(120):  # a run longer than SHORT_RUN
+    for _ in range(120):  # a run longer than PARTNERS
         copy = list(base)
         copy[r.randrange(100)] = word()
         rows.append(copy)
     rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
     r.shuffle(rows)
-    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    got = {x["doc_id"]: x["component"]["doc_id"] for x in simhash.similar_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     want = brute_similar(rows)
     assert got == want and len(set(want.values())) < len(rows) / 2
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
