@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Centroids are fitted to at most this many vectors, the first by hash of their id.
 SAMPLE = 16_384
 MAX_LISTS = 1024
 #: Share of the lists that a query probes, and the least number of them.
-PROBE_SHARE, PROBE_LEAST = 0.55, 16
+PROBE_SHARE, PROBE_LEAST = 0.6, 16
 #: Columns read at a time, and how many standard errors the test allows.
 BLOCK, EPSILON = 16, 2.1
 #: Vectors of a list, and queries, that meet in one task at most (on average).
@@ -64,16 +66,17 @@ def nearest(rows: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def scan(columns: np.ndarray, query: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON) -> np.ndarray:
+def scan(columns: np.ndarray, query: np.ndarray, k: int, own: np.ndarray | None = None, block: int = BLOCK, epsilon: float = EPSILON) -> np.ndarray:
     """Candidates (columns: rotated dimensions x vectors) that no test rejects, as far as rows within the
-    k-th least distance found: positions, in no order."""
+    k-th least distance found: positions, in no order. Those marked in `own` take no part."""
     dim, n = columns.shape
-    first = min(n, max(64, 4 * k))
-    near = ((columns[:, :first] - query[:, None]) ** 2).sum(axis=0)
-    found, distance = [np.arange(first)], [near]
-    for a in range(first, n, 2048):
+    others = np.arange(n) if own is None else np.flatnonzero(~own)
+    first, n = others[: max(64, 4 * k)], len(others)
+    near = ((columns[:, first] - query[:, None]) ** 2).sum(axis=0)
+    found, distance = [first], [near]
+    for a in range(len(first), n, 2048):
         bound = np.partition(np.concatenate(distance), k - 1)[k - 1] if sum(map(len, distance)) >= k else np.inf
-        alive = np.arange(a, min(a + 2048, n))
+        alive = others[a : a + 2048]
         partial = np.zeros(len(alive))
         for d in range(0, dim, block):
             e = min(d + block, dim)
@@ -91,14 +94,11 @@ def scan(columns: np.ndarray, query: np.ndarray, k: int, block: int = BLOCK, eps
     return found[distance <= np.partition(distance, k - 1)[k - 1] + 1e-9]
 
 
-def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
-    """Rows with an id and a finite non-zero vector, of one dimension (default: the most frequent)."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """Rows with an id and a finite non-zero vector."""
     e = F.col("embedding")
-    ok = vectors.where(F.col("vec_id").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0))
-    if dim is None:
-        top = ok.groupBy(F.size(e).alias("d")).count().orderBy(F.desc("count"), "d").first()
-        dim = top["d"] if top else 1
-    return ok.where(F.size(e) == dim).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    ok = F.col("vec_id").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
+    return vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -106,15 +106,20 @@ def _matrix(rows: pd.Series) -> np.ndarray:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """vectors, queries (vec_id, embedding) -> query_id, rank (from 1), vec_id, score.
-
-    score is the cosine of the original vectors in double precision; ties go to the smaller vec_id; a
-    query is not its own neighbour. Unusable vectors take no part; with no vectors the result is empty.
-    Rows with one vec_id are candidates each for itself. Lists too long for one task are divided, as are
-    their queries; a part answers for itself and the best of all parts stay."""
+    """vectors, queries (vec_id, embedding; other columns are left out) -> query_id, rank (from 1), vec_id, score.
+
+    score is the cosine of the original vectors in double precision; ties go to the smaller vec_id. A
+    vec_id is one query (of several rows the least vector) and none of its rows is its own neighbour; as
+    candidates, rows with one vec_id stand each for itself. Unusable vectors (null, empty, zero, not finite, without
+    an id) take no part, nor do those of another dimension than the vectors' most frequent one; with no
+    vectors the result is empty. Lists too long for one task are divided, as are their queries; a part answers
+    for itself and the best of all parts stay."""
     spark = vectors.sparkSession
     base, asked = usable(vectors), usable(queries)
-    n = base.count()
+    sized = base.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dim, n = (sized["d"], sized["count"]) if sized else (1, 0)
+    base = base.where(F.size("embedding") == dim)
+    asked = asked.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     lists = max(1, min(MAX_LISTS, math.isqrt(n) // 2))
     probes = min(lists, max(PROBE_LEAST, math.ceil(PROBE_SHARE * lists)))
 
@@ -136,9 +141,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
         return run
 
-    to = "vec_id long, embedding array<float>, list array<int>"
-    home = base.mapInPandas(place(1), to).withColumn("list", F.col("list")[0])
-    probe = asked.mapInPandas(place(probes), to).withColumn("list", F.explode("list"))
+    to = f"vec_id long, embedding {base.schema['embedding'].dataType.simpleString()}, list array<int>"
+    home = materialize(base.mapInPandas(place(1), to).withColumn("list", F.col("list")[0]), "homes")
+    probe = materialize(asked.mapInPandas(place(probes), to), "probes").withColumn("list", F.explode("list"))
     # Two numbers for each of at most MAX_LISTS lists.
     sizes = {r["list"]: r["count"] for r in home.groupBy("list").count().collect()}
     asks = {r["list"]: r["count"] for r in probe.groupBy("list").count().collect()}
@@ -161,8 +166,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             queries = _matrix(asked["embedding"])
             turned = unit(queries) @ turn.T
             for q, vector, seen in zip(asked["vec_id"], queries, turned):
-                at = scan(columns, seen, k + 1)
-                at = at[ids[at] != q]
+                at = scan(columns, seen, k, ids == q)
                 score = (own[at] * vector).sum(axis=1) / (length[at] * math.sqrt((vector * vector).sum()))
                 best = np.lexsort((ids[at], -score))[:k]
                 out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][best], "score": score[best]}))
