@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 17
-#: Texts that training may use; this bounds what the driver holds.
+#: Texts that training may use; this bounds what the training task holds.
 SAMPLE = 6000
 CACHE = 200_000
 
@@ -93,7 +93,7 @@ _SHAPE = [(re.compile(p), r) for p, r in ((r"[a-zß-öø-ÿ]+", "a"), (r"[A-ZÀ-
 
 def features(word: str) -> tuple[int, int]:
     """Buckets of a word in lower case and of its shape."""
-    shape = word[:64]
+    shape = word
     for pattern, mark in _SHAPE:
         shape = pattern.sub(mark, shape)
     return zlib.crc32(b"w" + word.lower().encode()) % BUCKETS, zlib.crc32(b"s" + shape.encode()) % BUCKETS
@@ -111,7 +111,7 @@ class Scorer:
     def _of(self, word: str) -> float:
         a, b = features(word)
         v = float(self.weight[a] + self.weight[b])
-        if len(self.known) < CACHE:
+        if len(self.known) < CACHE and len(word) <= 64:
             self.known[word] = v
         return v
 
@@ -154,10 +154,12 @@ def train(texts: list[str | None], targets: np.ndarray, epochs: int = 10, batch:
 
 
 def score(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, posterior (of the labellers alone), score, predicted.
+    """docs (doc_id, text, ...) -> doc_id, posterior (of the labellers alone), score, predicted; a row for each
+    row of docs, other columns are left out.
 
-    Null texts count as empty. Votes and their counts are taken over all documents; only the regression
-    uses a sample, the first rows by hash of doc_id and text."""
+    Null texts count as empty. Votes and their counts are taken over all documents, repeated rows included; only the
+    regression uses a sample: the first `sample` pairs of doc_id and text by hash, each once. It runs in one
+    task, whose input that bounds; the driver gets the finished weights. Without documents there is no score."""
     from .common import materialize
 
     spark = docs.sparkSession
@@ -169,12 +171,21 @@ def score(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     posterior, _, _ = expectation_maximisation(digits, table["count"].to_numpy(float)) if len(table) else (np.zeros(0), None, 0)
     of_pattern = spark.createDataFrame([(int(p), float(q)) for p, q in zip(table["pattern"], posterior)], "pattern int, posterior double")
     judged = voted.join(F.broadcast(of_pattern), "pattern")
+    by_id = judged.groupBy("doc_id", "text_hash").agg(F.min("posterior").alias("posterior"))
     # `sample` rows of three numbers at most
-    some = judged.orderBy(F.xxhash64("doc_id", "text_hash"), "doc_id").limit(sample).select("doc_id", "text_hash", "posterior")
+    some = by_id.orderBy(F.xxhash64("doc_id", "text_hash"), "doc_id", "text_hash").limit(sample)
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.text_hash"))
-    picked = docs.alias("d").join(F.broadcast(some).alias("s"), same).select("d.doc_id", "d.text", "s.posterior").limit(2 * sample).toPandas()
-    picked = picked.sort_values(["doc_id", "text"])
-    shared = spark.sparkContext.broadcast(train(picked["text"].tolist(), picked["posterior"].to_numpy()) if len(picked) else (np.zeros(BUCKETS), 0.0))
+    picked = docs.alias("d").join(F.broadcast(some).alias("s"), same).groupBy("d.doc_id", "s.text_hash", "s.posterior").agg(F.min("d.text").alias("text"))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            rows = pd.concat(parts).sort_values(["doc_id", "text_hash"])
+            weight, bias = train(rows["text"].tolist(), rows["posterior"].to_numpy())
+            yield pd.DataFrame({"weight": [weight.astype("<f8").tobytes()], "bias": [bias]})
+
+    fitted = picked.repartition(1).mapInPandas(learn, "weight binary, bias double").first()
+    shared = spark.sparkContext.broadcast((np.frombuffer(bytes(fitted["weight"]), "<f8"), fitted["bias"]) if fitted else (np.zeros(BUCKETS), 0.0))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -183,7 +194,7 @@ def score(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pd.Series([of(t) for t in texts], dtype="float64")
 
     rated = docs.select("doc_id", scored("text").alias("score"), F.xxhash64("text").alias("text_hash"))
-    by_id = judged.groupBy("doc_id", "text_hash").agg(F.first("posterior").alias("posterior")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "posterior")
+    by_id = by_id.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "posterior")
     joined = rated.join(by_id.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
     return joined.select("doc_id", "posterior", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
