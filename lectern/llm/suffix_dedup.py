@@ -3,15 +3,19 @@
 1. Every 200-byte window of a text is named by the least hash of its 32-byte substrings; windows of
    one name that follow each other form a fragment. Equal windows have equal names wherever they
    stand, so fragments of a name hold all places where its windows can repeat.
-2. Names are shuffled without text. Only fragments whose name occurs twice are cut out and
-   shuffled by name; equal fragments are combined there.
-3. In a task the fragments are dealt to shards. Each shard has its own Burrows-Wheeler transform
+2. Names and checksums of fragments are shuffled without text. Names that stand once drop out; a name whose
+   fragments are all equal is settled by their number. Of the other names one fragment of each kind is cut out.
+3. Kinds are gathered by name and dealt to shards in their task. Each shard has its own Burrows-Wheeler transform
    with the depths at which neighbours part. The transforms are merged by refining their interleave:
    blocks of suffixes that agree to some depth are split by the blocks of the suffixes that follow
    them, reached through the transform itself. A round takes one entry for each block of a shard, and
    only in blocks that more than one shard still shares; no suffixes are sorted again.
 4. Blocks at depth 200 with two suffixes or more are the repeated strings; their windows are
-   mapped back to the documents."""
+   mapped back to all owners of the kind.
+
+A name with more bytes of different fragments than a task should merge (a passage in very many documents, with
+as many different edges) is crowded: its fragments are cut into single windows, which are settled by their
+number like any other equal fragments, and so by a shuffle that combines before it sends."""
 
 from __future__ import annotations
 
@@ -20,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, join_skewed, stored
 
 LENGTH = 200
 GRAM = 32
@@ -32,6 +37,8 @@ FIRST = 7
 #: Bytes of fragments merged at a time, and shards they are dealt to.
 BIN_BYTES = 1 << 19
 SHARDS = 4
+#: Bytes of different fragments from which a name is crowded.
+NAME_BYTES = 4 << 20
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -78,75 +85,76 @@ def window_names(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return h[start].view(np.int64), start, np.append(start[1:], n), first < last
 
 
+def _print(part: bytes) -> int:
+    """A signed 64-bit checksum."""
+    return int.from_bytes(xxhash.xxh64_digest(part), "big", signed=True)
+
+
+RUN = "name long, print long, doc_id {id}, text_hash long, first int, stop int, inner boolean"
+
+
 def _named(length: int):
+    """Texts -> their runs (RUN): print is the checksum of the fragment, the bytes of all windows of the run."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, hashes, texts = (b.column(i) for i in range(3))
-            out, rows, held = [], [], 0
+            out, prints, rows, held = [], [], [], 0
 
             def flush():
                 name, start, end, inner = (np.concatenate(x) for x in zip(*out))
                 at = pa.array(np.repeat([r for r, _ in rows], [n for _, n in rows]))
-                return pa.RecordBatch.from_arrays([pa.array(name), ids.take(at), hashes.take(at), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(inner)], ["name", "doc_id", "text_hash", "first", "stop", "inner"])
+                columns = [pa.array(name), pa.array(prints, pa.int64()), ids.take(at), hashes.take(at), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(inner)]
+                return pa.RecordBatch.from_arrays(columns, ["name", "print", "doc_id", "text_hash", "first", "stop", "inner"])
 
             for i in range(b.num_rows):
-                runs = window_names(texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b"", length)
+                data = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
+                runs = window_names(data, length)
                 if len(runs[0]):
                     out.append(runs)
                     rows.append((i, len(runs[0])))
                     held += len(runs[0])
+                    view = memoryview(data)
+                    prints += [_print(view[s:e]) for s, e in zip(runs[1].tolist(), (runs[2] + length - 1).tolist())]
                 if held > 100_000:
                     yield flush()
-                    out, rows, held = [], [], 0
+                    out, prints, rows, held = [], [], [], 0
             if out:
                 yield flush()
 
     return run
 
 
-def _repeated_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by name -> those whose name stands in a neighbouring row too, or that may repeat themselves."""
-    last, kept = None, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        name = b.column(0).to_numpy(zero_copy_only=False)
-        same = name[1:] == name[:-1]
-        again = b.column(5).to_numpy(zero_copy_only=False).copy()
-        again[1:] |= same
-        again[:-1] |= same
-        if last is not None and last.column(0)[0].as_py() == name[0]:
-            again[0] = True
-            if not kept:
-                yield last
-        yield b.filter(pa.array(again))
-        last, kept = b.slice(b.num_rows - 1), bool(again[-1])
-
-
 def _cut(length: int):
-    """Texts with the runs of repeated names -> fragments."""
+    """Texts with the kinds to cut from them -> (name, print, n, at, part) for each kind, or for each window of the
+    kind (at: which) where the name is crowded; there the checksum of the window takes the place of part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hashes, texts, runs = (b.column(i) for i in range(4))
-            names, rows, firsts, parts, inner, held = [], [], [], [], [], 0
+            texts, kinds, out, held = b.column(0), b.column(1), [], 0
 
             def flush():
-                return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.binary()), ids.take(pa.array(rows)), hashes.take(pa.array(rows)), pa.array(firsts, pa.int32()), pa.array(inner, pa.bool_())], ["name", "part", "doc_id", "text_hash", "first", "inner"])
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
+                return pa.RecordBatch.from_arrays(columns, ["name", "print", "n", "at", "window", "part"])
 
             for i in range(b.num_rows):
                 data = texts[i].as_buffer().to_pybytes()
-                for r in runs[i].as_py():
-                    names.append(r["name"])
-                    rows.append(i)
-                    firsts.append(r["first"])
-                    inner.append(r["inner"])
-                    parts.append(data[r["first"] : r["stop"] + length - 1])
-                    held += len(parts[-1])
-                if held > 8 << 20:
-                    yield flush()
-                    names, rows, firsts, parts, inner, held = [], [], [], [], [], 0
-            if names:
+                for k in kinds[i].as_py():
+                    part = data[k["first"] : k["stop"] + length - 1]
+                    if not k["crowded"]:
+                        out.append((k["name"], k["print"], k["n"], 0, None, part))
+                        held += len(part)
+                    else:
+                        for at in range(len(part) - length + 1):
+                            out.append((k["name"], k["print"], k["n"], at, _print(part[at : at + length]), None))
+                            held += 64
+                            if held > 8 << 20:
+                                yield flush()
+                                out, held = [], 0
+                    if held > 8 << 20:
+                        yield flush()
+                        out, held = [], 0
+            if out:
                 yield flush()
 
     return run
@@ -304,64 +312,36 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compared(length: int):
-    """Rows (name, part, doc_id, text_hash, first, inner) sorted by name and part -> covered byte spans.
+    """Kinds (name, print, n, part) sorted by name and print -> (name, print, n, spans): what of a kind repeats.
 
-    Equal fragments are combined: all their windows repeat. A name that is left with one fragment which
-    cannot repeat itself needs no more; whole names of several fragments are gathered up to BIN_BYTES,
-    then merged together."""
+    Whole names are gathered up to BIN_BYTES, then merged together; the bytes of a name are bounded by NAME_BYTES."""
+    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: list[tuple[bytes, list[tuple]]] = []  # different fragments with their owners
-        mine: list[tuple[bytes, list[tuple]]] = []  # those of the name that is being read
-        done: list[tuple] = []
-        held, last, id_type, inner = 0, None, None, False
-
-        def record() -> pa.RecordBatch:
-            d, h, a, b = zip(*done)
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(d, id_type), pa.array(h, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["doc_id", "text_hash", "begin", "end"])
-
-        def close() -> None:
-            """The name that was read is complete."""
-            nonlocal held
-            if len(mine) == 1 and not inner:
-                part, owners = mine[0]
-                if len(owners) > 1:
-                    done.extend((d, h, f, f + len(part)) for d, h, f in owners)
-            else:
-                gathered.extend(mine)
-                held += sum(len(p) for p, _ in mine)
-            mine.clear()
-
-        def merge() -> None:
+        kinds: list[tuple[int, int, int, bytes]] = []
+        held = 0
+
+        def merge() -> pa.RecordBatch:
             nonlocal held
-            for (part, owners), flags in zip(gathered, repeated_windows([p for p, _ in gathered], length)):
-                spans = [(0, len(part))] if len(owners) > 1 else [(a, b + length - 1) for a, b in _runs(flags)]
-                done.extend((d, h, f + a, f + b) for d, h, f in owners for a, b in spans)
-            gathered.clear()
+            found = []
+            for (_, _, n, part), flags in zip(kinds, repeated_windows([k[3] for k in kinds], length)):
+                spans = [(0, len(part))] if n > 1 else [(a, b + length - 1) for a, b in _runs(flags)]
+                found.append([{"begin": a, "end": b} for a, b in spans])
+            columns = [pa.array([k[i] for k in kinds], pa.int64()) for i in range(3)]
+            kinds.clear()
             held = 0
+            return pa.RecordBatch.from_arrays([*columns, pa.array(found, span)], ["name", "print", "n", "spans"])
 
         for batch in batches:
-            id_type = batch.schema.field(2).type
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for name, part, doc, text_hash, first, again in zip(*columns):
-                if name != last:
-                    close()
-                    last, inner = name, False
-                    if held > BIN_BYTES:
-                        merge()
-                inner = inner or again
-                if mine and mine[-1][0] == part:
-                    mine[-1][1].append((doc, text_hash, first))
-                else:
-                    mine.append((part, [(doc, text_hash, first)]))
-            if len(done) > 20_000:
-                yield record()
-        close()
-        if gathered:
-            merge()
-        if done:
-            yield record()
+            for row in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if kinds and row[:2] == kinds[-1][:2]:
+                    continue  # the same kind, cut from each of several equal rows
+                if held > BIN_BYTES and row[0] != kinds[-1][0]:
+                    yield merge()
+                kinds.append(row)
+                held += len(row[3])
+        if kinds:
+            yield merge()
 
     return run
 
@@ -369,19 +349,57 @@ def _compared(length: int):
 # --- documents --------------------------------------------------------------------------------
 
 
+def _crowded_spans(windows: DataFrame, length: int) -> DataFrame:
+    """(name, print, n, at, window) -> (name, print, n, spans): windows that are counted more than once."""
+    again = windows.groupBy("name", "window").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("_n")).where("times > 1")
+    hits = join_skewed(windows, again, ["name", "window"], windows.count())
+    by_kind = hits.groupBy("name", "print").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("at")).alias("places"))
+    # Places that follow each other make one span: a step above 1 ends it.
+    ends = F.filter(F.col("places"), lambda p, i: F.coalesce(F.get("places", i + 1) > p + 1, F.lit(True)))
+    begins = F.filter(F.col("places"), lambda p, i: F.coalesce(F.get("places", i - 1) < p - 1, F.lit(True)))
+    spans = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda x: F.struct(x["b"].alias("begin"), (x["e"] + length).alias("end")))
+    return by_kind.select("name", "print", "n", spans.alias("spans"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, text_hash, begin, end): byte spans that repeat; they may overlap."""
+    """docs (doc_id, text) -> (doc_id, text_hash, spans): byte spans (begin, end) that repeat; they may overlap.
+
+    A row for each pair of doc_id and text of which anything repeats. The tables between are deleted."""
+    spark, tail = docs.sparkSession, length - 1
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.octet_length("text") >= length)
-    names = keyed.mapInArrow(_named(length), f"name long, doc_id {id_type}, text_hash long, first int, stop int, inner boolean")
-    twice = names.repartition("name").sortWithinPartitions("name").mapInArrow(_repeated_names, names.schema)
-    runs = twice.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("name", "first", "stop", "inner")).alias("runs"))
-    runs = runs.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "runs")
+    runs, runs_at = stored(keyed.mapInArrow(_named(length), RUN.format(id=id_type)), "runs")
+    names = runs.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.max("inner").alias("inner"), F.min("print").alias("lo"), F.max("print").alias("hi"))
+    names = names.where("_n > 1 or inner").select("name", "_n", (~F.col("inner") & (F.col("lo") == F.col("hi"))).alias("settled"))
+    names, names_at = stored(names, "names")
+    owners = join_skewed(runs.drop("inner"), names, ["name"], runs.count())
+    owners, owners_at = stored(owners, "owners")
+
+    rest = owners.where("not settled")
+    kinds = rest.groupBy("name", "print").agg(F.min(F.struct("doc_id", "text_hash", "first", "stop")).alias("one"), F.count(F.lit(1)).alias("n"))
+    kinds, kinds_at = stored(kinds.select("name", "print", "n", "one.*"), "kinds")
+    size = (F.col("stop") - F.col("first") + tail).cast("long")
+    crowds = kinds.groupBy("name").agg((F.sum(size) > NAME_BYTES).alias("crowded"), F.count(F.lit(1)).alias("_n"))
+    marked = join_skewed(kinds, crowds, ["name"], kinds.count())
+    wanted = marked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("name", "print", "n", "first", "stop", "crowded")).alias("kinds"))
+    wanted = wanted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "kinds")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
-    with_text = keyed.join(runs.hint("merge"), same).select("doc_id", "text_hash", "text", "runs")
-    parts = with_text.mapInArrow(_cut(length), f"name long, part binary, doc_id {id_type}, text_hash long, first int, inner boolean")
-    dealt = parts.repartition("name").sortWithinPartitions("name", "part")
-    return dealt.mapInArrow(_compared(length), f"doc_id {id_type}, text_hash long, begin int, end int")
+    cut = keyed.join(wanted.hint("merge"), same).select("text", "kinds").mapInArrow(_cut(length), "name long, print long, n long, at int, window long, part binary")
+    parts, parts_at = stored(cut, "parts")
+
+    dealt = parts.where("part is not null").select("name", "print", "n", "part").repartition("name").sortWithinPartitions("name", "print")
+    compared = dealt.mapInArrow(_compared(length), "name long, print long, n long, spans array<struct<begin: int, end: int>>")
+    found = compared.unionByName(_crowded_spans(parts.where("part is null").drop("part"), length))
+    found, found_at = stored(found.where(F.size("spans") > 0).withColumnRenamed("n", "_n"), "found")
+
+    moved = F.transform("spans", lambda x: F.struct((x["begin"] + F.col("first")).alias("begin"), (x["end"] + F.col("first")).alias("end")))
+    theirs = join_skewed(rest.drop("settled"), found, ["name", "print"], rest.count()).select("doc_id", "text_hash", F.inline(moved))
+    whole = owners.where("settled").select("doc_id", "text_hash", F.col("first").alias("begin"), (F.col("stop") + tail).alias("end"))
+    spans = theirs.unionByName(whole).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    spans, _ = stored(spans, "spans")
+    for path in (runs_at, names_at, owners_at, kinds_at, parts_at, found_at):
+        discard(spark, path)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -389,10 +407,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     went, in bytes, maximal and in order). A row for each row of docs, other columns as they are.
 
     A byte goes if a string of `length` bytes over it also starts anywhere else in docs, the same
-    document included. Columns of docs named kept or spans are replaced. Null texts count as empty; shorter texts stay whole; equal rows go together."""
-    docs = docs.drop("kept", "spans", "_d", "_h", "_found", "_cut")
-    found = repeated_spans(docs, length).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("_found"))
-    found = materialize(found, "spans").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "_found")
+    document included. Columns of docs named kept or spans are replaced, others keep their values (but for names
+    that begin with _repeat_, which are not allowed). Null texts count as empty; shorter texts stay whole;
+    equal rows go together."""
+    docs = docs.drop("kept", "spans")
+    found = repeated_spans(docs, length).select(F.col("doc_id").alias("_repeat_d"), F.col("text_hash").alias("_repeat_h"), F.col("spans").alias("_repeat_found"))
 
     @F.pandas_udf("struct<kept: binary, spans: array<struct<begin: int, end: int>>>")
     def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -411,9 +430,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             spans.append([{"begin": a, "end": b} for a, b in joined])
         return pd.DataFrame({"kept": kept, "spans": spans})
 
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    same = F.col("doc_id").eqNullSafe(F.col("_repeat_d")) & (F.xxhash64("text") == F.col("_repeat_h"))
     joined = docs.join(found.hint("merge"), same, "left")
-    return joined.withColumn("_cut", cut("text", "_found")).select(*docs.columns, "_cut.kept", "_cut.spans")
+    return joined.withColumn("_repeat_cut", cut("text", "_repeat_found")).select(*docs.columns, "_repeat_cut.kept", "_repeat_cut.spans")
 
 
 def whole_characters(kept) -> F.Column:

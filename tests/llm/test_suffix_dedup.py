@@ -40,15 +40,51 @@ def brute(texts, length=200):
     return out
 
 
+def agrees(got, rows):
+    want = sorted((i is None, i or 0, k) for (i, _), k in zip(rows, brute([t for _, t in rows])))
+    return sorted((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["kept"])) for r in got.collect()) == want
+
+
 def test_documents(edges, edge_rows, clashing, nothing):
-    rows = [r for r in edge_rows if r[0] != 11]
-    got = S.remove_repeats(edges.where("doc_id is null or doc_id <> 11"))
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["kept"])) for r in got.collect()) == sorted((r[0] is None, r[0] or 0, k) for r, k in zip(rows, brute([r[1] for r in rows])))
+    assert agrees(S.remove_repeats(edges), [r[:2] for r in edge_rows])
     out = S.remove_repeats(clashing)
-    assert out.count() == len(edge_rows) and out.schema["spans"].dataType.typeName() == "array"
+    assert agrees(out, [r[:2] for r in edge_rows]) and out.schema["spans"].dataType.typeName() == "array"
+    assert out.where("fp = -1 and copy = -1 and _found = -1").count() == len(edge_rows)
     assert S.remove_repeats(nothing).count() == 0
 
 
+def ragged(n, seed=9):
+    """A passage in many texts, each with other words around it, some of them equal; and a text that repeats itself."""
+    r = random.Random(seed)
+    words = lambda k: "".join(r.choices("abcdefgh ", k=k))
+    passage, rows = words(330), []
+    for i in range(n):
+        rows.append((i, rows[-1][1] if i % 9 == 8 else words(r.randint(0, 300)) + passage[r.randint(0, 3) :] + words(r.randint(0, 300))))
+    return [*rows, (n, "ab" * 700), (n + 1, words(50) + passage[40:290] * 3)]
+
+
+@pytest.mark.parametrize("bound", [1, 3000, S.NAME_BYTES])
+def test_crowded_names(spark, monkeypatch, bound):
+    """Names over the bound are settled by counting windows, the others by merged transforms; the result is one."""
+    monkeypatch.setattr(S, "NAME_BYTES", bound)
+    rows = ragged(70)
+    assert agrees(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), rows)
+
+
+def test_a_hot_name_is_no_hot_task(spark, monkeypatch):
+    """One passage in 20,000 texts: kinds of its names reach no merge, and its owners no single task of a join."""
+    monkeypatch.setattr(S, "NAME_BYTES", 100_000)
+    passage = "".join(random.Random(1).choices("abcdefgh ", k=260))
+    rows = [(i, f"{i:09d}" + passage + f"{i * 7:09d}") for i in range(20_000)]
+    out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    # Digits next to the passage are alike in many texts, so a few of the ends go too.
+    kept = {r["doc_id"]: (r["kept"].decode(), [(s["begin"], s["end"]) for s in r["spans"]]) for r in out.collect()}
+    assert len(kept) == len(rows)
+    for i, text in rows:
+        left, ((a, b),) = kept[i]
+        assert left == text[:a] + text[b:] and a <= 9 and b >= 269
+
+
 def test_spans_are_maximal(spark):
     text = "x" * 150 + "".join(map(str, range(200)))
     docs = spark.createDataFrame([(1, text), (2, "head" + text[:260]), (3, text[300:])], "doc_id long, text string")
