@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_skewed, materialize
 
 SEED = "mix-1"
 #: Largest rate inverted at once: e to the minus 16 is far from underflow, and 96 terms hold all but 1e-40.
@@ -38,10 +38,11 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: Column | Non
     else:
         given = weights.groupBy(F.col("source").alias("_s")).agg(F.sum("weight").cast("double").alias("_w"))
         want = have.join(given.hint("merge"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "n_docs", F.greatest(F.coalesce("_w", F.lit(0.0)), F.lit(0.0)).alias("_w"))
-    sums = want.agg(F.sum("_w").alias("_sum"), F.sum("n_docs").alias("_docs"))  # one row
-    goal = F.col("_docs") if total is None else total
-    rate = F.when(F.col("_sum") > 0, goal * (F.col("_w") / F.col("_sum")) / F.col("n_docs")).otherwise(0.0)
-    return want.join(F.broadcast(sums)).select("source", "n_docs", rate.alias("rate"))
+    want = materialize(want, "sources")
+    weight, have_docs = want.agg(F.sum("_w"), F.sum("n_docs")).first()
+    goal = F.lit(have_docs) if total is None else total
+    rate = goal * (F.col("_w") / F.lit(weight)) / F.col("n_docs") if weight else F.lit(0.0)
+    return want.select("source", "n_docs", rate.alias("rate"))
 
 
 def _inverse() -> Column:
@@ -60,26 +61,27 @@ def _inverse() -> Column:
 def mix(docs: DataFrame, weights: DataFrame | None = None, total: Column | None = None, power: float = POWER, seed: str = SEED) -> DataFrame:
     """docs, each row as often as drawn, in global random order, with n_copies, copy (from 0) and mix_key.
 
-    Columns of docs with those names are replaced. Counts depend on seed, doc_id and rate alone; rows of
+    Columns of docs with those names are replaced; names that begin with _mix_ are not allowed. Counts depend on seed, doc_id and rate alone; rows of
     one doc_id get the same count; a null doc_id hashes as the empty string. mix_key (hexadecimal)
     orders the result: a global sort by key, in as many tasks as the session shuffles to."""
-    docs = docs.drop("n_copies", "copy", "mix_key", "_plan", "_source")
-    plan = materialize(rates(docs, weights, total, power), "rates").select(F.col("source").alias("_source"), _inverse().alias("_plan"))
-    # Drawing needs no text: counts are drawn on ids, where a source's rows meet its one plan row.
-    joined = docs.join(_sized(plan), F.col("source").eqNullSafe(F.col("_source")))
+    docs = docs.drop("n_copies", "copy", "mix_key").withColumn("_mix_source", _key(F.col("source")))
+    plan = rates(docs, weights, total, power).select(_key(F.col("source")).alias("_mix_source"), F.col("n_docs").alias("_n"), _inverse().alias("_mix_plan"))
+    plan = materialize(plan, "rates")
+    # A source of many rows meets its one plan row by broadcast, the small ones by a merge.
+    joined = join_skewed(docs, plan, ["_mix_source"], plan.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    numbers = F.transform(F.sequence(F.lit(1), F.col("_plan.parts")), lambda part: _unit(F.lit(seed), part.cast("string"), ident))
-    below = lambda u: F.size(F.filter(F.col("_plan.cdf"), lambda c: c <= u))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("_mix_plan.parts")), lambda part: _unit(F.lit(seed), part.cast("string"), ident))
+    below = lambda u: F.size(F.filter(F.col("_mix_plan.cdf"), lambda c: c <= u))
     count = F.aggregate(numbers, F.lit(0), lambda acc, u: acc + below(u))
-    drawn = joined.withColumn("n_copies", count).where("n_copies > 0").drop("_plan", "_source")
+    drawn = joined.withColumn("n_copies", count).where("n_copies > 0").drop("_mix_plan", "_mix_source")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), ident, F.col("copy").cast("string")).cast("binary"))
     return copies.withColumn("mix_key", key).orderBy("mix_key")
 
 
-def _sized(plan: DataFrame, most: int = 10_000) -> DataFrame:
-    """The plan of sources with its join strategy: broadcast only up to a counted number of sources."""
-    return F.broadcast(plan) if plan.select("_source").limit(most + 1).count() <= most else plan.hint("merge")
+def _key(source: Column) -> Column:
+    """source as a key without nulls."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ FIRST = 7
 BIN_BYTES = 1 << 19
 SHARDS = 4
 #: Bytes of different fragments from which a name is crowded.
-NAME_BYTES = 4 << 20
+NAME_BYTES = 1 << 17
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 

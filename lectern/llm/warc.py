@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Headers of a 304 that replace stored ones; all other stored headers stay.
 UPDATES = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "set-cookie", "vary", "warning"]
 #: Query parameters that name a visit, not a document.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
-#: Length of the spans of time that a URL's records are divided into, in seconds.
-SPAN = 86_400
+#: Length of the spans of time that a URL's records are divided into, in seconds, and records of a span from which
+#: it is divided further.
+SPAN, SPAN_ROWS = 86_400, 50_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -32,7 +35,7 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
-def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
+def resolve_revisits(records: DataFrame, span: int = SPAN, span_rows: int = SPAN_ROWS) -> DataFrame:
     """records (record_id, url, ts timestamp, status int, headers map<string,string>) -> one row for each
     revisit (status 304): record_id, url_key, ts, response_id, response_ts, outcome, headers.
 
@@ -41,10 +44,12 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     revisit has neither ETag nor Last-Modified, or the response has not the one); changed (ETags differ
     by weak comparison, or without an ETag the Last-Modified dates differ). headers: of the response,
     updated by those of the revisit in UPDATES, if resolved; else the revisit's own. Header names are read in
-    lower case, the first of equal ones counts. A null url or ts finds no response.
+    lower case, the first of equal ones counts. A null url or ts finds no response; records of another or no status
+    play no part. Repeated records are records like any other; other columns are left out.
 
     A URL's records are divided by spans of time, so that no task holds all of a much visited URL: within
-    a span the latest response is a window's running maximum, before it the greatest of earlier spans."""
+    a span the latest response is a window's running maximum, before it the greatest of earlier spans. A span that
+    holds more than span_rows records and a thousandth of all is divided evenly; records of one instant stay together."""
     lower = F.map_from_entries(
         F.transform(
             F.array_distinct(F.transform(F.map_keys("headers"), lambda k: F.lower(k))),
@@ -58,20 +63,30 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
         "ts",
         "status",
         F.coalesce(lower, empty).alias("headers"),
-        F.floor(F.unix_timestamp("ts") / span).alias("_span"),
     ).where((F.col("status") == 304) | F.col("status").between(200, 299))
+    rows = materialize(rows, "records")
     full = F.col("status") != 304
-    response = F.when(full & F.col("ts").isNotNull(), F.struct("ts", "record_id", F.map_entries("headers").alias("entries")))
-    rows = rows.withColumn("_response", response)
-    latest = rows.where(full & F.col("url_key").isNotNull()).groupBy("url_key", "_span").agg(F.max("_response").alias("_last"))
-    spans = rows.where("url_key is not null and _span is not null").select("url_key", "_span").distinct()
-    spans = spans.join(latest.hint("merge"), ["url_key", "_span"], "left")
+    response = F.when(full, F.struct("ts", "record_id", F.map_entries("headers").alias("entries")))
+    known = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    micros = F.unix_micros("ts")
+    placed = rows.where(known).withColumn("_response", response).withColumn("_day", (F.floor(micros / (span * 1_000_000)) * (span * 1_000_000)).cast("long"))
+    # Fewer than a thousand spans can hold a thousandth of the records each.
+    least = max(span_rows, rows.count() // 1000)
+    busy = placed.groupBy("url_key", "_day").count().where(F.col("count") > least)
+    width = F.greatest(F.lit(1), (F.lit(span * 1_000_000) / F.ceil(F.col("count") / span_rows)).cast("long"))
+    busy = busy.select(F.col("url_key").alias("_k"), F.col("_day").alias("_d"), width.alias("_width"))
+    placed = placed.join(F.broadcast(busy), (F.col("url_key") == F.col("_k")) & (F.col("_day") == F.col("_d")), "left")
+    begun = F.when(F.col("_width").isNull(), F.col("_day")).otherwise(F.col("_day") + (F.floor((micros - F.col("_day")) / F.col("_width")) * F.col("_width")).cast("long"))
+    placed = placed.withColumn("_span", begun).drop("_day", "_k", "_d", "_width")
+    spans = placed.groupBy("url_key", "_span").agg(F.max("_response").alias("_last"))
     earlier = Window.partitionBy("url_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select(F.col("url_key").alias("_k"), F.col("_span").alias("_s"), F.max("_last").over(earlier).alias("_before"))
     # Full responses sort behind revisits of the same time: strictly earlier ones count.
     running = Window.partitionBy("url_key", "_span").orderBy("ts", full).rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumn("_within", F.when(F.col("url_key").isNotNull() & F.col("ts").isNotNull(), F.max("_response").over(running))).where("status = 304")
-    seen = seen.join(spans.hint("merge"), (F.col("url_key") == F.col("_k")) & (F.col("_span") == F.col("_s")), "left")
+    seen = placed.withColumn("_within", F.max("_response").over(running)).where("status = 304").drop("_response")
+    seen = seen.join(spans.hint("merge"), (F.col("url_key") == F.col("_k")) & (F.col("_span") == F.col("_s")), "left").drop("_k", "_s", "_span")
+    nothing = F.lit(None).cast(seen.schema["_within"].dataType)
+    seen = seen.unionByName(rows.where(~known & (F.col("status") == 304)).withColumn("_within", nothing).withColumn("_before", nothing))
     found = F.coalesce("_within", "_before")
     seen = seen.withColumn("_r", found).withColumn("_old", F.map_from_entries(F.coalesce("_r.entries", F.map_entries(empty))))
     weak = lambda m: F.regexp_replace(F.col(m)["etag"], r"^W/", "")

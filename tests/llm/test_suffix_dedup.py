@@ -71,9 +71,8 @@ def test_crowded_names(spark, monkeypatch, bound):
     assert agrees(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), rows)
 
 
-def test_a_hot_name_is_no_hot_task(spark, monkeypatch):
+def test_a_hot_name_is_no_hot_task(spark):
     """One passage in 20,000 texts: kinds of its names reach no merge, and its owners no single task of a join."""
-    monkeypatch.setattr(S, "NAME_BYTES", 100_000)
     passage = "".join(random.Random(1).choices("abcdefgh ", k=260))
     rows = [(i, f"{i:09d}" + passage + f"{i * 7:09d}") for i in range(20_000)]
     out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
