@@ -7,17 +7,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Marker words and phrases, stop words, continuation words.
-STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should "
-    "и в во на с со за под над из от до по для при через между к у о об без это что как так же ли бы мне тебе себе"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "и", "в", "во", "на", "с", "со", "за", "под", "над", "из", "от", "до", "по",
+    "для", "при", "через", "между", "к", "у", "о", "об", "без", "это", "что", "как", "так", "же", "ли", "бы", "мне",
+    "тебе", "себе",
+]
 DEFINITION_EN = ["refers to", "means", "defined as", "definition of", "in other words", "that is", "namely", "essentially"]
 DEFINITION_RU = ["это", "называется", "представляет собой", "является", "означает", "определяется как", "можно определить как", "по сути", "другими словами", "то есть", "а именно"]
 RHETORICAL_EN = ["why", "how", "what", "where", "when", "which", "who", "note that", "important", "key", "crucial", "main"]
 RHETORICAL_RU = ["почему", "как", "что", "где", "когда", "какой", "зачем", "обратите внимание", "важно", "ключевой", "главный"]
-PRONOUNS_EN = "it they them he she his her their its that this these those such".split()
-PRONOUNS_RU = "он она оно они его её их ему ей им ним ней тот эта это эти такой такая такое такие".split()
-CONTINUATION_WORDS = "и а но поэтому причем причём соответственно тоже также он она оно они его её ее их нет да and but so no yes".split()
+PRONOUNS_EN = [
+    "it", "they", "them", "he", "she", "his", "her", "their", "its", "that", "this", "these", "those", "such",
+]
+PRONOUNS_RU = [
+    "он", "она", "оно", "они", "его", "её", "их", "ему", "ей", "им", "ним", "ней", "тот", "эта", "это", "эти",
+    "такой", "такая", "такое", "такие",
+]
+CONTINUATION_WORDS = [
+    "и", "а", "но", "поэтому", "причем", "причём", "соответственно", "тоже", "также", "он", "она", "оно", "они",
+    "его", "её", "ее", "их", "нет", "да", "and", "but", "so", "no", "yes",
+]
 CONTINUATION_PHRASES = ["то есть", "потому что", "так что", "при этом", "кроме того", "тем самым", "вот это", "в том числе", "that is", "because"]
 SENTENCE_ENDS = [".", "!", "?", "…", "»", '"']
 

@@ -45,15 +45,19 @@ def running_median(a: Column, radius: Column) -> Column:
 
 
 def on_grid(times: Column, values: Column, start: Column, steps: Column) -> Column:
-    """Values at start + GRID * k, linear between samples and held beyond the ends."""
-
-    def value(k: Column) -> Column:
-        t = start + GRID * k
-        hi = F.size(F.filter(times, lambda x: x < t))
-        t0, t1, a, b = _at(times, hi - 1), _at(times, hi), _at(values, hi - 1), _at(values, hi)
-        return F.when(hi == 0, _at(values, F.lit(0))).when(hi == F.size(times), F.element_at(values, -1)).otherwise(a + (b - a) * (t - t0) / (t1 - t0))
-
-    return F.transform(F.sequence(F.lit(0), steps), value)
+    """Values at start + GRID * k for k up to steps, linear between samples; times begin at start and steps end within
+    them. Each pair of samples gives the points between them, so the work grows with samples and points alone."""
+    place = lambda t: F.ceil((t - start) / GRID).cast("int")
+
+    def piece(t0: Column, i: Column) -> Column:
+        t1, a, b = _at(times, i + 1), _at(values, i), _at(values, i + 1)
+        low, high = place(t0), F.least(place(t1) - 1, steps)
+        points = F.transform(F.sequence(low, high), lambda k: a + (b - a) * (start + GRID * k - t0) / (t1 - t0))
+        return F.when(t1.isNotNull() & (high >= low), points).otherwise(F.array().cast("array<double>"))
+
+    last = F.element_at(times, -1)
+    end = F.when((last - start) % GRID == 0, F.array(F.element_at(values, -1))).otherwise(F.array().cast("array<double>"))
+    return F.concat(F.flatten(F.transform(times, piece)), end)
 
 
 def gaussian(a: Column, sigma: float) -> Column:

@@ -23,32 +23,39 @@ def overlapping_segments(clips: DataFrame, segments: DataFrame, key: str = "vide
     """Segments that overlap a clip: an equi-join on key with the interval as residual."""
     c, s = clips.alias("c"), segments.alias("s")
     on = (F.col(f"c.{key}") == F.col(f"s.{key}")) & (F.col("s.end_ms") > F.col("c.start_ms")) & (F.col("s.start_ms") < F.col("c.end_ms"))
-    return c.join(s, on).select(f"c.{key}", "c.clip_no", F.col("c.start_ms").alias("clip_start_ms"), F.col("c.end_ms").alias("clip_end_ms"), "s.ord", "s.start_ms", "s.end_ms", "s.text")
+    return c.join(s.hint("merge"), on).select(f"c.{key}", "c.clip_no", F.col("c.start_ms").alias("clip_start_ms"), F.col("c.end_ms").alias("clip_end_ms"), "s.ord", "s.start_ms", "s.end_ms", "s.text")
+
+
+def _overlapping(a: DataFrame, b: DataFrame, key: str, begin: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """a (alias a) and b (alias b) where intervals of one key overlap; b's interval is begin to end."""
+    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"b.{end}") > F.col("a.start_ms")) & (F.col(f"b.{begin}") < F.col("a.end_ms"))
+    return a.alias("a").join(b.alias("b").hint("merge"), on)
 
 
 def coverage(clips: DataFrame, pieces: DataFrame, key: str = "video_id") -> DataFrame:
-    """(key, clip_no, short_no, covered_pm): the share of a short's pieces that lies in the clip. Pairs of one
-    key only; the total of a short is taken before the join, so a pair sums what overlaps."""
-    c, p = clips.alias("c"), pieces.alias("p")
-    both = overlap_ms(F.col("c.start_ms"), F.col("c.end_ms"), F.col("p.source_start_ms"), F.col("p.source_end_ms"))
-    pairs = c.join(p, F.col(f"c.{key}") == F.col(f"p.{key}")).select(f"c.{key}", "c.clip_no", "p.short_no", both.alias("both"), (F.col("p.source_end_ms") - F.col("p.source_start_ms")).alias("length"))
-    total = F.sum("length")
-    return pairs.groupBy(key, "clip_no", "short_no").agg(F.when(total > 0, F.floor(F.sum("both") * 1000 / total)).otherwise(0).cast("long").alias("covered_pm"))
+    """(key, clip_no, short_no, covered_pm): the share of a short's pieces that lies in the clip, for pairs that overlap
+    at all. A short's length is summed over all its pieces, before the join."""
+    length = F.col("source_end_ms") - F.col("source_start_ms")
+    total = pieces.groupBy(key, "short_no").agg(F.sum(length).alias("_total"))
+    both = overlap_ms(F.col("a.start_ms"), F.col("a.end_ms"), F.col("b.source_start_ms"), F.col("b.source_end_ms"))
+    pairs = _overlapping(clips, pieces, key, "source_start_ms", "source_end_ms").groupBy(f"a.{key}", "clip_no", "short_no").agg(F.sum(both).alias("_both"))
+    share = F.floor(F.col("_both") * 1000 / F.col("_total")).cast("long")
+    return pairs.join(total.hint("merge"), [key, "short_no"]).select(key, "clip_no", "short_no", share.alias("covered_pm"))
 
 
 def label_matches(clips: DataFrame, labels: DataFrame, iou: int = 500, key: str = "video_id") -> DataFrame:
-    """Clips and rated intervals with an IoU of iou thousandths or more."""
-    c, l = clips.alias("c"), labels.alias("l")  # noqa: E741
-    value = iou_pm(F.col("c.start_ms"), F.col("c.end_ms"), F.col("l.start_ms"), F.col("l.end_ms"))
-    pairs = c.join(l, F.col(f"c.{key}") == F.col(f"l.{key}")).select(f"c.{key}", "c.clip_no", "l.label", value.alias("iou_pm"))
-    return pairs.where(F.col("iou_pm") >= iou)
+    """Clips and rated intervals that overlap with an IoU of iou thousandths or more."""
+    value = iou_pm(F.col("a.start_ms"), F.col("a.end_ms"), F.col("b.start_ms"), F.col("b.end_ms"))
+    return _overlapping(clips, labels, key).select(f"a.{key}", "a.clip_no", "b.label", value.alias("iou_pm")).where(F.col("iou_pm") >= iou)
 
 
-def best_covering_clip(covered: DataFrame, key: str = "video_id") -> DataFrame:
-    """For each short the clip that covers most, the first on ties; none if nothing covers it."""
+def best_covering_clip(covered: DataFrame, shorts: DataFrame, key: str = "video_id") -> DataFrame:
+    """For each short the clip that covers most, the first on ties; a null clip and 0 if nothing covers it, so also for
+    recordings without clips."""
     best = F.max(F.struct("covered_pm", (-F.col("clip_no")).alias("back")))
     rows = covered.groupBy(key, "short_no").agg(best.alias("b"))
-    return rows.select(key, "short_no", F.when(F.col("b.covered_pm") > 0, -F.col("b.back")).alias("clip_no"), F.col("b.covered_pm").alias("covered_pm"))
+    rows = shorts.select(key, "short_no").join(rows.hint("merge"), [key, "short_no"], "left")
+    return rows.select(key, "short_no", F.when(F.col("b.covered_pm") > 0, -F.col("b.back")).alias("clip_no"), F.coalesce("b.covered_pm", F.lit(0)).cast("long").alias("covered_pm"))
 
 
 def find_shorts(best: DataFrame, hit: int = 700) -> DataFrame:
@@ -59,8 +66,8 @@ def hook_checks(found: DataFrame, clips: DataFrame, shorts: DataFrame, pieces: D
     """Does the clip begin with the short's opening piece (first in the short), or for reordered shorts with
     the source span? Null where there is no clip or no span."""
     opening = pieces.groupBy(key, "short_no").agg(F.min_by("source_start_ms", F.struct("short_start_ms", "piece")).alias("opening_ms"))
-    rows = found.join(opening, [key, "short_no"], "left").join(shorts.select(key, "short_no", "reordered", "span_start_ms"), [key, "short_no"])
-    rows = rows.join(clips.select(key, "clip_no", "start_ms"), [key, "clip_no"], "left")
+    rows = found.join(opening.hint("merge"), [key, "short_no"], "left").join(shorts.select(key, "short_no", "reordered", "span_start_ms").hint("merge"), [key, "short_no"])
+    rows = rows.join(clips.select(key, "clip_no", "start_ms").hint("merge"), [key, "clip_no"], "left")
     near = lambda c: F.abs(F.col("start_ms") - F.col(c)) <= hook_ms
     return rows.select(key, "short_no", "clip_no", near("opening_ms").alias("hook_ok"), F.when(F.col("reordered"), near("span_start_ms")).alias("span_ok"))
 
@@ -68,8 +75,8 @@ def hook_checks(found: DataFrame, clips: DataFrame, shorts: DataFrame, pieces: D
 def precision_members(clips: DataFrame, covered: DataFrame, matches: DataFrame, hit: int = 700, key: str = "video_id") -> DataFrame:
     """Clips that find a short or match an interval rated keep or edit."""
     on = [key, "clip_no"]
-    by_short = clips.join(covered.where(F.col("covered_pm") >= hit), on, "left_semi")
-    by_label = clips.join(matches.where(F.col("label").isin("keep", "edit")), on, "left_semi")
+    by_short = clips.join(covered.where(F.col("covered_pm") >= hit).hint("merge"), on, "left_semi")
+    by_label = clips.join(matches.where(F.col("label").isin("keep", "edit")).hint("merge"), on, "left_semi")
     return by_short.union(by_label).select(*on).distinct()
 
 
@@ -101,16 +108,15 @@ def clips_by_label(matches: DataFrame, key: str = "video_id") -> DataFrame:
 def compare_runs(a: DataFrame, b: DataFrame, key: str = "video_id") -> DataFrame:
     """Best coverage of each short in two runs; a short that one lacks counts as 0 there."""
     left, right = a.select(key, "short_no", F.col("covered_pm").alias("a")), b.select(key, "short_no", F.col("covered_pm").alias("b"))
-    rows = left.join(right, [key, "short_no"], "full_outer").select(key, "short_no", F.coalesce("a", F.lit(0)).alias("before_pm"), F.coalesce("b", F.lit(0)).alias("after_pm"))
+    rows = left.join(right.hint("merge"), [key, "short_no"], "full_outer").select(key, "short_no", F.coalesce("a", F.lit(0)).alias("before_pm"), F.coalesce("b", F.lit(0)).alias("after_pm"))
     return rows.withColumn("delta_pm", F.col("after_pm") - F.col("before_pm"))
 
 
 def greedy_iou_matching(pending: DataFrame, rated: DataFrame, iou: int = 500, key: str = "video_id") -> DataFrame:
     """Pending clips in order take the best free rated one of the same key with enough IoU; the first on
     ties; each rated one is used once. Candidate pairs come from a join, a fold per key carries what is used."""
-    p, r = pending.alias("p"), rated.alias("r")
-    value = iou_pm(F.col("p.start_ms"), F.col("p.end_ms"), F.col("r.start_ms"), F.col("r.end_ms"))
-    pairs = p.join(r, F.col(f"p.{key}") == F.col(f"r.{key}")).select(f"p.{key}", F.col("p.clip_no").alias("pending_no"), F.col("r.clip_no").alias("rated_no"), value.alias("iou_pm")).where(F.col("iou_pm") >= iou)
+    value = iou_pm(F.col("a.start_ms"), F.col("a.end_ms"), F.col("b.start_ms"), F.col("b.end_ms"))
+    pairs = _overlapping(pending, rated, key).select(f"a.{key}", F.col("a.clip_no").alias("pending_no"), F.col("b.clip_no").alias("rated_no"), value.alias("iou_pm")).where(F.col("iou_pm") >= iou)
     by_clip = pairs.groupBy(key, "pending_no").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou_pm")).alias("back"), "rated_no"))).alias("choices"))
     rows = ordered(by_clip, [key], ["pending_no"], ["pending_no", "choices"])
 
@@ -127,11 +133,11 @@ def carry_over(pending: DataFrame, rated: DataFrame, iou: int = 500, key: str =
     matched = greedy_iou_matching(pending, rated, iou, key)
     old = rated.select(F.col(key).alias("_k"), F.col("clip_no").alias("_c"), "status")
     note = F.concat(F.lit("carried over, IoU "), F.lpad(F.floor(F.col("iou_pm") / 1000).cast("string"), 1, "0"), F.lit("."), F.lpad((F.floor(F.col("iou_pm") / 10) % 100).cast("string"), 2, "0"))
-    return matched.join(old, (F.col(key) == F.col("_k")) & (F.col("rated_no") == F.col("_c"))).select(key, F.col("pending_no").alias("clip_no"), "status", note.alias("notes"))
+    return matched.join(old.hint("merge"), (F.col(key) == F.col("_k")) & (F.col("rated_no") == F.col("_c"))).select(key, F.col("pending_no").alias("clip_no"), "status", note.alias("notes"))
 
 
 def missing_episodes(wanted: DataFrame, run: DataFrame, key: str = "video_id") -> DataFrame:
-    return wanted.join(run.select(key).distinct(), key, "left_anti")
+    return wanted.join(run.select(key).distinct().hint("merge"), key, "left_anti")
 
 
 def missing_shorts(found: DataFrame, key: str = "video_id") -> DataFrame:

@@ -73,22 +73,28 @@ def cuts_at_boundaries(shot_rows: DataFrame, cuts: DataFrame, half_ms: int = 500
 
 
 def resample(track: DataFrame, step_ms: int = 100) -> DataFrame:
-    """A clip's x on a grid of step_ms, linear between samples (rounded down): clip_id, t_ms, x."""
-    nxt_t, nxt_x = F.lead("t_ms").over(_clip().orderBy("t_ms")), F.lead("x").over(_clip().orderBy("t_ms"))
-    rows = track.select("clip_id", "t_ms", "x").withColumn("_t", nxt_t).withColumn("_x", nxt_x)
-    last = F.when(F.col("_t").isNull(), F.col("t_ms")).otherwise(F.col("_t") - step_ms)
-    rows = rows.withColumn("at", F.explode(F.sequence("t_ms", F.greatest(last, "t_ms"), F.lit(step_ms).cast("long"))))
+    """A clip's x on a grid of step_ms from its first sample on, linear between samples (rounded down): clip_id, t_ms, x.
+
+    Each sample yields the grid times from it up to the next sample; the last only itself, if it is on the grid."""
+    w = _clip().orderBy("t_ms")
+    rows = track.select("clip_id", "t_ms", "x", F.lead("t_ms").over(w).alias("_t"), F.lead("x").over(w).alias("_x"), F.min("t_ms").over(_clip()).alias("_from"))
+    place = lambda t: F.ceil((t - F.col("_from")) / step_ms)
+    low, high = place(F.col("t_ms")), place(F.coalesce("_t", F.col("t_ms") + 1)) - 1
+    rows = rows.withColumn("_k", F.explode(F.when(high >= low, F.sequence(low, high)))).withColumn("at", F.col("_from") + F.col("_k") * step_ms)
     between = F.col("x") + F.floor((F.col("_x") - F.col("x")) * (F.col("at") - F.col("t_ms")) / (F.col("_t") - F.col("t_ms")))
     return rows.select("clip_id", F.col("at").alias("t_ms"), F.coalesce(between, F.col("x")).cast("long").alias("x"))
 
 
 def running_median(track: DataFrame, radius: int = 2) -> DataFrame:
-    """x with the median over up to radius samples to each side, fewer near the ends, in halves (x2)."""
+    """x with the median over up to radius samples to each side, fewer near the ends, in halves (x2). An end takes the
+    median of itself, its neighbour and the neighbour's mirror; clips of fewer than three samples stay."""
     w = _clip().orderBy("n")
     n, i = F.count(F.lit(1)).over(_clip()), F.row_number().over(w)
-    rows = track.select("clip_id", "n", "x", F.least(F.lit(radius), i - 1, n - i).alias("_m"))
+    sides = [c for k in (1, 2) for c in (F.lag("x", k).over(w).alias(f"_b{k}"), F.lead("x", k).over(w).alias(f"_a{k}"))]
+    rows = track.select("clip_id", "n", "x", n.alias("_n"), F.least(F.lit(radius), i - 1, n - i).alias("_m"), *sides)
     near = lambda r: F.percentile("x", F.lit(0.5)).over(w.rowsBetween(-r, r))
-    value = F.when(F.col("_m") == 0, F.col("x").cast("double"))
+    one, two = F.coalesce("_b1", "_a1"), F.coalesce("_b2", "_a2")
+    value = F.when(F.col("_n") < 3, F.col("x")).when(F.col("_m") == 0, F.get(F.array_sort(F.array("x", one, 2 * one - two)), F.lit(1)))
     for r in range(1, radius + 1):
         value = value.when(F.col("_m") == r, near(r))
     return rows.select("clip_id", "n", (value * 2).cast("long").alias("x2"))

@@ -6,15 +6,19 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..sources import views as V
-from .oracle import sql
+from .oracle import BEST, COVERED, sql
 
 
 def _covered(s, d, shift=0):
     return E.coverage(V.clips(s, d, shift), V.pieces(s, d))
 
 
+def _best(s, d, shift=0):
+    return E.best_covering_clip(_covered(s, d, shift), V.shorts(s, d))
+
+
 def _found(s, d):
-    return E.find_shorts(E.best_covering_clip(_covered(s, d)))
+    return E.find_shorts(_best(s, d))
 
 
 def _matches(s, d):
@@ -42,15 +46,15 @@ QUERIES = {
     "clip_coverage": _covered,
     "label_matches": _matches,
     "precise_clips": _precise,
-    "best_covering_clips": lambda s, d: E.best_covering_clip(_covered(s, d)),
+    "best_covering_clips": _best,
     "found_shorts": _found,
     "hook_checks": lambda s, d: E.hook_checks(_found(s, d), V.clips(s, d), V.shorts(s, d), V.pieces(s, d)),
-    "run_metrics": lambda s, d: E.metrics(_found(s, d).join(V.shorts(s, d).where(~F.coalesce("montage", F.lit(False))).select("video_id", "short_no"), ["video_id", "short_no"]), V.clips(s, d), _precise(s, d)),
+    "run_metrics": lambda s, d: E.metrics(_found(s, d).join(V.shorts(s, d).where(~F.coalesce("montage", F.lit(False))).select("video_id", "short_no").hint("merge"), ["video_id", "short_no"]), V.clips(s, d), _precise(s, d)),
     "plain_shorts": lambda s, d: V.shorts(s, d).where(~F.coalesce("montage", F.lit(False))).select("video_id", "short_no", "reordered"),
     "review_counts": lambda s, d: E.review_counts(V.reviews(s, d)),
     "median_clip_duration": lambda s, d: E.median_duration(V.clips(s, d)),
     "clips_by_label": lambda s, d: E.clips_by_label(_matches(s, d)),
-    "compare_runs": lambda s, d: E.compare_runs(E.best_covering_clip(_covered(s, d)).where("video_id % 10 <> 3"), E.best_covering_clip(_covered(s, d, 3000)).where("video_id % 10 <> 4")),
+    "compare_runs": lambda s, d: E.compare_runs(_best(s, d).where("video_id % 10 <> 3"), _best(s, d, 3000).where("video_id % 10 <> 4")),
     "iou_matching": lambda s, d: E.greedy_iou_matching(V.clips(s, d), V.clips(s, d, 3000), 300),
     "carried_ratings": lambda s, d: E.carry_over(V.clips(s, d), _rated(s, d)),
     "missing_episodes": lambda s, d: E.missing_episodes(V.videos(s, d), V.clips(s, d).where("video_id % 10 <> 3")),
@@ -78,11 +82,9 @@ SQL = {
     "clips_by_label": sql("SELECT video_id, label, string_agg(DISTINCT clip_no::VARCHAR, ',' ORDER BY clip_no::VARCHAR) AS clips FROM matches GROUP BY ALL").replace("string_agg(DISTINCT clip_no::VARCHAR, ',' ORDER BY clip_no::VARCHAR)", "array_to_string(list_sort(list(DISTINCT clip_no)), ',')"),
     "compare_runs": sql("""SELECT *, after_pm - before_pm AS delta_pm FROM (SELECT coalesce(a.video_id, b.video_id) AS video_id, coalesce(a.short_no, b.short_no) AS short_no, coalesce(a.covered_pm, 0) AS before_pm, coalesce(b.covered_pm, 0) AS after_pm
       FROM (SELECT * FROM best WHERE video_id % 10 <> 3) a FULL JOIN (SELECT * FROM best_b WHERE video_id % 10 <> 4) b ON a.video_id = b.video_id AND a.short_no = b.short_no)""",
-      covered_b="""SELECT video_id, clip_no, short_no, (sum(b) * 1000 // sum(l))::BIGINT AS covered_pm FROM (
-        SELECT c.video_id, clip_no, short_no, greatest(0, least(c.end_ms, source_end_ms) - greatest(c.start_ms, source_start_ms)) AS b, source_end_ms - source_start_ms AS l FROM clips_b c JOIN pieces p ON c.video_id = p.video_id) GROUP BY ALL""",
-      best_b="SELECT video_id, short_no, covered_pm FROM covered_b QUALIFY row_number() OVER (PARTITION BY video_id, short_no ORDER BY covered_pm DESC, clip_no) = 1"),
+      covered_b=COVERED.replace("FROM clips c", "FROM clips_b c"), best_b=BEST.replace("covered c", "covered_b c")),
     "iou_matching": sql("SELECT video_id, pno AS pending_no, rno AS rated_no, iou AS iou_pm FROM walk WHERE rno IS NOT NULL", True, **_MATCHING),
     "carried_ratings": sql("""SELECT video_id, clip_no, label AS status, 'carried over, IoU ' || (iou_pm // 1000) || '.' || lpad((iou_pm // 10 % 100)::VARCHAR, 2, '0') AS notes FROM matches QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY clip_no) = 1"""),
-    "missing_episodes": sql("SELECT video_id FROM videos WHERE video_id % 10 = 3"),
+    "missing_episodes": sql("SELECT video_id FROM videos WHERE video_id % 10 = 3 OR video_id % 11 = 7"),
     "missing_shorts": sql("SELECT video_id, short_no, covered_pm, row_number() OVER (PARTITION BY video_id ORDER BY covered_pm, short_no) AS rank FROM found WHERE NOT found"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import ops as O
@@ -35,16 +36,22 @@ def _chapters(s, d):
     return rows.select("video_id", F.col("chapter_no").cast("long").alias("chapter_no"), F.when((F.col("video_id") % 6 == 1) & (F.col("ord") == 18), 0).otherwise(F.col("start_ms")).alias("start_ms"))
 
 
-def _artifacts(s, d):
-    v = F.col("video_id")
-    meta = F.when(v % 7 == 0, "").otherwise(F.concat(F.lit('{"source": "a", "duration_sec": '), v, F.when(v % 5 == 0, '}').otherwise(', "resolution": [1, 2], "fps": 25}')))
-    seg = F.concat(F.lit('[{"id": "s", "start": '), v % 4, F.lit(', "end": '), F.when(v % 6 == 0, 0).otherwise(9), F.when(v % 11 == 0, "").otherwise(', "text": "x"}]'))
-    rows = V.videos(s, d)
-    return rows.select("video_id", F.lit("meta").alias("artifact"), meta.alias("body")).union(rows.select("video_id", F.lit("transcript"), seg))
+STAGES = [(0, "meta"), (1, "transcript"), (2, "scored"), (3, "crop"), (4, "manifest")]
 
 
-def _stages(s):
-    return s.createDataFrame([(0, "meta"), (1, "transcript")], "stage_no int, artifact string")
+def _artifacts(s, d):
+    """All five kinds, with faults of every rule among them."""
+    v = F.col("video_id")
+    put = lambda *x: F.concat(*[c if isinstance(c, Column) else F.lit(c) for c in x])
+    some = lambda when, yes, no: F.when(when, yes).otherwise(no)
+    bodies = {
+        "meta": F.when(v % 7 == 0, "").otherwise(put('{"source": "a", "duration_sec": ', some(v % 4 == 1, '"9"', (v % 13).cast("string")), some(v % 5 == 0, "}", put(', "resolution": ', some(v % 8 == 3, "[1]", "[1, 2]"), ', "fps": null}')))),
+        "transcript": F.when(v % 17 == 1, "[]").when(v % 19 == 2, '{"start": 1, "end": 2, "text": "x"}').otherwise(put('[{"start": 1, "end": 2', some(v % 11 == 0, "", put(some(v % 9 == 5, "", ', "text": "x"'), "}, 5]")))),
+        "scored": put('[{"start": 0, "end": 9, "score": ', some(v % 6 == 0, '"0.5"', "0.5"), some(v % 9 == 4, "", ', "id": "s"'), "}]"),
+        "crop": put('[{"clip_id": "c", "start": 0, "end": 9, "frames": ', some(v % 10 == 1, "{}", "[1]"), some(v % 9 == 2, "", ', "fallback": false'), "}]"),
+        "manifest": put('{"total_clips": ', some(v % 15 == 2, "1.5", (v % 4 - 1).cast("string")), ', "clips": ', some(v % 14 == 3, "null", "[]"), "}"),
+    }
+    return V.videos(s, d).select("video_id", F.inline(F.array(*[F.struct(F.lit(k).alias("artifact"), b.alias("body")) for k, b in bodies.items()])))
 
 
 def _beats(s, d):
@@ -85,14 +92,13 @@ QUERIES = {
     "transcript_complete": lambda s, d: Q.transcript_reaches_end(V.segments(s, d), _media(s, d)),
     "valid_chapters": lambda s, d: Q.valid_chapters(_chapters(s, d), _media(s, d)),
     "artifact_rules": lambda s, d: Q.artifact_rules(_artifacts(s, d)),
-    "resume_plan": lambda s, d: Q.resume_plan(_stages(s), Q.artifact_rules(_artifacts(s, d))),
+    "resume_plan": lambda s, d: Q.resume_plan(STAGES, Q.artifact_rules(_artifacts(s, d))),
     "cache_plan": lambda s, d: Q.cache_plan(
         V.segments(s, d).select("video_id", "ord", Q.content_key(F.col("text"), F.lit("cfg1")).alias("cache_key")),
         V.segments(s, d).where("video_id % 2 = 0").select(Q.content_key(F.col("text"), F.lit("cfg1")).alias("cache_key")),
     ),
 }
 
-_META = """CASE WHEN video_id % 7 = 0 THEN NULL ELSE video_id % 5 <> 0 END"""
 SQL = {
     "expired_jobs": sql("SELECT job_id FROM gone", gone="SELECT * FROM jobs WHERE status IN ('completed', 'failed', 'cancelled') AND sources_removed_at IS NULL AND coalesce(completed_at, created_at) < TIMESTAMP '2001-08-10 00:00:00' - INTERVAL 30 DAY"),
     "queue_state": sql("SELECT count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'running') AS running FROM jobs"),
@@ -126,8 +132,18 @@ SQL = {
 _GONE = {"gone": "SELECT * FROM jobs WHERE status IN ('completed', 'failed', 'cancelled') AND sources_removed_at IS NULL AND coalesce(completed_at, created_at) < TIMESTAMP '2001-08-10 00:00:00' - INTERVAL 30 DAY",
          "freed": "SELECT input_source, count(*) FILTER (job_id IN (SELECT job_id FROM gone)) AS removed FROM jobs GROUP BY 1 HAVING count(*) FILTER (job_id NOT IN (SELECT job_id FROM gone) AND sources_removed_at IS NULL) = 0 AND count(*) FILTER (job_id IN (SELECT job_id FROM gone)) > 0"}
 _ATT = {"now_events": "SELECT * FROM (SELECT *, max(CASE WHEN event_type = 'job_requeued' THEN id END) OVER (PARTITION BY job_id) AS since FROM job_events) WHERE since IS NULL OR id > since"}
-_RULES = {"rules": """SELECT video_id, 'meta' AS artifact, rule, CASE rule WHEN 'not_empty' THEN video_id % 7 <> 0 WHEN 'has_keys' THEN video_id % 7 <> 0 AND video_id % 5 <> 0 ELSE video_id % 7 <> 0 END AS ok FROM videos, (VALUES ('not_empty'), ('parses'), ('has_keys'), ('in_order')) t(rule)
-  UNION ALL SELECT video_id, 'transcript', rule, CASE rule WHEN 'not_empty' THEN true WHEN 'in_order' THEN video_id % 11 <> 0 AND video_id % 6 <> 0 ELSE video_id % 11 <> 0 END FROM videos, (VALUES ('not_empty'), ('parses'), ('has_keys'), ('in_order')) t(rule)"""}
+# Which faults the texts of each kind have, as the rules name them.
+_FAULTS = {
+    "meta": ("v % 7 = 0", "false", "false", "v % 5 = 0", "v % 4 = 1 OR v % 13 = 0 OR v % 8 = 3"),
+    "transcript": ("false", "v % 11 = 0 AND v % 17 <> 1 AND v % 19 <> 2", "v % 17 = 1 OR v % 19 = 2", "v % 9 = 5", "false"),
+    "scored": ("false", "false", "false", "v % 9 = 4", "v % 6 = 0"),
+    "crop": ("false", "false", "false", "v % 9 = 2", "v % 10 = 1"),
+    "manifest": ("false", "false", "false", "false", "v % 15 = 2 OR v % 4 = 0 OR v % 14 = 3"),
+}
+_RULES = {"rules": " UNION ALL ".join(
+    f"SELECT v AS video_id, '{kind}' AS artifact, '{rule}' AS rule, NOT ({' OR '.join(f'({x})' for x in faults[: i + 1])}) AS ok FROM (SELECT video_id AS v FROM videos)"
+    for kind, faults in _FAULTS.items() for i, rule in enumerate(("not_empty", "parses", "shape", "has_keys", "values"))
+)}
 SQL |= {
     "freed_uploads": sql("SELECT * FROM freed", **_GONE),
     "orphan_uploads": sql("SELECT path, bytes FROM files WHERE path NOT LIKE '%.part' AND mtime < TIMESTAMP '2001-08-10 00:00:00' - INTERVAL 24 HOUR AND path NOT IN (SELECT input_source FROM jobs)"),
@@ -139,5 +155,5 @@ SQL |= {
     "run_warnings": sql("""SELECT 'failed_jobs' AS kind, count(*) AS n FROM jobs WHERE status IN ('failed', 'cancelled') UNION ALL SELECT 'missing_jobs', count(*) FROM (SELECT DISTINCT job_id FROM job_events) WHERE job_id NOT IN (SELECT job_id FROM jobs)
       UNION ALL SELECT 'pending_reviews', count(*) FROM clips c LEFT JOIN reviews r ON c.video_id = r.video_id AND c.clip_no = r.clip_no AND coalesce(abs(c.start_ms - r.start_ms) <= 50, true) AND coalesce(abs(c.end_ms - r.end_ms) <= 50, true) WHERE coalesce(r.status, 'pending') = 'pending'"""),
     "artifact_rules": sql("SELECT * FROM rules", **_RULES),
-    "resume_plan": sql("SELECT video_id, min(CASE artifact WHEN 'meta' THEN 0 ELSE 1 END) AS resume_from FROM rules WHERE NOT ok GROUP BY video_id", **_RULES),
+    "resume_plan": sql("SELECT video_id, min(list_position(['meta', 'transcript', 'scored', 'crop', 'manifest'], artifact) - 1)::INT AS resume_from FROM rules WHERE NOT ok GROUP BY video_id", **_RULES),
 }

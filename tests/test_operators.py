@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chapters, evaluation, scoring, windows
+from lectern.operators import chapters, evaluation, quality, scoring, tracks, windows
 from lectern.operators.answers import normalise_answers
 from lectern.sources import transcripts
 
@@ -44,10 +44,44 @@ def test_padding_stops_at_neighbours(spark):
 def test_coverage_and_iou(spark):
     pieces = spark.createDataFrame([(1, 0, 0, 10_000), (1, 0, 20_000, 30_000)], "video_id long, short_no long, source_start_ms long, source_end_ms long")
     clips = spark.createDataFrame([(1, 0, 0, 30_000), (1, 1, 5000, 25_000), (1, 2, 0, 5000), (1, 3, 11_000, 19_000)], "video_id long, clip_no long, start_ms long, end_ms long")
-    assert {r["clip_no"]: r["covered_pm"] for r in evaluation.coverage(clips, pieces).collect()} == {0: 1000, 1: 500, 2: 250, 3: 0}
+    assert {r["clip_no"]: r["covered_pm"] for r in evaluation.coverage(clips, pieces).collect()} == {0: 1000, 1: 500, 2: 250}  # the last one touches no piece
     assert spark.range(1).select(evaluation.iou_pm(F.lit(0), F.lit(10), F.lit(5), F.lit(15))).first()[0] == 333
 
 
+def test_shorts_of_recordings_without_clips_count(spark):
+    """Two recordings with a short each, a clip in the first one only: the second is a miss, not absent."""
+    pieces = spark.createDataFrame([(1, 0, 0, 10_000), (2, 0, 0, 10_000)], "video_id long, short_no long, source_start_ms long, source_end_ms long")
+    clips = spark.createDataFrame([(1, 0, 0, 9000)], "video_id long, clip_no long, start_ms long, end_ms long")
+    best = evaluation.best_covering_clip(evaluation.coverage(clips, pieces), pieces.select("video_id", "short_no"))
+    assert rows(best.orderBy("video_id")) == [(1, 0, 0, 900), (2, 0, None, 0)]
+    found = evaluation.find_shorts(best)
+    total = evaluation.metrics(found, clips, clips.limit(0)).where("video_id is null").first()
+    assert (total["shorts"], total["hits"], total["hit_pm"]) == (2, 1, 500)
+    assert rows(evaluation.missing_shorts(found)) == [(2, 0, 0, 1)]
+
+
+def test_grid_starts_once(spark):
+    track = spark.createDataFrame([(1, 0, 0), (1, 150, 30), (1, 330, 30)], "clip_id long, t_ms long, x long")
+    assert rows(tracks.resample(track).orderBy("t_ms").select("t_ms", "x")) == [(0, 0), (100, 20), (200, 30), (300, 30)]
+
+
+def test_rules_on_artifacts(spark):
+    texts = [
+        ("meta", '{"source": "a", "duration_sec": 2, "resolution": [1, 2], "fps": null}', 5), ("meta", '{"source": "a", "duration_sec": "2", "resolution": [1, 2], "fps": 1}', 4), ("meta", "[]", 2), ("meta", None, 0),
+        ("transcript", '[{"start": 0, "end": 1, "text": ""}]', 5), ("transcript", "[1]", 2), ("transcript", "{", 1), ("scored", '[{"id": 1, "start": 0, "end": 1, "score": "x"}]', 4),
+        ("crop", '[{"clip_id": 1, "start": 0, "end": 1, "frames": [], "fallback": true}]', 5), ("manifest", '{"total_clips": 0, "clips": []}', 5), ("manifest", '{"total_clips": 0.5, "clips": []}', 4), ("other", "{}", 2),
+    ]
+    df = spark.createDataFrame([(i, k, b) for i, (k, b, _) in enumerate(texts)], "video_id long, artifact string, body string")
+    got = {r[0]: r[1] for r in quality.artifact_rules(df).groupBy("video_id").agg(F.count_if("ok")).collect()}
+    assert got == {i: n for i, (_, _, n) in enumerate(texts)}
+
+
+def test_terms_of_tags(spark):
+    long = "terms:" + "x" * 12_000 + ",b"
+    df = spark.createDataFrame([(["a", long],), (["a"],), (["terms:one"],)], "tags array<string>")
+    assert [r["terms"] for r in quality.terms_of_tags(df).collect()] == [["x" * 12_000, "b"], [], ["one"]]
+
+
 def test_text_flags(spark):
     cases = {"и вот": True, "То есть так": True, "Because of it": True, "The end.": False, "123": False, "Итак": False}
     df = spark.createDataFrame(list(cases.items()), "text string, want boolean")
