@@ -46,10 +46,10 @@ def normalise_chapters(answers: DataFrame, segments: DataFrame, key: str = "vide
     pinned to the first segment, then only those later than all kept before."""
     named = answers.withColumn("title", F.trim("title")).where("title <> ''")
     snapped = snap_to_segments(named, segments, key).drop("at_ms")
-    rows = snapped.join(named.select(key, "point_no", "title"), [key, "point_no"])
+    rows = snapped.join(named.select(key, "point_no", "title").hint("merge"), [key, "point_no"])
     first = segments.groupBy(key).agg(F.min_by("start_ms", "ord").alias("_first"))
     w = Window.partitionBy(key).orderBy("point_no")
-    rows = rows.join(first, key).withColumn("start_ms", F.when(F.row_number().over(w) == 1, F.col("_first")).otherwise(F.col("start_ms")))
+    rows = rows.join(first.hint("merge"), key).withColumn("start_ms", F.when(F.row_number().over(w) == 1, F.col("_first")).otherwise(F.col("start_ms")))
     latest = F.max("start_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_latest", latest).where("_latest is null or start_ms > _latest")
     return rows.select(key, (F.row_number().over(w) - 1).cast("long").alias("chapter_no"), "start_ms", "title")
@@ -66,7 +66,7 @@ def even_chapters(media: DataFrame, min_minutes: int = 2, max_minutes: int = 6,
 
 def chapter_text(chapters: DataFrame, media: DataFrame, key: str = "video_id") -> DataFrame:
     """(key, text): a line "clock title" for each chapter, hours only in recordings of an hour or more."""
-    rows = chapters.join(media, key)
+    rows = chapters.join(media.hint("merge"), key)
     line = F.concat(T.clock(F.col("start_ms"), F.col("duration_ms") >= 3_600_000), F.lit(" "), F.col("title"))
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "chapter_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
 

@@ -21,7 +21,7 @@ def expired_jobs(jobs: DataFrame, now: Column, days: int = 30) -> DataFrame:
 def freed_uploads(jobs: DataFrame, removed: DataFrame) -> DataFrame:
     """Uploads whose every referencing job is in `removed` or has lost its sources already."""
     gone = removed.select("job_id").withColumn("_gone", F.lit(True))
-    rows = jobs.join(gone, "job_id", "left")
+    rows = jobs.join(gone.hint("merge"), "job_id", "left")
     rows = rows.groupBy("input_source").agg(F.count_if(F.col("_gone").isNull() & F.col("sources_removed_at").isNull()).alias("in_use"), F.count_if("_gone").alias("removed"))
     return rows.where("in_use = 0 and removed > 0").select("input_source", "removed")
 
@@ -29,21 +29,23 @@ def freed_uploads(jobs: DataFrame, removed: DataFrame) -> DataFrame:
 def orphan_uploads(files: DataFrame, jobs: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     """Files that no job names, neither partial nor young: path and bytes."""
     old = files.where(~F.col("path").endswith(".part") & (F.col("mtime") < now - F.make_dt_interval(hours=F.lit(hours))))
-    return old.join(jobs.select(F.col("input_source").alias("path")), "path", "left_anti").select("path", "bytes")
+    return old.join(jobs.select(F.col("input_source").alias("path")).hint("merge"), "path", "left_anti").select("path", "bytes")
 
 
 def cleanup_summary(removed: DataFrame, freed: DataFrame, files: DataFrame) -> DataFrame:
     """One row: jobs cleaned, files and bytes freed, megabytes to two places (in hundredths)."""
-    taken = files.join(freed.select(F.col("input_source").alias("path")), "path", "left_semi").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    taken = files.join(freed.select(F.col("input_source").alias("path")).hint("merge"), "path", "left_semi").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
     n = removed.agg(F.count(F.lit(1)).alias("jobs_cleaned"))
-    return n.join(F.broadcast(taken)).select("jobs_cleaned", "files", "bytes", F.floor((F.col("bytes") * 100 + 524_288) / 1_048_576).alias("mb_hundredths"))
+    both = n.select("jobs_cleaned", F.lit(0).alias("files"), F.lit(0).alias("bytes")).union(taken.select(F.lit(0), "files", "bytes"))  # two rows
+    return both.agg(*[F.sum(c).alias(c) for c in ("jobs_cleaned", "files", "bytes")]).select("jobs_cleaned", "files", "bytes", F.floor((F.col("bytes") * 100 + 524_288) / 1_048_576).alias("mb_hundredths"))
 
 
 def job_page(jobs: DataFrame, user_id: int, limit: int = 50, offset: int = 0) -> DataFrame:
     """A user's jobs, newest first, with the total."""
     mine = jobs.where(F.col("user_id") == user_id)
     page = mine.orderBy(F.desc("created_at"), F.desc("job_id")).offset(offset).limit(limit)
-    return page.join(F.broadcast(mine.agg(F.count(F.lit(1)).alias("total"))))
+    total = mine.groupBy(F.col("user_id").alias("_u")).agg(F.count(F.lit(1)).alias("total"))
+    return page.join(total.hint("merge"), F.col("user_id") == F.col("_u")).drop("_u")
 
 
 def dashboard(jobs: DataFrame) -> DataFrame:
@@ -64,19 +66,19 @@ def reviews_of_clips(clips: DataFrame, reviews: DataFrame, tolerance_ms: int = 5
     c, r = clips.alias("c"), reviews.alias("r")
     near = lambda x: F.coalesce(F.abs(F.col(f"c.{x}") - F.col(f"r.{x}")) <= tolerance_ms, F.lit(True))
     on = (F.col(f"c.{key}") == F.col(f"r.{key}")) & (F.col("c.clip_no") == F.col("r.clip_no")) & near("start_ms") & near("end_ms")
-    return c.join(r, on, "left").select(f"c.{key}", "c.clip_no", F.coalesce("r.status", F.lit("pending")).alias("status"), "r.notes")
+    return c.join(r.hint("merge"), on, "left").select(f"c.{key}", "c.clip_no", F.coalesce("r.status", F.lit("pending")).alias("status"), "r.notes")
 
 
 def legacy_reviews(metas: DataFrame, reviews: DataFrame, keys=("video_id", "clip_no")) -> DataFrame:
     """Decisions stored with the clips that the table lacks; pending ones are none."""
-    return metas.where(F.col("status") != "pending").join(reviews.select(*keys), list(keys), "left_anti")
+    return metas.where(F.col("status") != "pending").join(reviews.select(*keys).hint("merge"), list(keys), "left_anti")
 
 
 def upsert_reviews(reviews: DataFrame, updates: DataFrame, keys=("video_id", "clip_no")) -> DataFrame:
     """The next snapshot: status and notes of an update win; if the clip under the number has changed, old
     notes are dropped."""
     u = updates.select(*keys, *[F.col(c).alias(f"u_{c}") for c in ("start_ms", "end_ms", "status", "notes")])
-    rows = reviews.join(u, list(keys), "full_outer")
+    rows = reviews.join(u.hint("merge"), list(keys), "full_outer")
     updated = F.col("u_status").isNotNull()
     changed = updated & ((F.col("u_start_ms") != F.col("start_ms")) | (F.col("u_end_ms") != F.coalesce("end_ms", F.lit(-1))))
     notes = F.coalesce("u_notes", F.when(~F.coalesce(changed, F.lit(False)), F.col("notes")))
@@ -85,7 +87,7 @@ def upsert_reviews(reviews: DataFrame, updates: DataFrame, keys=("video_id", "cl
 
 def review_queue(clips: DataFrame, reviews: DataFrame, keys=("video_id", "clip_no")) -> DataFrame:
     band = F.when(F.col("score_pm") >= 750, "high").when(F.col("score_pm") >= 550, "medium").otherwise("low")
-    return clips.join(reviews.select(*keys, "status"), list(keys), "left").select(*keys, band.alias("band"), F.coalesce("status", F.lit("pending")).alias("status"))
+    return clips.join(reviews.select(*keys, "status").hint("merge"), list(keys), "left").select(*keys, band.alias("band"), F.coalesce("status", F.lit("pending")).alias("status"))
 
 
 def current_attempt(events: DataFrame) -> DataFrame:
@@ -100,13 +102,13 @@ def job_states(events: DataFrame) -> DataFrame:
     now = current_attempt(events)
     last = now.groupBy("job_id").agg(F.max_by("stage", "id").alias("stage"), F.max_by("event_type", "id").alias("last_event"), F.count(F.lit(1)).alias("events"), F.max("id").alias("last_id"))
     closed = F.col("last_event") == "job_completed"
-    return attempts.join(last, "job_id", "left").select("job_id", "attempt", "stage", F.when(F.col("last_event").isNull(), "queued").when(closed, "completed").when(F.col("last_event") == "stage_failed", "failed").otherwise("running").alias("status"), F.coalesce("events", F.lit(0)).alias("events"), "last_id")
+    return attempts.join(last.hint("merge"), "job_id", "left").select("job_id", "attempt", "stage", F.when(F.col("last_event").isNull(), "queued").when(closed, "completed").when(F.col("last_event") == "stage_failed", "failed").otherwise("running").alias("status"), F.coalesce("events", F.lit(0)).alias("events"), "last_id")
 
 
 def terminal_events(jobs: DataFrame, events: DataFrame) -> DataFrame:
     """A closing event for finished jobs whose current attempt has none."""
     have = current_attempt(events).where(F.col("event_type").isin("job_completed", "job_failed", "job_cancelled")).select("job_id").distinct()
-    return jobs.where(F.col("status").isin(TERMINAL)).join(have, "job_id", "left_anti").select("job_id", F.concat(F.lit("job_"), "status").alias("event_type"))
+    return jobs.where(F.col("status").isin(TERMINAL)).join(have.hint("merge"), "job_id", "left_anti").select("job_id", F.concat(F.lit("job_"), "status").alias("event_type"))
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
@@ -121,7 +123,7 @@ def stage_durations(events: DataFrame) -> DataFrame:
 def run_warnings(jobs: DataFrame, wanted: DataFrame, reviews: DataFrame, key: str = "job_id") -> DataFrame:
     """(kind, n): failed jobs, wanted ones without a job, pending reviews."""
     failed = jobs.where(F.col("status").isin("failed", "cancelled")).groupBy().agg(F.lit("failed_jobs").alias("kind"), F.count(F.lit(1)).alias("n"))
-    absent = wanted.join(jobs.select(key), key, "left_anti").groupBy().agg(F.lit("missing_jobs").alias("kind"), F.count(F.lit(1)).alias("n"))
+    absent = wanted.join(jobs.select(key).hint("merge"), key, "left_anti").groupBy().agg(F.lit("missing_jobs").alias("kind"), F.count(F.lit(1)).alias("n"))
     pending = reviews.where(F.col("status") == "pending").groupBy().agg(F.lit("pending_reviews").alias("kind"), F.count(F.lit(1)).alias("n"))
     return failed.union(absent).union(pending)
 
@@ -151,14 +153,14 @@ def flatten_notices(packed: DataFrame) -> DataFrame:
 
 def without_jobs(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
     """The next snapshots of tables with a job_id once the doomed jobs are deleted."""
-    return {name: t.join(doomed.select("job_id"), "job_id", "left_anti") for name, t in tables.items()}
+    return {name: t.join(doomed.select("job_id").hint("merge"), "job_id", "left_anti") for name, t in tables.items()}
 
 
 def stale_outputs(files: DataFrame, counts: DataFrame) -> DataFrame:
     """Numbered clip files above the current number of clips of their video."""
     number = F.regexp_extract("name", r"^clip_(\d+)\.", 1)
     rows = files.withColumn("_n", F.when(number != "", number.cast("long")))
-    return rows.join(counts, "video_id", "left").where(F.col("_n") > F.coalesce("n_clips", F.lit(0))).select("video_id", "name")
+    return rows.join(counts.hint("merge"), "video_id", "left").where(F.col("_n") > F.coalesce("n_clips", F.lit(0))).select("video_id", "name")
 
 
 def copyable(media: DataFrame, max_height: int = 1080) -> DataFrame:
@@ -169,5 +171,5 @@ def copyable(media: DataFrame, max_height: int = 1080) -> DataFrame:
 
 def source_check(episodes: DataFrame, files: DataFrame) -> DataFrame:
     """Listed files that are missing or of another size."""
-    rows = episodes.join(files.select(F.col("path"), F.col("bytes").alias("_bytes")), "path", "left")
+    rows = episodes.join(files.select(F.col("path"), F.col("bytes").alias("_bytes")).hint("merge"), "path", "left")
     return rows.select("path", F.when(F.col("_bytes").isNull(), "missing").when(F.col("_bytes") != F.col("size_bytes"), "size").alias("problem")).where("problem is not null")

@@ -36,7 +36,7 @@ def with_crops(clips: DataFrame, crops: DataFrame, default_x: int, key: str = "v
     centre. crops: key, start_ms, end_ms, crop_no, crop_x."""
     cs = lambda c: F.floor((F.col(c) + 5) / 10)
     last = crops.groupBy(F.col(key).alias("_k"), cs("start_ms").alias("_s"), cs("end_ms").alias("_e")).agg(F.max_by("crop_x", "crop_no").alias("_x"))
-    rows = clips.join(last, (F.col(key) == F.col("_k")) & (cs("start_ms") == F.col("_s")) & (cs("end_ms") == F.col("_e")), "left")
+    rows = clips.join(last.hint("merge"), (F.col(key) == F.col("_k")) & (cs("start_ms") == F.col("_s")) & (cs("end_ms") == F.col("_e")), "left")
     return rows.withColumn("crop_x", F.coalesce("_x", F.lit(default_x))).drop("_k", "_s", "_e", "_x")
 
 
@@ -47,7 +47,7 @@ def render_keys(clips: DataFrame, columns: list[str]) -> DataFrame:
 
 def reusable(keyed: DataFrame, rendered: DataFrame, keys=("video_id", "clip_no")) -> DataFrame:
     """Clips whose earlier rendering has the same key."""
-    return keyed.join(rendered.select(*keys, "render_key"), [*keys, "render_key"], "left_semi")
+    return keyed.join(rendered.select(*keys, "render_key").hint("merge"), [*keys, "render_key"], "left_semi")
 
 
 def nearest_terms(terms: DataFrame, vectors: DataFrame, n: int = 10, key: str = "video_id") -> DataFrame:
@@ -56,9 +56,9 @@ def nearest_terms(terms: DataFrame, vectors: DataFrame, n: int = 10, key: str =
     vectors: term, vector, from any model of the caller; terms without one take no part. Equal cosines go
     in order of the term."""
     dims = vectors.select(F.col("term").alias("_t"), F.posexplode("vector").alias("d", "v"))
-    rows = terms.select(key, "term").join(dims, F.col("term") == F.col("_t")).drop("_t")
+    rows = terms.select(key, "term").join(dims.hint("merge"), F.col("term") == F.col("_t")).drop("_t")
     whole = rows.groupBy(key, "d").agg(F.sum("v").alias("w"))
-    sums = rows.join(whole, [key, "d"]).groupBy(key, "term").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.sum(F.col("v") * F.col("v")).alias("a"), F.sum(F.col("w") * F.col("w")).alias("b"))
+    sums = rows.join(whole.hint("merge"), [key, "d"]).groupBy(key, "term").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.sum(F.col("v") * F.col("v")).alias("a"), F.sum(F.col("w") * F.col("w")).alias("b"))
     cosine = F.col("dot") / F.sqrt((F.col("a") * F.col("b")).cast("double"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(cosine.desc(), "term"))
     return sums.withColumn("rank", rank).where(F.col("rank") <= n).select(key, "term", "rank")

@@ -24,7 +24,7 @@ def score_segments(segments: DataFrame, terms: DataFrame, key: str = "video_id")
 
     Weights 30, 35, 15 and 20 percent. Terms count where they occur as part of the text."""
     listed = terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_t")).select(F.col(key).alias("_k"), F.col("_t.term").alias("_terms"))
-    rows = segments.join(listed, F.col(key) == F.col("_k"), "left")
+    rows = segments.join(listed.hint("merge"), F.col(key) == F.col("_k"), "left")
     t = F.col("text")
     found = F.filter(F.coalesce("_terms", F.array().cast("array<string>")), lambda x: F.contains(F.lower(t), x))
     rows = rows.withColumn("_words", T.tokens(t)).withColumn("_found", found).withColumn("_w", T.word_count(t))
@@ -59,7 +59,7 @@ def blend_answers(scored: DataFrame, answers: DataFrame, weight_pm: int = 400, k
     """scored with score_pm moved towards the model's rating and its tags added; ratings that are no numbers
     change nothing. The bare content type is compared with the tags, its tag is written llm:<type>."""
     last = last_answers(answers, list(keys), "answer_no").select(*[F.col(k).alias(f"_{k}") for k in keys], F.expr("try_cast(llm_pm AS BIGINT)").alias("_llm"), "content_type", "virality_pm")
-    rows = scored.join(last, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
+    rows = scored.join(last.hint("merge"), [F.col(k) == F.col(f"_{k}") for k in keys], "left")
     rated = F.col("_llm").isNotNull()
     mixed = F.floor((2 * (F.col("score_pm") * (1000 - weight_pm) + F.col("_llm") * weight_pm) + 1000) / 2000).cast("long")
     kind = F.when(rated & (F.col("content_type") != "") & ~F.array_contains("tags", F.col("content_type")), F.concat(F.lit("llm:"), "content_type"))

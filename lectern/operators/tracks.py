@@ -69,7 +69,7 @@ def cuts_at_boundaries(shot_rows: DataFrame, cuts: DataFrame, half_ms: int = 500
     edges = first.withColumn("prev_ms", before).where("prev_ms is not null")
     e, c = edges.alias("e"), cuts.alias("c")
     on = (F.col("e.clip_id") == F.col("c.clip_id")) & (F.col("c.cut_ms") > F.col("e.prev_ms") - half_ms) & (F.col("c.cut_ms") <= F.col("e.first_ms") + half_ms)
-    return e.join(c, on, "left").groupBy("e.clip_id", "e.shot_no").agg(F.max("c.cut_ms").alias("cut_ms")).select("clip_id", "shot_no", "cut_ms")
+    return e.join(c.hint("merge"), on, "left").groupBy("e.clip_id", "e.shot_no").agg(F.max("c.cut_ms").alias("cut_ms")).select("clip_id", "shot_no", "cut_ms")
 
 
 def resample(track: DataFrame, step_ms: int = 100) -> DataFrame:

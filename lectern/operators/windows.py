@@ -55,7 +55,7 @@ def candidates(answers: DataFrame, windows: DataFrame, key: str = "video_id") ->
     their windows: lines are clamped to the window, unusable or reversed ones and unknown windows are
     dropped, ratings are clamped to 0..1000 and missing ones count 0."""
     unit = lambda c: F.least(F.lit(1000), F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))).cast("long")
-    rows = answers.join(windows, [key, "window_no"]).withColumn("_n", F.col("last_ord") - F.col("first_ord"))
+    rows = answers.join(windows.hint("merge"), [key, "window_no"]).withColumn("_n", F.col("last_ord") - F.col("first_ord"))
     clamp = lambda c: F.least(F.greatest(_integer(c), F.lit(0)), F.col("_n"))
     rows = rows.withColumn("_a", clamp("start_line")).withColumn("_b", clamp("end_line"))
     rows = rows.where(_integer("start_line").isNotNull() & _integer("end_line").isNotNull() & (F.col("_b") >= F.col("_a")))
@@ -71,7 +71,7 @@ def fit_boundaries(cands: DataFrame, segments: DataFrame, min_ms: int = 45_000,
     t = F.col("text")
     flags = segments.select(key, "ord", "start_ms", "end_ms", T.starts_sentence(t).alias("s"), T.ends_sentence(t).alias("e"), F.rtrim(t).endswith("?").alias("q"), T.is_continuation(t).alias("c"))
     lines = ordered(flags, [key], ["ord"], ["ord", "start_ms", "end_ms", "s", "e", "q", "c"], "lines")
-    rows = cands.join(lines, key)
+    rows = cands.join(lines.hint("merge"), key)
     line = lambda i: F.get(F.col("lines"), i.cast("int"))
     span = lambda a, b: line(b)["end_ms"] - line(a)["start_ms"]
 
@@ -114,7 +114,7 @@ def pad_bounds(fitted: DataFrame, segments: DataFrame, before_ms: int = 250, aft
     sides = segments.select(key, "ord", F.lag("end_ms").over(w).alias("prev_end"), F.lead("start_ms").over(w).alias("next_start"))
     left = sides.select(F.col(key).alias("_k1"), F.col("ord").alias("_o1"), "prev_end")
     right = sides.select(F.col(key).alias("_k2"), F.col("ord").alias("_o2"), "next_start")
-    rows = fitted.join(left, (F.col(key) == F.col("_k1")) & (F.col("first") == F.col("_o1"))).join(right, (F.col(key) == F.col("_k2")) & (F.col("last") == F.col("_o2")))
+    rows = fitted.join(left.hint("merge"), (F.col(key) == F.col("_k1")) & (F.col("first") == F.col("_o1"))).join(right.hint("merge"), (F.col(key) == F.col("_k2")) & (F.col("last") == F.col("_o2")))
     start = F.greatest(F.col("start_ms") - before_ms, F.coalesce("prev_end", F.lit(0)), F.lit(0))
     end = F.least(F.col("end_ms") + after_ms, F.coalesce("next_start", F.col("end_ms") + after_ms))
     return rows.withColumn("_s", F.least(start, "start_ms")).withColumn("_e", F.greatest(end, "end_ms")).withColumn("start_ms", F.col("_s")).withColumn("end_ms", F.col("_e")).select(*fitted.columns)
@@ -145,13 +145,13 @@ def window_strategy(segments: DataFrame, answers: DataFrame, **limits) -> DataFr
 def with_fallback(chosen: DataFrame, heuristic: DataFrame, key: str = "video_id") -> DataFrame:
     """Clips of the strategy, and for videos without any the heuristic ones."""
     columns = [key, "clip_id", "start_ms", "end_ms", "score_pm"]
-    rest = heuristic.join(chosen.select(key).distinct(), key, "left_anti")
+    rest = heuristic.join(chosen.select(key).distinct().hint("merge"), key, "left_anti")
     return chosen.select(*columns, F.lit("windows").alias("origin")).union(rest.select(*columns, F.lit("heuristic").alias("origin")))
 
 
 def window_prompts(windows: DataFrame, segments: DataFrame, key: str = "video_id") -> DataFrame:
     """(key, window_no, prompt): a heading and a numbered line with its offset for each segment."""
-    rows = windows.join(segments, key).where(F.col("ord").between(F.col("first_ord"), F.col("last_ord")))
+    rows = windows.join(segments.hint("merge"), key).where(F.col("ord").between(F.col("first_ord"), F.col("last_ord")))
     base = F.first_value("start_ms").over(Window.partitionBy(key, "window_no").orderBy("ord"))
     rows = rows.withColumn("_offset", F.bround((F.col("start_ms") - base) / 1000, 0).cast("long"))
     line = F.concat(F.lit("["), F.col("ord") - F.col("first_ord"), F.lit(" | "), F.col("_offset"), F.lit("s] "), F.col("text"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
@@ -65,8 +62,7 @@ def _log_lines(s, d):
 
 
 def _stream(s, d):
-    shared = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lectern-stream-")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = J.shared_folder(s)
     V.job_events(s, d).write.parquet(f"{base}/in")
     events = s.readStream.schema(V.job_events(s, d).schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     J.run_once(J.live_job_states(events), f"{base}/out", f"{base}/log")
@@ -83,7 +79,7 @@ QUERIES = {
     "thinned_points": lambda s, d: C.thin_evenly(_points(s, d), 4, order=("at_ms", "point_no")).select("video_id", "point_no"),
     "leading_suggestions": lambda s, d: C.leading_suggestions(V.segments(s, d)),
     "block_quotas": lambda s, d: C.block_quota(C.pack_blocks(V.segments(s, d)), 10),
-    "suggestions_in_bounds": lambda s, d: _points(s, d).join(_media(s, d), "video_id").where("at_ms between 0 and duration_ms - 30000 and trim(title) <> ''").select("video_id", "point_no"),
+    "suggestions_in_bounds": lambda s, d: _points(s, d).join(_media(s, d).hint("merge"), "video_id").where("at_ms between 0 and duration_ms - 30000 and trim(title) <> ''").select("video_id", "point_no"),
     "word_times": lambda s, d: U.word_times(V.segments(s, d)),
     "clip_words": lambda s, d: U.words_in_clips(V.clips(s, d), U.word_times(V.segments(s, d))),
     "cues": lambda s, d: U.cues(_numbered(s, d)),
@@ -184,8 +180,9 @@ SQL["srt_documents"] = SQL["cues"].rsplit("SELECT * FROM cue_rows", 1)[0] + """S
   lpad((end_ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((end_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((end_ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((end_ms % 1000)::VARCHAR, 3, '0') AS b FROM cue_rows) GROUP BY ALL"""
 
 def _camera(s, d):
-    """A path for each shot in which a face is seen."""
-    faces = K.shots(V.detections(s, d)).where("conf_pm > 0").select("clip_id", "shot_no", "t_ms", (F.col("x") + F.col("w") / 2).alias("cx"))
+    """A path for each shot in which a walking face is seen."""
+    walking = V.detections(s, d).withColumn("x", 700 + 20 * (F.col("n") % 40)).withColumn("w", F.lit(120))
+    faces = K.shots(walking).where("conf_pm > 0").select("clip_id", "shot_no", "t_ms", (F.col("x") + F.col("w") / 2).alias("cx"))
     paths = K_camera.camera_paths(faces, 607, 1920, keys=("clip_id", "shot_no"))
     return paths.select("clip_id", "shot_no", "start_ms", F.size("path").alias("points"), F.round(F.array_min("path"), 1).alias("leftmost"), F.round(F.array_max("path"), 1).alias("rightmost"))
 

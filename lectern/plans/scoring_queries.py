@@ -52,7 +52,7 @@ QUERIES = {
     "global_terms": lambda s, d: S.extract_terms(V.segments(s, d)),
     "segment_scores": lambda s, d: _tags(_scored(s, d)).select("video_id", "ord", *_PM, "self_contained", "tags"),
     "blended_scores": lambda s, d: _tags(S.blend_answers(_scored(s, d), V.segment_answers(s, d))).select("video_id", "ord", "score_pm", "tags"),
-    "answers_with_scores": lambda s, d: S.last_answers(V.segment_answers(s, d), ["video_id", "ord"], "answer_no").join(_scored(s, d).select("video_id", "ord", "score_pm"), ["video_id", "ord"], "left").select("video_id", "ord", "answer_no", "llm_pm", "content_type", "virality_pm", "score_pm"),
+    "answers_with_scores": lambda s, d: S.last_answers(V.segment_answers(s, d), ["video_id", "ord"], "answer_no").join(_scored(s, d).select("video_id", "ord", "score_pm").hint("merge"), ["video_id", "ord"], "left").select("video_id", "ord", "answer_no", "llm_pm", "content_type", "virality_pm", "score_pm"),
     "merged_clips": lambda s, d: _tags(S.merge_clips(_scored(s, d))).select("video_id", "clip_id", "start_ms", "end_ms", *_PM, "self_contained", "n_segments", "tags"),
     "clips_by_duration": lambda s, d: S.duration_filter(S.merge_clips(_scored(s, d))).select("video_id", "clip_id", "start_ms", "end_ms"),
     "clips_by_duration_or_all": lambda s, d: S.duration_filter_or_all(S.merge_clips(_scored(s, d))).select("video_id", "clip_id", "start_ms", "end_ms"),

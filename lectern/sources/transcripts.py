@@ -30,7 +30,7 @@ def stitch_chunks(chunks: DataFrame, segments: DataFrame, key: str = "video_id")
     """Segments with times of their chunk moved behind the chunks before it, and numbered seg_0001 onward."""
     before = F.sum("dur_ms").over(Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = chunks.select(key, "chunk", F.coalesce(before, F.lit(0)).alias("_at"))
-    rows = segments.join(offsets, [key, "chunk"])
+    rows = segments.join(offsets.hint("merge"), [key, "chunk"])
     number = F.row_number().over(Window.partitionBy(key).orderBy("chunk", "ord"))
     return rows.select(key, F.format_string("seg_%04d", number).alias("seg_id"), "chunk", "ord", (F.col("start_ms") + F.col("_at")).alias("start_ms"), (F.col("end_ms") + F.col("_at")).alias("end_ms"), "text")
 

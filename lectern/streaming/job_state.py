@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for a stream's files below spark.checkpoint.dir; a temporary one on a local master only."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir")
+    if not shared and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='lectern-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def live_job_states(events: DataFrame) -> DataFrame:
     """Per job: attempt, stage and status after its latest event. One aggregation whose state is a count and
     the latest event of each job, so it needs no Python and runs in update or complete mode."""
