@@ -9,6 +9,7 @@ their pattern, copy and place by arithmetic."""
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -117,6 +118,12 @@ class Tokens:
                 yield self._encode(parts[:1])[0] + b"".join(map(get, parts[1:]))
 
 
+@functools.lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    """The worker's Tokens: what is known stays from task to task."""
+    return Tokens(path)
+
+
 def pieces_of(ids: bytes, capacity: int = CAPACITY) -> list[int]:
     """CRC-32 of each piece of at most `capacity` ids."""
     step = 4 * capacity
@@ -129,7 +136,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
 
     @F.pandas_udf("struct<n: long, crcs: array<long>>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(tokenizer)
+        tokens = tokens_of(tokenizer)
         for texts in batches:
             out = []
             for ids in tokens.encode_all([t or "" for t in texts]):
