@@ -31,8 +31,9 @@ BITS = 4
 SHORT_RUN = 24
 #: Bands of least hashes that bring sets of shingles together, and hashes in a band.
 BANDS, BAND_ROWS = 24, 4
-#: Partners that a node of a longer run gets in each band; the run's order is another one in each.
-PARTNERS = 48
+#: Partners that a node of a longer run gets at first in each band; the run's order is another one in each. What
+#: that leaves apart is compared in blocks of about BLOCK_HASHES hashes and BLOCK_ROWS sets at most (crowd_links).
+PARTNERS, BLOCK_HASHES, BLOCK_ROWS = 48, 1 << 19, 1024
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: For a hash's eight bytes: which of the eight bits a byte value sets.
@@ -246,18 +247,18 @@ def shingle_set(text: str | None, width: int) -> tuple[int, np.ndarray]:
     return (xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0), hashes
 
 
-def _candidate_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidate_runs(batches: Iterator[pa.RecordBatch], partners: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, node, n) sorted by key, a key's in a random order -> pairs (u, v) of nodes with a key in common whose
-    sizes allow a Jaccard similarity of 0.8. Longer runs than PARTNERS give each node its PARTNERS next ones and the run's first."""
+    sizes allow a Jaccard similarity of 0.8. Longer runs than partners give each node its next ones and the run's first."""
     rest = [np.empty(0, np.int64)] * 3
 
     def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
         size = np.diff(np.append(edge, len(key)))
         first = np.repeat(edge, size)
-        far = np.flatnonzero(np.arange(len(key)) - first > PARTNERS)
+        far = np.flatnonzero(np.arange(len(key)) - first > partners)
         left, right = [first[far]], [far]
-        for t in range(1, min(PARTNERS + 1, int(size.max(initial=0)))):
+        for t in range(1, min(partners + 1, int(size.max(initial=0)))):
             at = np.flatnonzero(key[t:] == key[:-t])
             left.append(at)
             right.append(at + t)
@@ -277,6 +278,64 @@ def _candidate_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pairs(*rest)
 
 
+def _similar_in_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows (node, root, own, hashes) -> links (u, v) between the roots' rows that hang together by steps of 0.8 or by
+    equal roots: one link for each root, as a star. Steps between two rows that are not own are left to another block."""
+    node, root, own = (rows[c].to_numpy() for c in ("node", "root", "own"))
+    sizes = np.array([len(h) for h in rows["hashes"]], np.int64)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    token, at, held = np.unique(np.concatenate([np.asarray(h, np.int64) for h in rows["hashes"]]), return_inverse=True, return_counts=True)
+    place = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[at]  # hashes of one row only are shared with nobody
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    shared = np.zeros((len(rows), len(rows)), np.float32)
+    for a in range(0, int(place.max(initial=-1)) + 1, 4096):
+        low, high = np.searchsorted(place, [a, a + 4096])
+        has = np.zeros((len(rows), 4096), np.float32)
+        has[owner[low:high], place[low:high] - a] = 1
+        shared += has @ has.T
+    near = (shared * 9 >= (sizes[:, None] + sizes) * 4) & (own[:, None] | own) | (root[:, None] == root)
+    left, links = np.ones(len(rows), bool), []
+    for start in range(len(rows)):
+        if not left[start]:
+            continue
+        reached = np.zeros(len(rows), bool)
+        edge = np.arange(len(rows)) == start
+        while edge.any():
+            reached |= edge
+            edge = near[edge].any(axis=0) & ~reached
+        left &= ~reached
+        hit = np.flatnonzero(reached)
+        firsts = hit[np.unique(root[hit], return_index=True)[1]]
+        links += [(node[start], node[k]) for k in firsts if root[k] != root[start]]
+    return pd.DataFrame(links, columns=["u", "v"], dtype=np.int64)
+
+
+def _crowds(nodes: DataFrame, partners: int) -> DataFrame:
+    """(key, node, n) of the band keys that more nodes hold than _candidate_runs compares with one another."""
+    held = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    many = held.groupBy("key").count().where(F.col("count") > partners + 1).select("key")
+    return held.join(many.hint("merge"), "key")
+
+
+def crowd_links(crowds: DataFrame, sets: DataFrame, sure: DataFrame, block_hashes: int) -> DataFrame:
+    """Links (u, v) between those nodes of crowded keys that are similar and that the links of sure leave apart.
+
+    crowds: _crowds; sets: want, hashes. Only keys whose nodes are not yet one component go on, divided by size (two
+    sets at 0.8 differ by a factor of 1.25 at most, so they stand in one class of the powers of 1.26 or in neighbouring
+    ones), and then every two blocks of a key and class meet in one task. Blocks are bounded by their hashes and sets."""
+    size_class = F.floor(F.log(1.26, F.greatest("n", F.lit(1)))).cast("int")
+    parts = crowds.join(components(sure).hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"), size_class.alias("_c"))
+    parts = parts.select("*", F.explode(F.array("_c", F.col("_c") + 1)).alias("part")).withColumn("own", F.col("_c") == F.col("part")).drop("_c")
+    apart = parts.groupBy("key", "part").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.sum(F.greatest("n", F.lit(block_hashes // BLOCK_ROWS))).alias("_n"), F.max("own").alias("_any"))
+    apart = apart.where("_a <> _b and _any").select("key", "part", F.ceil(F.col("_n") / block_hashes).cast("int").alias("_blocks"))
+    placed = parts.join(apart.hint("merge"), ["key", "part"]).withColumn("_at", F.pmod(F.xxhash64("node", F.lit(2)), "_blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    met = placed.select("key", "part", "node", "root", "own", "_at", other.alias("_other")).select("key", "part", F.least("_at", "_other").alias("low"), F.greatest("_at", "_other").alias("high"), "node", "root", "own")
+    whole = met.join(sets.withColumnRenamed("want", "node").hint("merge"), "node")
+    return whole.groupBy("key", "part", "low", "high").applyInPandas(_similar_in_block, "u long, v long").distinct()
+
+
 def _signed_rows(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, text_id, node, n, keys) of each row: the text's MD5, its set's name, size and band keys."""
 
@@ -300,7 +359,8 @@ def similar_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     component, a struct of doc_id and text_id (the MD5 of the text, null and empty being equal), is the least
     row reachable by steps between texts whose sets of width-word shingles have a Jaccard similarity of 0.8
     or more; a null doc_id comes last. Candidates share a band of least hashes (a pair at 0.8 shares none of
-    the BANDS with a chance of 3 in a million); each is confirmed on the whole sets. Texts without words are equal."""
+    the BANDS with a chance of 3 in a million); each is confirmed on the whole sets. A band that very many sets share
+    gives each some partners first, and then compares in blocks what those leave apart. Texts without words are equal."""
 
     @F.pandas_udf("array<long>")
     def whole(want: pd.Series, texts: pd.Series) -> pd.Series:
@@ -314,10 +374,12 @@ def similar_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     nodes = materialize(nodes, "sets")
     distinct, rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     dealt = nodes.select(F.explode("keys").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
-    pairs = materialize(dealt.mapInArrow(_candidate_runs, "u long, v long").distinct(), "candidates")
+    partners, block_hashes = PARTNERS, BLOCK_HASHES
+    pairs = materialize(dealt.mapInArrow(lambda batches: _candidate_runs(batches, partners), "u long, v long").distinct(), "candidates")
+    crowds = materialize(_crowds(nodes, partners), "crowds")
 
     # The sets of the candidates only, made again from one text each.
-    named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(crowds.select("node")).distinct()
     named = named.join(nodes.select("node", "first").hint("merge"), "node").select(F.col("node").alias("want"), F.col("first.doc_id").alias("d"), F.col("first.text_id").alias("t"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_id") == F.col("t"))
     texts = docs.select("doc_id", "text", _text_id(F.col("text")).alias("text_id")).join(named.hint("merge"), same).select("want", whole("want", "text").alias("hashes"))
@@ -325,6 +387,9 @@ def similar_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     a, b = (sets.select(F.col("want").alias(k), F.col("hashes").alias(f"{k}_set")).hint("merge") for k in ("u", "v"))
     shared = F.size(F.array_intersect("u_set", "v_set"))
     sure = pairs.join(a, "u").join(b, "v").where(shared * 9 >= (F.size("u_set") + F.size("v_set")) * 4).select("u", "v")
+    if not crowds.isEmpty():
+        sure = materialize(sure, "links")
+        sure = sure.union(crowd_links(crowds, sets, sure, block_hashes))
     ends = materialize(_named(nodes.select("node", "first", "_n"), sure, "node", distinct), "components")
     return join_skewed(prints.select("doc_id", "text_id", "node"), ends, ["node"], rows).select("doc_id", "text_id", "component")
 

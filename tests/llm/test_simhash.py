@@ -148,3 +148,31 @@ def test_stage_finds_what_brute_force_jaccard_finds(spark):
     assert got == want and len(set(want.values())) < len(rows) / 2
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(want.values()))
+
+
+def test_crowded_bands_lose_no_link(spark, monkeypatch):
+    """Texts around one passage share bands without being similar; among them are pairs, a chain, and groups by size."""
+    monkeypatch.setattr(simhash, "PARTNERS", 0)
+    monkeypatch.setattr(simhash, "BLOCK_HASHES", 1 << 12)
+    r = random.Random(17)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(150)]
+    rows = []
+    for i in range(150):
+        own = [word() for _ in range(45 + i % 40)]
+        rows.append(passage + own)
+        if i % 5 == 0:  # about 0.9 of the whole, at the other side of the run as likely as not
+            rows.append(passage + own[:-3] + [word()])
+        if i % 25 == 0:  # a chain whose ends are not similar
+            rows += [passage + own + [word() for _ in range(k)] for k in (20, 40, 60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["component"]["doc_id"] for x in simhash.similar_copies(docs).collect()}
+    want = brute_similar(rows)
+    assert got == want and 100 < len(set(want.values())) < len(rows)
+    met = []
+    whole = simhash.crowd_links
+    monkeypatch.setattr(simhash, "crowd_links", lambda *a: met.append(1) or whole(*a).where("false"))
+    fewer = {x["doc_id"]: x["component"]["doc_id"] for x in simhash.similar_copies(docs).collect()}
+    assert met and fewer != want  # the partners alone would lose some
