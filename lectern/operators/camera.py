@@ -151,3 +151,35 @@ def camera_paths(track: DataFrame, width: float, frame_width: float, share: floa
     rows = then(rows, "smooth", gaussian(F.col("held"), PATH_SIGMA), "start_ms")
     rows = then(rows, "path", F.transform("smooth", lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high))), "start_ms")
     return rows.where(F.array_max("path") - F.array_min("path") >= 1)
+
+
+def simplify(points: Column, tolerance: float) -> Column:
+    """The points (array of structs t, x) that a line through few of them needs to stay within tolerance of all: an
+    open span is divided at its farthest point (the earliest of equals) while that lies beyond tolerance."""
+
+    def step(acc: Column, _: Column) -> Column:
+        span = F.element_at(acc["open"], -1)
+        a, b = _at(points, span["lo"]), _at(points, span["hi"])
+        off = lambda p: F.abs(p["x"] - (a["x"] + (b["x"] - a["x"]) * (p["t"] - a["t"]) / (b["t"] - a["t"])))
+        inner = F.slice(points, span["lo"] + 2, F.greatest(span["hi"] - span["lo"] - 1, F.lit(0)))
+        worst = F.array_max(F.transform(inner, lambda p, k: F.struct(off(p).alias("off"), (-(span["lo"] + 1 + k)).alias("back"))))
+        rest = F.slice(acc["open"], 1, F.size(acc["open"]) - 1)
+
+        def divided(w: Column) -> Column:
+            far, at = F.coalesce(w["off"] > tolerance, F.lit(False)), -w["back"]
+            halves = F.array(F.struct(span["lo"].alias("lo"), at.alias("hi")), F.struct(at.alias("lo"), span["hi"].alias("hi")))
+            return F.struct(F.when(far, F.concat(rest, halves)).otherwise(rest).alias("open"), F.when(far, F.concat(acc["kept"], F.array(at))).otherwise(acc["kept"]).alias("kept"))
+
+        return F.when(F.size(acc["open"]) == 0, acc).otherwise(_at(F.transform(F.array(worst), divided), F.lit(0)))
+
+    whole = F.array(F.struct(F.lit(0).alias("lo"), (F.size(points) - 1).alias("hi")))
+    start = F.struct(whole.alias("open"), F.array(F.lit(0), F.size(points) - 1).alias("kept"))
+    kept = F.aggregate(F.sequence(F.lit(1), 2 * F.size(points)), start, step, lambda acc: F.array_sort(F.array_distinct(acc["kept"])))
+    return F.when(F.size(points) < 3, points).otherwise(F.transform(kept, lambda i: _at(points, i)))
+
+
+def keyframes(paths: DataFrame, tolerance: float = 0.5, keys=("clip_id",)) -> DataFrame:
+    """camera_paths -> keys and keyframes, an array of (t_ms, cx rounded to tenths): few points, straight lines between."""
+    points = F.transform("path", lambda x, i: F.struct((F.col("start_ms") + GRID * i).alias("t"), x.alias("x")))
+    rows = paths.select(*keys, F.explode(F.array(points)).alias("points"))
+    return rows.select(*keys, F.transform(simplify(F.col("points"), tolerance), lambda p: F.struct(p["t"].alias("t_ms"), F.bround(p["x"], 1).alias("cx"))).alias("keyframes"))

@@ -9,6 +9,7 @@ from ..operators import camera as K_camera
 from ..operators import chapters as C
 from ..operators import cues as U
 from ..operators import ops as O
+from ..operators import segments as G
 from ..operators import tracks as K
 from ..sources import transcripts as R
 from ..sources import views as V
@@ -39,6 +40,10 @@ def _cuts(s, d):
     return V.detections(s, d).where("cut").select("clip_id", (F.col("t_ms") + 400).alias("cut_ms"))
 
 
+def _filmed(s, d):
+    return V.detections(s, d).groupBy("clip_id").agg((F.min("t_ms") - 500).alias("start_ms"), (F.max("t_ms") + 1000).alias("end_ms"))
+
+
 def _responses(s, d):
     seg = V.segments(s, d)
     item = F.to_json(F.struct(F.concat(F.lit("seg_"), "ord").alias("id"), (F.col("ord") * 37 % 1001).cast("string").alias("llm_score")))
@@ -84,6 +89,7 @@ QUERIES = {
     "clip_words": lambda s, d: U.words_in_clips(V.clips(s, d), U.word_times(V.segments(s, d))),
     "cues": lambda s, d: U.cues(_numbered(s, d)),
     "srt_documents": lambda s, d: U.srt_documents(U.cues(_numbered(s, d))),
+    "ass_documents": lambda s, d: U.ass_documents(U.cues(_numbered(s, d))),
     "sample_grid": lambda s, d: K.sample_grid(V.clips(s, d)),
     "best_faces": lambda s, d: K.best_faces(V.detections(s, d).union(V.detections(s, d).withColumn("conf_pm", F.col("conf_pm") - 50).withColumn("x", F.col("x") + 300)), 1600, 900, 700),
     "moving_average": lambda s, d: K.moving_average(V.detections(s, d)),
@@ -91,6 +97,8 @@ QUERIES = {
     "shot_boxes": lambda s, d: K.shot_boxes(K.shots(V.detections(s, d))),
     "track_fallbacks": lambda s, d: K.fallback_flags(V.detections(s, d)),
     "cuts_at_boundaries": lambda s, d: K.cuts_at_boundaries(K.shots(V.detections(s, d)), _cuts(s, d)),
+    "absorbed_groups": lambda s, d: G.absorb_short(K.shots(V.detections(s, d)), _filmed(s, d)),
+    "track_segments": lambda s, d: G.track_segments(K.shots(V.detections(s, d)), _filmed(s, d), _cuts(s, d)),
     "resampled_track": lambda s, d: K.resample(_off_grid(s, d)),
     "running_median": lambda s, d: K.running_median(V.detections(s, d)),
     "crop_windows": lambda s, d: K.crop_window(K.shot_boxes(K.shots(V.detections(s, d)))).select("clip_id", "shot_no", "crop_x", "crop_w"),
@@ -126,6 +134,11 @@ _WORDS = {
       SELECT video_id, ord, start_ms AS s, end_ms - start_ms AS d, i - 1 AS word_no, l[i] AS word FROM (SELECT *, regexp_extract_all(text, '[^\\s]+') AS l FROM segments), unnest(range(1, len(l) + 1)) q(i)))""",
     "clip_words": """SELECT c.video_id, clip_no, ord, word_no, greatest(0, w.start_ms - c.start_ms) AS start_ms, least(c.end_ms, w.end_ms) - c.start_ms AS end_ms, word FROM clips c JOIN timed w ON c.video_id = w.video_id AND w.start_ms + w.end_ms BETWEEN 2 * c.start_ms AND 2 * c.end_ms""",
 }
+
+def _wrapped(words: str) -> str:
+    return f"""list_reduce(list_transform({words}, lambda w: {{'n': length(w), 't': w}}), lambda a, b: CASE WHEN a.n + 1 + b.n > 26 THEN {{'n': b.n, 't': a.t || chr(10) || b.t}} ELSE {{'n': a.n + 1 + b.n, 't': a.t || ' ' || b.t}} END).t"""
+
+
 SQL = {
     "blocks": sql("SELECT * FROM blocks", True, **_BLOCKS),
     "snapped_points": sql("SELECT video_id, point_no, at_ms, start_ms FROM snapped", **_POINTS),
@@ -150,6 +163,13 @@ SQL = {
     "track_fallbacks": sql("SELECT clip_id, count(*) FILTER (conf_pm = 0) * 1000 // count(*) AS no_face_pm, count(*) FILTER (conf_pm = 0) * 1000 > 700 * count(*) AS fallback FROM detections GROUP BY clip_id"),
     "cuts_at_boundaries": sql("""SELECT e.clip_id, e.shot_no, max(c.cut_ms) AS cut_ms FROM (SELECT clip_id, shot_no, min(t_ms) AS f, lag(max(t_ms)) OVER (PARTITION BY clip_id ORDER BY shot_no) AS p FROM shot_rows GROUP BY clip_id, shot_no) e
       LEFT JOIN (SELECT clip_id, t_ms + 400 AS cut_ms FROM detections WHERE cut) c ON e.clip_id = c.clip_id AND c.cut_ms > p - 500 AND c.cut_ms <= f + 500 WHERE p IS NOT NULL GROUP BY ALL""", **_SHOT),
+    "absorbed_groups": sql("""SELECT s.clip_id, s.shot_no, g.group_no, g.start_ms FROM (SELECT DISTINCT clip_id, shot_no FROM shot_rows) s JOIN (SELECT *, lead(no) OVER (PARTITION BY clip_id ORDER BY no) AS nx FROM (SELECT clip_id, i - 1 AS group_no, no[i] AS no, begun[i] AS start_ms FROM done, unnest(range(1, len(no) + 1)) q(i))) g
+      ON s.clip_id = g.clip_id AND s.shot_no >= no AND (nx IS NULL OR s.shot_no < nx)""", True, **_SHOT,
+      firsts="SELECT clip_id, shot_no, min(t_ms) AS t FROM shot_rows GROUP BY ALL",
+      walk="""SELECT clip_id, list(shot_no ORDER BY shot_no) AS no, list_prepend(min(t) - 500, list(t ORDER BY shot_no)[2:]) AS begun, (SELECT max(t_ms) + 1000 FROM detections d WHERE d.clip_id = f.clip_id) AS e, true AS more FROM firsts f GROUP BY clip_id
+        UNION ALL SELECT clip_id, CASE WHEN m THEN no[:gone - 1] || no[gone + 1:] ELSE no END, CASE WHEN m THEN begun[:gone - 1] || begun[gone + 1:] ELSE begun END, e, m FROM (
+          SELECT *, len(begun) > 1 AND l[i] < 2000 AS m, CASE WHEN i = 1 THEN 2 WHEN i = len(l) OR l[i - 1] >= l[i + 1] THEN i ELSE i + 1 END AS gone FROM (SELECT *, list_position(l, list_min(l)) AS i FROM (SELECT *, list_transform(range(1, len(begun) + 1), lambda k: coalesce(begun[k + 1], e) - begun[k]) AS l FROM walk WHERE more)))""",
+      done="SELECT clip_id, no, begun FROM walk WHERE NOT more"),
     "resampled_track": sql("""SELECT clip_id, t AS t_ms, CASE WHEN nt IS NULL THEN x ELSE x + floor((nx - x) * (t - s) / (nt - s))::BIGINT END AS x FROM (
       SELECT clip_id, s, x, lead(s) OVER k AS nt, lead(x) OVER k AS nx, min(s) OVER (PARTITION BY clip_id) AS f FROM (SELECT *, t_ms + n % 7 * 37 AS s FROM detections) WINDOW k AS (PARTITION BY clip_id ORDER BY s)),
       unnest(range(f + (s - f + 99) // 100 * 100, coalesce(nt, s + 1), 100)) q(t)"""),
@@ -168,24 +188,38 @@ SQL = {
       FROM (SELECT job_id, count(*) FILTER (event_type = 'job_requeued') + 1 AS attempt, max_by(event_type, id) AS e, max_by(stage, id) AS stage, max(id) AS id FROM job_events GROUP BY job_id)"""),
     "analysed_prompts": sql("SELECT video_id, ord, (length(text) % 11)::VARCHAR AS response, NULL AS error FROM segments"),
     "cues": sql("SELECT * FROM cue_rows", True, **_WORDS, cue_words="SELECT *, row_number() OVER (PARTITION BY video_id, clip_no, ord ORDER BY word_no) AS k FROM clip_words",
-      lay="""SELECT video_id, clip_no, ord, k, word, start_ms, end_ms, 0::BIGINT AS cue, 1::BIGINT AS line, length(word) AS width, regexp_matches(word, '[.!?…»"]$') AND false AS ended FROM cue_words WHERE k = 1
+      lay="""SELECT video_id, clip_no, ord, k, word, start_ms, end_ms, 0::BIGINT AS cue, 1::BIGINT AS line, length(word) AS width, false AS ended FROM cue_words WHERE k = 1
         UNION ALL SELECT w.video_id, w.clip_no, w.ord, w.k, w.word, w.start_ms, w.end_ms, CASE WHEN brk THEN cue + 1 ELSE cue END, CASE WHEN brk THEN 1 ELSE nl END, CASE WHEN brk OR nl > line THEN length(w.word) ELSE width + 1 + length(w.word) END,
-          regexp_matches(w.word, '[.!?…»"]$') AND CASE WHEN brk THEN 1 ELSE nl END >= 2
+          regexp_matches(w.word, '[.!?…]$') AND CASE WHEN brk THEN 1 ELSE nl END >= 2
         FROM lay l JOIN cue_words w ON w.video_id = l.video_id AND w.clip_no = l.clip_no AND w.ord = l.ord AND w.k = l.k + 1, LATERAL (SELECT CASE WHEN width + 1 + length(w.word) > 26 THEN line + 1 ELSE line END AS nl) a, LATERAL (SELECT ended OR nl > 3 AS brk) b""",
-      cue_rows="""SELECT video_id, clip_no, ord, cue AS cue_no, s AS start_ms, coalesce(lead(s) OVER (PARTITION BY video_id, clip_no, ord ORDER BY cue), greatest(e, s + 300)) AS end_ms, text FROM (
-        SELECT video_id, clip_no, ord, cue, min(s) AS s, max(e) AS e, string_agg(t, chr(10) ORDER BY line) AS text FROM (SELECT video_id, clip_no, ord, cue, line, min(start_ms) AS s, max(end_ms) AS e, string_agg(word, ' ' ORDER BY k) AS t FROM lay GROUP BY ALL) GROUP BY ALL)"""),
+      last_cue="SELECT video_id, clip_no, ord, max(cue) AS c FROM lay GROUP BY ALL HAVING max(cue) > 0",
+      shift=f"""SELECT l.video_id, l.clip_no, l.ord, list(word ORDER BY k) FILTER (cue = c - 1) AS p, list(word ORDER BY k) FILTER (cue = c) AS q, min(k) FILTER (cue = c) AS first_k FROM lay l JOIN last_cue m ON l.video_id = m.video_id AND l.clip_no = m.clip_no AND l.ord = m.ord WHERE cue >= c - 1 GROUP BY ALL
+        UNION ALL SELECT video_id, clip_no, ord, p[:len(p) - 1], list_prepend(p[len(p)], q), first_k - 1 FROM shift WHERE len(p) > 1 AND length(array_to_string(q, ' ')) < 78 * 0.3 AND length(array_to_string(q, ' ')) + length(p[len(p)]) + 1 < length(array_to_string(p, ' '))
+          AND NOT regexp_matches(p[len(p)], '[.!?…]$') AND len(string_split({_wrapped("list_prepend(p[len(p)], q)")}, chr(10))) <= 3""",
+      placed="SELECT l.video_id, l.clip_no, l.ord, k, word, start_ms, end_ms, CASE WHEN k >= f THEN c ELSE cue END AS cue FROM lay l LEFT JOIN (SELECT video_id, clip_no, ord, c, min(first_k) AS f FROM shift JOIN last_cue USING (video_id, clip_no, ord) GROUP BY ALL) m ON l.video_id = m.video_id AND l.clip_no = m.clip_no AND l.ord = m.ord",
+      cue_rows=f"""SELECT video_id, clip_no, ord, cue AS cue_no, s AS start_ms, coalesce(lead(s) OVER (PARTITION BY video_id, clip_no, ord ORDER BY cue), greatest(e, s + 300)) AS end_ms, {_wrapped("words")} AS text FROM (
+        SELECT video_id, clip_no, ord, cue, min(start_ms) AS s, max(end_ms) AS e, list(word ORDER BY k) AS words FROM placed GROUP BY ALL)"""),
 }
 SQL["srt_documents"] = SQL["cues"].rsplit("SELECT * FROM cue_rows", 1)[0] + """SELECT video_id, clip_no, string_agg(n || chr(10) || a || ' --> ' || b || chr(10) || text || chr(10), chr(10) ORDER BY n) AS document FROM (SELECT *, row_number() OVER (PARTITION BY video_id, clip_no ORDER BY ord, cue_no) AS n,
   lpad((start_ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((start_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((start_ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((start_ms % 1000)::VARCHAR, 3, '0') AS a,
   lpad((end_ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((end_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((end_ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((end_ms % 1000)::VARCHAR, 3, '0') AS b FROM cue_rows) GROUP BY ALL"""
 
+_STYLE = "Style: Default,Nimbus Mono PS,64,&H00FFFFFF,&H000000FF,&H404D4D4D,&H404D4D4D,-1,0,0,0,100,100,0,0,4,14.0,0,2,140,140,480,1"
+_HEAD = ["[Script Info]", "Title: Subtitles", "ScriptType: v4.00+", "PlayResX: 1080", "PlayResY: 1920", "WrapStyle: 2", "ScaledBorderAndShadow: yes", "", "[V4+ Styles]",
+  "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding",
+  _STYLE, "", "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"]
+_CLOCK = "({0} // 3600000) || ':' || lpad(({0} // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad(({0} // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad(({0} % 1000 // 10)::VARCHAR, 2, '0')"
+SQL["ass_documents"] = SQL["cues"].rsplit("SELECT * FROM cue_rows", 1)[0] + f"""SELECT video_id, clip_no, '{"' || chr(10) || '".join(_HEAD)}' || chr(10) || string_agg('Dialogue: 0,' || {_CLOCK.format("start_ms")} || ',' || {_CLOCK.format("end_ms")} || ',Default,,0,0,0,,' || replace(translate(text, '{{}}', '()'), chr(10), '\\N') || chr(10), '' ORDER BY ord, cue_no) AS document FROM cue_rows GROUP BY ALL"""
+
+
 def _camera(s, d):
     """A path for each shot in which a walking face is seen."""
     walking = V.detections(s, d).withColumn("x", 700 + 20 * (F.col("n") % 40)).withColumn("w", F.lit(120))
     faces = K.shots(walking).where("conf_pm > 0").select("clip_id", "shot_no", "t_ms", (F.col("x") + F.col("w") / 2).alias("cx"))
     paths = K_camera.camera_paths(faces, 607, 1920, keys=("clip_id", "shot_no"))
-    return paths.select("clip_id", "shot_no", "start_ms", F.size("path").alias("points"), F.round(F.array_min("path"), 1).alias("leftmost"), F.round(F.array_max("path"), 1).alias("rightmost"))
+    frames = K_camera.keyframes(paths, keys=("clip_id", "shot_no")).select("clip_id", "shot_no", F.size("keyframes").alias("keyframes"))
+    return paths.join(frames.hint("merge"), ["clip_id", "shot_no"]).select("clip_id", "shot_no", "start_ms", "keyframes", F.size("path").alias("points"), F.round(F.array_min("path"), 1).alias("leftmost"), F.round(F.array_max("path"), 1).alias("rightmost"))
 
 
-# Camera paths are iterated floating-point smoothing; tests hold each step against values worked out by hand.
+# Camera paths are iterated floating-point smoothing, track segments take medians of groups as they grow; tests hold each step against values worked out by hand.
 QUERIES["camera_paths"] = _camera
