@@ -98,6 +98,18 @@ def block_quota(blocks: DataFrame, cap: int, key: str = "video_id") -> DataFrame
     return blocks.select(key, "block_no", F.greatest(F.lit(1), F.floor((n * cap + total - 1) / total)).cast("long").alias("quota"))
 
 
+def span_quota(blocks: DataFrame, key: str = "video_id") -> DataFrame:
+    """Without a cap: one suggestion for each minute of a block (halves to even), at least one."""
+    minutes = F.bround((F.col("end_ms") - F.col("start_ms")) / 60_000, 0)
+    return blocks.select(key, "block_no", F.greatest(F.lit(1), minutes).cast("long").alias("quota"))
+
+
+def suggestions_in_bounds(points: DataFrame, media: DataFrame, key: str = "video_id") -> DataFrame:
+    """Points (at_ms, title) that lie within their recording and say something."""
+    ends = media.select(key, F.col("duration_ms").alias("_d"))
+    return points.join(ends.hint("merge"), key).where(F.col("at_ms").between(F.lit(0), F.col("_d")) & (F.trim("title") != "")).drop("_d")
+
+
 def expected_chapters(media: DataFrame, min_minutes: int = 2, max_minutes: int = 6, key: str = "video_id") -> DataFrame:
     """How many chapters a span should have, where it lasts min_minutes or more."""
     d = F.col("duration_ms")

@@ -105,6 +105,11 @@ def clips_by_label(matches: DataFrame, key: str = "video_id") -> DataFrame:
     return matches.groupBy(key, "label").agg(F.array_join(F.transform(F.array_sort(F.collect_set("clip_no")), lambda x: x.cast("string")), ",").alias("clips"))
 
 
+def plain_shorts(shorts: DataFrame) -> DataFrame:
+    """Shorts that are no montage; without a word on that they count as plain."""
+    return shorts.where(~F.coalesce("montage", F.lit(False)))
+
+
 def compare_runs(a: DataFrame, b: DataFrame, key: str = "video_id") -> DataFrame:
     """Best coverage of each short in two runs; a short that one lacks counts as 0 there."""
     left, right = a.select(key, "short_no", F.col("covered_pm").alias("a")), b.select(key, "short_no", F.col("covered_pm").alias("b"))

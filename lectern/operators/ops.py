@@ -57,7 +57,9 @@ def dashboard(jobs: DataFrame) -> DataFrame:
 
 
 def queue_state(jobs: DataFrame) -> DataFrame:
-    return jobs.groupBy().agg(F.count_if(F.col("status") == "queued").alias("queued"), F.count_if(F.col("status") == "running").alias("running"))
+    """One row: jobs queued and running, and the running job of the least id."""
+    running = F.col("status") == "running"
+    return jobs.groupBy().agg(F.count_if(F.col("status") == "queued").alias("queued"), F.count_if(running).alias("running"), F.min(F.when(running, F.col("job_id"))).alias("running_job"))
 
 
 def reviews_of_clips(clips: DataFrame, reviews: DataFrame, tolerance_ms: int = 50, key: str = "video_id") -> DataFrame:

@@ -49,8 +49,8 @@ QUERIES = {
     "best_covering_clips": _best,
     "found_shorts": _found,
     "hook_checks": lambda s, d: E.hook_checks(_found(s, d), V.clips(s, d), V.shorts(s, d), V.pieces(s, d)),
-    "run_metrics": lambda s, d: E.metrics(_found(s, d).join(V.shorts(s, d).where(~F.coalesce("montage", F.lit(False))).select("video_id", "short_no").hint("merge"), ["video_id", "short_no"]), V.clips(s, d), _precise(s, d)),
-    "plain_shorts": lambda s, d: V.shorts(s, d).where(~F.coalesce("montage", F.lit(False))).select("video_id", "short_no", "reordered"),
+    "run_metrics": lambda s, d: E.metrics(_found(s, d).join(E.plain_shorts(V.shorts(s, d)).select("video_id", "short_no").hint("merge"), ["video_id", "short_no"]), V.clips(s, d), _precise(s, d)),
+    "plain_shorts": lambda s, d: E.plain_shorts(V.shorts(s, d)).select("video_id", "short_no", "reordered"),
     "review_counts": lambda s, d: E.review_counts(V.reviews(s, d)),
     "median_clip_duration": lambda s, d: E.median_duration(V.clips(s, d)),
     "clips_by_label": lambda s, d: E.clips_by_label(_matches(s, d)),

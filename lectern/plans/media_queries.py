@@ -40,6 +40,11 @@ def _cuts(s, d):
     return V.detections(s, d).where("cut").select("clip_id", (F.col("t_ms") + 400).alias("cut_ms"))
 
 
+def _spans(s, d):
+    at = lambda edge, time: V.segments(s, d).select("video_id", F.col("ord").alias(edge), time).hint("merge")
+    return C.pack_blocks(V.segments(s, d)).join(at("first_ord", "start_ms"), ["video_id", "first_ord"]).join(at("last_ord", "end_ms"), ["video_id", "last_ord"])
+
+
 def _filmed(s, d):
     return V.detections(s, d).groupBy("clip_id").agg((F.min("t_ms") - 500).alias("start_ms"), (F.max("t_ms") + 1000).alias("end_ms"))
 
@@ -84,7 +89,8 @@ QUERIES = {
     "thinned_points": lambda s, d: C.thin_evenly(_points(s, d), 4, order=("at_ms", "point_no")).select("video_id", "point_no"),
     "leading_suggestions": lambda s, d: C.leading_suggestions(V.segments(s, d)),
     "block_quotas": lambda s, d: C.block_quota(C.pack_blocks(V.segments(s, d)), 10),
-    "suggestions_in_bounds": lambda s, d: _points(s, d).join(_media(s, d).hint("merge"), "video_id").where("at_ms between 0 and duration_ms - 30000 and trim(title) <> ''").select("video_id", "point_no"),
+    "span_quotas": lambda s, d: C.span_quota(_spans(s, d)),
+    "suggestions_in_bounds": lambda s, d: C.suggestions_in_bounds(_points(s, d), _media(s, d)).select("video_id", "point_no"),
     "word_times": lambda s, d: U.word_times(V.segments(s, d)),
     "clip_words": lambda s, d: U.words_in_clips(V.clips(s, d), U.word_times(V.segments(s, d))),
     "cues": lambda s, d: U.cues(_numbered(s, d)),
@@ -152,7 +158,8 @@ SQL = {
     "leading_suggestions": sql("""SELECT video_id, ord, start_ms, CASE WHEN len(w) > 0 THEN 'Illustrative footage for: "' || array_to_string(w[1:6], ' ') || '"' ELSE 'Illustrative footage' END AS suggestion, array_to_string(w[1:3], ', ') AS keywords
       FROM (SELECT *, greatest(1, count(*) OVER (PARTITION BY video_id) // 10) AS step, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS w FROM segments) WHERE ord % step = 0 AND ord < step * 10"""),
     "block_quotas": sql("SELECT video_id, block_no, greatest(1, ((last_ord - first_ord + 1) * 10 + t - 1) // t)::BIGINT AS quota FROM (SELECT *, sum(last_ord - first_ord + 1) OVER (PARTITION BY video_id) AS t FROM blocks)", True, **_BLOCKS),
-    "suggestions_in_bounds": sql("SELECT video_id, point_no FROM points JOIN media USING (video_id) WHERE at_ms BETWEEN 0 AND duration_ms - 30000 AND trim(title) <> ''", **_POINTS),
+    "span_quotas": sql("SELECT b.video_id, block_no, greatest(1, round_even((l.end_ms - f.start_ms) / 60000, 0))::BIGINT AS quota FROM blocks b JOIN segments f ON f.video_id = b.video_id AND f.ord = first_ord JOIN segments l ON l.video_id = b.video_id AND l.ord = last_ord", True, **_BLOCKS),
+    "suggestions_in_bounds": sql("SELECT video_id, point_no FROM points JOIN media USING (video_id) WHERE at_ms BETWEEN 0 AND duration_ms AND trim(title) <> ''", **_POINTS),
     "word_times": sql("SELECT * FROM timed", **_WORDS),
     "clip_words": sql("SELECT * FROM clip_words", **_WORDS),
     "sample_grid": sql("SELECT video_id, clip_no, t AS t_ms FROM clips, unnest(range(start_ms, end_ms + 1, 1000)) q(t)"),

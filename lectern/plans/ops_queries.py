@@ -101,7 +101,7 @@ QUERIES = {
 
 SQL = {
     "expired_jobs": sql("SELECT job_id FROM gone", gone="SELECT * FROM jobs WHERE status IN ('completed', 'failed', 'cancelled') AND sources_removed_at IS NULL AND coalesce(completed_at, created_at) < TIMESTAMP '2001-08-10 00:00:00' - INTERVAL 30 DAY"),
-    "queue_state": sql("SELECT count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'running') AS running FROM jobs"),
+    "queue_state": sql("SELECT count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'running') AS running, min(job_id) FILTER (status = 'running') AS running_job FROM jobs"),
     "job_page": sql("SELECT job_id, status, (SELECT count(*) FROM jobs WHERE user_id = 7) AS total FROM (SELECT * FROM jobs WHERE user_id = 7 ORDER BY created_at DESC, job_id DESC LIMIT 5 OFFSET 1)"),
     "dashboard": sql("""SELECT user_id, count(*) AS total, (count(*) FILTER (status = 'completed') * 200 + count(*)) // (2 * count(*)) AS completed_percent,
       (sum(epoch_us(completed_at) // 1000000 - epoch_us(started_at) // 1000000) FILTER (status = 'completed' AND completed_at IS NOT NULL) // count(*) FILTER (status = 'completed' AND completed_at IS NOT NULL))::BIGINT AS mean_seconds FROM jobs GROUP BY user_id"""),

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SEGMENT = "array<struct<id:string,start:double,end:double,text:string,language:string>>"
+SEGMENT = "array<struct<id:string,start:double,end:double,text:string,language:string,words:array<struct<start:double,end:double,word:string>>>>"
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files, each an array of segments -> video (the file's name), ord, start_ms, end_ms, text, language."""
+    """JSON files, each an array of segments -> video (the file's name), ord, start_ms, end_ms, text, language, words
+    (start_ms, end_ms, word; null without stamps)."""
     raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("video"), "value")
     rows = raw.select("video", F.posexplode(F.from_json("value", SEGMENT)).alias("ord", "s"))
     ms = lambda c: F.round(F.col(c) * 1000).cast("long")
-    return rows.select("video", "ord", F.col("s.id").alias("id"), ms("s.start").alias("start_ms"), ms("s.end").alias("end_ms"), F.col("s.text").alias("text"), F.col("s.language").alias("language"))
+    stamp = lambda c: F.round(c * 1000).cast("long")
+    words = F.transform("s.words", lambda w: F.struct(stamp(w["start"]).alias("start_ms"), stamp(w["end"]).alias("end_ms"), w["word"].alias("word")))
+    return rows.select("video", "ord", F.col("s.id").alias("id"), ms("s.start").alias("start_ms"), ms("s.end").alias("end_ms"), F.col("s.text").alias("text"), F.col("s.language").alias("language"), words.alias("words"))
 
 
 def recogniser_segments(raw: DataFrame) -> DataFrame:
@@ -27,12 +30,17 @@ def recogniser_segments(raw: DataFrame) -> DataFrame:
 
 
 def stitch_chunks(chunks: DataFrame, segments: DataFrame, key: str = "video_id") -> DataFrame:
-    """Segments with times of their chunk moved behind the chunks before it, and numbered seg_0001 onward."""
+    """Segments with times of their chunk (and of their words, where segments has that column) moved behind the chunks
+    before it, and numbered seg_0001 onward; a language stays."""
     before = F.sum("dur_ms").over(Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = chunks.select(key, "chunk", F.coalesce(before, F.lit(0)).alias("_at"))
     rows = segments.join(offsets.hint("merge"), [key, "chunk"])
     number = F.row_number().over(Window.partitionBy(key).orderBy("chunk", "ord"))
-    return rows.select(key, F.format_string("seg_%04d", number).alias("seg_id"), "chunk", "ord", (F.col("start_ms") + F.col("_at")).alias("start_ms"), (F.col("end_ms") + F.col("_at")).alias("end_ms"), "text")
+    kept = ["language"] if "language" in segments.columns else []
+    if "words" in segments.columns:
+        moved = lambda w: F.struct((w["start_ms"] + F.col("_at")).alias("start_ms"), (w["end_ms"] + F.col("_at")).alias("end_ms"), w["word"].alias("word"))
+        kept.append(F.transform("words", moved).alias("words"))
+    return rows.select(key, F.format_string("seg_%04d", number).alias("seg_id"), "chunk", "ord", (F.col("start_ms") + F.col("_at")).alias("start_ms"), (F.col("end_ms") + F.col("_at")).alias("end_ms"), "text", *kept)
 
 
 def chunk_plan(media: DataFrame, chunk_ms: int = 1_800_000, key: str = "video_id") -> DataFrame:
