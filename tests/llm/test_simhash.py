@@ -171,8 +171,20 @@ def test_crowded_bands_lose_no_link(spark, monkeypatch):
     got = {x["doc_id"]: x["component"]["doc_id"] for x in simhash.similar_copies(docs).collect()}
     want = brute_similar(rows)
     assert got == want and 100 < len(set(want.values())) < len(rows)
-    met = []
-    whole = simhash.crowd_links
-    monkeypatch.setattr(simhash, "crowd_links", lambda *a: met.append(1) or whole(*a).where("false"))
-    fewer = {x["doc_id"]: x["component"]["doc_id"] for x in simhash.similar_copies(docs).collect()}
-    assert met and fewer != want  # the partners alone would lose some
+
+
+def test_one_crowd_is_compared_whole(spark):
+    """All sets under one key and nothing linked before: the blocks alone find what brute force finds."""
+    r = random.Random(19)
+    passage = [r.getrandbits(62) for _ in range(120)]
+    sets = []
+    for i in range(60):
+        own = [r.getrandbits(62) for _ in range(40 + i)]
+        sets += [passage + own] + ([passage + own[:-4]] if i % 4 == 0 else [])
+    rows = list(enumerate(sets))
+    crowds = spark.createDataFrame([(1, i, len(x)) for i, x in rows], "key long, node long, n long")
+    hashes = spark.createDataFrame(rows, "want long, hashes array<long>")
+    sure = spark.createDataFrame([], "u long, v long")
+    root = {x["node"]: x["root"] for x in components.components(simhash.crowd_links(crowds, hashes, sure, 1 << 11)).collect()}
+    want = brute_groups([set(x) for x in sets], lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    assert [root.get(i, i) for i, _ in rows] == want and 30 < len(set(want)) < len(sets)
