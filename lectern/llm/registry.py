@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op2_ann_search
+from .collocations import OP11_SQL, op11_collocations
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op7_packing
 from .quality import op3_quality
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_collocations": op11_collocations,
 }
 
 SQL: dict[str, str] = {
     "op8_mixing": OP8_SQL,
     "op9_warc_revisits": OP9_SQL,
+    "op11_collocations": OP11_SQL,
 }
