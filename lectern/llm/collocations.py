@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, join_skewed, materialize, stored, work_dir
+from .common import discard, freed, join_skewed, materialize, stored, work_dir
 
 #: Occurrences of a candidate at least; words of a candidate at most; phrases reported for a lang.
 SUPPORT, LENGTH, TOP = 10, 3, 2000
@@ -64,33 +64,45 @@ def _word_id(seed: int) -> Column:
 
 class _Relations:
     """Occurrence relations as sorted bucketed tables below the shared folder, in a session of their own: there a
-    join by piece and position takes tables bucketed by piece as they lie."""
+    join by piece and position takes tables bucketed by piece as they lie, and shuffle files go with the write."""
 
     def __init__(self, spark: SparkSession, buckets: int):
-        self.session, self.buckets, self.made = spark.newSession(), buckets, []
+        self.session, self.buckets, self.made = spark.newSession(), buckets, {}
         for name, value in (
             ("spark.sql.requireAllClusterKeysForCoPartition", "false"),
             ("spark.sql.legacy.bucketedTableScan.outputOrdering", "true"),
             ("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"),
+            ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"),
             ("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")),
         ):
             self.session.conf.set(name, value)
         self.base = f"{work_dir(spark)}/relations-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """df, already dealt by piece, sorted by piece and pos, written and read as a table."""
+    def write(self, rows: DataFrame) -> DataFrame:
+        """rows, dealt by piece, written sorted by piece and pos, and read as a table."""
         name = f"relation_{uuid.uuid4().hex}"
-        rows = df.sortWithinPartitions("piece", "pos")
-        rows.write.bucketBy(self.buckets, "piece").sortBy("piece", "pos").option("path", f"{self.base}/{name}").saveAsTable(name)
-        self.made.append(name)
+        writer = rows.write.bucketBy(self.buckets, "piece").sortBy("piece", "pos").option("compression", "zstd")
+        writer.option("parquet.dictionary.page.size", 8 << 20).option("path", f"{self.base}/{name}").saveAsTable(name)
+        self.made[name] = f"{self.base}/{name}"
         return self.session.table(name)
 
-    def deal(self, df: DataFrame) -> DataFrame:
-        return df.repartition(self.buckets, "piece")
+    def put(self, rows: DataFrame) -> DataFrame:
+        """rows written as they lie, so that their shuffle ends before they are dealt by piece."""
+        path = f"{self.base}/{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(path)
+        self.made[path] = path
+        return self.session.read.schema(rows.schema).parquet(path)
+
+    def drop(self) -> None:
+        """All that was written so far goes, but for the last relation."""
+        for name in list(self.made)[:-1]:
+            if self.made[name] != name:
+                self.session.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.session, self.made.pop(name))
 
     def close(self) -> None:
-        for name in self.made:
-            self.session.sql(f"DROP TABLE IF EXISTS {name}")
+        self.made["none"] = "none"
+        self.drop()
         discard(self.session, self.base)
 
 
@@ -108,8 +120,9 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, length: int = LENG
     """The vocabulary (w, lang, word, f, rows), and for each number of words from 2 the phrases with f >= support
     as (w1, ..., f). Null texts are empty, a null lang is `und`; other columns are not read."""
     spark = docs.sparkSession
-    parts, parts_path = stored(pieces(docs.select("lang", "text")), "pieces")
-    words, seed = vocabulary(parts)
+    with freed(spark):
+        parts, parts_path = stored(pieces(docs.select("lang", "text")), "pieces")
+        words, seed = vocabulary(parts)
     total = words.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     hot = [r["w"] for r in words.where(F.col("rows") * HOT > total).select("w").collect()]  # fewer than HOT
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -122,19 +135,20 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, length: int = LENG
         exploded = dealt.select("piece", "lang", "m", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("pos", "word"))
         relation = exploded.select("piece", "pos", _word_id(seed).alias("w1"), "m")
         relation = store.write(relation.withColumn("hot", F.col("w1").isin(hot) if hot else F.lit(False)))
+        discard(spark, parts_path)
         for k in range(2, length + 1):
             names = [f"w{i}" for i in range(1, k + 1)]
             longer = _extend(relation, k - 1)
             if k < length:
-                relation = store.write(store.deal(_supported(longer, names, support)))
+                often = store.put(_supported(longer, names, support))
+                relation = store.write(often.repartition(store.buckets, "piece"))
+                store.drop()
                 groups = relation.groupBy(*names).agg(F.sum("m").alias("f"))
             else:
                 groups = longer.groupBy(*names).agg(F.sum("m").alias("f")).where(F.col("f") >= support)
-            path = stored(groups, "phrases")[1]
-            lists.append(spark.read.parquet(path))
+            lists.append(spark.read.parquet(stored(groups, "phrases")[1]))
     finally:
         store.close()
-    discard(spark, parts_path)
     return words, lists
 
 
@@ -143,11 +157,16 @@ def _supported(rows: DataFrame, names: list[str], support: int) -> DataFrame:
     fewer than HOT squared of them are broadcast; no other group has more than one of HOT rows, so these are
     dealt by group, sorted, counted and filtered at once."""
     window = Window.partitionBy(*names)
-    cold = rows.where("not hot").withColumn("f", F.sum("m").over(window)).where(F.col("f") >= support).drop("f")
+
+    def counted(df: DataFrame, hot: bool) -> DataFrame:
+        found = df.drop("hot").withColumn("f", F.sum("m").over(window)).where(F.col("f") >= support).drop("f")
+        return found.withColumn("hot", F.lit(hot)).select(*rows.columns)
+
+    cold = counted(rows.where("not hot"), False)
     if len(names) > 2:
-        return cold.unionByName(rows.where("hot").withColumn("f", F.sum("m").over(window)).where(F.col("f") >= support).drop("f"))
+        return cold.unionByName(counted(rows.where("hot"), True))
     often = rows.where("hot").groupBy(*names).agg(F.sum("m").alias("f")).where(F.col("f") >= support).drop("f")
-    return cold.unionByName(rows.where("hot").join(F.broadcast(often), names, "left_semi"))
+    return cold.unionByName(rows.where("hot").join(F.broadcast(often), names, "left_semi").select(*rows.columns))
 
 
 def _with(rows: DataFrame, values: DataFrame, keys: list[str], total: int) -> DataFrame:
