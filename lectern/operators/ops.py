@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 
 TERMINAL = ["completed", "failed", "cancelled"]
 
+#: Seconds of silence after which a worker does not respond.
+SILENT_SEC = 45
+#: Events that close a job's attempt, and the status that they give it.
+CLOSING = {"job_completed": "completed", "job_failed": "failed", "job_cancelled": "cancelled"}
+
 
 def expired_jobs(jobs: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """Finished jobs whose sources are still there and whose end (or creation) is before now - days; none for
@@ -130,11 +135,39 @@ def run_warnings(jobs: DataFrame, wanted: DataFrame, reviews: DataFrame, key: st
     return failed.union(absent).union(pending)
 
 
-def worker_state(beats: DataFrame, now: Column, silent_sec: int = 45) -> DataFrame:
-    """Per worker: never_started without a beat, not_responding after silence, busy with a job, else idle."""
-    last = beats.groupBy("worker").agg(F.max("ts").alias("ts"), F.max_by("running_job", "ts").alias("running_job"))
-    late = F.unix_seconds(now) - F.unix_seconds("ts") > silent_sec
-    return last.select("worker", F.when(F.col("ts").isNull(), "never_started").when(late, "not_responding").when(F.col("running_job").isNotNull(), "busy").otherwise("idle").alias("state"))
+def worker_state(beats: DataFrame, now: Column, silent_sec: int = SILENT_SEC) -> DataFrame:
+    """Per worker: never_started without a beat, not_responding after over silent_sec of silence, busy with a job, else
+    idle. Of two beats at one time the one with a job counts."""
+    last = beats.groupBy("worker").agg(F.max("ts").alias("ts"), F.max_by(F.col("running_job").isNotNull(), F.struct("ts", F.col("running_job").isNotNull())).alias("busy"))
+    late = F.unix_micros(now) - F.unix_micros("ts") > silent_sec * 1_000_000
+    return last.select("worker", F.when(F.col("ts").isNull(), "never_started").when(late, "not_responding").when(F.col("busy"), "busy").otherwise("idle").alias("state"))
+
+
+def job_progress(events: DataFrame, stages: list[str]) -> DataFrame:
+    """State of each job after its events (job_id, id, event_type, stage, progress): attempt, current stage and its progress,
+    the last status of every stage, `pending` for those without one. Repeated ids count once; a closing event ends
+    the attempt, what follows it before the next requeue does not count."""
+    once = events.dropDuplicates(["job_id", "id"])
+    attempts = once.groupBy("job_id").agg((F.count_if(F.col("event_type") == "job_requeued") + 1).alias("attempt"))
+    now = current_attempt(once)
+    ended = F.min(F.when(F.col("event_type").isin(list(CLOSING)), F.col("id"))).over(Window.partitionBy("job_id"))
+    now = now.withColumn("_end", ended).where(F.col("_end").isNull() | (F.col("id") <= F.col("_end")))
+    of_stage = ~F.col("event_type").isin(list(CLOSING))
+    seen = now.where(of_stage).groupBy("job_id", "stage").agg(F.regexp_replace(F.max_by("event_type", "id"), "^stage_", "").alias("s"))
+    seen = seen.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", "s"))).alias("seen"))
+    progress = F.when(F.col("event_type") == "stage_completed", 100).otherwise(F.col("progress"))
+    last = now.groupBy("job_id").agg(
+        F.max_by(F.when(of_stage, F.col("stage")), F.when(of_stage, F.col("id"))).alias("stage"),
+        F.max_by(F.when(of_stage, progress), F.when(of_stage, F.col("id"))).cast("long").alias("progress"),
+        F.max_by("event_type", "id").alias("kind"), F.count(F.lit(1)).alias("events"), F.max("id").alias("last_id"),
+    )
+    rows = attempts.join(last.hint("merge"), "job_id", "left").join(seen.hint("merge"), "job_id", "left")
+    closed = F.create_map(*[F.lit(x) for pair in CLOSING.items() for x in pair])[F.coalesce("kind", F.lit(""))]
+    status = F.when(F.col("kind").isNull(), "queued").otherwise(F.coalesce(closed, F.lit("running")))
+    pending = F.create_map(*[F.lit(x) for s in stages for x in (s, "pending")]) if stages else F.create_map().cast("map<string,string>")
+    have = F.coalesce("seen", F.create_map().cast("map<string,string>"))
+    whole = F.map_concat(F.map_filter(pending, lambda k, _: ~F.map_contains_key(have, k)), have)
+    return rows.select("job_id", "attempt", "stage", status.alias("status"), "progress", whole.alias("stages"), F.coalesce("events", F.lit(0)).cast("long").alias("events"), "last_id")
 
 
 def pending_checks(requests: DataFrame) -> DataFrame:

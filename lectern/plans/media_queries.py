@@ -14,6 +14,7 @@ from ..operators import tracks as K
 from ..sources import transcripts as R
 from ..sources import views as V
 from ..streaming import job_state as J
+from ..streaming import live as L
 from .oracle import sql
 
 
@@ -71,14 +72,53 @@ def _log_lines(s, d):
     return e.select("id", F.when(F.col("id") % 9 == 0, F.concat(F.lit("plain "), "id")).otherwise(obj).alias("value"))
 
 
-def _stream(s, d):
+def _in_order(s, rows, column, files=4):
+    """A folder of files with rows in order of column, written one after the other, as a stream and its folder."""
     base = J.shared_folder(s)
-    V.job_events(s, d).write.parquet(f"{base}/in")
-    events = s.readStream.schema(V.job_events(s, d).schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    bounds = rows.agg(F.min(column), F.max(column)).first()
+    low, high = (x if isinstance(x, int) else x and int(x.timestamp()) for x in bounds) if bounds[0] is not None else (0, 0)
+    value = F.col(column) if isinstance(bounds[0], int) or bounds[0] is None else F.unix_seconds(column)
+    at = F.least(F.lit(files - 1), F.floor((value - low) * files / (high - low + 1)))
+    for k in range(files):
+        rows.where(at == k).coalesce(1).write.parquet(f"{base}/in/{k}")
+    return base, s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+
+
+def _stream(s, d):
+    base, events = _in_order(s, V.job_events(s, d), "id")
     J.run_once(J.live_job_states(events), f"{base}/out", f"{base}/log")
+    J.discard(s, f"{base}/in")
     return s.read.parquet(f"{base}/out")
 
 
+def _progress_events(s, d):
+    return V.job_events(s, d).withColumn("progress", F.when((F.col("event_type") == "stage_started") & (F.col("id") % 3 == 0), F.col("id") % 100))
+
+
+def _flat(progress):
+    """The map of stages as one text, in order of names."""
+    pairs = F.transform(F.array_sort(F.map_entries("stages")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return progress.withColumn("stages", F.array_join(pairs, ","))
+
+
+def _live_progress(s, d):
+    base, events = _in_order(s, _progress_events(s, d), "id")
+    J.run_once(L.job_progress_stream(events, V.STAGES), f"{base}/out", f"{base}/log", "update")
+    J.discard(s, f"{base}/in")
+    out = s.read.parquet(f"{base}/out")
+    columns = [c for c in out.columns if c != "batch"]
+    return _flat(out.groupBy("job_id").agg(F.max_by(F.struct(*columns), "batch").alias("l")).select("l.*"))
+
+
+def _live_workers(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    beats = e.select((F.col("user_id") % 50).cast("string").alias("worker"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") != "error", F.col("event_id")).alias("running_job"))
+    base, stream = _in_order(s, beats, "ts")
+    J.run_once(L.worker_state_stream(stream), f"{base}/out", f"{base}/log", "update")
+    J.discard(s, f"{base}/in")
+    return s.read.parquet(f"{base}/out").groupBy("worker").agg(F.max_by("state", "at_ms").alias("state"))
+
+
 QUERIES = {
     "blocks": lambda s, d: C.pack_blocks(V.segments(s, d)),
     "snapped_points": lambda s, d: C.snap_to_segments(_points(s, d), V.segments(s, d)),
@@ -114,9 +154,25 @@ QUERIES = {
     "log_rows": lambda s, d: R.log_rows(_log_lines(s, d)).select("id", "level", "event", F.col("extra")["stage"].alias("stage")),
     "normalised_answers": lambda s, d: A.normalise_answers(_responses(s, d)).select("video_id", "item_no", "id", "llm_score", "error"),
     "live_job_states": _stream,
+    "job_progress": lambda s, d: _flat(O.job_progress(_progress_events(s, d), V.STAGES)),
+    "live_job_progress": _live_progress,
+    "live_worker_states": _live_workers,
     "analysed_prompts": lambda s, d: A.analyse(V.segments(s, d).select("video_id", "ord", F.col("text").alias("prompt")), lambda ps: [str(len(p) % 11) for p in ps]).select("video_id", "ord", "response", "error"),
 }
 
+_PROGRESS = {
+    "pr_cur": "SELECT * FROM (SELECT *, max(id) FILTER (event_type = 'job_requeued') OVER (PARTITION BY job_id) AS since FROM job_events) WHERE since IS NULL OR id > since",
+    "pr_open": "SELECT * FROM (SELECT *, min(id) FILTER (event_type = 'job_completed') OVER (PARTITION BY job_id) AS fin FROM pr_cur) WHERE fin IS NULL OR id <= fin",
+    "pr_stage": "SELECT *, CASE WHEN event_type = 'stage_completed' THEN 100 WHEN event_type = 'stage_started' AND id % 3 = 0 THEN id % 100 END AS pct FROM pr_open WHERE event_type <> 'job_completed'",
+    "pr_seen": "SELECT job_id, stage, substr(arg_max(event_type, id), 7) AS s FROM pr_stage GROUP BY ALL",
+    "pr_whole": f"""SELECT j.job_id, string_agg(k.stage || '=' || coalesce(s, 'pending'), ',' ORDER BY k.stage) AS stages
+      FROM (SELECT DISTINCT job_id FROM job_events) j CROSS JOIN (SELECT unnest([{", ".join(f"'{x}'" for x in V.STAGES)}]) AS stage) k LEFT JOIN pr_seen p ON p.job_id = j.job_id AND p.stage = k.stage GROUP BY j.job_id""",
+    "pr_last": "SELECT job_id, arg_max(event_type, id) AS kind, count(*) AS events, max(id) AS last_id FROM pr_open GROUP BY ALL",
+    "pr_now": "SELECT job_id, stage, pct AS progress FROM pr_stage QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY id DESC) = 1",
+}
+_PROGRESS_BODY = """SELECT a.job_id, attempt, stage, CASE WHEN kind IS NULL THEN 'queued' WHEN kind = 'job_completed' THEN 'completed' ELSE 'running' END AS status, progress, stages, coalesce(events, 0) AS events, last_id
+      FROM (SELECT job_id, count(*) FILTER (event_type = 'job_requeued') + 1 AS attempt FROM job_events GROUP BY ALL) a JOIN pr_whole USING (job_id) LEFT JOIN pr_last USING (job_id) LEFT JOIN pr_now USING (job_id)"""
+
 _SHOT = {
     "flagged": """SELECT *, CASE WHEN pc IS NULL THEN 0 WHEN (conf_pm > 0) <> (pc > 0) THEN 1 WHEN conf_pm > 0 AND (greatest(w, pw) * 100 > least(w, pw) * 135 OR abs((2 * x + w) - (2 * px + pw)) > greatest(w, pw)) THEN 1 ELSE 0 END AS f
       FROM (SELECT *, lag(conf_pm) OVER k AS pc, lag(w) OVER k AS pw, lag(x) OVER k AS px FROM detections WINDOW k AS (PARTITION BY clip_id ORDER BY n))""",
@@ -193,6 +249,10 @@ SQL = {
       UNION ALL SELECT DISTINCT video_id, NULL, NULL, NULL, 'no list of answers' FROM segments WHERE video_id % 5 = 3"""),
     "live_job_states": sql("""SELECT job_id, attempt, CASE WHEN e <> 'job_requeued' THEN stage END AS stage, CASE e WHEN 'job_requeued' THEN 'queued' WHEN 'job_completed' THEN 'completed' WHEN 'stage_failed' THEN 'failed' ELSE 'running' END AS status, CASE WHEN e <> 'job_requeued' THEN id END AS last_id
       FROM (SELECT job_id, count(*) FILTER (event_type = 'job_requeued') + 1 AS attempt, max_by(event_type, id) AS e, max_by(stage, id) AS stage, max(id) AS id FROM job_events GROUP BY job_id)"""),
+    "job_progress": sql(_PROGRESS_BODY, **_PROGRESS),
+    "live_job_progress": sql(_PROGRESS_BODY, **_PROGRESS),
+    "live_worker_states": sql("""SELECT worker, CASE WHEN epoch_us(latest) - 10000000 - epoch_us(ts) > 45000000 THEN 'not_responding' WHEN running THEN 'busy' ELSE 'idle' END AS state FROM (
+      SELECT (user_id % 50)::VARCHAR AS worker, max(ts) AS ts, max_by(event_type <> 'error', ts) AS running FROM events GROUP BY 1), (SELECT max(ts) AS latest FROM events)"""),
     "analysed_prompts": sql("SELECT video_id, ord, (length(text) % 11)::VARCHAR AS response, NULL AS error FROM segments"),
     "cues": sql("SELECT * FROM cue_rows", True, **_WORDS, cue_words="SELECT *, row_number() OVER (PARTITION BY video_id, clip_no, ord ORDER BY word_no) AS k FROM clip_words",
       lay="""SELECT video_id, clip_no, ord, k, word, start_ms, end_ms, 0::BIGINT AS cue, 1::BIGINT AS line, length(word) AS width, false AS ended FROM cue_words WHERE k = 1

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .live import STATE_STORE
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for a stream's files below spark.checkpoint.dir; a temporary one on a local master only."""
@@ -18,6 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{(shared or tempfile.mkdtemp(prefix='lectern-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete files of a stream that nothing will read again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def live_job_states(events: DataFrame) -> DataFrame:
     """Per job: attempt, stage and status after its latest event. One aggregation whose state is a count and
     the latest event of each job, so it needs no Python and runs in update or complete mode."""
@@ -39,11 +47,24 @@ def events_per_hour(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """Process what is there and stop; every batch replaces the table at path (complete) or is added to it.
+    """Process what is there and stop; every batch replaces the table at path (complete) or is added to it, with its number
+    in the column `batch` (append, update).
 
     path and checkpoint have to lie in storage that the driver and all executors share."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
-
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    def write(batch: DataFrame, number: int) -> None:
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(path)
+        else:  # a batch that runs again after a failure replaces its own rows
+            batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:  # a query keeps the settings it was started with
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query.awaitTermination()
