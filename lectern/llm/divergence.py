@@ -23,7 +23,7 @@ DOCS, TOP, ADD = 30, 50, 5
 #: Sources in a block, on average; words of 64 terms in a part.
 BLOCK, WORDS = 32, 16
 #: Groups of (lang, source, term) that a task gathers before it sends them on.
-GATHER = 300_000
+GATHER = 400_000
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 _COUNTS = "lang string, source string, term string, n long, docs long"
@@ -31,25 +31,29 @@ _COUNTS = "lang string, source string, term string, n long, docs long"
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial (lang, source, term, n, docs) of documents; bytes.lower() changes A to Z alone."""
-    n, docs = Counter(), Counter()
+    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def flush():
-        keys = list(n)
-        columns = [[k[i] for k in keys] for i in range(3)] + [[n[k] for k in keys], [docs[k] for k in keys]]
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(),) * 3 + (pa.int64(),) * 2)], names=["lang", "source", "term", "n", "docs"])
-        n.clear()
-        docs.clear()
-        return out
-
+        columns: list[list] = [[] for _ in range(5)]
+        for (lang, source), (n, docs) in groups.items():
+            for column, values in zip(columns, ([lang] * len(n), [source] * len(n), n.keys(), n.values(), map(docs.__getitem__, n))):
+                column.extend(values)
+        groups.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(),) * 3 + (pa.int64(),) * 2)], names=["lang", "source", "term", "n", "docs"])
+
+    size = 0
     for batch in batches:
         for lang, source, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-            found = Counter(TERM.findall(text.encode("utf-8", "replace").lower().decode("utf-8")))
-            for term, k in found.items():
-                n[lang, source, term] += k
-                docs[lang, source, term] += 1
-            if len(n) > GATHER:
+            found = TERM.findall(text.encode("utf-8", "replace").lower().decode("utf-8"))
+            n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
+            size -= len(n)
+            n.update(found)
+            docs.update(set(found))
+            size += len(n)
+            if size > GATHER:
                 yield flush()
-    if n:
+                size = 0
+    if groups:
         yield flush()
 
 
