@@ -17,6 +17,7 @@ def _sentences(source: str, keys: str) -> str:
 
 
 _CLIP = "(i * 41000 + video_id * 700) % 600000"
+_START = f"CASE WHEN video_id % 5 = 2 AND i = 7 THEN (246000 + video_id * 700) % 600000 + 3 ELSE {_CLIP} END"
 _LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
@@ -29,11 +30,11 @@ def _present(phrases: list[str]) -> str:
 
 _COPULA = " + ".join(f"regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){w}\\s+[\\p{{L}}\\p{{N}}_]')::INT" for w in ("is", "are"))
 
-COVERED = """SELECT video_id, clip_no, short_no, (b * 1000 // total)::BIGINT AS covered_pm FROM (
+COVERED = """SELECT video_id, clip_no, short_no, b::BIGINT AS covered_ms, total::BIGINT AS total_ms, CASE WHEN total > 0 THEN b * 1000 // total ELSE 0 END::BIGINT AS covered_pm FROM (
       SELECT c.video_id, clip_no, short_no, sum(least(c.end_ms, source_end_ms) - greatest(c.start_ms, source_start_ms)) AS b FROM clips c JOIN pieces p ON c.video_id = p.video_id AND source_end_ms > c.start_ms AND source_start_ms < c.end_ms GROUP BY ALL)
       JOIN (SELECT video_id, short_no, sum(source_end_ms - source_start_ms) AS total FROM pieces GROUP BY ALL) USING (video_id, short_no)"""
-BEST = """SELECT s.video_id, s.short_no, CASE WHEN covered_pm > 0 THEN clip_no END AS clip_no, coalesce(covered_pm, 0) AS covered_pm FROM shorts s LEFT JOIN covered c ON s.video_id = c.video_id AND s.short_no = c.short_no
-      QUALIFY row_number() OVER (PARTITION BY s.video_id, s.short_no ORDER BY coalesce(covered_pm, 0) DESC, clip_no) = 1"""
+BEST = """SELECT s.video_id, s.short_no, clip_no, coalesce(covered_pm, 0) AS covered_pm FROM shorts s LEFT JOIN (SELECT * FROM covered WHERE covered_ms > 0 AND total_ms > 0) c ON s.video_id = c.video_id AND s.short_no = c.short_no
+      QUALIFY row_number() OVER (PARTITION BY s.video_id, s.short_no ORDER BY covered_ms DESC NULLS LAST, clip_no) = 1"""
 
 CTES: dict[str, str] = {
     "segments": _sentences("(SELECT doc_id AS video_id, text FROM documents)", "video_id"),
@@ -68,10 +69,10 @@ CTES: dict[str, str] = {
       FROM scored s LEFT JOIN (SELECT video_id AS av, ord AS ao, try_cast(llm_pm AS BIGINT) AS llm, content_type, virality_pm FROM segment_answers
         QUALIFY row_number() OVER (PARTITION BY video_id, ord ORDER BY answer_no DESC) = 1) a ON s.video_id = av AND s.ord = ao""",
     "videos": "SELECT doc_id AS video_id FROM documents",
-    "clips": f"SELECT video_id, i AS clip_no, {_CLIP} AS start_ms, {_CLIP} + 45000 + (i * 7000) % 45000 AS end_ms, (i * 37 + video_id * 11) % 1001 AS score_pm FROM videos, range(0, 12) t(i) WHERE video_id % 11 <> 7",
-    "clips_b": f"SELECT video_id, i AS clip_no, {_CLIP} + 3000 AS start_ms, {_CLIP} + 48000 + (i * 7000) % 45000 AS end_ms, (i * 37 + video_id * 11) % 1001 AS score_pm FROM videos, range(0, 12) t(i) WHERE video_id % 11 <> 7",
+    "clips": f"SELECT video_id, i AS clip_no, {_START} AS start_ms, {_START} + 45000 + (i * 7000) % 45000 AS end_ms, (i * 37 + video_id * 11) % 1001 AS score_pm FROM videos, range(0, 12) t(i) WHERE video_id % 11 <> 7",
+    "clips_b": f"SELECT video_id, i AS clip_no, {_START} + 3000 AS start_ms, {_START} + 48000 + (i * 7000) % 45000 AS end_ms, (i * 37 + video_id * 11) % 1001 AS score_pm FROM videos, range(0, 12) t(i) WHERE video_id % 11 <> 7",
     "shorts": "SELECT video_id, s AS short_no, (video_id + s) % 7 = 0 AS montage, (video_id + s) % 5 = 0 AS reordered, CASE WHEN (video_id + s) % 3 > 0 THEN (video_id * 500 + s * 190000) % 600000 END AS span_start_ms FROM videos, range(0, 3) t(s)",
-    "pieces": """SELECT video_id, short_no, p AS piece, b AS source_start_ms, b + 9000 + (p * 4000 + video_id * 10) % 6000 AS source_end_ms, ((video_id + short_no) % 3 - p) * 15000 AS short_start_ms
+    "pieces": """SELECT video_id, short_no, p AS piece, b AS source_start_ms, CASE WHEN (video_id + short_no) % 17 = 3 THEN b ELSE b + 9000 + (p * 4000 + video_id * 10) % 6000 END AS source_end_ms, ((video_id + short_no) % 3 - p) * 15000 AS short_start_ms
       FROM (SELECT video_id, s AS short_no, p, (video_id * 500 + s * 190000 + p * 23000) % 600000 AS b FROM videos, range(0, 3) t(s), unnest(range(0, (video_id + s) % 3 + 1)) u(p))""",
     "interval_labels": f"SELECT video_id, i AS clip_no, {_CLIP} + 5000 AS start_ms, {_CLIP} + 50000 + (i * 7000) % 45000 AS end_ms, CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'keep' ELSE 'edit' END AS label FROM (SELECT doc_id AS video_id, doc_id % 12 AS i, quality, toxic FROM labels)",
     "reviews": "SELECT video_id, clip_no, start_ms + o AS start_ms, CASE WHEN video_id % 9 > 0 THEN end_ms + o END AS end_ms, label AS status, 'note ' || video_id AS notes FROM (SELECT *, CASE WHEN video_id % 2 = 0 THEN 40 ELSE 60 END - 5000 AS o FROM interval_labels)",
@@ -80,7 +81,9 @@ CTES: dict[str, str] = {
       SELECT c.video_id, c.clip_no, label, greatest(0, least(c.end_ms, l.end_ms) - greatest(c.start_ms, l.start_ms)) AS b, c.end_ms - c.start_ms AS la, l.end_ms - l.start_ms AS lb FROM clips c JOIN interval_labels l ON c.video_id = l.video_id))) WHERE iou_pm >= 500""",
     "best": BEST,
     "found": "SELECT *, clip_no IS NOT NULL AND covered_pm >= 700 AS found FROM best",
-    "precise": "SELECT DISTINCT video_id, clip_no FROM (SELECT video_id, clip_no FROM covered WHERE covered_pm >= 700 UNION ALL SELECT video_id, clip_no FROM matches WHERE label IN ('keep', 'edit'))",
+    "counted": "SELECT f.* FROM found f JOIN shorts s ON f.video_id = s.video_id AND f.short_no = s.short_no WHERE NOT montage",
+    "precise": "SELECT DISTINCT video_id, clip_no FROM (SELECT c.video_id, clip_no FROM covered c JOIN shorts s ON c.video_id = s.video_id AND c.short_no = s.short_no WHERE NOT montage AND covered_pm >= 700 UNION ALL SELECT video_id, clip_no FROM matches WHERE label IN ('keep', 'edit'))",
+    "in_run": "SELECT video_id FROM videos WHERE video_id % 13 <> 5",
     "jobs": """SELECT o_orderkey AS job_id, o_custkey AS user_id, s AS status, o_orderdate AS created_at, b AS started_at, CASE WHEN o_orderkey % 23 <> 0 THEN b + to_minutes(7 + o_orderkey % 240) END AS completed_at,
         'uploads/' || o_orderkey % 5000 AS input_source, CASE WHEN o_orderkey % 11 = 0 THEN o_orderdate END AS sources_removed_at
       FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'failed' END AS s, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + to_minutes(o_orderkey % 60) END AS b FROM orders)""",

@@ -40,13 +40,25 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clips(spark: SparkSession, sf_dir: str, shift_ms: int = 0) -> DataFrame:
-    """Twelve clips for each video, but for some that have none; another run is the same shifted."""
+    """Twelve clips for each video, but for some that have none; another run is the same shifted. The
+    seventh of some begins three milliseconds after the sixth."""
     v, i = F.col("video_id"), F.col("i")
     rows = videos(spark, sf_dir).where("video_id % 11 <> 7").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(11)).cast("array<long>")))
-    start = (i * 41000 + v * 700) % 600000 + shift_ms
+    i_ = F.when((v % 5 == 2) & (i == 7), F.lit(6)).otherwise(i)
+    start = (i_ * 41000 + v * 700) % 600000 + shift_ms + 3 * (i - i_)
     return rows.select("video_id", i.alias("clip_no"), start.alias("start_ms"), (start + 45000 + (i * 7000) % 45000).alias("end_ms"), ((i * 37 + v * 11) % 1001).alias("score_pm"))
 
 
+def run_episodes(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
+    """The recordings that a run was made of: most of the set, each run without others; some have no clips."""
+    return videos(spark, sf_dir).where(F.col("video_id") % 13 != 5 + run)
+
+
+def run_clips(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
+    """A run's clips, those of its episodes; the second run's begin three seconds later."""
+    return clips(spark, sf_dir, 3000 * run).join(run_episodes(spark, sf_dir, run).hint("merge"), "video_id", "left_semi")
+
+
 def shorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three reference shorts for each video: montages and reordered ones among them."""
     v, s = F.col("video_id"), F.col("short_no")
@@ -60,7 +72,7 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, s, p = F.col("video_id"), F.col("short_no"), F.col("piece")
     rows = shorts(spark, sf_dir).select("video_id", "short_no").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), (v + s) % 3)))
     start = (v * 500 + s * 190000 + p * 23000) % 600000
-    return rows.select("video_id", "short_no", "piece", start.alias("source_start_ms"), (start + 9000 + (p * 4000 + v * 10) % 6000).alias("source_end_ms"), (((v + s) % 3 - p) * 15000).alias("short_start_ms"))
+    return rows.select("video_id", "short_no", "piece", start.alias("source_start_ms"), F.when((v + s) % 17 == 3, start).otherwise(start + 9000 + (p * 4000 + v * 10) % 6000).alias("source_end_ms"), (((v + s) % 3 - p) * 15000).alias("short_start_ms"))
 
 
 def interval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

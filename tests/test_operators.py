@@ -55,7 +55,7 @@ def test_shorts_of_recordings_without_clips_count(spark):
     best = evaluation.best_covering_clip(evaluation.coverage(clips, pieces), pieces.select("video_id", "short_no"))
     assert rows(best.orderBy("video_id")) == [(1, 0, 0, 900), (2, 0, None, 0)]
     found = evaluation.find_shorts(best)
-    total = evaluation.metrics(found, clips, clips.limit(0)).where("video_id is null").first()
+    total = evaluation.metrics(found, clips, clips.limit(0), found).where("video_id is null").first()
     assert (total["shorts"], total["hits"], total["hit_pm"]) == (2, 1, 500)
     assert rows(evaluation.missing_shorts(found)) == [(2, 0, 0, 1)]
 
@@ -126,6 +126,9 @@ def test_thinning_and_blocks(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "talk.json").write_text('[{"id": "seg_0001", "start": 0.5, "end": 2, "text": "Hi.", "language": "en"}]')
-    assert rows(transcripts.read_transcripts(spark, f"{tmp_path}/*.json")) == [("talk", 0, "seg_0001", 500, 2000, "Hi.", "en")]
+    (tmp_path / "words.json").write_text('[{"id": "a", "start": 1, "end": 2, "text": "x y", "words": [{"word": "x", "start": 1, "end": 1.5}, {"word": "y", "start": 1.5, "end": 2}]}, {"id": "b", "start": 2, "end": 3, "text": "z"}]')
+    got = rows(transcripts.read_transcripts(spark, f"{tmp_path}/*.json").orderBy("video", "ord"))
+    assert got[0] == ("talk", 0, "seg_0001", 500, 2000, "Hi.", "en", None)
+    assert [tuple(w) for w in got[1][7]] == [(1000, 1500, "x"), (1500, 2000, "y")] and got[2][7] is None
     lines = spark.createDataFrame([('{"event": "a", "job_id": 3, "k": 1}',), ("plain",), ("[1]",), (None,)], "value string")
     assert [(r["event"], r["extra"]) for r in transcripts.log_rows(lines).collect()] == [("a", {"k": "1"}), ("plain", {}), ("[1]", {}), (None, {})]
