@@ -29,7 +29,13 @@ BLOCK, EPSILON = 16, 2.1
 CHUNK, QUERIES = 8192, 2048
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which change no digit, so that the largest component is near 1 and squares stay finite."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
+    rows = scaled(rows)
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
@@ -108,7 +114,7 @@ def _matrix(rows: pd.Series) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """vectors, queries (vec_id, embedding; other columns are left out) -> query_id, rank (from 1), vec_id, score.
 
-    score is the cosine of the original vectors in double precision; ties go to the smaller vec_id. A
+    score is the cosine of the original vectors in double precision, finite for the smallest and largest components; ties go to the smaller vec_id. A
     vec_id is one query (of several rows the least vector) and none of its rows is its own neighbour; as
     candidates, rows with one vec_id stand each for itself. Unusable vectors (null, empty, zero, not finite, without
     an id) take no part, nor do those of another dimension than the vectors' most frequent one; with no
@@ -159,11 +165,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         out = []
         if len(rows) and len(asked):
             rows = rows.sort_values("vec_id")
-            ids, own = rows["vec_id"].to_numpy(), _matrix(rows["embedding"])
+            ids, own = rows["vec_id"].to_numpy(), scaled(_matrix(rows["embedding"]))
             length = np.sqrt((own * own).sum(axis=1))
             turn = rotation(own.shape[1])
             columns = np.ascontiguousarray((unit(own) @ turn.T).T)
-            queries = _matrix(asked["embedding"])
+            queries = scaled(_matrix(asked["embedding"]))
             turned = unit(queries) @ turn.T
             for q, vector, seen in zip(asked["vec_id"], queries, turned):
                 at = scan(columns, seen, k, ids == q)

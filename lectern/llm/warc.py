@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Headers of a 304 that replace stored ones; all other stored headers stay.
-UPDATES = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "set-cookie", "vary", "warning"]
+#: The headers that a 304 has in place of those of a 200 (RFC 9110, 15.4.5), and last-modified, which it
+#: may have without an ETag; they replace stored ones, all other stored headers stay.
+UPDATES = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
+#: Statuses of full responses with a body; a part (206) or an empty body (204, 205) answers no revisit.
+FULL = [200, 203]
 #: Query parameters that name a visit, not a document.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
 #: Length of the spans of time that a URL's records are divided into, in seconds, and records of a span from which
@@ -39,7 +42,7 @@ def resolve_revisits(records: DataFrame, span: int = SPAN, span_rows: int = SPAN
     """records (record_id, url, ts timestamp, status int, headers map<string,string>) -> one row for each
     revisit (status 304): record_id, url_key, ts, response_id, response_ts, outcome, headers.
 
-    The response is the latest full one (status 200 to 299) of the canonical URL strictly before the revisit;
+    The response is the latest full one (status in FULL) of the canonical URL strictly before the revisit;
     of responses at one time the largest record_id. outcome: resolved; no_response; no_validator (the
     revisit has neither ETag nor Last-Modified, or the response has not the one); changed (ETags differ
     by weak comparison, or without an ETag the Last-Modified dates differ). headers: of the response,
@@ -63,7 +66,7 @@ def resolve_revisits(records: DataFrame, span: int = SPAN, span_rows: int = SPAN
         "ts",
         "status",
         F.coalesce(lower, empty).alias("headers"),
-    ).where((F.col("status") == 304) | F.col("status").between(200, 299))
+    ).where((F.col("status") == 304) | F.col("status").isin(FULL))
     rows = materialize(rows, "records")
     full = F.col("status") != 304
     response = F.when(full, F.struct("ts", "record_id", F.map_entries("headers").alias("entries")))
@@ -131,6 +134,7 @@ def captures(pages: DataFrame) -> DataFrame:
     old = tag(html)
     rows = F.array(
         record(0, 200, first, F.col("url"), *body, F.lit("ETag"), old, *modified, *date(first)),
+        F.when(p % 6 == 0, record(1, 206, first + 1800, F.col("url"), F.lit("Content-Range"), F.lit("bytes 0-9/10"), F.lit("ETag"), old, *date(first))),
         F.when(p % 5 == 0, record(1, 200, again, F.col("url"), *body, F.lit("ETag"), tag(html, F.lit("2")), *modified, *date(again))),
         F.when(
             p % 3 == 0,
@@ -171,8 +175,9 @@ def _canonical_sql(url: str) -> str:
 OP9_SQL = f"""
 WITH p AS (SELECT page_id AS p, url, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
 full_responses AS (
-  SELECT p * 4 AS id, url, p * 60 AS s, '"' || md5(html) || '"' AS etag, p, html FROM p
-  UNION ALL SELECT p * 4 + 1, url, p * 60 + 40000, '"' || md5(html || '2') || '"', p, html FROM p WHERE p % 5 = 0),
+  SELECT p * 4 AS id, url, p * 60 AS s, '"' || md5(html) || '"' AS etag, p, html, 200 AS status FROM p
+  UNION ALL SELECT p * 4 + 1, url, p * 60 + 1800, '"' || md5(html) || '"', p, html, 206 FROM p WHERE p % 6 = 0
+  UNION ALL SELECT p * 4 + 1, url, p * 60 + 40000, '"' || md5(html || '2') || '"', p, html, 200 FROM p WHERE p % 5 = 0),
 revisits AS (
   SELECT p * 4 + 2 AS id, regexp_replace(url, '#.*$', '') || '#seen' AS url, p * 60 + 3600 + p % 7 * 20000 AS s,
     CASE WHEN p % 15 IN (3, 6) THEN NULL ELSE 'W/"' || md5(html) || '"' END AS etag,
@@ -183,7 +188,7 @@ revisits AS (
   UNION ALL
   SELECT p * 4 + 3, upper(array_to_string(string_split(url, '/')[1:3], '/')), p * 60 + 200000, '"' || md5(html) || '"', NULL, NULL, NULL
   FROM p WHERE p % 4 = 1),
-f AS (SELECT *, {_canonical_sql('url')} AS k FROM full_responses),
+f AS (SELECT *, {_canonical_sql('url')} AS k FROM full_responses WHERE status IN (200, 203)),
 r AS (SELECT *, {_canonical_sql('url')} AS k FROM revisits),
 found AS (
   SELECT r.*, f.id AS rid, f.s AS rs, f.etag AS retag, f.p AS rp, octet_length(encode(f.html)) AS rsize,

@@ -80,3 +80,21 @@ def test_recall_with_fewer_probes_than_lists(spark):
     want = brute(rows, [r for r in rows if r[0] % 50 == 0])
     hits = sum(r["vec_id"] in {i for i, _ in want[r["query_id"]]} for r in ann.search(df, df.where("vec_id % 50 = 0")).collect())
     assert hits >= 0.9 * 5 * len(want)
+
+
+def test_very_small_and_large_components(spark):
+    """Squares that underflow or overflow: the direction counts alone."""
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(20, 8)))]
+    times = lambda v, x: (np.array(v) * x).tolist()
+    plain = rows + [(50, rows[3][1]), (100, rows[4][1]), (150, rows[5][1])]
+    tiny = [round(c / 2**20) * 5e-324 for c in times(rows[5][1], 2.0**40)]
+    extreme = rows + [(50, times(rows[3][1], 1e-170)), (100, times(rows[4][1], 1e170)), (150, tiny)]
+    want = brute(plain, [r for r in plain if r[0] % 50 == 0])
+    df = spark.createDataFrame(extreme, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(want)
+    for q, found in want.items():
+        assert [i for i, _ in got[q]] == [i for i, _ in found] and np.allclose([s for _, s in got[q]], [s for _, s in found], rtol=0, atol=1e-5)

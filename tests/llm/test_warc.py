@@ -34,6 +34,14 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_parts_and_empty_bodies_answer_no_revisit(spark):
+    rows = [(k, "http://a.org/", 10 * k, status, {"etag": "x", "content-range": "bytes 0-1/9"}) for k, status in enumerate([203, 204, 205, 206, 207, 226, 304])]
+    rows += [(10, "http://b.org/", 1, 206, {"etag": "x"}), (11, "http://b.org/", 2, 304, {"etag": "x", "set-cookie": "s", "warning": "w"})]
+    df = spark.createDataFrame(rows, "record_id long, url string, s long, status int, headers map<string,string>").select("record_id", "url", F.timestamp_seconds("s").alias("ts"), "status", "headers")
+    got = {r["record_id"]: (r["response_id"], r["outcome"]) for r in warc.resolve_revisits(df).collect()}
+    assert got == {6: (0, "resolved"), 11: (None, "no_response")}
+
+
 @pytest.mark.parametrize("span_rows", [7, 100_000])
 def test_busy_urls_against_brute_force(spark, span_rows):
     """Spans of a day with many records are divided; repeated records and clashing columns change nothing."""
