@@ -6,25 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fold import fold, ordered
+from ..functions.fold import ordered, rank_of, walk
 
 
 def pack_blocks(segments: DataFrame, max_chars: int = 4000, key: str = "video_id") -> DataFrame:
     """(key, block_no from 0, first_ord, last_ord): segments until their stripped texts, nine characters
-    more for each, exceed the budget; at least one to a block."""
-    rows = ordered(segments.select(key, "ord", (F.length(F.trim("text")) + 9).alias("size")), [key], ["ord"], ["ord", "size"])
-
-    def step(acc: Column, e: Column) -> Column:
-        fits = acc["used"] + e["size"] <= max_chars
-        last = F.element_at(acc["out"], -1)
-        grown = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["first_ord"].alias("first_ord"), e["ord"].alias("last_ord"))))
-        fresh = F.concat(acc["out"], F.array(F.struct(e["ord"].alias("first_ord"), e["ord"].alias("last_ord"))))
-        going = fits & (F.size(acc["out"]) > 0)
-        return F.struct(F.when(going, acc["used"] + e["size"]).otherwise(e["size"]).alias("used"), F.when(going, grown).otherwise(fresh).alias("out"))
-
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<first_ord:bigint,last_ord:bigint>>").alias("out"))
-    out = rows.select(key, F.posexplode(fold(F.col("rows"), start, step, lambda acc: acc["out"])).alias("_i", "_b"))
-    return out.select(key, F.col("_i").cast("long").alias("block_no"), "_b.*")
+    more for each, exceed the budget; at least one to a block. Sums up to each segment give where a block that
+    begins there ends, and the blocks are a walk along these ends."""
+    used = F.sum(F.length(F.trim("text")) + 9).over(Window.partitionBy(key).orderBy("ord"))
+    sized = segments.select(key, "ord", used.alias("used"), (F.length(F.trim("text")) + 9).alias("size"))
+    rows = ordered(sized, [key], ["ord"], ["ord", "used", "size"]).withColumn("n", F.size("rows"))
+    upto = lambda i: F.get("rows", i)["used"]
+    ends = F.transform("rows", lambda e, i: F.greatest(i + 1, rank_of(F.col("n"), upto, e["used"] - e["size"] + max_chars)))
+    rows = rows.withColumn("starts", walk(ends, F.col("n")))
+    out = rows.select(key, "rows", "n", "starts", F.posexplode("starts").alias("_i", "_s"))
+    last = F.coalesce(F.get("starts", F.col("_i") + 1), F.col("n")) - 1
+    return out.select(key, F.col("_i").cast("long").alias("block_no"), F.get("rows", F.col("_s"))["ord"].alias("first_ord"), F.get("rows", last)["ord"].alias("last_ord"))
 
 
 def snap_to_segments(points: DataFrame, segments: DataFrame, key: str = "video_id") -> DataFrame:

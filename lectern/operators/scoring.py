@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fold import fold, ordered
+from ..functions.fold import first_above, fold, ordered, walk
 
 
 def extract_terms(segments: DataFrame, top_n: int = 50, key: str = "video_id") -> DataFrame:
@@ -75,33 +75,30 @@ def _half_even(a: Column, b: Column) -> Column:
 
 def merge_clips(scored: DataFrame, max_ms: int = 90_000, key: str = "video_id") -> DataFrame:
     """Neighbouring segments joined greedily while the clip stays within max_ms: the score is the largest,
-    sub-scores are halved pair by pair (half to even), tags united in order, self_contained only if all are."""
+    sub-scores are halved pair by pair (half to even), tags united in order, self_contained only if all are. Where the clip that begins at a segment would end is found by
+    a search; the clips are a walk along these ends, so that a recording takes time in proportion (but for a logarithm)."""
     measures = ["term_pm", "definition_pm", "rhetorical_pm", "self_pm"]
     columns = ["start_ms", "ord", "end_ms", "score_pm", *measures, "self_contained", "tags"]
-    rows = ordered(scored.select(key, *columns), [key], ["start_ms", "ord"], columns)
-
-    def fresh(e: Column) -> Column:
-        return F.struct(e["start_ms"].alias("start_ms"), e["end_ms"].alias("end_ms"), e["score_pm"].alias("score_pm"), *[e[m].alias(m) for m in measures], e["self_contained"].alias("self_contained"), e["tags"].alias("tags"), F.lit(1).cast("long").alias("n_segments"))
-
-    def joined(a: Column, e: Column) -> Column:
-        return F.struct(
-            F.least(a["start_ms"], e["start_ms"]).alias("start_ms"), F.greatest(a["end_ms"], e["end_ms"]).alias("end_ms"), F.greatest(a["score_pm"], e["score_pm"]).alias("score_pm"),
-            *[_half_even(a[m], e[m]).alias(m) for m in measures], (a["self_contained"] & e["self_contained"]).alias("self_contained"),
-            F.array_distinct(F.concat(a["tags"], e["tags"])).alias("tags"), (a["n_segments"] + 1).alias("n_segments"),
-        )
-
-    def step(acc: Column, e: Column) -> Column:
-        fits = F.greatest(acc["last"]["end_ms"], e["end_ms"]) - acc["last"]["start_ms"] <= max_ms
-        return F.struct(
-            F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))).alias("done"),
-            F.when(fits, joined(acc["last"], e)).otherwise(fresh(e)).alias("last"),
-        )
-
-    first = fresh(F.get("rows", F.lit(0)))
-    start = F.struct(F.slice(F.array(first), 1, 0).alias("done"), first.alias("last"))
-    clips = fold(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), start, step, lambda acc: F.concat(acc["done"], F.array(acc["last"])))
-    out = rows.select(key, F.posexplode(clips).alias("_i", "_c"))
-    return out.select(key, F.format_string("clip_%03d", F.col("_i") + 1).alias("clip_id"), "_c.*")
+    top = F.max("end_ms").over(Window.partitionBy(key).orderBy("start_ms", "ord"))
+    rows = ordered(scored.select(key, *columns, top.alias("top")), [key], ["start_ms", "ord"], [*columns, "top"]).withColumn("n", F.size("rows"))
+    n, at = F.col("n"), lambda c: lambda i: F.get("rows", i)[c]
+
+    def following(e: Column, i: Column) -> Column:
+        latest = e["start_ms"] + max_ms
+        return F.when(e["end_ms"] > latest, i + 1).otherwise(first_above(n, at("end_ms"), at("top"), i, latest))
+
+    rows = rows.withColumn("starts", walk(F.transform("rows", following), n))
+    rows = rows.select(key, "rows", "n", "starts", F.posexplode("starts").alias("_i", "_s"))
+    rows = rows.select(key, "_i", F.slice("rows", F.col("_s") + 1, F.coalesce(F.get("starts", F.col("_i") + 1), F.col("n")) - F.col("_s")).alias("g"))
+    one = F.get("g", F.lit(0))
+    start = F.struct(*[one[m].alias(m) for m in measures])
+    halved = fold(F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(0))), start, lambda a, e: F.struct(*[_half_even(a[m], e[m]).alias(m) for m in measures]))
+    rows = rows.withColumn("h", halved)
+    most = lambda c: F.array_max(F.transform("g", lambda e: e[c]))
+    return rows.select(
+        key, F.format_string("clip_%03d", F.col("_i") + 1).alias("clip_id"), one["start_ms"].alias("start_ms"), most("end_ms").alias("end_ms"), most("score_pm").alias("score_pm"), *[F.col("h")[m].alias(m) for m in measures],
+        F.forall("g", lambda e: e["self_contained"]).alias("self_contained"), F.array_distinct(F.flatten(F.transform("g", lambda e: e["tags"]))).alias("tags"), F.size("g").cast("long").alias("n_segments"),
+    )
 
 
 def duration_filter(clips: DataFrame, min_ms: int = 45_000, max_ms: int = 90_000) -> DataFrame:

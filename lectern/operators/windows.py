@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fold import fold, ordered
+from ..functions.fold import first_above, fold, ordered, walk
 from .scoring import last_answers
 
 SNAP_LINES = 4
@@ -21,24 +21,20 @@ def build_windows(segments: DataFrame, window_ms: int = 150_000, step_ms: int =
 
     A window takes segments while they end within window_ms of its start; the next one starts at the first
     segment step_ms later, but never past this one's end; the last one reaches the end of the transcript."""
-    rows = ordered(segments.select(key, "ord", "start_ms", "end_ms"), [key], ["ord"], ["ord", "start_ms", "end_ms"])
-    n = F.size("rows")
-
-    def step(acc: Column, e: Column) -> Column:
-        rest = F.slice(F.col("rows"), (e["ord"] + 2).cast("int"), n)
-        beyond = F.array_position(F.transform(rest, lambda x: x["end_ms"] - e["start_ms"] > window_ms), True)
-        later = F.array_position(F.transform(rest, lambda x: x["start_ms"] >= e["start_ms"] + step_ms), True)
-        last = F.when(beyond > 0, e["ord"] + beyond - 1).otherwise(_long(n - 1))
-        following = F.least(F.when(later > 0, e["ord"] + later).otherwise(_long(n)), last + 1)
-        made = F.struct(
-            F.when(last == n - 1, F.lit(-1).cast("long")).otherwise(following).alias("next"),
-            F.concat(acc["out"], F.array(F.struct(e["ord"].alias("first_ord"), last.alias("last_ord")))).alias("out"),
-        )
-        return F.when(e["ord"] == acc["next"], made).otherwise(acc)
-
-    start = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<struct<first_ord:bigint,last_ord:bigint>>").alias("out"))
-    out = rows.select(key, F.posexplode(fold(F.col("rows"), start, step, lambda acc: acc["out"])).alias("_i", "_w"))
-    return out.select(key, _long(F.col("_i") + 1).alias("window_no"), "_w.*")
+    upto = Window.partitionBy(key).orderBy("ord")
+    tops = segments.select(key, "ord", "start_ms", "end_ms", F.max("start_ms").over(upto).alias("top_start"), F.max("end_ms").over(upto).alias("top_end"))
+    rows = ordered(tops, [key], ["ord"], ["ord", "start_ms", "end_ms", "top_start", "top_end"]).withColumn("n", F.size("rows"))
+    n, at = F.col("n"), lambda c: lambda i: F.get("rows", i)[c]
+
+    def window(e: Column, i: Column) -> Column:
+        beyond = first_above(n, at("end_ms"), at("top_end"), i, e["start_ms"] + window_ms)
+        later = first_above(n, at("start_ms"), at("top_start"), i, e["start_ms"] + step_ms - 1)
+        return F.struct((beyond - 1).alias("last"), F.when(beyond >= n, n).otherwise(F.least(later, beyond)).alias("next"))
+
+    rows = rows.withColumn("made", F.transform("rows", window))
+    rows = rows.withColumn("starts", walk(F.transform("made", lambda m: m["next"]), n))
+    out = rows.select(key, "rows", "made", F.posexplode("starts").alias("_i", "_s"))
+    return out.select(key, _long(F.col("_i") + 1).alias("window_no"), F.get("rows", F.col("_s"))["ord"].alias("first_ord"), F.get("rows", F.get("made", F.col("_s"))["last"])["ord"].alias("last_ord"))
 
 
 def score_pm(hook: Column, complete: Column, value: Column) -> Column:
