@@ -35,20 +35,18 @@ _ENDS = ".,;:!?\n\x0b\x0c\r"
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """(lang, piece, m): the distinct pieces of each lang and how often they stand in docs. Null texts have none."""
+    """(lang, piece, m): the distinct pieces of each lang, words parted by one blank, and how often they stand in docs. Null
+    texts have none."""
     plain = F.translate("text", _UPPER + "\t" + _ENDS, _UPPER.lower() + " " + "\n" * len(_ENDS))
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(plain, "\n")).alias("piece"))
-    return rows.select("lang", F.trim("piece").alias("piece")).where("piece != ''").groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("m"))
-
-
-def _words() -> Column:
-    return F.filter(F.split("piece", " "), lambda w: w != "")
+    single = F.when(F.instr("piece", "  ") > 0, F.regexp_replace("piece", " +", " ")).otherwise(F.col("piece"))
+    return rows.select("lang", F.trim(single).alias("piece")).where("piece != ''").groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("m"))
 
 
 def vocabulary(parts: DataFrame) -> tuple[DataFrame, int]:
     """(w, lang, word, f, rows) for each word, and the seed that tells them all apart: f counts occurrences, rows
     those in distinct pieces."""
-    found = parts.select("lang", "m", F.explode(_words()).alias("word")).groupBy("lang", "word").agg(F.sum("m").alias("f"), F.count(F.lit(1)).alias("rows"))
+    found = parts.select("lang", "m", F.explode(F.split("piece", " ")).alias("word")).groupBy("lang", "word").agg(F.sum("m").alias("f"), F.count(F.lit(1)).alias("rows"))
     found = materialize(found, "words")
     seed = 0
     while True:
@@ -132,7 +130,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, length: int = LENG
         # Ids of rows in files that no longer change: the same in every attempt of a task.
         ids = store.session.read.schema(parts.schema).parquet(parts_path).withColumn("piece_id", F.monotonically_increasing_id())
         dealt = ids.select(F.col("piece_id").alias("piece"), "lang", "m", F.col("piece").alias("text")).repartition(store.buckets, "piece")
-        exploded = dealt.select("piece", "lang", "m", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("pos", "word"))
+        exploded = dealt.select("piece", "lang", "m", F.posexplode(F.split("text", " ")).alias("pos", "word"))
         relation = exploded.select("piece", "pos", _word_id(seed).alias("w1"), "m")
         relation = store.write(relation.withColumn("hot", F.col("w1").isin(hot) if hot else F.lit(False)))
         discard(spark, parts_path)
@@ -140,7 +138,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, length: int = LENG
             names = [f"w{i}" for i in range(1, k + 1)]
             longer = _extend(relation, k - 1)
             if k < length:
-                often = store.put(_supported(longer, names, support))
+                often = store.put(_counted(longer, names, support))
+                often = _without_rare_hot(often, names, support) if k == 2 else often
                 relation = store.write(often.repartition(store.buckets, "piece"))
                 store.drop()
                 groups = relation.groupBy(*names).agg(F.sum("m").alias("f"))
@@ -152,21 +151,24 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, length: int = LENG
     return words, lists
 
 
-def _supported(rows: DataFrame, names: list[str], support: int) -> DataFrame:
-    """rows whose group of words occurs often enough. Groups of hot words are counted by partial sums, and
-    fewer than HOT squared of them are broadcast; no other group has more than one of HOT rows, so these are
-    dealt by group, sorted, counted and filtered at once."""
+def _counted(rows: DataFrame, names: list[str], support: int) -> DataFrame:
+    """rows, but for those of groups of words that occur too rarely; the groups are dealt, sorted and counted. Groups of
+    two hot words stay as they are: no other group has more than one of HOT rows."""
     window = Window.partitionBy(*names)
 
-    def counted(df: DataFrame, hot: bool) -> DataFrame:
+    def often(df: DataFrame, hot: bool) -> DataFrame:
         found = df.drop("hot").withColumn("f", F.sum("m").over(window)).where(F.col("f") >= support).drop("f")
         return found.withColumn("hot", F.lit(hot)).select(*rows.columns)
 
-    cold = counted(rows.where("not hot"), False)
-    if len(names) > 2:
-        return cold.unionByName(counted(rows.where("hot"), True))
+    rare = rows.where("hot")
+    return often(rows.where("not hot"), False).unionByName(rare if len(names) == 2 else often(rare, True))
+
+
+def _without_rare_hot(rows: DataFrame, names: list[str], support: int) -> DataFrame:
+    """rows, but for those of groups of two hot words that occur too rarely: fewer than HOT squared groups, counted by
+    partial sums and broadcast."""
     often = rows.where("hot").groupBy(*names).agg(F.sum("m").alias("f")).where(F.col("f") >= support).drop("f")
-    return cold.unionByName(rows.where("hot").join(F.broadcast(often), names, "left_semi").select(*rows.columns))
+    return rows.where("not hot").unionByName(rows.where("hot").join(F.broadcast(often), names, "left_semi").select(*rows.columns))
 
 
 def _with(rows: DataFrame, values: DataFrame, keys: list[str], total: int) -> DataFrame:
