@@ -1,16 +1,18 @@
 """Camera paths: how a crop window follows a face over one shot, as folds over the shot's arrays.
 
-Positions are pixels, times milliseconds; the path has a point every GRID ms. A shot holds some hundred
-samples, so its arrays are small; shots are the unit of work."""
+Positions are pixels, times milliseconds; the path has a point every GRID ms at most. A shot holds some hundred
+samples, so its arrays are small; shots are the unit of work. Keyframes are found in rounds over a table of points."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fold import ordered
+from ..functions.fold import ordered, rank_of
+from ..streaming.job_state import shared_folder
 
 GRID = 100
 FACE_SIGMA, PATH_SIGMA = 0.5, 0.3
@@ -44,20 +46,18 @@ def running_median(a: Column, radius: Column) -> Column:
     return F.when((radius < 1) | (n < 3), a).otherwise(F.transform(_index(a), value))
 
 
-def on_grid(times: Column, values: Column, start: Column, steps: Column) -> Column:
-    """Values at start + GRID * k for k up to steps, linear between samples; times begin at start and steps end within
-    them. Each pair of samples gives the points between them, so the work grows with samples and points alone."""
-    place = lambda t: F.ceil((t - start) / GRID).cast("int")
+def on_grid(times: Column, values: Column, start: Column, end: Column, steps: Column) -> Column:
+    """Values at the ends of `steps` equal parts of start to end, linear between samples, held before the first and after
+    the last of them."""
+    n = F.size(times)
 
-    def piece(t0: Column, i: Column) -> Column:
-        t1, a, b = _at(times, i + 1), _at(values, i), _at(values, i + 1)
-        low, high = place(t0), F.least(place(t1) - 1, steps)
-        points = F.transform(F.sequence(low, high), lambda k: a + (b - a) * (start + GRID * k - t0) / (t1 - t0))
-        return F.when(t1.isNotNull() & (high >= low), points).otherwise(F.array().cast("array<double>"))
+    def value(k: Column) -> Column:
+        t = start + (end - start) * k.cast("double") / steps
+        i = rank_of(n, lambda x: F.get(times, x).cast("double"), t)
+        t0, t1, a, b = _at(times, i - 1), _at(times, i), _at(values, i - 1), _at(values, i)
+        return F.when(i == 0, _at(values, F.lit(0))).when(i == n, F.element_at(values, -1)).otherwise(a + (b - a) * (t - t0) / (t1 - t0))
 
-    last = F.element_at(times, -1)
-    end = F.when((last - start) % GRID == 0, F.array(F.element_at(values, -1))).otherwise(F.array().cast("array<double>"))
-    return F.concat(F.flatten(F.transform(times, piece)), end)
+    return F.transform(F.sequence(F.lit(0), steps), value)
 
 
 def gaussian(a: Column, sigma: float) -> Column:
@@ -119,12 +119,14 @@ def hold_between(a: Column, moving: Column, last: Column, last_back: Column) ->
     return F.transform(_index(a), value)
 
 
-def camera_paths(track: DataFrame, width: float, frame_width: float, share: float = 0.25, keys=("clip_id",)) -> DataFrame:
-    """track (keys, t_ms, cx double) -> keys, start_ms and path (array<double>, a point every GRID ms) for shots
-    that one still window does not fit: the face leaves the dead zone and the path is not pinned to an edge.
+def camera_paths(track: DataFrame, width: float, frame_width: float, share: float = 0.25, keys=("clip_id",), bounds: DataFrame | None = None) -> DataFrame:
+    """track (keys, t_ms, cx double) -> keys, start_ms, end_ms and path (array<double>: the ends of equal parts of start to
+    end, of GRID ms at most) for shots that one still window does not fit: the face leaves the dead zone and the
+    path is not pinned to an edge.
 
-    Still shots go before anything is laid on the grid. Each step is computed once for a shot: a
-    one-row generator stands between the steps."""
+    bounds (keys, start_ms, end_ms): where each shot begins and ends; without it, its first and last sample. Shots of
+    less than GRID ms have no path. Still shots go before anything is laid on the grid. Each step is computed
+    once for a shot: a one-row generator stands between the steps."""
     keys = list(keys)
     rows = ordered(track.select(*keys, "t_ms", F.col("cx").cast("double").alias("cx")), keys, ["t_ms"], ["t_ms", "cx"])
     rows = rows.select(*keys, F.col("rows.t_ms").alias("ts"), F.col("rows.cx").alias("xs"))
@@ -137,49 +139,58 @@ def camera_paths(track: DataFrame, width: float, frame_width: float, share: floa
     dead, still = F.lit(share * width), F.lit(SETTLE_SHARE * width)
     rows = then(rows, "targets", running_median(F.col("xs"), radius), "ts")
     rows = rows.where((F.size("ts") > 1) & (F.array_max("targets") - F.array_min("targets") > dead))
-    first, last = _at(F.col("ts"), F.lit(0)), F.element_at("ts", -1)
-    rows = rows.withColumn("start_ms", first).withColumn("steps", F.floor((last - first) / GRID).cast("int"))
-    rows = then(rows, "raw", on_grid(F.col("ts"), F.col("targets"), F.col("start_ms"), F.col("steps")), "start_ms")
-    rows = then(rows, "face", gaussian(F.col("raw"), FACE_SIGMA), "start_ms")
-    rows = then(rows, "ahead", moves(F.col("face"), dead, still), "start_ms", "face")
-    rows = then(rows, "back", F.reverse(moves(F.reverse("face"), dead, still)), "start_ms", "face", "ahead")
-    rows = then(rows, "moving", F.zip_with("ahead", "back", lambda p, q: p | q), "start_ms", "face")
-    rows = then(rows, "last", last_moves(F.col("moving")), "start_ms", "face", "moving")
-    rows = then(rows, "last_back", last_moves(F.reverse("moving")), "start_ms", "face", "moving", "last")
-    rows = then(rows, "held", hold_between(F.col("face"), F.col("moving"), F.col("last"), F.col("last_back")), "start_ms")
+    if bounds is None:
+        rows = rows.withColumn("start_ms", _at(F.col("ts"), F.lit(0))).withColumn("end_ms", F.element_at("ts", -1))
+    else:
+        rows = rows.join(bounds.select(*keys, "start_ms", "end_ms").hint("merge"), keys)
+    rows = rows.where(F.col("end_ms") - F.col("start_ms") >= GRID).withColumn("steps", F.ceil((F.col("end_ms") - F.col("start_ms")) / GRID).cast("int"))
+    rows = then(rows, "raw", on_grid(F.col("ts"), F.col("targets"), F.col("start_ms"), F.col("end_ms"), F.col("steps")), "start_ms", "end_ms")
+    rows = then(rows, "face", gaussian(F.col("raw"), FACE_SIGMA), "start_ms", "end_ms")
+    rows = then(rows, "ahead", moves(F.col("face"), dead, still), "start_ms", "end_ms", "face")
+    rows = then(rows, "back", F.reverse(moves(F.reverse("face"), dead, still)), "start_ms", "end_ms", "face", "ahead")
+    rows = then(rows, "moving", F.zip_with("ahead", "back", lambda p, q: p | q), "start_ms", "end_ms", "face")
+    rows = then(rows, "last", last_moves(F.col("moving")), "start_ms", "end_ms", "face", "moving")
+    rows = then(rows, "last_back", last_moves(F.reverse("moving")), "start_ms", "end_ms", "face", "moving", "last")
+    rows = then(rows, "held", hold_between(F.col("face"), F.col("moving"), F.col("last"), F.col("last_back")), "start_ms", "end_ms")
     low, high = width / 2, max(frame_width - width / 2, width / 2)
-    rows = then(rows, "smooth", gaussian(F.col("held"), PATH_SIGMA), "start_ms")
-    rows = then(rows, "path", F.transform("smooth", lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high))), "start_ms")
+    rows = then(rows, "smooth", gaussian(F.col("held"), PATH_SIGMA), "start_ms", "end_ms")
+    rows = then(rows, "path", F.transform("smooth", lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high))), "start_ms", "end_ms")
     return rows.where(F.array_max("path") - F.array_min("path") >= 1)
 
 
-def simplify(points: Column, tolerance: float) -> Column:
-    """The points (array of structs t, x) that a line through few of them needs to stay within tolerance of all: an
-    open span is divided at its farthest point (the earliest of equals) while that lies beyond tolerance."""
+def simplify(points: DataFrame, tolerance: float, keys=("clip_id",)) -> DataFrame:
+    """Of points (keys, i from 0, t, x) those that a line through few of them needs to stay within tolerance of all.
 
-    def step(acc: Column, _: Column) -> Column:
-        span = F.element_at(acc["open"], -1)
-        a, b = _at(points, span["lo"]), _at(points, span["hi"])
-        off = lambda p: F.abs(p["x"] - (a["x"] + (b["x"] - a["x"]) * (p["t"] - a["t"]) / (b["t"] - a["t"])))
-        inner = F.slice(points, span["lo"] + 2, F.greatest(span["hi"] - span["lo"] - 1, F.lit(0)))
-        worst = F.array_max(F.transform(inner, lambda p, k: F.struct(off(p).alias("off"), (-(span["lo"] + 1 + k)).alias("back"))))
-        rest = F.slice(acc["open"], 1, F.size(acc["open"]) - 1)
-
-        def divided(w: Column) -> Column:
-            far, at = F.coalesce(w["off"] > tolerance, F.lit(False)), -w["back"]
-            halves = F.array(F.struct(span["lo"].alias("lo"), at.alias("hi")), F.struct(at.alias("lo"), span["hi"].alias("hi")))
-            return F.struct(F.when(far, F.concat(rest, halves)).otherwise(rest).alias("open"), F.when(far, F.concat(acc["kept"], F.array(at))).otherwise(acc["kept"]).alias("kept"))
-
-        return F.when(F.size(acc["open"]) == 0, acc).otherwise(_at(F.transform(F.array(worst), divided), F.lit(0)))
-
-    whole = F.array(F.struct(F.lit(0).alias("lo"), (F.size(points) - 1).alias("hi")))
-    start = F.struct(whole.alias("open"), F.array(F.lit(0), F.size(points) - 1).alias("kept"))
-    kept = F.aggregate(F.sequence(F.lit(1), 2 * F.size(points)), start, step, lambda acc: F.array_sort(F.array_distinct(acc["kept"])))
-    return F.when(F.size(points) < 3, points).otherwise(F.transform(kept, lambda i: _at(points, i)))
+    In rounds over a table: every open span of every line finds its farthest point (the earliest of equals) in one
+    pass and is divided there while that lies beyond tolerance; points of spans that are done leave the table. A
+    round is written to the shared folder before the next, which reads no more than its open spans."""
+    keys = list(keys)
+    spark, base = points.sparkSession, shared_folder(points.sparkSession)
+    own = Window.partitionBy(*keys)
+    at_end = lambda f: f(F.struct("i", F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x"))).over(own)
+    rows = points.select(*keys, F.col("i").cast("long").alias("i"), "t", "x").withColumn("a", at_end(F.min)).withColumn("b", at_end(F.max))
+    rows.write.parquet(f"{base}/open-0")
+    rows = spark.read.parquet(f"{base}/open-0")
+    kept = [rows.where("i = a.i or i = b.i").select(*keys, "i", "t", "x")]
+    rows, done = rows.where("i > a.i and i < b.i"), 0
+    while True:
+        off = F.abs(F.col("x") - (F.col("a.x") + (F.col("b.x") - F.col("a.x")) * (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))))
+        far = F.max(F.struct("off", (-F.col("i")).alias("back"), F.struct("i", F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x")).alias("p"))).over(Window.partitionBy(*keys, "a.i"))
+        split = rows.withColumn("off", off).withColumn("far", far).where(F.col("far.off") > tolerance)
+        left = F.col("i") < F.col("far.p.i")
+        done += 1
+        split.select(*keys, "i", "t", "x", (F.col("i") == F.col("far.p.i")).alias("keep"), F.when(left, F.col("a")).otherwise(F.col("far.p")).alias("a"), F.when(left, F.col("far.p")).otherwise(F.col("b")).alias("b")).write.parquet(f"{base}/open-{done}")
+        found = spark.read.parquet(f"{base}/open-{done}")
+        if not found.head(1):
+            break
+        kept.append(found.where("keep").select(*keys, "i", "t", "x"))
+        rows = found.where("not keep").drop("keep")
+    return reduce(DataFrame.unionByName, kept)
 
 
 def keyframes(paths: DataFrame, tolerance: float = 0.5, keys=("clip_id",)) -> DataFrame:
     """camera_paths -> keys and keyframes, an array of (t_ms, cx rounded to tenths): few points, straight lines between."""
-    points = F.transform("path", lambda x, i: F.struct((F.col("start_ms") + GRID * i).alias("t"), x.alias("x")))
-    rows = paths.select(*keys, F.explode(F.array(points)).alias("points"))
-    return rows.select(*keys, F.transform(simplify(F.col("points"), tolerance), lambda p: F.struct(p["t"].alias("t_ms"), F.bround(p["x"], 1).alias("cx"))).alias("keyframes"))
+    at = F.col("start_ms") + (F.col("end_ms") - F.col("start_ms")) * F.col("i").cast("double") / (F.size("path") - 1)
+    points = paths.select(*keys, "start_ms", "end_ms", "path", F.posexplode("path").alias("i", "x")).select(*keys, "i", at.alias("t"), "x")
+    frame = F.struct(F.bround("t", 0).cast("long").alias("t_ms"), F.bround("x", 1).alias("cx"))
+    return simplify(points, tolerance, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(frame)).alias("keyframes"))
