@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fold import ordered, rank_of, walk
+from ..streaming.job_state import shared_folder
 
 
 def pack_blocks(segments: DataFrame, max_chars: int = 4000, key: str = "video_id") -> DataFrame:
@@ -24,6 +28,60 @@ def pack_blocks(segments: DataFrame, max_chars: int = 4000, key: str = "video_id
     return out.select(key, F.col("_i").cast("long").alias("block_no"), F.get("rows", F.col("_s"))["ord"].alias("first_ord"), F.get("rows", last)["ord"].alias("last_ord"))
 
 
+def chapters_in_blocks(segments: DataFrame, find: Callable[[DataFrame], DataFrame], max_chars: int = 4000, key: str = "video_id") -> DataFrame:
+    """(key, block_no, chapter_no, start_ms, title): chapters of transcripts that are asked for block by block.
+
+    find takes the segments of one block of every recording (key, block_no, ord, start_ms, end_ms, text, is_final) and returns
+    its answers (key, block_no, point_no, at_ms, title). The last of several chapters of a block that is not the
+    final one may go on behind it, so it is dropped and the next block begins at its first segment; a block of one chapter
+    is followed by what comes after it. A recording with a block without a usable chapter has no rows.
+
+    All recordings advance together, a round for each block of the longest, as a block begins where the answer
+    to the one before says. Rounds are written to the shared folder."""
+    spark, base = segments.sparkSession, shared_folder(segments.sparkSession)
+    order = Window.partitionBy(key).orderBy("ord")
+    size = F.length(F.trim("text")) + 9
+    sized = segments.select(key, "ord", "start_ms", "end_ms", "text", (F.row_number().over(order) - 1).alias("pos"), size.alias("size"), F.sum(size).over(order).alias("used"))
+    # How far a block goes that begins at a segment: what stands up to there, by a frame over the running sums.
+    span = Window.partitionBy(key).orderBy("begun").rangeBetween(Window.unboundedPreceding, max_chars)
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    whole = F.max("used").over(Window.partitionBy(key)) <= F.col("begun") + max_chars
+    sized = sized.withColumn("begun", F.col("used") - F.col("size")).withColumn("n", n)
+    sized = sized.withColumn("stop", F.when(whole, F.col("n")).otherwise(F.greatest(F.col("pos") + 1, F.count(F.lit(1)).over(span) - 1)))
+    sized.select(key, "ord", "start_ms", "end_ms", "text", "pos", "n", "stop").write.parquet(f"{base}/segments")
+    sized = spark.read.parquet(f"{base}/segments")
+    state, rounds, failed = sized.where("pos = 0").select(key, F.lit(0).alias("first")), 0, None
+    while state.head(1):
+        begin = state.join(sized.select(key, F.col("pos").alias("first"), "stop", "n").hint("merge"), [key, "first"])
+        begin = begin.select(F.col(key).alias("_k"), "first", F.col("stop").alias("_stop"), (F.col("stop") >= F.col("n")).alias("is_final"))
+        inside = sized.join(begin.hint("merge"), (F.col(key) == F.col("_k")) & (F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("_stop")))
+        inside = inside.select(key, F.lit(rounds).alias("block_no"), "ord", "start_ms", "end_ms", "text", "is_final", "pos", "first", "_stop")
+        inside.write.parquet(f"{base}/inside-{rounds}")
+        inside = spark.read.parquet(f"{base}/inside-{rounds}")
+        answers = find(inside.drop("pos", "first", "_stop")).select(key, "point_no", "at_ms", "title")
+        made = normalise_chapters(answers, inside, key)
+        back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("chapter_no")))
+        made = made.withColumn("_back", back).withColumn("_last", F.max("start_ms").over(Window.partitionBy(key)))
+        ends = inside.groupBy(key).agg(F.first("first").alias("first"), F.first("_stop").alias("_stop"), F.first("is_final").alias("is_final"))
+        at = inside.select(key, "start_ms", "pos").join(made.select(key, "_last").distinct().hint("merge"), key).where("start_ms >= _last").groupBy(key).agg(F.min("pos").alias("carried"))
+        ends = ends.join(at.hint("merge"), key, "left")
+        again = ~F.col("is_final") & (F.col("carried") > F.col("first"))
+        ends = ends.withColumn("again", F.coalesce(again, F.lit(False))).withColumn("next", F.when(F.col("carried").isNull(), -1).when(F.col("is_final"), -2).when(F.col("again"), F.col("carried")).otherwise(F.col("_stop")))
+        ends.write.parquet(f"{base}/ends-{rounds}")
+        ends = spark.read.parquet(f"{base}/ends-{rounds}")
+        kept = made.join(ends.select(key, "again").hint("merge"), key).where(~F.col("again") | (F.col("_back") > 1))
+        kept.select(key, F.lit(rounds).alias("block_no"), "chapter_no", "start_ms", "title").write.parquet(f"{base}/chapters/{rounds}")
+        none = ends.where("next = -1").select(key)
+        failed = none if failed is None else failed.union(none)
+        state, rounds = ends.where("next >= 0").select(key, F.col("next").alias("first")), rounds + 1
+    if not rounds:
+        return normalise_chapters(find(segments.limit(0).select(key, F.lit(0).alias("block_no"), "ord", "start_ms", "end_ms", "text", F.lit(True).alias("is_final"))), segments.limit(0), key).select(key, F.lit(0).alias("block_no"), "chapter_no", "start_ms", "title")
+    found = reduce(DataFrame.unionByName, [spark.read.parquet(f"{base}/chapters/{k}") for k in range(rounds)])
+    whole = found.join(failed.hint("merge"), key, "left_anti")
+    number = F.row_number().over(Window.partitionBy(key).orderBy("block_no", "chapter_no")) - 1
+    return whole.select(key, "block_no", number.cast("long").alias("chapter_no"), "start_ms", "title")
+
+
 def snap_to_segments(points: DataFrame, segments: DataFrame, key: str = "video_id") -> DataFrame:
     """points (key, point_no, at_ms) with start_ms, the nearest segment start; the earlier one on ties.
 

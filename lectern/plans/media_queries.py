@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
@@ -119,7 +120,15 @@ def _live_workers(s, d):
     return s.read.parquet(f"{base}/out").groupBy("worker").agg(F.max_by("state", "at_ms").alias("state"))
 
 
+def _sixths(block):
+    """Answers to a block: a chapter at its first segment and at every sixth one after it."""
+    first = F.min("ord").over(Window.partitionBy("video_id"))
+    rows = block.withColumn("_f", first).where((F.col("ord") - F.col("_f")) % 6 == 0)
+    return rows.select("video_id", "block_no", F.col("ord").alias("point_no"), F.col("start_ms").alias("at_ms"), F.concat(F.lit("Part "), "ord").alias("title"))
+
+
 QUERIES = {
+    "chapters_in_blocks": lambda s, d: C.chapters_in_blocks(V.segments(s, d), _sixths, 10_000),
     "blocks": lambda s, d: C.pack_blocks(V.segments(s, d)),
     "snapped_points": lambda s, d: C.snap_to_segments(_points(s, d), V.segments(s, d)),
     "chapters": lambda s, d: C.normalise_chapters(_points(s, d), V.segments(s, d)),
@@ -249,6 +258,14 @@ SQL = {
       UNION ALL SELECT DISTINCT video_id, NULL, NULL, NULL, 'no list of answers' FROM segments WHERE video_id % 5 = 3"""),
     "live_job_states": sql("""SELECT job_id, attempt, CASE WHEN e <> 'job_requeued' THEN stage END AS stage, CASE e WHEN 'job_requeued' THEN 'queued' WHEN 'job_completed' THEN 'completed' WHEN 'stage_failed' THEN 'failed' ELSE 'running' END AS status, CASE WHEN e <> 'job_requeued' THEN id END AS last_id
       FROM (SELECT job_id, count(*) FILTER (event_type = 'job_requeued') + 1 AS attempt, max_by(event_type, id) AS e, max_by(stage, id) AS stage, max(id) AS id FROM job_events GROUP BY job_id)"""),
+    "chapters_in_blocks": sql("""SELECT video_id, block_no, row_number() OVER (PARTITION BY video_id ORDER BY block_no, o) - 1 AS chapter_no, start_ms, 'Part ' || o AS title FROM (
+      SELECT video_id, block_no, unnest(range(idx, CASE WHEN carried THEN nxt ELSE stop END, 6)) AS o FROM (
+        SELECT *, nxt < stop AS carried FROM (SELECT *, CASE WHEN stop >= n OR idx + 6 * ((stop - 1 - idx) // 6) = idx THEN stop ELSE idx + 6 * ((stop - 1 - idx) // 6) END AS nxt FROM ch_walk)))
+      JOIN segments s USING (video_id) WHERE s.ord = o""", True,
+      ch_sizes="SELECT video_id, ord, sum(length(trim(text)) + 9) OVER (PARTITION BY video_id ORDER BY ord) AS used, length(trim(text)) + 9 AS sz, count(*) OVER (PARTITION BY video_id) AS n FROM segments",
+      ch_ends="SELECT video_id, idx, n, greatest(idx + 1, coalesce(m, n)) AS stop FROM (SELECT a.video_id, a.ord AS idx, a.n AS n, min(b.ord) AS m FROM ch_sizes a LEFT JOIN ch_sizes b ON a.video_id = b.video_id AND b.ord > a.ord AND b.used > a.used - a.sz + 10000 GROUP BY ALL)",
+      ch_walk="""SELECT video_id, idx, n, stop, 0 AS block_no FROM ch_ends WHERE idx = 0 UNION ALL
+        SELECT e.video_id, e.idx, e.n, e.stop, block_no + 1 FROM ch_walk w JOIN ch_ends e ON e.video_id = w.video_id AND e.idx = CASE WHEN w.idx + 6 * ((w.stop - 1 - w.idx) // 6) = w.idx THEN w.stop ELSE w.idx + 6 * ((w.stop - 1 - w.idx) // 6) END WHERE w.stop < w.n"""),
     "job_progress": sql(_PROGRESS_BODY, **_PROGRESS),
     "live_job_progress": sql(_PROGRESS_BODY, **_PROGRESS),
     "live_worker_states": sql("""SELECT worker, CASE WHEN epoch_us(latest) - 10000000 - epoch_us(ts) > 45000000 THEN 'not_responding' WHEN running THEN 'busy' ELSE 'idle' END AS state FROM (
