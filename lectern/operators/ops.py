@@ -37,12 +37,21 @@ def orphan_uploads(files: DataFrame, jobs: DataFrame, now: Column, hours: int =
     return old.join(jobs.select(F.col("input_source").alias("path")).hint("merge"), "path", "left_anti").select("path", "bytes")
 
 
-def cleanup_summary(removed: DataFrame, freed: DataFrame, files: DataFrame) -> DataFrame:
-    """One row: jobs cleaned, files and bytes freed, megabytes to two places (in hundredths)."""
-    taken = files.join(freed.select(F.col("input_source").alias("path")).hint("merge"), "path", "left_semi").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+def cleanup_summary(removed: DataFrame, freed: DataFrame, files: DataFrame, limit_gb: float = 50.0) -> DataFrame:
+    """One row: jobs cleaned, files and bytes freed, megabytes to two places (in hundredths); bytes of the upload folder
+    after that, gigabytes to two places (in hundredths), and whether they exceed limit_gb."""
+    freed_file = F.coalesce("_freed", F.lit(False))
+    named = freed.select(F.col("input_source").alias("path"), F.lit(True).alias("_freed")).distinct()
+    sums = files.join(named.hint("merge"), "path", "left").agg(
+        F.count_if(freed_file).alias("files"), F.coalesce(F.sum(F.when(freed_file, F.col("bytes"))), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(~freed_file, F.col("bytes"))), F.lit(0)).alias("uploads_bytes")
+    )
     n = removed.agg(F.count(F.lit(1)).alias("jobs_cleaned"))
-    both = n.select("jobs_cleaned", F.lit(0).alias("files"), F.lit(0).alias("bytes")).union(taken.select(F.lit(0), "files", "bytes"))  # two rows
-    return both.agg(*[F.sum(c).alias(c) for c in ("jobs_cleaned", "files", "bytes")]).select("jobs_cleaned", "files", "bytes", F.floor((F.col("bytes") * 100 + 524_288) / 1_048_576).alias("mb_hundredths"))
+    names = ["jobs_cleaned", "files", "bytes", "uploads_bytes"]
+    both = n.select("jobs_cleaned", *[F.lit(0).alias(c) for c in names[1:]]).union(sums.select(F.lit(0), *names[1:]))  # two rows
+    hundredths = lambda c, unit: F.floor((F.col(c) * 100 + unit // 2) / unit)
+    return both.agg(*[F.sum(c).alias(c) for c in names]).select(
+        *names[:3], hundredths("bytes", 1 << 20).alias("mb_hundredths"), "uploads_bytes", hundredths("uploads_bytes", 1 << 30).alias("uploads_gb_hundredths"), (F.col("uploads_bytes") > int(limit_gb * (1 << 30))).alias("over_limit")
+    )
 
 
 def job_page(jobs: DataFrame, user_id: int, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -204,7 +213,11 @@ def copyable(media: DataFrame, max_height: int = 1080) -> DataFrame:
     return media.withColumn("can_copy", F.coalesce(ok, F.lit(False)))
 
 
-def source_check(episodes: DataFrame, files: DataFrame) -> DataFrame:
-    """Listed files that are missing or of another size."""
-    rows = episodes.join(files.select(F.col("path"), F.col("bytes").alias("_bytes")).hint("merge"), "path", "left")
-    return rows.select("path", F.when(F.col("_bytes").isNull(), "missing").when(F.col("_bytes") != F.col("size_bytes"), "size").alias("problem")).where("problem is not null")
+def source_check(episodes: DataFrame, files: DataFrame, hashed: bool = False) -> DataFrame:
+    """(path, problem): listed files (path, size_bytes, and sha256 if hashed) that are missing, of another `size`, or of
+    another `sha256`. files: as of list_files; a listed file without a checksum has its size compared alone."""
+    have = files.select(F.col("path"), F.col("bytes").alias("_bytes"), *([F.col("sha256").alias("_sum")] if hashed else []))
+    rows = episodes.join(have.hint("merge"), "path", "left")
+    problem = F.when(F.col("_bytes").isNull(), "missing").when(F.col("_bytes") != F.col("size_bytes"), "size")
+    problem = problem.when(F.col("sha256") != F.col("_sum"), "sha256") if hashed else problem
+    return rows.select("path", problem.alias("problem")).where("problem is not null")

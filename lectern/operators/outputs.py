@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from ..functions import text as T
 
 
 def clip_json(clips: DataFrame, key: str = "video_id") -> DataFrame:
@@ -50,6 +56,45 @@ def reusable(keyed: DataFrame, rendered: DataFrame, keys=("video_id", "clip_no")
     return keyed.join(rendered.select(*keys, "render_key").hint("merge"), [*keys, "render_key"], "left_semi")
 
 
+def keyword_candidates(segments: DataFrame, key: str = "video_id") -> DataFrame:
+    """(key, term): the distinct words of two characters or more of each recording, and the pairs of such words that stand
+    next to each other."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
+    words = F.filter(T.tokens(F.array_join("_lines", " ")), lambda w: F.length(w) >= 2)
+    rows = segments.groupBy(key).agg(lines.alias("_lines")).withColumn("_w", words)
+    pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return rows.select(key, F.explode(F.array_distinct(F.concat("_w", pairs))).alias("term"))
+
+
+def embedded(texts: DataFrame, column: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:
+    """texts with `vector` (array<double>), what embed, a model of the caller, gives for lists of at most `batch` texts of
+    column. It runs in the workers, batch by batch, on Arrow data."""
+    names = texts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                vectors = pa.array([[float(x) for x in v] for v in embed(part.column(names.index(column)).to_pylist())], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=[*names, "vector"])
+
+    return texts.mapInArrow(run, StructType([*texts.schema.fields, StructField("vector", ArrayType(DoubleType()))]))
+
+
+def keywords(segments: DataFrame, embed: Callable[[list[str]], list[list[float]]], n: int = 10, key: str = "video_id") -> DataFrame:
+    """(key, term, rank): the candidates of each recording nearest by cosine to its whole text, as embed sees both. Each
+    distinct term is embedded once. Equal cosines go in order of the term; a zero vector has cosine 0."""
+    found = keyword_candidates(segments, key)
+    terms = embedded(found.select("term").distinct(), "term", embed).select(F.col("term").alias("_t"), F.col("vector").alias("_v"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
+    texts = embedded(segments.groupBy(key).agg(F.array_join(lines, " ").alias("_text")), "_text", embed).select(F.col(key).alias("_k"), F.col("vector").alias("_d"))
+    rows = found.join(terms.hint("merge"), F.col("term") == F.col("_t")).join(texts.hint("merge"), F.col(key) == F.col("_k"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cosine = F.coalesce(dot("_v", "_d") / F.nullif(F.sqrt(dot("_v", "_v") * dot("_d", "_d")), F.lit(0.0)), F.lit(0.0))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_cosine"), "term"))
+    return rows.select(key, "term", cosine.alias("_cosine")).withColumn("rank", rank).where(F.col("rank") <= n).select(key, "term", "rank")
+
+
 def nearest_terms(terms: DataFrame, vectors: DataFrame, n: int = 10, key: str = "video_id") -> DataFrame:
     """(key, term, rank): terms nearest by cosine to the sum of all term vectors of their recording.
 

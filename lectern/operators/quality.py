@@ -71,12 +71,18 @@ def artifact_rules(artifacts: DataFrame) -> DataFrame:
     return rows.select("video_id", "artifact", F.inline(F.array(*out)))
 
 
-def resume_plan(stages: list[tuple[int, str]], rules: DataFrame, key: str = "video_id") -> DataFrame:
-    """The first stage (number, artifact) of each video whose artifact is absent or breaks a rule."""
+def resume_plan(stages: list[tuple[int, str]], rules: DataFrame, videos: DataFrame | None = None, key: str = "video_id", force: bool = False) -> DataFrame:
+    """The first stage (number, artifact) of each video whose artifact is absent or breaks a rule.
+
+    videos (key): all there are, so that one without any artifact begins with the first stage; without it, those that rules
+    names. force: every video begins with the first stage."""
     each = rules.groupBy(key, "artifact").agg(F.bool_and("ok").alias("good"))
     good = each.groupBy(key).agg(F.collect_set(F.when(F.col("good"), F.col("artifact"))).alias("_good"))
+    good = good if videos is None else videos.select(key).distinct().join(good.hint("merge"), key, "left")
+    none = F.array().cast("array<string>")
     listed = F.array(*[F.struct(F.lit(n).alias("no"), F.lit(a).alias("artifact")) for n, a in sorted(stages)])
-    resume = F.get(F.filter(listed, lambda s: ~F.array_contains("_good", s["artifact"])), F.lit(0))["no"]
+    usable = none if force else F.coalesce("_good", none)
+    resume = F.get(F.filter(listed, lambda s: ~F.array_contains(usable, s["artifact"])), F.lit(0))["no"]
     return good.select(key, resume.alias("resume_from")).where("resume_from is not null")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -116,6 +116,14 @@ def score_filter(clips: DataFrame, min_pm: int = 450) -> DataFrame:
     return clips.where(F.col("score_pm") >= min_pm)
 
 
+def counted_score_filter(clips: DataFrame, min_pm: int = 450) -> tuple[DataFrame, Observation]:
+    """score_filter and an Observation, which holds the counts `before` and `after` once the result has been written or
+    counted; it costs no scan of its own."""
+    seen = Observation()
+    kept = F.count_if(F.coalesce(F.col("score_pm") >= min_pm, F.lit(False)))
+    return clips.observe(seen, F.count(F.lit(1)).alias("before"), kept.alias("after")).where(F.col("score_pm") >= min_pm), seen
+
+
 def top_clips(clips: DataFrame, n: int = 12, key: str = "video_id") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score_pm"), "start_ms"))
     return clips.withColumn("rank", rank).where(F.col("rank") <= n)

@@ -120,6 +120,14 @@ def _live_workers(s, d):
     return s.read.parquet(f"{base}/out").groupBy("worker").agg(F.max_by("state", "at_ms").alias("state"))
 
 
+def _styled(s, d):
+    """Documents in the four looks, by recording."""
+    lines = U.style_lines(U.style_table(s, {"box": {}})).union(U.older_style_lines(s))
+    looks = F.array(*[F.lit(x) for x in ("box", "default", "modern", "minimal")])
+    of_clip = V.clips(s, d).select("video_id", "clip_no", F.get(looks, (F.col("video_id") % 4).cast("int")).alias("style"))
+    return U.ass_documents(U.cues(_numbered(s, d)), lines, of_clip)
+
+
 def _sixths(block):
     """Answers to a block: a chapter at its first segment and at every sixth one after it."""
     first = F.min("ord").over(Window.partitionBy("video_id"))
@@ -144,7 +152,7 @@ QUERIES = {
     "clip_words": lambda s, d: U.words_in_clips(V.clips(s, d), U.word_times(V.segments(s, d))),
     "cues": lambda s, d: U.cues(_numbered(s, d)),
     "srt_documents": lambda s, d: U.srt_documents(U.cues(_numbered(s, d))),
-    "ass_documents": lambda s, d: U.ass_documents(U.cues(_numbered(s, d))),
+    "ass_documents": _styled,
     "sample_grid": lambda s, d: K.sample_grid(V.clips(s, d)),
     "best_faces": lambda s, d: K.best_faces(V.detections(s, d).union(V.detections(s, d).withColumn("conf_pm", F.col("conf_pm") - 50).withColumn("x", F.col("x") + 300)), 1600, 900, 700),
     "moving_average": lambda s, d: K.moving_average(V.detections(s, d)),
@@ -288,12 +296,16 @@ SQL["srt_documents"] = SQL["cues"].rsplit("SELECT * FROM cue_rows", 1)[0] + """S
   lpad((start_ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((start_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((start_ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((start_ms % 1000)::VARCHAR, 3, '0') AS a,
   lpad((end_ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((end_ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((end_ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((end_ms % 1000)::VARCHAR, 3, '0') AS b FROM cue_rows) GROUP BY ALL"""
 
-_STYLE = "Style: Default,Nimbus Mono PS,64,&H00FFFFFF,&H000000FF,&H404D4D4D,&H404D4D4D,-1,0,0,0,100,100,0,0,4,14.0,0,2,140,140,480,1"
+_LOOKS = [
+  "Style: Default,Nimbus Mono PS,64,&H00FFFFFF,&H000000FF,&H404D4D4D,&H404D4D4D,-1,0,0,0,100,100,0,0,4,14.0,0,2,140,140,480,1",
+  "Style: Default,Arial,48,&H00FFFFFF,&H000000FF,&H00000000,&H00000000,0,0,0,0,100,100,0,0,1,2,1,2,10,10,50,1",
+  "Style: Default,Arial,52,&H00FFFFFF,&H000000FF,&H00000000,&H80000000,1,0,0,0,100,100,0,0,3,0,0,2,20,20,60,1",
+  "Style: Default,Arial,40,&H00FFFFFF,&H000000FF,&H00000000,&H00000000,0,0,0,0,100,100,0,0,1,1,0,2,10,10,40,1"]
 _HEAD = ["[Script Info]", "Title: Subtitles", "ScriptType: v4.00+", "PlayResX: 1080", "PlayResY: 1920", "WrapStyle: 2", "ScaledBorderAndShadow: yes", "", "[V4+ Styles]",
-  "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding",
-  _STYLE, "", "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"]
+  "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"]
+_EVENTS = ["", "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"]
 _CLOCK = "({0} // 3600000) || ':' || lpad(({0} // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad(({0} // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad(({0} % 1000 // 10)::VARCHAR, 2, '0')"
-SQL["ass_documents"] = SQL["cues"].rsplit("SELECT * FROM cue_rows", 1)[0] + f"""SELECT video_id, clip_no, '{"' || chr(10) || '".join(_HEAD)}' || chr(10) || string_agg('Dialogue: 0,' || {_CLOCK.format("start_ms")} || ',' || {_CLOCK.format("end_ms")} || ',Default,,0,0,0,,' || replace(translate(text, '{{}}', '()'), chr(10), '\\N') || chr(10), '' ORDER BY ord, cue_no) AS document FROM cue_rows GROUP BY ALL"""
+SQL["ass_documents"] = SQL["cues"].rsplit("SELECT * FROM cue_rows", 1)[0] + f"""SELECT video_id, clip_no, '{"' || chr(10) || '".join(_HEAD)}' || chr(10) || [{", ".join(f"'{x}'" for x in _LOOKS)}][max(video_id) % 4 + 1] || chr(10) || '{"' || chr(10) || '".join(_EVENTS)}' || chr(10) || string_agg('Dialogue: 0,' || {_CLOCK.format("start_ms")} || ',' || {_CLOCK.format("end_ms")} || ',Default,,0,0,0,,' || replace(translate(text, '{{}}', '()'), chr(10), '\\N') || chr(10), '' ORDER BY ord, cue_no) AS document FROM cue_rows GROUP BY ALL"""
 
 
 def _camera(s, d):

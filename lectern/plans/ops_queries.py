@@ -68,7 +68,7 @@ QUERIES = {
     "expired_jobs": lambda s, d: _removed(s, d).select("job_id"),
     "freed_uploads": lambda s, d: O.freed_uploads(V.jobs(s, d), _removed(s, d)),
     "orphan_uploads": lambda s, d: O.orphan_uploads(V.files(s, d), V.jobs(s, d), F.lit("2001-08-10 00:00:00").cast("timestamp")),
-    "cleanup_summary": lambda s, d: O.cleanup_summary(_removed(s, d), O.freed_uploads(V.jobs(s, d), _removed(s, d)), V.files(s, d)),
+    "cleanup_summary": lambda s, d: O.cleanup_summary(_removed(s, d), O.freed_uploads(V.jobs(s, d), _removed(s, d)), V.files(s, d), 0.5),
     "job_page": lambda s, d: O.job_page(V.jobs(s, d), 7, 5, 1).select("job_id", "status", "total"),
     "dashboard": lambda s, d: O.dashboard(V.jobs(s, d)),
     "queue_state": lambda s, d: O.queue_state(V.jobs(s, d)),
@@ -92,7 +92,7 @@ QUERIES = {
     "transcript_complete": lambda s, d: Q.transcript_reaches_end(V.segments(s, d), _media(s, d)),
     "valid_chapters": lambda s, d: Q.valid_chapters(_chapters(s, d), _media(s, d)),
     "artifact_rules": lambda s, d: Q.artifact_rules(_artifacts(s, d)),
-    "resume_plan": lambda s, d: Q.resume_plan(STAGES, Q.artifact_rules(_artifacts(s, d))),
+    "resume_plan": lambda s, d: Q.resume_plan(STAGES, Q.artifact_rules(_artifacts(s, d).where("video_id % 17 <> 4")), V.videos(s, d)),
     "cache_plan": lambda s, d: Q.cache_plan(
         V.segments(s, d).select("video_id", "ord", Q.content_key(F.col("text"), F.lit("cfg1")).alias("cache_key")),
         V.segments(s, d).where("video_id % 2 = 0").select(Q.content_key(F.col("text"), F.lit("cfg1")).alias("cache_key")),
@@ -147,7 +147,7 @@ _RULES = {"rules": " UNION ALL ".join(
 SQL |= {
     "freed_uploads": sql("SELECT * FROM freed", **_GONE),
     "orphan_uploads": sql("SELECT path, bytes FROM files WHERE path NOT LIKE '%.part' AND mtime < TIMESTAMP '2001-08-10 00:00:00' - INTERVAL 24 HOUR AND path NOT IN (SELECT input_source FROM jobs)"),
-    "cleanup_summary": sql("SELECT (SELECT count(*) FROM gone) AS jobs_cleaned, count(*) AS files, coalesce(sum(bytes), 0)::BIGINT AS bytes, (coalesce(sum(bytes), 0) * 100 + 524288) // 1048576 AS mb_hundredths FROM files WHERE path IN (SELECT input_source FROM freed)", **_GONE).replace("AS mb_hundredths", "AS mb_hundredths"),
+    "cleanup_summary": sql("SELECT (SELECT count(*) FROM gone) AS jobs_cleaned, count(*) AS files, coalesce(sum(bytes), 0)::BIGINT AS bytes, (coalesce(sum(bytes), 0) * 100 + 524288) // 1048576 AS mb_hundredths, any_value(rest)::BIGINT AS uploads_bytes, (any_value(rest) * 100 + 536870912) // 1073741824 AS uploads_gb_hundredths, any_value(rest) > 536870912 AS over_limit FROM files, (SELECT coalesce(sum(bytes), 0) AS rest FROM files WHERE path NOT IN (SELECT input_source FROM freed)) WHERE path IN (SELECT input_source FROM freed)", **_GONE).replace("AS mb_hundredths", "AS mb_hundredths"),
     "current_attempt": sql("SELECT job_id, id, event_type, stage FROM now_events", **_ATT),
     "job_states": sql("""SELECT a.job_id, attempt, stage, CASE WHEN last_event IS NULL THEN 'queued' WHEN last_event = 'job_completed' THEN 'completed' WHEN last_event = 'stage_failed' THEN 'failed' ELSE 'running' END AS status, coalesce(n, 0) AS events, last_id
       FROM (SELECT job_id, count(*) FILTER (event_type = 'job_requeued') + 1 AS attempt FROM job_events GROUP BY job_id) a LEFT JOIN (SELECT job_id, max_by(stage, id) AS stage, max_by(event_type, id) AS last_event, count(*) AS n, max(id) AS last_id FROM now_events GROUP BY job_id) b USING (job_id)""", **_ATT),
@@ -155,5 +155,5 @@ SQL |= {
     "run_warnings": sql("""SELECT 'failed_jobs' AS kind, count(*) AS n FROM jobs WHERE status IN ('failed', 'cancelled') UNION ALL SELECT 'missing_jobs', count(*) FROM (SELECT DISTINCT job_id FROM job_events) WHERE job_id NOT IN (SELECT job_id FROM jobs)
       UNION ALL SELECT 'pending_reviews', count(*) FROM clips c LEFT JOIN reviews r ON c.video_id = r.video_id AND c.clip_no = r.clip_no AND coalesce(abs(c.start_ms - r.start_ms) <= 50, true) AND coalesce(abs(c.end_ms - r.end_ms) <= 50, true) WHERE coalesce(r.status, 'pending') = 'pending'"""),
     "artifact_rules": sql("SELECT * FROM rules", **_RULES),
-    "resume_plan": sql("SELECT video_id, min(list_position(['meta', 'transcript', 'scored', 'crop', 'manifest'], artifact) - 1)::INT AS resume_from FROM rules WHERE NOT ok GROUP BY video_id", **_RULES),
+    "resume_plan": sql("SELECT video_id, min(list_position(['meta', 'transcript', 'scored', 'crop', 'manifest'], artifact) - 1)::INT AS resume_from FROM rules WHERE NOT ok AND video_id % 17 <> 4 GROUP BY video_id UNION ALL SELECT video_id, 0 FROM videos WHERE video_id % 17 = 4", **_RULES),
 }

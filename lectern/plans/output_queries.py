@@ -35,7 +35,17 @@ def _blocks(s, d):
     return rows.select("video_id", "block_no", "chapter_no", (F.col("block_no") == last).alias("is_final"))
 
 
+def _keywords(s, d):
+    def digits(texts):  # a stand-in for a model, sent to the workers by value: eight digits of the MD5 of a text
+        from hashlib import md5
+
+        return [[int(c, 16) for c in md5(t.encode()).hexdigest()[:8]] for t in texts]
+
+    return P.keywords(V.segments(s, d), digits)
+
+
 QUERIES = {
+    "keywords": _keywords,
     "clip_records": lambda s, d: P.clip_json(V.clips(s, d).withColumn("clip_id", F.format_string("clip_%03d", F.col("clip_no") + 1))).select("video_id", "clip_id", F.get_json_object("json", "$.id").alias("id"), F.round(F.get_json_object("json", "$.start").cast("double") * 1000).cast("long").alias("start_ms")),
     "manifests": lambda s, d: P.manifest(V.clips(s, d)),
     "suggestion_texts": lambda s, d: P.suggestion_text(C.leading_suggestions(V.segments(s, d)), T.clock(F.col("start_ms"), F.lit(False))),
@@ -51,6 +61,12 @@ _WALK = {
     "listed": "SELECT DISTINCT video_id, block_no, max(block_no) OVER (PARTITION BY video_id) AS final FROM walk",
 }
 SQL = {
+    "keywords": sql("""SELECT video_id, term, rank FROM (
+      SELECT c.video_id, term, row_number() OVER (PARTITION BY c.video_id ORDER BY coalesce(dot / nullif(sqrt((a * b)::DOUBLE), 0), 0) DESC, term) AS rank FROM (
+        SELECT video_id, term, sum(x * y)::DOUBLE AS dot, sum(x * x)::DOUBLE AS a, sum(y * y)::DOUBLE AS b FROM (
+          SELECT video_id, term, ('0x' || substr(md5(term), i, 1))::BIGINT AS x, ('0x' || substr(md5(whole), i, 1))::BIGINT AS y FROM kw_terms, range(1, 9) t(i)) GROUP BY video_id, term) c) WHERE rank <= 10""",
+      kw_words="SELECT video_id, whole, list_filter(regexp_extract_all(lower(whole), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2) AS ws FROM (SELECT video_id, string_agg(text, ' ' ORDER BY ord) AS whole FROM segments GROUP BY video_id)",
+      kw_terms="SELECT DISTINCT video_id, whole, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM kw_words"),
     "clip_records": sql("SELECT video_id, 'clip_' || lpad((clip_no + 1)::VARCHAR, 3, '0') AS clip_id, 'clip_' || lpad((clip_no + 1)::VARCHAR, 3, '0') AS id, start_ms FROM clips"),
     "manifests": sql("SELECT video_id, count(*) AS n_clips, sum(end_ms - start_ms)::BIGINT AS total_ms, string_agg(clip_no::VARCHAR, ',' ORDER BY start_ms, clip_no) AS clips FROM clips GROUP BY video_id"),
     "suggestion_texts": sql("""SELECT video_id, string_agg(CASE WHEN x < 6000 THEN lpad((x // 60)::VARCHAR, 2, '0') ELSE (x // 60)::VARCHAR END || ':' || lpad((x % 60)::VARCHAR, 2, '0') || ' ' || CASE WHEN len(w) > 0 THEN 'Illustrative footage for: "' || array_to_string(w[1:6], ' ') || '" [' || array_to_string(w[1:3], ', ') || ']' ELSE 'Illustrative footage' END, chr(10) ORDER BY ord) AS text
