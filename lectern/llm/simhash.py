@@ -34,6 +34,8 @@ BANDS, BAND_ROWS = 24, 4
 #: Partners that a node of a longer run gets at first in each band; the run's order is another one in each. What
 #: that leaves apart is compared in blocks of about BLOCK_HASHES hashes and BLOCK_ROWS sets at most (crowd_links).
 PARTNERS, BLOCK_HASHES, BLOCK_ROWS = 48, 1 << 19, 1024
+#: Rows of a band key from which a hot one is divided.
+SPLIT_ROWS = 50_000
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: For a hash's eight bytes: which of the eight bits a byte value sets.
@@ -249,33 +251,59 @@ def shingle_set(text: str | None, width: int) -> tuple[int, np.ndarray]:
 
 def _candidate_runs(batches: Iterator[pa.RecordBatch], partners: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, node, n) sorted by key, a key's in a random order -> pairs (u, v) of nodes with a key in common whose
-    sizes allow a Jaccard similarity of 0.8. Longer runs than partners give each node its next ones and the run's first."""
-    rest = [np.empty(0, np.int64)] * 3
-
-    def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        size = np.diff(np.append(edge, len(key)))
-        first = np.repeat(edge, size)
-        far = np.flatnonzero(np.arange(len(key)) - first > partners)
-        left, right = [first[far]], [far]
-        for t in range(1, min(partners + 1, int(size.max(initial=0)))):
-            at = np.flatnonzero(key[t:] == key[:-t])
-            left.append(at)
-            right.append(at + t)
-        u, v = np.concatenate(left), np.concatenate(right)
-        ok = (np.minimum(n[u], n[v]) * 5 >= np.maximum(n[u], n[v]) * 4) & (node[u] != node[v])
-        return pa.RecordBatch.from_arrays([pa.array(node[u[ok]]), pa.array(node[v[ok]])], ["u", "v"])
+    sizes allow a Jaccard similarity of 0.8. Longer runs than partners give each node its next ones and the run's first.
+
+    Of what went before, the last `partners` rows and the first row of the open run are held, so a run of any length takes no
+    more memory than a batch and its pairs."""
+    tail = [np.empty(0, np.int64)] * 3
+    begun, head = 0, (0, 0)  # rows of the open run so far; its first node and size
+
+    def fitting(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray) -> pa.RecordBatch:
+        ok = (np.minimum(nu, nv) * 5 >= np.maximum(nu, nv) * 4) & (u != v)
+        return pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        key, node, n = (np.concatenate([r, b.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest))
-        cut = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
-        rest = [key[cut:], node[cut:], n[cut:]]
-        if cut:
-            yield pairs(key[:cut], node[:cut], n[:cut])
-    if len(rest[0]):
-        yield pairs(*rest)
+        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        old = len(tail[0])
+        key, node, n = (np.concatenate([r, x]) for r, x in zip(tail, new))
+        for t in range(1, partners + 1):
+            low = max(old - t, 0)  # the later row of a pair is new
+            if low + t >= len(key):
+                break
+            at = low + np.flatnonzero(key[low + t :] == key[low : len(key) - t])
+            if not len(at):
+                break
+            yield fitting(node[at], node[at + t], n[at], n[at + t])
+        goes_on = old > 0 and tail[0][-1] == new[0][0]
+        key, node, n = new
+        start = np.append(0, 1 + np.flatnonzero(key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        first, first_n, before = node[start].copy(), n[start].copy(), np.zeros(len(start), np.int64)
+        if goes_on:
+            first[0], first_n[0], before[0] = *head, begun
+        place = np.arange(len(key)) - np.repeat(start - before, size)  # of each row in its run
+        far = np.flatnonzero(place > partners)
+        if len(far):
+            run = np.repeat(np.arange(len(start)), size)[far]
+            yield fitting(first[run], node[far], first_n[run], n[far])
+        begun, head = int(place[-1]) + 1, (int(first[-1]), int(first_n[-1]))
+        tail = [np.concatenate([r, x])[-partners:] for r, x in zip(tail, new)]
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """(key, node, n) dealt and sorted by band key, a key's nodes in a random order. A key with over a thousandth of the rows
+    and over SPLIT_ROWS of them, of which there are fewer than a thousand, is divided into parts with keys of their own:
+    what its parts leave apart is crowd_links' to join."""
+    held = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    total = nodes.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    long = held.groupBy("key").count().where((F.col("count") > SPLIT_ROWS) & (F.col("count") * 1000 > total))
+    long = materialize(long.select("key", F.ceil(F.col("count") / SPLIT_ROWS).cast("int").alias("_parts")), "long-runs")
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("_parts"))
+    key = F.when(part > 0, F.xxhash64("key", part)).otherwise(F.col("key"))
+    rows = held.join(F.broadcast(long), "key", "left").select(key.alias("key"), "node", "n")
+    return rows.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
 
 
 def _similar_in_block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -373,7 +401,7 @@ def similar_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     nodes = prints.groupBy("node").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "sets")
     distinct, rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    dealt = nodes.select(F.explode("keys").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
+    dealt = _dealt(nodes)
     partners, block_hashes = PARTNERS, BLOCK_HASHES
     pairs = materialize(dealt.mapInArrow(lambda batches: _candidate_runs(batches, partners), "u long, v long").distinct(), "candidates")
     crowds = materialize(_crowds(nodes, partners), "crowds")

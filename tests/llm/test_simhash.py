@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from lectern.llm import components, simhash
@@ -188,3 +191,53 @@ def test_one_crowd_is_compared_whole(spark):
     root = {x["node"]: x["root"] for x in components.components(simhash.crowd_links(crowds, hashes, sure, 1 << 11)).collect()}
     want = brute_groups([set(x) for x in sets], lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
     assert [root.get(i, i) for i, _ in rows] == want and 30 < len(set(want)) < len(sets)
+
+
+def _pairs_of_runs(rows, partners):
+    out, runs = set(), {}
+    for key, node, n in rows:
+        runs.setdefault(key, []).append((node, n))
+    for run in runs.values():
+        for k, (v, nv) in enumerate(run):
+            near = run[max(0, k - partners) : k] + ([run[0]] if k > partners else [])
+            out |= {(u, v) for u, nu in near if min(nu, nv) * 5 >= max(nu, nv) * 4 and u != v}
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_runs_over_batches(size):
+    """Runs that go on over many batches give the pairs of one batch."""
+    r = random.Random(size)
+    rows, node = [], 0
+    for key, length in enumerate([1, 2, 5, 60, 3, 200, 1, 1, 40]):
+        for _ in range(length):
+            rows.append((key * 7 - 20, r.choice([node, r.randrange(50)]), r.choice([100, 110, 130])))
+            node += 1
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], ["key", "node", "n"]) for i in range(0, len(rows), size)]
+    got = [(u, v) for b in simhash._candidate_runs(iter(batches), 6) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert set(got) == _pairs_of_runs(rows, 6)
+
+
+def test_a_long_run_in_little_memory():
+    """3 x 10^5 sets in one band: what is held does not grow with the run."""
+
+    def batches():
+        for k in range(30):
+            ids = np.arange(k * 10_000, (k + 1) * 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(10_000, np.int64)), pa.array(ids), pa.array(np.full(10_000, 300))], ["key", "node", "n"])
+
+    tracemalloc.start()
+    n = sum(b.num_rows for b in simhash._candidate_runs(batches(), 48))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= 300_000 * 48 - 49 * 48 and most < 50e6
+
+
+def test_divided_runs_lose_no_link(spark, monkeypatch):
+    """A band of 120 sets in parts of 30: groups are those of one run."""
+    base = [f"w{i}" for i in range(80)]
+    df = spark.createDataFrame([(i, " ".join(base[:70] + [f"x{i % 40}y{k}" for k in range(8)] + base[70:])) for i in range(120)], "doc_id long, text string")
+    group = lambda: sorted((r["doc_id"], r["component"]["doc_id"]) for r in simhash.similar_copies(df).collect())
+    whole = group()
+    monkeypatch.setattr(simhash, "SPLIT_ROWS", 30)
+    assert group() == whole
