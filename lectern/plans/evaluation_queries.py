@@ -7,7 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..operators import report as R
 from ..sources import views as V
+from ..sources.files import written
 from .oracle import CTES, sql
 
 
@@ -55,6 +57,16 @@ def _rated(s, d):
     return V.interval_labels(s, d).withColumnRenamed("label", "status")
 
 
+def _report(s, d):
+    """The second run's report against the first."""
+    clips, before, after = V.run_clips(s, d, 1), written(_metrics(s, d, 0)), written(_metrics(s, d, 1))
+    counted = [written(_of_run(_counted(s, d, run), s, d, run)) for run in (0, 1)]
+    hooks = E.hook_checks(counted[1], clips, V.shorts(s, d), V.pieces(s, d)).join(V.shorts(s, d).select("video_id", "short_no", "reordered").hint("merge"), ["video_id", "short_no"])
+    labels, reviews = E.label_matches(clips, V.interval_labels(s, d)), E.review_counts(_of_run(V.reviews(s, d), s, d, 1), "video_id")
+    run = {"label": "second", "set": "talks", "app_version": "1", "git_commit": None, "created_at": "2024-01-01"}
+    return R.render_report(run, after, E.missing_shorts(counted[1]), hooks, labels, E.median_duration(clips), reviews, against=("first", E.compare_metrics(before, after), E.compare_runs(*counted)))
+
+
 _MATCHING = {
     "pairs": """SELECT video_id, pno, rno, iou, fine FROM (SELECT video_id, pno, rno, b * 1000 // (la + lb - b) AS iou, (b::HUGEINT * 1000000000000000000) // (la + lb - b) AS fine FROM (SELECT p.video_id, p.clip_no AS pno, r.clip_no AS rno, greatest(0, least(p.end_ms, r.end_ms) - greatest(p.start_ms, r.start_ms)) AS b,
         p.end_ms - p.start_ms AS la, r.end_ms - r.start_ms AS lb FROM clips p JOIN clips_b r ON p.video_id = r.video_id)) WHERE iou >= 300""",
@@ -88,6 +100,7 @@ QUERIES = {
     "hook_checks": lambda s, d: E.hook_checks(_of_run(_counted(s, d, 0), s, d), V.run_clips(s, d), V.shorts(s, d), V.pieces(s, d)),
     "run_metrics": _metrics,
     "compare_metrics": lambda s, d: E.compare_metrics(_metrics(s, d, 0), _metrics(s, d, 1)),
+    "run_report": _report,  # one text; a test holds it against a fixture
     "plain_shorts": lambda s, d: E.plain_shorts(V.shorts(s, d)).select("video_id", "short_no", "reordered"),
     "review_counts": lambda s, d: E.review_counts(V.reviews(s, d)),
     "median_clip_duration": lambda s, d: E.median_duration(V.clips(s, d)),
