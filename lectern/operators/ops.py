@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quality import terms_of_tags
+
 TERMINAL = ["completed", "failed", "cancelled"]
 
 #: Seconds of silence after which a worker does not respond.
@@ -102,8 +104,12 @@ def upsert_reviews(reviews: DataFrame, updates: DataFrame, keys=("video_id", "cl
 
 
 def review_queue(clips: DataFrame, reviews: DataFrame, keys=("video_id", "clip_no")) -> DataFrame:
+    """Clips with the band of their score and their review, `pending` without one; where clips have tags, with the first
+    three of the terms among them."""
     band = F.when(F.col("score_pm") >= 750, "high").when(F.col("score_pm") >= 550, "medium").otherwise("low")
-    return clips.join(reviews.select(*keys, "status").hint("merge"), list(keys), "left").select(*keys, band.alias("band"), F.coalesce("status", F.lit("pending")).alias("status"))
+    terms = [F.slice("terms", 1, 3).alias("terms")] if "tags" in clips.columns else []
+    clips = terms_of_tags(clips) if terms else clips
+    return clips.join(reviews.select(*keys, "status").hint("merge"), list(keys), "left").select(*keys, band.alias("band"), *terms, F.coalesce("status", F.lit("pending")).alias("status"))
 
 
 def current_attempt(events: DataFrame) -> DataFrame:

@@ -138,19 +138,35 @@ def window_strategy(segments: DataFrame, answers: DataFrame, **limits) -> DataFr
     return chosen.withColumn("clip_id", F.format_string("clip_%03d", "rank")).withColumn("self_contained", F.col("complete_pm") >= 600).withColumn("tags", tags)
 
 
-def with_fallback(chosen: DataFrame, heuristic: DataFrame, key: str = "video_id") -> DataFrame:
-    """Clips of the strategy, and for videos without any the heuristic ones."""
+def with_fallback(chosen: DataFrame, heuristic: DataFrame, verdicts: DataFrame | None = None, key: str = "video_id") -> DataFrame:
+    """Clips of the strategy; for videos without any, and for those whose run of the model was not valid (verdicts: as of
+    batch_verdict; a video without a verdict counts as valid), the heuristic ones."""
     columns = [key, "clip_id", "start_ms", "end_ms", "score_pm"]
+    if verdicts is not None:
+        chosen = chosen.join(verdicts.where(~F.col("valid")).select(key).hint("merge"), key, "left_anti")
     rest = heuristic.join(chosen.select(key).distinct().hint("merge"), key, "left_anti")
     return chosen.select(*columns, F.lit("windows").alias("origin")).union(rest.select(*columns, F.lit("heuristic").alias("origin")))
 
 
+def prompt_batches(prompts: DataFrame, template: str, size: int = 4, min_ms: int = 45_000, max_ms: int = 90_000, key: str = "video_id") -> DataFrame:
+    """(key, batch from 0, prompt): window_prompts in batches of `size`, parted by empty lines and filled into the template at
+    {{WINDOWS}}, with {{MIN_DURATION}} and {{MAX_DURATION}} in whole seconds."""
+    order = Window.partitionBy(key).orderBy("window_no")
+    rows = prompts.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("window_no", "prompt"))), lambda x: x["prompt"])
+    whole = rows.groupBy(key, "batch").agg(F.array_join(listed, "\n\n").alias("_w"))
+    filled = F.replace(F.lit(template), F.lit("{{WINDOWS}}"), F.col("_w"))
+    for name, ms in (("MIN", min_ms), ("MAX", max_ms)):
+        filled = F.replace(filled, F.lit("{{" + name + "_DURATION}}"), F.lit(str(ms // 1000)))
+    return whole.select(key, "batch", filled.alias("prompt"))
+
+
 def window_prompts(windows: DataFrame, segments: DataFrame, key: str = "video_id") -> DataFrame:
     """(key, window_no, prompt): a heading and a numbered line with its offset for each segment."""
     rows = windows.join(segments.hint("merge"), key).where(F.col("ord").between(F.col("first_ord"), F.col("last_ord")))
     base = F.first_value("start_ms").over(Window.partitionBy(key, "window_no").orderBy("ord"))
     rows = rows.withColumn("_offset", F.bround((F.col("start_ms") - base) / 1000, 0).cast("long"))
-    line = F.concat(F.lit("["), F.col("ord") - F.col("first_ord"), F.lit(" | "), F.col("_offset"), F.lit("s] "), F.col("text"))
+    line = F.concat(F.lit("["), F.col("ord") - F.col("first_ord"), F.lit(" | "), F.col("_offset"), F.lit("s] "), F.trim("text"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n")
     return rows.groupBy(key, "window_no").agg(body.alias("_b")).select(key, "window_no", F.concat(F.lit("### Window w_"), F.lpad(F.col("window_no").cast("string"), 3, "0"), F.lit("\n"), "_b").alias("prompt"))
 

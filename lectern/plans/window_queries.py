@@ -74,6 +74,16 @@ _CTE = {
     "selected": "SELECT q.*, row_number() OVER (PARTITION BY q.video_id ORDER BY q.place) AS rank FROM queue q JOIN pick p ON p.video_id = q.video_id AND p.place = q.place WHERE took",
 }
 
+_TEMPLATE = "Clips of {{MIN_DURATION}} to {{MAX_DURATION}} s:\n{{WINDOWS}}\nAnswer in JSON."
+
+
+def _outcomes(s, d):
+    """Four batches of each recording: three of some failed, one of others found no model."""
+    v, b = F.col("video_id"), F.col("batch")
+    rows = V.videos(s, d).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return rows.withColumn("outcome", F.when((v % 5 == 2) & (b < 3), "failed").when((v % 25 == 3) & (b == 1), "unavailable").when((v % 5 == 1) & (b < 2), "failed").otherwise("ok"))
+
+
 QUERIES = {
     "windows": lambda s, d: W.build_windows(V.segments(s, d)),
     "window_candidates": _cands,
@@ -81,7 +91,8 @@ QUERIES = {
     "padded_candidates": lambda s, d: W.pad_bounds(_fitted(s, d), V.segments(s, d)).select("video_id", "window_no", "start_ms", "end_ms"),
     "selected_clips": lambda s, d: W.select_clips(V.clips(s, d), 5, 200, tie="clip_no").select("video_id", "rank", "clip_no", "start_ms", "end_ms", "score_pm"),
     "window_strategy": lambda s, d: _joined(_strategy(s, d)).select("video_id", "clip_id", "start_ms", "end_ms", "score_pm", "self_contained", "tags"),
-    "window_or_heuristic_clips": lambda s, d: W.with_fallback(_strategy(s, d).where("video_id % 5 <> 2"), V.clips(s, d).withColumn("clip_id", F.format_string("clip_%03d", F.col("clip_no") + 1))).select("video_id", "clip_id", "start_ms", "end_ms", "score_pm", "origin"),
+    "window_or_heuristic_clips": lambda s, d: W.with_fallback(_strategy(s, d), V.clips(s, d).withColumn("clip_id", F.format_string("clip_%03d", F.col("clip_no") + 1)), S.batch_verdict(_outcomes(s, d))).select("video_id", "clip_id", "start_ms", "end_ms", "score_pm", "origin"),
+    "prompt_batches": lambda s, d: W.prompt_batches(W.window_prompts(W.build_windows(V.segments(s, d)), V.segments(s, d)), _TEMPLATE),
     "window_prompts": lambda s, d: W.window_prompts(W.build_windows(V.segments(s, d)), V.segments(s, d)),
 }
 
@@ -92,6 +103,9 @@ _OVERLAP_PICK = {
         LATERAL (SELECT len(chosen) < 5 AND len(list_filter(chosen, lambda c: least(q.end_ms, c.e) - greatest(q.start_ms, c.s) > 2000)) = 0 AS ok) z""",
 }
 
+_PROMPTS = """SELECT video_id, window_no, '### Window w_' || lpad(window_no::VARCHAR, 3, '0') || chr(10) || string_agg('[' || (ord - first_ord) || ' | ' || round_even((start_ms - base) / 1000, 0)::BIGINT || 's] ' || text, chr(10) ORDER BY ord) AS prompt
+      FROM (SELECT w.*, s.ord, s.start_ms, s.text, first_value(s.start_ms) OVER (PARTITION BY w.video_id, window_no ORDER BY s.ord) AS base FROM windows w JOIN segments s ON s.video_id = w.video_id AND s.ord BETWEEN first_ord AND last_ord) GROUP BY video_id, window_no"""
+
 SQL = {
     "windows": sql("SELECT * FROM windows", True, **_CTE),
     "window_candidates": sql("SELECT * FROM cands", True, **_CTE),
@@ -99,8 +113,9 @@ SQL = {
     "padded_candidates": sql("SELECT video_id, window_no, start_ms, end_ms FROM padded", True, **_CTE),
     "selected_clips": sql("SELECT q.video_id, row_number() OVER (PARTITION BY q.video_id ORDER BY q.place) AS rank, clip_no, start_ms, end_ms, score_pm FROM queue_c q JOIN pick_c p ON p.video_id = q.video_id AND p.place = q.place WHERE took", True, **_OVERLAP_PICK),
     "window_strategy": sql("SELECT video_id, 'clip_' || lpad(rank::VARCHAR, 3, '0') AS clip_id, start_ms, end_ms, score_pm, complete_pm >= 600 AS self_contained, concat_ws('|', 'llm_window', nullif(tags, '')) AS tags FROM selected", True, **_CTE),
-    "window_or_heuristic_clips": sql("""SELECT video_id, 'clip_' || lpad(rank::VARCHAR, 3, '0') AS clip_id, start_ms, end_ms, score_pm, 'windows' AS origin FROM selected WHERE video_id % 5 <> 2
-      UNION ALL SELECT video_id, 'clip_' || lpad((clip_no + 1)::VARCHAR, 3, '0'), start_ms, end_ms, score_pm, 'heuristic' FROM clips WHERE video_id % 5 = 2 OR video_id NOT IN (SELECT video_id FROM selected)""", True, **_CTE),
-    "window_prompts": sql("""SELECT video_id, window_no, '### Window w_' || lpad(window_no::VARCHAR, 3, '0') || chr(10) || string_agg('[' || (ord - first_ord) || ' | ' || round_even((start_ms - base) / 1000, 0)::BIGINT || 's] ' || text, chr(10) ORDER BY ord) AS prompt
-      FROM (SELECT w.*, s.ord, s.start_ms, s.text, first_value(s.start_ms) OVER (PARTITION BY w.video_id, window_no ORDER BY s.ord) AS base FROM windows w JOIN segments s ON s.video_id = w.video_id AND s.ord BETWEEN first_ord AND last_ord) GROUP BY video_id, window_no""", True, **_CTE),
+    "window_or_heuristic_clips": sql("""SELECT video_id, 'clip_' || lpad(rank::VARCHAR, 3, '0') AS clip_id, start_ms, end_ms, score_pm, 'windows' AS origin FROM selected WHERE video_id % 5 <> 2 AND video_id % 25 <> 3
+      UNION ALL SELECT video_id, 'clip_' || lpad((clip_no + 1)::VARCHAR, 3, '0'), start_ms, end_ms, score_pm, 'heuristic' FROM clips WHERE video_id % 5 = 2 OR video_id % 25 = 3 OR video_id NOT IN (SELECT video_id FROM selected)""", True, **_CTE),
+    "window_prompts": sql(_PROMPTS, True, **_CTE),
+    "prompt_batches": sql("""SELECT video_id, batch, 'Clips of 45 to 90 s:' || chr(10) || string_agg(prompt, chr(10) || chr(10) ORDER BY window_no) || chr(10) || 'Answer in JSON.' AS prompt
+      FROM (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY window_no) - 1) // 4 AS batch FROM wp) GROUP BY video_id, batch""", True, **_CTE, wp=_PROMPTS),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chapters, evaluation, quality, scoring, tracks, windows
+from lectern.operators import chapters, evaluation, ops, quality, scoring, tracks, windows
 from lectern.operators.answers import normalise_answers
 from lectern.sources import transcripts
 
@@ -132,3 +132,15 @@ def test_files(spark, tmp_path):
     assert [tuple(w) for w in got[1][7]] == [(1000, 1500, "x"), (1500, 2000, "y")] and got[2][7] is None
     lines = spark.createDataFrame([('{"event": "a", "job_id": 3, "k": 1}',), ("plain",), ("[1]",), (None,)], "value string")
     assert [(r["event"], r["extra"]) for r in transcripts.log_rows(lines).collect()] == [("a", {"k": "1"}), ("plain", {}), ("[1]", {}), (None, {})]
+
+
+def test_fallback_prompts_and_review_terms(spark):
+    chosen = spark.createDataFrame([(1, "clip_001", 0, 9, 800), (2, "clip_001", 0, 9, 800)], "video_id long, clip_id string, start_ms long, end_ms long, score_pm long")
+    other = chosen.union(spark.createDataFrame([(3, "clip_001", 0, 9, 100)], chosen.schema))
+    verdicts = spark.createDataFrame([(1, True), (2, False)], "video_id long, valid boolean")
+    assert rows(windows.with_fallback(chosen, other, verdicts).select("video_id", "origin").orderBy("video_id")) == [(1, "windows"), (2, "heuristic"), (3, "heuristic")]
+    prompts = spark.createDataFrame([(1, i, f"w{i}") for i in range(1, 4)], "video_id long, window_no long, prompt string")
+    assert rows(windows.prompt_batches(prompts, "{{MIN_DURATION}}-{{MAX_DURATION}}: {{WINDOWS}}.", 2, 30_500, 60_000).orderBy("batch")) == [(1, 0, "30-60: w1\n\nw2."), (1, 1, "30-60: w3.")]
+    clips = spark.createDataFrame([(1, 0, 760, ["terms:a,b,c,d", "x"]), (1, 1, 600, [])], "video_id long, clip_no long, score_pm long, tags array<string>")
+    reviews = spark.createDataFrame([(1, 1, "keep")], "video_id long, clip_no long, status string")
+    assert rows(ops.review_queue(clips, reviews).orderBy("clip_no")) == [(1, 0, "high", ["a", "b", "c"], "pending"), (1, 1, "medium", [], "keep")]
