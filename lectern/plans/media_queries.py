@@ -30,8 +30,8 @@ def _media(s, d):
     return V.segments(s, d).groupBy("video_id").agg(F.max("end_ms").alias("duration_ms"))
 
 
-def _numbered(s, d):
-    return U.cue_numbers(U.words_in_clips(V.clips(s, d), U.word_times(V.segments(s, d))))
+def _cues(s, d):
+    return U.clip_cues(V.clips(s, d), V.segments(s, d))
 
 
 def _off_grid(s, d):
@@ -125,7 +125,7 @@ def _styled(s, d):
     lines = U.style_lines(U.style_table(s, {"box": {}})).union(U.older_style_lines(s))
     looks = F.array(*[F.lit(x) for x in ("box", "default", "modern", "minimal")])
     of_clip = V.clips(s, d).select("video_id", "clip_no", F.get(looks, (F.col("video_id") % 4).cast("int")).alias("style"))
-    return U.ass_documents(U.cues(_numbered(s, d)), lines, of_clip)
+    return U.ass_documents(_cues(s, d), lines, of_clip)
 
 
 def _sixths(block):
@@ -150,8 +150,8 @@ QUERIES = {
     "suggestions_in_bounds": lambda s, d: C.suggestions_in_bounds(_points(s, d), _media(s, d)).select("video_id", "point_no"),
     "word_times": lambda s, d: U.word_times(V.segments(s, d)),
     "clip_words": lambda s, d: U.words_in_clips(V.clips(s, d), U.word_times(V.segments(s, d))),
-    "cues": lambda s, d: U.cues(_numbered(s, d)),
-    "srt_documents": lambda s, d: U.srt_documents(U.cues(_numbered(s, d))),
+    "cues": _cues,
+    "srt_documents": lambda s, d: U.srt_documents(_cues(s, d)),
     "ass_documents": _styled,
     "sample_grid": lambda s, d: K.sample_grid(V.clips(s, d)),
     "best_faces": lambda s, d: K.best_faces(V.detections(s, d).union(V.detections(s, d).withColumn("conf_pm", F.col("conf_pm") - 50).withColumn("x", F.col("x") + 300)), 1600, 900, 700),

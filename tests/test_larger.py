@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 
+from lectern.operators import cues as U
 from lectern.plans import ops_queries
 
 
@@ -15,3 +18,30 @@ def test_cleanup_summary_where_nothing_is_freed(spark, tmp_path):
     got = ops_queries.QUERIES["cleanup_summary"](spark, str(tmp_path)).first()
     want = con.execute(ops_queries.SQL["cleanup_summary"]).fetchone()
     assert tuple(got) == want == (1, 0, 0, 0, 1037, 0, False)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_timed_in_their_rows(spark):
+    segments = spark.createDataFrame([(1, 0, 0, 1000, "aa bbb\nc")], "video_id long, ord long, start_ms long, end_ms long, text string")
+    plan = _plan(U.word_times(segments))
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+
+
+def test_cues_of_clips_are_those_of_words(spark):
+    """clip_cues against its three steps, with line breaks, cut clips, sentence ends and short tails."""
+    r = random.Random(5)
+    rows, at = [], 0
+    for i in range(120):
+        text = " ".join("".join(r.choices("abcdé", k=r.randrange(1, 12))) + r.choice(["", "", "", ".", "!", "\n", ' "']) for _ in range(r.randrange(1, 40)))
+        rows.append((i % 3, i, at, at + 3000, text))
+        at += 1000
+    segments = spark.createDataFrame(rows, "video_id long, ord long, start_ms long, end_ms long, text string")
+    clips = spark.createDataFrame([(v, k, 17_000 * k + 1234, 17_000 * k + 30_000) for v in range(4) for k in range(8)], "video_id long, clip_no long, start_ms long, end_ms long")
+    want = U.cues(U.cue_numbers(U.words_in_clips(clips, U.word_times(segments))))
+    got = U.clip_cues(clips, segments)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.where("cue_no > 1").count() > 50
+    plan = _plan(U.clip_cues(clips, segments))
+    assert plan.count("Exchange") == 2 and "Window" not in plan
