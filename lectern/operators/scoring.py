@@ -12,9 +12,12 @@ from ..functions.fold import first_above, fold, ordered, walk
 def extract_terms(segments: DataFrame, top_n: int = 50, key: str = "video_id") -> DataFrame:
     """(key, term, weight, rank): words of more than three letters that are no stop words, by count times
     length; ties by first occurrence. Long videos are combined before the shuffle."""
-    words = segments.select(key, "ord", F.posexplode(T.tokens(F.col("text"))).alias("pos", "term"))
-    words = words.where((F.length("term") > 3) & ~F.col("term").isin(T.STOP_WORDS))
-    counted = words.groupBy(key, "term").agg((F.count(F.lit(1)) * F.length("term")).alias("weight"), F.min(F.struct("ord", "pos")).alias("first"))
+    wanted = lambda w: (F.length(w) > 3) & ~w.isin([x for x in T.STOP_WORDS if len(x) > 3])
+    words = segments.select(key, "ord", F.posexplode(F.filter(T.tokens(F.col("text")), wanted)).alias("pos", "term"))
+    # One number for the place, so that counts and places are kept in a hash table and nothing is sorted by term.
+    place = F.shiftleft(F.col("ord").cast("long"), 31) + F.col("pos")
+    counted = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    counted = counted.select(key, "term", (F.col("n") * F.length("term")).alias("weight"), "first")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "first"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= top_n).select(key, "term", "weight", "rank")
 
@@ -25,12 +28,13 @@ def score_segments(segments: DataFrame, terms: DataFrame, key: str = "video_id")
     Weights 30, 35, 15 and 20 percent. Terms count where they occur as part of the text."""
     listed = terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_t")).select(F.col(key).alias("_k"), F.col("_t.term").alias("_terms"))
     rows = segments.join(listed.hint("merge"), F.col(key) == F.col("_k"), "left")
-    t = F.col("text")
-    found = F.filter(F.coalesce("_terms", F.array().cast("array<string>")), lambda x: F.contains(F.lower(t), x))
-    rows = rows.withColumn("_words", T.tokens(t)).withColumn("_found", found).withColumn("_w", T.word_count(t))
+    t, lower, words, russian = F.col("text"), F.col("_lower"), F.col("_words"), F.col("_russian")
+    # What several measures need is one column, made once for a segment: a projection that is used twice is not merged away.
+    rows = rows.withColumn("_lower", F.lower(t)).withColumn("_words", T.words(lower)).withColumn("_russian", T.is_russian(t))
+    rows = rows.withColumn("_found", F.filter(F.coalesce("_terms", F.array().cast("array<string>")), lambda x: F.contains(lower, x))).withColumn("_w", T.word_count(t))
     rows = rows.select(
-        *segments.columns, "_found", F.col("_w").cast("long").alias("_w"), F.size("_found").cast("long").alias("_f"), T.definition_quarters(t, F.col("_words")).cast("long").alias("_d"),
-        T.rhetorical_hundredths(t, F.col("_words")).cast("long").alias("_r"), T.pronoun_count(t, F.col("_words")).cast("long").alias("_p"),
+        *segments.columns, "_found", F.col("_w").cast("long").alias("_w"), F.size("_found").cast("long").alias("_f"), T.definition_quarters(lower, words, russian).cast("long").alias("_d"),
+        T.rhetorical_hundredths(lower, words, russian).cast("long").alias("_r"), T.pronoun_count(words, russian).cast("long").alias("_p"),
     )
     w, p, hits = F.col("_w"), F.col("_p"), F.least(F.col("_w"), 10 * F.col("_f"))
     self600 = F.when(p * 20 < w, 1200 * w).when(p * 5 > w, 0).otherwise(1600 * (w - 5 * p))  # 1200 w stands for 1

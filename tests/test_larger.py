@@ -7,6 +7,7 @@ import random
 import duckdb
 
 from lectern.operators import cues as U
+from lectern.operators import scoring as S
 from lectern.plans import ops_queries
 
 
@@ -45,3 +46,11 @@ def test_cues_of_clips_are_those_of_words(spark):
     assert sorted(got.collect()) == sorted(want.collect()) and got.where("cue_no > 1").count() > 50
     plan = _plan(U.clip_cues(clips, segments))
     assert plan.count("Exchange") == 2 and "Window" not in plan
+
+
+def test_terms_are_counted_without_a_sort_by_term(spark):
+    """Counts and first places are kept in hash tables; ties go by the first place, in whatever segment."""
+    segments = spark.createDataFrame([(1, 1, "beta gamma delta"), (1, 0, "gamma that alpha"), (2, 70_000, "zeta zeta"), (2, 69_999, "iotas the abc")], "video_id long, ord int, text string")
+    got = [tuple(r) for r in S.extract_terms(segments, 4).orderBy("video_id", "rank").collect()]
+    assert got == [(1, "gamma", 10, 1), (1, "alpha", 5, 2), (1, "delta", 5, 3), (1, "that", 4, 4), (2, "zeta", 8, 1), (2, "iotas", 5, 2)]
+    assert "SortAggregate" not in _plan(S.extract_terms(segments, 4))
