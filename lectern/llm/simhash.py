@@ -6,8 +6,8 @@ consecutive segments within its share: floor(4 l / 5) = 0, 1, 2, 3, 4 bits. Cand
 by the first two links of that chain (one equal segment, the next within one bit), then the longer
 chains are checked, and only what is left is compared in full.
 
-Four bits miss most pairs of a Jaccard similarity of 0.8, so the pipeline's stage (keep_first) finds its
-candidates by bands of least shingle hashes and confirms each on the exact sets."""
+The pipeline's stage (keep_first) takes these links first and confirms each on the exact sets. Four bits miss most
+pairs of a Jaccard similarity of 0.8, so bands of least shingle hashes then bring together what the fingerprints leave apart."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_skewed, materialize
+from .common import freed, join_skewed, materialize
 from .components import components
 
 SEED = 42
@@ -62,7 +62,10 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """SimHash of width-word shingles with repeats; 0 without words."""
-    hashes = shingle_hashes(text, width)
+    return _majority(shingle_hashes(text, width))
+
+
+def _majority(hashes: np.ndarray) -> int:
     n = len(hashes)
     if not n:
         return 0
@@ -245,29 +248,35 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, width: int) -> tuple[int, np.ndarray]:
     """A name of the set of shingles of text (equal sets, equal names; 0 without words), and the set."""
-    hashes = np.unique(shingle_hashes(text, width))
+    return _named_set(shingle_hashes(text, width))
+
+
+def _named_set(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    hashes = np.unique(hashes)
     return (xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0), hashes
 
 
 def _candidate_runs(batches: Iterator[pa.RecordBatch], partners: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, node, n) sorted by key, a key's in a random order -> pairs (u, v) of nodes with a key in common whose
     sizes allow a Jaccard similarity of 0.8. Longer runs than partners give each node its next ones and the run's first.
+    A fourth column, near, names groups that are linked already: within one no pair is given.
 
     Of what went before, the last `partners` rows and the first row of the open run are held, so a run of any length takes no
     more memory than a batch and its pairs."""
-    tail = [np.empty(0, np.int64)] * 3
-    begun, head = 0, (0, 0)  # rows of the open run so far; its first node and size
+    tail = [np.empty(0, np.int64)] * 4
+    begun, head = 0, (0, 0, 0)  # rows of the open run so far; its first node, size and group
 
-    def fitting(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray) -> pa.RecordBatch:
-        ok = (np.minimum(nu, nv) * 5 >= np.maximum(nu, nv) * 4) & (u != v)
+    def fitting(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, gu: np.ndarray, gv: np.ndarray) -> pa.RecordBatch:
+        ok = (np.minimum(nu, nv) * 5 >= np.maximum(nu, nv) * 4) & (u != v) & (gu != gv)
         return pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        new = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, min(3, b.num_columns - 1))]
+        new[3] = new[3] if b.num_columns > 3 else new[1]  # without groups each node is its own
         old = len(tail[0])
-        key, node, n = (np.concatenate([r, x]) for r, x in zip(tail, new))
+        key, node, n, near = (np.concatenate([r, x]) for r, x in zip(tail, new))
         for t in range(1, partners + 1):
             low = max(old - t, 0)  # the later row of a pair is new
             if low + t >= len(key):
@@ -275,34 +284,34 @@ def _candidate_runs(batches: Iterator[pa.RecordBatch], partners: int) -> Iterato
             at = low + np.flatnonzero(key[low + t :] == key[low : len(key) - t])
             if not len(at):
                 break
-            yield fitting(node[at], node[at + t], n[at], n[at + t])
+            yield fitting(node[at], node[at + t], n[at], n[at + t], near[at], near[at + t])
         goes_on = old > 0 and tail[0][-1] == new[0][0]
-        key, node, n = new
+        key, node, n, near = new
         start = np.append(0, 1 + np.flatnonzero(key[1:] != key[:-1]))
         size = np.diff(np.append(start, len(key)))
-        first, first_n, before = node[start].copy(), n[start].copy(), np.zeros(len(start), np.int64)
+        first, first_n, first_near, before = node[start].copy(), n[start].copy(), near[start].copy(), np.zeros(len(start), np.int64)
         if goes_on:
-            first[0], first_n[0], before[0] = *head, begun
+            first[0], first_n[0], first_near[0], before[0] = *head, begun
         place = np.arange(len(key)) - np.repeat(start - before, size)  # of each row in its run
         far = np.flatnonzero(place > partners)
         if len(far):
             run = np.repeat(np.arange(len(start)), size)[far]
-            yield fitting(first[run], node[far], first_n[run], n[far])
-        begun, head = int(place[-1]) + 1, (int(first[-1]), int(first_n[-1]))
+            yield fitting(first[run], node[far], first_n[run], n[far], first_near[run], near[far])
+        begun, head = int(place[-1]) + 1, (int(first[-1]), int(first_n[-1]), int(first_near[-1]))
         tail = [np.concatenate([r, x])[-partners:] for r, x in zip(tail, new)]
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
-    """(key, node, n) dealt and sorted by band key, a key's nodes in a random order. A key with over a thousandth of the rows
+    """(key, node, n, near) dealt and sorted by band key, a key's nodes in a random order. A key with over a thousandth of the rows
     and over SPLIT_ROWS of them, of which there are fewer than a thousand, is divided into parts with keys of their own:
     what its parts leave apart is crowd_links' to join."""
-    held = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    held = nodes.select(F.explode("keys").alias("key"), "node", "n", "near")
     total = nodes.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     long = held.groupBy("key").count().where((F.col("count") > SPLIT_ROWS) & (F.col("count") * 1000 > total))
     long = materialize(long.select("key", F.ceil(F.col("count") / SPLIT_ROWS).cast("int").alias("_parts")), "long-runs")
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("_parts"))
     key = F.when(part > 0, F.xxhash64("key", part)).otherwise(F.col("key"))
-    rows = held.join(F.broadcast(long), "key", "left").select(key.alias("key"), "node", "n")
+    rows = held.join(F.broadcast(long), "key", "left").select(key.alias("key"), "node", "n", "near")
     return rows.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
 
 
@@ -365,14 +374,15 @@ def crowd_links(crowds: DataFrame, sets: DataFrame, sure: DataFrame, block_hashe
 
 
 def _signed_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_id, node, n, keys) of each row: the text's MD5, its set's name, size and band keys."""
+    """(doc_id, text_id, node, n, keys, fp) of each row: the text's MD5, its set's name, size and band keys, its SimHash."""
 
-    @F.pandas_udf("struct<node: long, n: long, keys: array<long>>")
+    @F.pandas_udf("struct<node: long, n: long, keys: array<long>, fp: long>")
     def signed(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, width) for t in texts]
+        hashes = [shingle_hashes(t, width) for t in texts]
+        sets = [_named_set(h) for h in hashes]
         nodes = np.array([x for x, _ in sets], np.uint64).view(np.int64)
         keys = [band_keys(h).view(np.int64) if len(h) else np.empty(0, np.int64) for _, h in sets]
-        return pd.DataFrame({"node": nodes, "n": np.array([len(h) for _, h in sets], np.int64), "keys": pd.Series(keys, dtype=object)})
+        return pd.DataFrame({"node": nodes, "n": np.array([len(h) for _, h in sets], np.int64), "keys": pd.Series(keys, dtype=object), "fp": np.array([_majority(h) for h in hashes], np.int64)})
 
     return docs.select("doc_id", _text_id(F.col("text")).alias("text_id"), signed("text").alias("s")).select("doc_id", "text_id", "s.*")
 
@@ -381,12 +391,27 @@ def _text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def _fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """prints (node, fp) -> pairs (u, v) of nodes: those of one fingerprint as a star, and one for each of links."""
+    held = materialize(prints.select("node", "fp").distinct(), "fingerprints")
+    least = materialize(held.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("_n")), "fingerprint-nodes")
+    rows = held.count()
+    equal = join_skewed(held, least, ["fp"], rows).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    pairs = materialize(links(least.select("fp")).distinct(), "fingerprint-links")
+    n = pairs.count()
+    for end in ("u", "v"):  # the middle of a star stands in many links
+        ends = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_n")).join(least.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_node")).hint("merge"), end)
+        pairs = join_skewed(pairs, ends, [end], n)
+    return pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).union(equal).where("u <> v").distinct()
+
+
 def similar_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs (doc_id, text; other columns are left out) -> (doc_id, text_id, component), a row for each row of docs.
 
     component, a struct of doc_id and text_id (the MD5 of the text, null and empty being equal), is the least
     row reachable by steps between texts whose sets of width-word shingles have a Jaccard similarity of 0.8
-    or more; a null doc_id comes last. Candidates share a band of least hashes (a pair at 0.8 shares none of
+    or more; a null doc_id comes last. Candidates are linked by their SimHash fingerprints, as in links; those that
+    this leaves apart share a band of least hashes (a pair at 0.8 shares none of
     the BANDS with a chance of 3 in a million); each is confirmed on the whole sets. A band that very many sets share
     gives each some partners first, and then compares in blocks what those leave apart. Texts without words are equal."""
 
@@ -401,20 +426,31 @@ def similar_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     nodes = prints.groupBy("node").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "sets")
     distinct, rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    dealt = _dealt(nodes)
     partners, block_hashes = PARTNERS, BLOCK_HASHES
+
+    def sets_of(wanted: DataFrame, label: str) -> DataFrame:
+        """The sets of some nodes only, made again from one text each."""
+        named = wanted.distinct().join(nodes.select("node", "first").hint("merge"), "node").select(F.col("node").alias("want"), F.col("first.doc_id").alias("d"), F.col("first.text_id").alias("t"))
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_id") == F.col("t"))
+        texts = docs.select("doc_id", "text", _text_id(F.col("text")).alias("text_id")).join(named.hint("merge"), same).select("want", whole("want", "text").alias("hashes"))
+        return materialize(texts.groupBy("want").agg(F.first("hashes", ignorenulls=True).alias("hashes")), label)
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        a, b = (sets.select(F.col("want").alias(k), F.col("hashes").alias(f"{k}_set")).hint("merge") for k in ("u", "v"))
+        shared = F.size(F.array_intersect("u_set", "v_set"))
+        return pairs.join(a, "u").join(b, "v").where(shared * 9 >= (F.size("u_set") + F.size("v_set")) * 4).select("u", "v")
+
+    both = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
+    with freed(docs.sparkSession):
+        close = materialize(_fingerprint_pairs(prints), "close")
+        sure = materialize(confirmed(close, sets_of(both(close), "close-sets")), "links")
+        near = nodes.join(components(sure).hint("merge"), "node", "left").select("node", "n", "keys", F.coalesce("root", "node").alias("near"))
+        near = materialize(near, "near")
+    dealt = _dealt(near)
     pairs = materialize(dealt.mapInArrow(lambda batches: _candidate_runs(batches, partners), "u long, v long").distinct(), "candidates")
     crowds = materialize(_crowds(nodes, partners), "crowds")
-
-    # The sets of the candidates only, made again from one text each.
-    named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(crowds.select("node")).distinct()
-    named = named.join(nodes.select("node", "first").hint("merge"), "node").select(F.col("node").alias("want"), F.col("first.doc_id").alias("d"), F.col("first.text_id").alias("t"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_id") == F.col("t"))
-    texts = docs.select("doc_id", "text", _text_id(F.col("text")).alias("text_id")).join(named.hint("merge"), same).select("want", whole("want", "text").alias("hashes"))
-    sets = materialize(texts.groupBy("want").agg(F.first("hashes", ignorenulls=True).alias("hashes")), "candidate-sets")
-    a, b = (sets.select(F.col("want").alias(k), F.col("hashes").alias(f"{k}_set")).hint("merge") for k in ("u", "v"))
-    shared = F.size(F.array_intersect("u_set", "v_set"))
-    sure = pairs.join(a, "u").join(b, "v").where(shared * 9 >= (F.size("u_set") + F.size("v_set")) * 4).select("u", "v")
+    sets = sets_of(both(pairs).union(crowds.select("node")), "candidate-sets")
+    sure = sure.union(confirmed(pairs, sets))
     if not crowds.isEmpty():
         sure = materialize(sure, "links")
         sure = sure.union(crowd_links(crowds, sets, sure, block_hashes))
