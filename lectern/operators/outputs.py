@@ -100,10 +100,19 @@ def nearest_terms(terms: DataFrame, vectors: DataFrame, n: int = 10, key: str =
 
     vectors: term, vector, from any model of the caller; terms without one take no part. Equal cosines go
     in order of the term."""
-    dims = vectors.select(F.col("term").alias("_t"), F.posexplode("vector").alias("d", "v"))
-    rows = terms.select(key, "term").join(dims.hint("merge"), F.col("term") == F.col("_t")).drop("_t")
-    whole = rows.groupBy(key, "d").agg(F.sum("v").alias("w"))
-    sums = rows.join(whole.hint("merge"), [key, "d"]).groupBy(key, "term").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.sum(F.col("v") * F.col("v")).alias("a"), F.sum(F.col("w") * F.col("w")).alias("b"))
+    held = vectors.select(F.col("term").alias("_t"), "vector").where(F.size("vector") > 0)
+    rows = terms.select(key, "term").join(held.hint("merge"), F.col("term") == F.col("_t"))
+    # Vectors stay arrays: one row for each recording with its terms, of which extract_terms gives a bounded number.
+    rows = rows.groupBy(key).agg(F.collect_list(F.struct("term", "vector")).alias("_l"))
+    zero = rows.schema["_l"].dataType.elementType["vector"].dataType.elementType
+    zero = F.lit(0).cast("double" if zero.typeName() in ("float", "double") else "long")
+    total = lambda a, use: F.aggregate(a, zero, lambda acc, x: acc + F.coalesce(use(x), zero))
+    widest = F.array_max(F.transform("_l", lambda x: F.size(x["vector"])))
+    whole = F.transform(F.sequence(F.lit(0), widest - 1), lambda d: total(F.col("_l"), lambda x: F.get(x["vector"], d)))
+    rows = rows.select(key, whole.alias("_w"), F.explode("_l").alias("_x")).select(key, "_x.term", "_x.vector", "_w")
+    both = F.arrays_zip(F.col("vector").alias("v"), F.slice("_w", 1, F.size("vector")).alias("w"))
+    part = lambda use: total(both, use)
+    sums = rows.select(key, "term", part(lambda x: x["v"] * x["w"]).alias("dot"), part(lambda x: x["v"] * x["v"]).alias("a"), part(lambda x: x["w"] * x["w"]).alias("b"))
     cosine = F.col("dot") / F.sqrt((F.col("a") * F.col("b")).cast("double"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(cosine.desc(), "term"))
     return sums.withColumn("rank", rank).where(F.col("rank") <= n).select(key, "term", "rank")

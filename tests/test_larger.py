@@ -7,6 +7,7 @@ import random
 import duckdb
 
 from lectern.operators import cues as U
+from lectern.operators import outputs as P
 from lectern.operators import scoring as S
 from lectern.plans import ops_queries
 
@@ -54,3 +55,12 @@ def test_terms_are_counted_without_a_sort_by_term(spark):
     got = [tuple(r) for r in S.extract_terms(segments, 4).orderBy("video_id", "rank").collect()]
     assert got == [(1, "gamma", 10, 1), (1, "alpha", 5, 2), (1, "delta", 5, 3), (1, "that", 4, 4), (2, "zeta", 8, 1), (2, "iotas", 5, 2)]
     assert "SortAggregate" not in _plan(S.extract_terms(segments, 4))
+
+
+def test_nearest_terms_do_not_shuffle_single_numbers(spark):
+    """Vectors are joined whole, also those of unlike lengths; no exchange carries a row for each of their numbers."""
+    terms = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "x")], "video_id long, term string")
+    vectors = spark.createDataFrame([("a", [1, 0, 2]), ("b", [3, 1]), ("c", [0, 5, 1])], "term string, vector array<bigint>")
+    got = [tuple(r) for r in P.nearest_terms(terms, vectors).orderBy("video_id", "rank").collect()]
+    assert got == [(1, "c", 1), (1, "b", 2), (1, "a", 3), (2, "a", 1)]
+    assert "posexplode" not in _plan(P.nearest_terms(terms, vectors))
