@@ -14,8 +14,9 @@
    mapped back to all owners of the kind.
 
 A name with more bytes of different fragments than a task should merge (a passage in very many documents, with
-as many different edges) is crowded: its fragments are cut into single windows, which are settled by their
-number like any other equal fragments, and so by a shuffle that combines before it sends."""
+as many different edges) is crowded: checksums of the single windows of its fragments are settled by their number.
+They travel packed, a row for each name, part of the checksums and batch of texts, never a row for each window;
+a name has as many parts as its bytes ask for, so no task holds it."""
 
 from __future__ import annotations
 
@@ -39,6 +40,8 @@ BIN_BYTES = 1 << 19
 SHARDS = 4
 #: Bytes of different fragments from which a name is crowded.
 NAME_BYTES = 1 << 17
+#: Bytes of different fragments of a crowded name for each part of its window checksums.
+PART_BYTES = 1 << 21
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -125,41 +128,80 @@ def _named(length: int):
     return run
 
 
+CUT = "name long, print long, n long, part binary, slice int, windows binary, prints binary, times binary, places binary"
+
+
 def _cut(length: int):
-    """Texts with the kinds to cut from them -> (name, print, n, at, part) for each kind, or for each window of the
-    kind (at: which) where the name is crowded; there the checksum of the window takes the place of part."""
+    """Texts with the kinds to cut from them -> rows (CUT): name, print, n and part for each kind; where the name is crowded
+    (slices > 0), in place of them the windows of all its kinds packed by slice of their checksums: windows (checksums), and
+    for each window the print and n of its kind and its place there (int64, places int32)."""
+
+    def packed(name: int, slices: int, kinds: list[tuple]) -> Iterator[tuple]:
+        windows = np.concatenate([k[2] for k in kinds])
+        sizes = [len(k[2]) for k in kinds]
+        prints, times = (np.repeat(np.array([k[i] for k in kinds], np.int64), sizes) for i in (0, 1))
+        places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        to = (windows.view(np.uint64) % np.uint64(slices)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+            yield (name, None, None, None, int(to[own[0]]), *(c[own].tobytes() for c in (windows, prints, times, places)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, kinds, out, held = b.column(0), b.column(1), [], 0
+            texts, kinds, out, crowds, held = b.column(0), b.column(1), [], {}, 0
 
             def flush():
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
-                return pa.RecordBatch.from_arrays(columns, ["name", "print", "n", "at", "window", "part"])
+                rows = [*out, *(row for (name, slices), own in crowds.items() for row in packed(name, slices, own))]
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), *[pa.binary()] * 4)
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in CUT.split(", ")])
 
             for i in range(b.num_rows):
                 data = texts[i].as_buffer().to_pybytes()
                 for k in kinds[i].as_py():
                     part = data[k["first"] : k["stop"] + length - 1]
-                    if not k["crowded"]:
-                        out.append((k["name"], k["print"], k["n"], 0, None, part))
+                    if not k["slices"]:
+                        out.append((k["name"], k["print"], k["n"], part, *[None] * 5))
                         held += len(part)
                     else:
-                        for at in range(len(part) - length + 1):
-                            out.append((k["name"], k["print"], k["n"], at, _print(part[at : at + length]), None))
-                            held += 64
-                            if held > 8 << 20:
-                                yield flush()
-                                out, held = [], 0
+                        windows = np.array([_print(part[at : at + length]) for at in range(len(part) - length + 1)], np.int64)
+                        crowds.setdefault((k["name"], k["slices"]), []).append((k["print"], k["n"], windows))
+                        held += 28 * len(windows)
                     if held > 8 << 20:
                         yield flush()
-                        out, held = [], 0
-            if out:
+                        out, crowds, held = [], {}, 0
+            if out or crowds:
                 yield flush()
 
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed windows (name, slice, windows, prints, times, places) sorted by name and slice -> (name, print, n, at): the
+    places of a kind whose windows count more than once. One slice of a name is held at a time."""
+    types = (np.int64, np.int64, np.int64, np.int32)
+    key, rows = None, []
+
+    def repeated() -> pa.RecordBatch:
+        windows, prints, times, places = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate(types))
+        _, which = np.unique(windows, return_inverse=True)
+        again = np.flatnonzero(np.bincount(which, times)[which] > 1)
+        again = again[np.argsort(prints[again], kind="stable")]
+        prints, times, places = prints[again], times[again], places[again]
+        starts = np.flatnonzero(np.append(True, prints[1:] != prints[:-1])) if len(prints) else np.empty(0, np.int64)
+        at = pa.ListArray.from_arrays(pa.array(np.append(starts, len(prints)), pa.int32()), pa.array(places))
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(starts), pa.int64()), pa.array(prints[starts]), pa.array(times[starts]), at], ["name", "print", "n", "at"])
+
+    for batch in batches:
+        for name, part, *columns in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+            if rows and (name, part) != key:
+                yield repeated()
+                rows.clear()
+            key = (name, part)
+            rows.append(columns)
+    if rows:
+        yield repeated()
+
+
 # --- transforms and their merging -------------------------------------------------------------
 
 
@@ -349,11 +391,11 @@ def _compared(length: int):
 # --- documents --------------------------------------------------------------------------------
 
 
-def _crowded_spans(windows: DataFrame, length: int) -> DataFrame:
-    """(name, print, n, at, window) -> (name, print, n, spans): windows that are counted more than once."""
-    again = windows.groupBy("name", "window").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("_n")).where("times > 1")
-    hits = join_skewed(windows, again, ["name", "window"], windows.count())
-    by_kind = hits.groupBy("name", "print").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("at")).alias("places"))
+def _crowded_spans(packed: DataFrame, length: int) -> DataFrame:
+    """Packed windows of crowded names -> (name, print, n, spans): windows that are counted more than once."""
+    dealt = packed.repartition("name", "slice").sortWithinPartitions("name", "slice")
+    hits = dealt.mapInArrow(_counted, "name long, print long, n long, at array<int>")
+    by_kind = hits.groupBy("name", "print").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("places"))
     # Places that follow each other make one span: a step above 1 ends it.
     ends = F.filter(F.col("places"), lambda p, i: F.coalesce(F.get("places", i + 1) > p + 1, F.lit(True)))
     begins = F.filter(F.col("places"), lambda p, i: F.coalesce(F.get("places", i - 1) < p - 1, F.lit(True)))
@@ -379,17 +421,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kinds = rest.groupBy("name", "print").agg(F.min(F.struct("doc_id", "text_hash", "first", "stop")).alias("one"), F.count(F.lit(1)).alias("n"))
     kinds, kinds_at = stored(kinds.select("name", "print", "n", "one.*"), "kinds")
     size = (F.col("stop") - F.col("first") + tail).cast("long")
-    crowds = kinds.groupBy("name").agg((F.sum(size) > NAME_BYTES).alias("crowded"), F.count(F.lit(1)).alias("_n"))
+    slices = F.when(F.sum(size) > NAME_BYTES, F.ceil(F.sum(size) / PART_BYTES)).otherwise(0).cast("int")
+    crowds = kinds.groupBy("name").agg(slices.alias("slices"), F.count(F.lit(1)).alias("_n"))
     marked = join_skewed(kinds, crowds, ["name"], kinds.count())
-    wanted = marked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("name", "print", "n", "first", "stop", "crowded")).alias("kinds"))
+    wanted = marked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("name", "print", "n", "first", "stop", "slices")).alias("kinds"))
     wanted = wanted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "kinds")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
-    cut = keyed.join(wanted.hint("merge"), same).select("text", "kinds").mapInArrow(_cut(length), "name long, print long, n long, at int, window long, part binary")
+    cut = keyed.join(wanted.hint("merge"), same).select("text", "kinds").mapInArrow(_cut(length), CUT)
     parts, parts_at = stored(cut, "parts")
 
     dealt = parts.where("part is not null").select("name", "print", "n", "part").repartition("name").sortWithinPartitions("name", "print")
     compared = dealt.mapInArrow(_compared(length), "name long, print long, n long, spans array<struct<begin: int, end: int>>")
-    found = compared.unionByName(_crowded_spans(parts.where("part is null").drop("part"), length))
+    found = compared.unionByName(_crowded_spans(parts.where("part is null").select("name", "slice", "windows", "prints", "times", "places"), length))
     found, found_at = stored(found.where(F.size("spans") > 0).withColumnRenamed("n", "_n"), "found")
 
     moved = F.transform("spans", lambda x: F.struct((x["begin"] + F.col("first")).alias("begin"), (x["end"] + F.col("first")).alias("end")))

@@ -95,3 +95,26 @@ def test_cut_characters_go_whole(spark):
     raw = "é".encode()
     df = spark.createDataFrame([(bytearray(raw[1:] + b"ab" + raw[:1]),)], "kept binary")
     assert df.select(S.whole_characters(df["kept"])).first()[0] == "ab"
+
+
+def test_windows_of_a_crowded_name_travel_packed(spark, monkeypatch):
+    """One row for each slice of a batch's windows, not one for each window; every window in the slice of its checksum."""
+    import numpy as np
+
+    monkeypatch.setattr(S, "NAME_BYTES", 1)
+    monkeypatch.setattr(S, "PART_BYTES", 4096)
+    made, stored = {}, S.stored
+
+    def kept(df, label):
+        out = stored(df, label)
+        if label == "parts":
+            made["parts"] = out[0].where("slice is not null").collect()
+        return out
+
+    monkeypatch.setattr(S, "stored", kept)
+    rows = ragged(70)
+    assert agrees(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)), rows)
+    windows = [np.frombuffer(r["windows"], np.int64) for r in made["parts"]]
+    assert sum(map(len, windows)) > 10 * len(windows) and max(r["slice"] for r in made["parts"]) > 0
+    where = {}
+    assert all(where.setdefault((r["name"], w), r["slice"]) == r["slice"] for r, ws in zip(made["parts"], windows) for w in ws.tolist())
