@@ -80,19 +80,14 @@ class Model:
         return score
 
 
-def train(texts: list[str], labels: np.ndarray, updates: int = 1000, batch: int = 64, rate: float = 0.05, scale: float = 100.0, decay: float = 3e-4, seed: int = 7) -> Model:
-    """Embeddings and softmax weights jointly, by Adam on the cross entropy; classes weigh the same
-    in the gradient, then the bias is moved by PRIOR of the sample's log-odds.
-    Samples of every size get about as many updates."""
-    if not len(texts) or labels.min() == labels.max():
-        return Model(np.zeros(BUCKETS), float(4 * (2 * labels[0] - 1)) if len(texts) else 0.0)
-    rng = np.random.default_rng(seed)
+def bagger():
+    """text -> its buckets and what part of the text's mean each has: all of a text that training keeps."""
     known: dict[str, np.ndarray] = {}
-    rows, weights = [], []
-    for t in texts:
-        if len(known) > CACHE:
+
+    def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        if len(known) > CACHE // 4:
             known.clear()
-        counts = Counter(words(t))
+        counts = Counter(words(text))
         total = max(1, sum(counts.values()))
         at, by = [np.zeros(0, np.int64)], [np.zeros(0)]
         for w, n in counts.items():
@@ -103,11 +98,31 @@ def train(texts: list[str], labels: np.ndarray, updates: int = 1000, batch: int
             by.append(np.full(len(b), n / total / len(b)))
         at, by = np.concatenate(at), np.concatenate(by)
         b, where = np.unique(at, return_inverse=True)
-        rows.append(b.astype(np.int32))
-        weights.append(np.bincount(where, by, minlength=len(b)).astype(np.float32))
+        return b.astype(np.int32), np.bincount(where, by, minlength=len(b)).astype(np.float32)
+
+    return bag
+
+
+def train(texts: list[str], labels: np.ndarray, **how) -> Model:
+    """The model of texts: train_bags over what bagger keeps of each."""
+    bag = bagger()
+    return train_bags([bag(t) for t in texts], labels, **how)
+
+
+def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, updates: int = 1000, batch: int = 64, rate: float = 0.05, scale: float = 100.0, decay: float = 3e-4, seed: int = 7) -> Model:
+    """Embeddings and softmax weights jointly, by Adam on the cross entropy; classes weigh the same
+    in the gradient, then the bias is moved by PRIOR of the sample's log-odds.
+    Samples of every size get about as many updates. bags is emptied."""
+    if not len(bags) or labels.min() == labels.max():
+        return Model(np.zeros(BUCKETS), float(4 * (2 * labels[0] - 1)) if len(bags) else 0.0)
+    rng = np.random.default_rng(seed)
+    rows, weights = map(list, zip(*bags))
+    bags.clear()
     # Buckets that few texts share could only learn these texts by heart: they stay at zero, as do all
-    # that training never meets.
-    spread = np.bincount(np.concatenate(rows), minlength=BUCKETS)
+    # that training never meets. The buckets of a text are distinct.
+    spread = np.zeros(BUCKETS, np.int32)
+    for b in rows:
+        spread[b] += 1
     for i, b in enumerate(rows):
         common = spread[b] >= SHARED
         rows[i], weights[i] = b[common], weights[i][common]
@@ -117,9 +132,9 @@ def train(texts: list[str], labels: np.ndarray, updates: int = 1000, batch: int
     m_e, v_e = np.zeros_like(e), np.zeros_like(e)
     m_w, v_w = np.zeros_like(w), np.zeros_like(w)
     share = np.array([(labels == c).mean() for c in (0, 1)])
-    epochs = -(-updates * batch // len(texts))
+    epochs = -(-updates * batch // len(rows))
     for epoch in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(rows))
         step = rate * (1 - epoch / epochs)
         for lo in range(0, len(order), batch):
             pick = order[lo : lo + batch]
@@ -177,11 +192,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     sample = labelled(docs, labels, label, ~held_out(F.col("doc_id")))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
+        # A text becomes its bag as it comes in, so that the sample's texts are never held together.
+        bag, rows = bagger(), []
+        for b in batches:
+            rows += [(d, y, bag(t)) for d, y, t in zip(b["doc_id"], b["y"], b["text"].fillna(""))]
+        if not rows:
             return
-        rows = pd.concat(parts).sort_values("doc_id")
-        model = train(rows["text"].fillna("").tolist(), rows["y"].to_numpy(dtype=np.int64))
+        rows.sort(key=lambda r: r[0])
+        labels, bags = np.array([r[1] for r in rows], np.int64), [r[2] for r in rows]
+        rows.clear()
+        model = train_bags(bags, labels)
         yield pd.DataFrame({"value": [model.value.astype("<f8").tobytes()], "bias": [model.bias]})
 
     fitted = sample.repartition(1).mapInPandas(learn, "value binary, bias double").first()

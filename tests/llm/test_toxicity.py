@@ -63,3 +63,17 @@ def test_held_out_accuracy(spark):
     print("held out:", len(bad), sum(s >= 0.5 for s in bad), len(good), sum(s >= 0.5 for s in good))
     assert np.mean([[b > g for g in good] for b in bad]) > 0.9
     assert np.mean([g >= 0.5 for g in good]) < 0.05
+
+
+def test_training_holds_no_copy_of_all_bags():
+    """Beside the bags themselves, which it takes over, training before its first update holds little: no joined copy of them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    bags = [(np.sort(rng.choice(toxicity.BUCKETS, 2000, replace=False)).astype(np.int32), np.ones(2000, np.float32)) for _ in range(2000)]
+    held = sum(b.nbytes + w.nbytes for b, w in bags)
+    tracemalloc.start()
+    toxicity.train_bags(bags, np.arange(2000) % 2, updates=1, batch=8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not bags and peak < held + (40 << 20), (peak, held)
