@@ -37,32 +37,34 @@ def chapters_in_blocks(segments: DataFrame, find: Callable[[DataFrame], DataFram
     is followed by what comes after it. A recording with a block without a usable chapter has no rows.
 
     All recordings advance together, a round for each block of the longest, as a block begins where the answer
-    to the one before says. Rounds are written to the shared folder."""
+    to the one before says. Each round is written to the shared folder with the segments that are still to be asked for: a
+    block is a filter of that table, and only the rest of recordings that go on is shuffled to the next one."""
     spark, base = segments.sparkSession, shared_folder(segments.sparkSession)
-    order = Window.partitionBy(key).orderBy("ord")
+    own = Window.partitionBy(key)
+    order = own.orderBy("ord")
     size = F.length(F.trim("text")) + 9
     sized = segments.select(key, "ord", "start_ms", "end_ms", "text", (F.row_number().over(order) - 1).alias("pos"), size.alias("size"), F.sum(size).over(order).alias("used"))
     # How far a block goes that begins at a segment: what stands up to there, by a frame over the running sums.
-    span = Window.partitionBy(key).orderBy("begun").rangeBetween(Window.unboundedPreceding, max_chars)
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    whole = F.max("used").over(Window.partitionBy(key)) <= F.col("begun") + max_chars
+    span = own.orderBy("begun").rangeBetween(Window.unboundedPreceding, max_chars)
+    n = F.count(F.lit(1)).over(own)
+    whole = F.max("used").over(own) <= F.col("begun") + max_chars
     sized = sized.withColumn("begun", F.col("used") - F.col("size")).withColumn("n", n)
     sized = sized.withColumn("stop", F.when(whole, F.col("n")).otherwise(F.greatest(F.col("pos") + 1, F.count(F.lit(1)).over(span) - 1)))
-    sized.select(key, "ord", "start_ms", "end_ms", "text", "pos", "n", "stop").write.parquet(f"{base}/segments")
-    sized = spark.read.parquet(f"{base}/segments")
-    state, rounds, failed = sized.where("pos = 0").select(key, F.lit(0).alias("first")), 0, None
-    while state.head(1):
-        begin = state.join(sized.select(key, F.col("pos").alias("first"), "stop", "n").hint("merge"), [key, "first"])
-        begin = begin.select(F.col(key).alias("_k"), "first", F.col("stop").alias("_stop"), (F.col("stop") >= F.col("n")).alias("is_final"))
-        inside = sized.join(begin.hint("merge"), (F.col(key) == F.col("_k")) & (F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("_stop")))
-        inside = inside.select(key, F.lit(rounds).alias("block_no"), "ord", "start_ms", "end_ms", "text", "is_final", "pos", "first", "_stop")
-        inside.write.parquet(f"{base}/inside-{rounds}")
-        inside = spark.read.parquet(f"{base}/inside-{rounds}")
+    rest = sized.select(key, "ord", "start_ms", "end_ms", "text", "pos", "n", "stop", F.lit(0).alias("first"))
+    rounds, failed = 0, None
+    while True:
+        rest.withColumn("_stop", F.max(F.when(F.col("pos") == F.col("first"), F.col("stop"))).over(own)).write.parquet(f"{base}/rest-{rounds}")
+        rest = spark.read.parquet(f"{base}/rest-{rounds}")
+        if not rest.head(1):
+            break
+        inside = rest.where("pos < _stop").select(key, F.lit(rounds).alias("block_no"), "ord", "start_ms", "end_ms", "text", (F.col("_stop") >= F.col("n")).alias("is_final"), "pos", "first", "_stop")
         answers = find(inside.drop("pos", "first", "_stop")).select(key, "point_no", "at_ms", "title")
         made = normalise_chapters(answers, inside, key)
-        back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("chapter_no")))
-        made = made.withColumn("_back", back).withColumn("_last", F.max("start_ms").over(Window.partitionBy(key)))
-        ends = inside.groupBy(key).agg(F.first("first").alias("first"), F.first("_stop").alias("_stop"), F.first("is_final").alias("is_final"))
+        back = F.row_number().over(own.orderBy(F.desc("chapter_no")))
+        made = made.withColumn("_back", back).withColumn("_last", F.max("start_ms").over(own))
+        made.write.parquet(f"{base}/made-{rounds}")
+        made = spark.read.parquet(f"{base}/made-{rounds}")
+        ends = inside.where("pos = first").select(key, "first", "_stop", "is_final")
         at = inside.select(key, "start_ms", "pos").join(made.select(key, "_last").distinct().hint("merge"), key).where("start_ms >= _last").groupBy(key).agg(F.min("pos").alias("carried"))
         ends = ends.join(at.hint("merge"), key, "left")
         again = ~F.col("is_final") & (F.col("carried") > F.col("first"))
@@ -73,7 +75,10 @@ def chapters_in_blocks(segments: DataFrame, find: Callable[[DataFrame], DataFram
         kept.select(key, F.lit(rounds).alias("block_no"), "chapter_no", "start_ms", "title").write.parquet(f"{base}/chapters/{rounds}")
         none = ends.where("next = -1").select(key)
         failed = none if failed is None else failed.union(none)
-        state, rounds = ends.where("next >= 0").select(key, F.col("next").alias("first")), rounds + 1
+        goes_on = ends.where("next >= 0").select(F.col(key).alias("_k"), F.col("next").alias("_next"))
+        open_ = rest.where("_stop < n and pos > first").drop("_stop", "first")
+        rest = open_.join(goes_on.hint("merge"), (F.col(key) == F.col("_k")) & (F.col("pos") >= F.col("_next"))).select(*open_.columns, F.col("_next").alias("first"))
+        rounds += 1
     if not rounds:
         return normalise_chapters(find(segments.limit(0).select(key, F.lit(0).alias("block_no"), "ord", "start_ms", "end_ms", "text", F.lit(True).alias("is_final"))), segments.limit(0), key).select(key, F.lit(0).alias("block_no"), "chapter_no", "start_ms", "title")
     found = reduce(DataFrame.unionByName, [spark.read.parquet(f"{base}/chapters/{k}") for k in range(rounds)])
