@@ -62,19 +62,30 @@ def candidates(answers: DataFrame, windows: DataFrame, key: str = "video_id") ->
 def fit_boundaries(cands: DataFrame, segments: DataFrame, min_ms: int = 45_000, max_ms: int = 90_000, key: str = "video_id") -> DataFrame:
     """Candidates moved to whole sentences and into the limits, with what was done as `tags`.
 
-    Per candidate over its video's array of line flags; loops of the rules become searches over short
-    index ranges."""
+    Per candidate over the flags of the lines that its rules can reach, from SNAP_LINES before it to SNAP_LINES behind where
+    max_ms ends, cut from its video's array where both meet once; loops of the rules become searches over short index ranges."""
     t = F.col("text")
-    flags = segments.select(key, "ord", "start_ms", "end_ms", T.starts_sentence(t).alias("s"), T.ends_sentence(t).alias("e"), F.rtrim(t).endswith("?").alias("q"), T.is_continuation(t).alias("c"))
-    lines = ordered(flags, [key], ["ord"], ["ord", "start_ms", "end_ms", "s", "e", "q", "c"], "lines")
-    rows = cands.join(lines.hint("merge"), key)
-    line = lambda i: F.get(F.col("lines"), i.cast("int"))
+    flags = segments.select(key, "ord", "start_ms", "end_ms", T.starts_sentence(t).alias("s"), T.ends_sentence(t).alias("e"), F.rtrim(t).endswith("?").alias("q"), T.is_continuation(t).alias("c"), F.max("end_ms").over(Window.partitionBy(key).orderBy("ord")).alias("top"))
+    lines = ordered(flags, [key], ["ord"], ["ord", "start_ms", "end_ms", "s", "e", "q", "c", "top"], "lines").withColumn("n", F.size("lines"))
+    own = [c for c in cands.columns if c != key]
+    listed = cands.groupBy(key).agg(F.collect_list(F.struct(*own)).alias("_cands"))
+
+    def reached(c: Column) -> Column:
+        low, at = F.greatest(c["first"] - SNAP_LINES, F.lit(0)).cast("int"), lambda f: lambda i: F.get("lines", i)[f]
+        latest = F.array_max(F.transform(F.slice("lines", low + 1, F.greatest(c["first"].cast("int") - low + 1, F.lit(0))), lambda x: x["start_ms"]))
+        beyond = first_above(F.col("n"), at("end_ms"), at("top"), c["last"].cast("int"), latest + max_ms)
+        size = F.least(F.col("n") - 1, beyond + SNAP_LINES + 1) - low + 1
+        return F.struct(c.alias("c"), low.alias("low"), F.slice("lines", low + 1, F.greatest(size, F.lit(0))).alias("lines"))
+
+    met = listed.join(lines.hint("merge"), key)
+    rows = met.select(key, "n", F.explode(F.transform("_cands", reached)).alias("_r")).select(key, "n", "_r.c.*", "_r.low", "_r.lines")
+    line = lambda i: F.get(F.col("lines"), (i - F.col("low")).cast("int"))
     span = lambda a, b: line(b)["end_ms"] - line(a)["start_ms"]
 
     def upto(a: Column, b: Column) -> Column:
         return F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
-    n = _long(F.size("lines"))
+    n = _long(F.col("n"))
     back = F.greatest(F.col("first") - SNAP_LINES, F.lit(0))
     rows = rows.withColumn("_f", F.coalesce(F.array_max(F.filter(upto(back, F.col("first")), lambda i: line(i)["s"])), back))
     f, last = F.col("_f"), F.col("last")

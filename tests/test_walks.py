@@ -92,3 +92,30 @@ def test_one_long_recording_in_proportion(spark):
         assert windows.build_windows(df).agg(F.max("last_ord")).first()[0] == n - 1
         took.append(time.time() - began)
     assert took[1] < 25 * took[0]
+
+
+def test_sentences_are_laid_out_without_a_shuffle(spark):
+    """Times add up over many sentences of a text, with no exchange; blank parts and null texts have none."""
+    from lectern.sources import views
+
+    texts = [(1, "Ab cd. " * 700 + "x"), (2, None), (3, " . ! \n "), (4, "One.\n\n Two two? ")]
+    got = views._sentences(spark.createDataFrame(texts, "video_id long, text string"), ["video_id"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for r in got.orderBy("video_id", "ord").collect():
+        found.setdefault(r["video_id"], []).append((r["ord"], r["start_ms"], r["end_ms"], r["text"]))
+    assert found[4] == [(0, 0, 640, "One."), (1, 740, 1620, "Two two?")] and 2 not in found
+    assert len(found[1]) == 701
+    at = 0
+    for i, (o, a, b, t) in enumerate(found[1]):
+        assert (o, a, b) == (i, at, at + 400 + 60 * len(t))
+        at = b + 100
+
+
+def test_candidates_carry_the_lines_they_reach(spark):
+    """Of 2,000 lines of five seconds a candidate carries some tens, and is fitted as the rules say at either end of them."""
+    lines = spark.range(2000).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("ord"), (F.col("id") * 5000).alias("start_ms"), (F.col("id") * 5000 + 4900).alias("end_ms"), F.lit("So it ends.").alias("text"))
+    rows = [(1, k, a, b, 500, 500, 500, 500) for k, (a, b) in enumerate([(0, 2), (1000, 1001), (1990, 1999), (500, 560)])]
+    cands = spark.createDataFrame(rows, "video_id long, window_no long, first long, last long, hook_pm long, complete_pm long, value_pm long, score_pm long")
+    got = {r["window_no"]: (r["first"], r["last"], r["start_ms"], r["end_ms"]) for r in windows.fit_boundaries(cands, lines).collect()}
+    assert got == {0: (0, 9, 0, 49_900), 1: (1000, 1009, 5_000_000, 5_049_900), 2: (1990, 1999, 9_950_000, 9_999_900), 3: (500, 517, 2_500_000, 2_589_900)}
