@@ -58,3 +58,13 @@ def test_against_a_replay(spark):
     want = {v: replay([x for x in rows if x[0] == v], 500) for v in range(12)}
     assert got == {v: c for v, c in want.items() if c} and any(c and c[-1][0] > 2 for c in want.values())
     assert C.chapters_in_blocks(spark.createDataFrame([], SEGMENTS), find).count() == 0
+
+
+def test_only_open_recordings_go_on(spark, monkeypatch, tmp_path):
+    """A round stores the rest of recordings that have more blocks, and no second copy of the block."""
+    monkeypatch.setattr(C, "shared_folder", lambda _: str(tmp_path))
+    rows = [(v, i, i * 1000, i * 1000 + 900, "x" * 60) for v in range(9) for i in range(40 if v == 8 else 3)]
+    find = lambda b: b.where("ord % 4 = 0").select("video_id", "block_no", F.col("ord").alias("point_no"), F.col("start_ms").alias("at_ms"), F.lit("T").alias("title"))
+    assert C.chapters_in_blocks(spark.createDataFrame(rows, SEGMENTS), find, 500).select("video_id").distinct().count() == 9
+    rest = spark.read.parquet(str(tmp_path / "rest-1"))
+    assert {r[0] for r in rest.select("video_id").distinct().collect()} == {8} and rest.count() < 40
