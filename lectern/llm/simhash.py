@@ -34,6 +34,10 @@ BANDS, BAND_ROWS = 24, 4
 #: Partners that a node of a longer run gets at first in each band; the run's order is another one in each. What
 #: that leaves apart is compared in blocks of about BLOCK_HASHES hashes and BLOCK_ROWS sets at most (crowd_links).
 PARTNERS, BLOCK_HASHES, BLOCK_ROWS = 48, 1 << 19, 1024
+#: Links that a node far down a long run gets at most there, besides the run's first node.
+LINKS = 2
+#: Bytes of a set's parity sketch.
+PARITY_BYTES = 64
 #: Rows of a band key from which a hot one is divided.
 SPLIT_ROWS = 50_000
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -256,27 +260,59 @@ def _named_set(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     return (xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0), hashes
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A set's parity sketch: each hash turns one of the bits. Of two sketches at most as many bits differ as hashes stand
+    in only one of the sets."""
+    turned = np.bincount((hashes % np.uint64(8 * PARITY_BYTES)).astype(np.int64), minlength=8 * PARITY_BYTES)
+    return np.packbits(turned.astype(np.uint8) & 1).tobytes()
+
+
 def _candidate_runs(batches: Iterator[pa.RecordBatch], partners: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, node, n) sorted by key, a key's in a random order -> pairs (u, v) of nodes with a key in common whose
     sizes allow a Jaccard similarity of 0.8. Longer runs than partners give each node its next ones and the run's first.
-    A fourth column, near, names groups that are linked already: within one no pair is given.
+    A fourth column, near, names groups that are linked already: within one no pair is given. With a fifth, parity,
+    no pair is given whose sketches differ too much for 0.8, and of its next ones a node behind the first of a longer run gets the
+    LINKS closest that may be similar.
 
     Of what went before, the last `partners` rows and the first row of the open run are held, so a run of any length takes no
     more memory than a batch and its pairs."""
-    tail = [np.empty(0, np.int64)] * 4
-    begun, head = 0, (0, 0, 0)  # rows of the open run so far; its first node, size and group
-
-    def fitting(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, gu: np.ndarray, gv: np.ndarray) -> pa.RecordBatch:
-        ok = (np.minimum(nu, nv) * 5 >= np.maximum(nu, nv) * 4) & (u != v) & (gu != gv)
-        return pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
+    tail = None
+    begun, head = 0, None  # rows of the open run so far; its first row
+
+    def fitting(u: list[np.ndarray], v: list[np.ndarray]) -> np.ndarray:
+        """Of rows u and v (key, node, n, near, parity): whether a pair is to be given."""
+        (_, a, na, ga, pa_), (_, b, nb, gb, pb) = u, v
+        ok = (np.minimum(na, nb) * 5 >= np.maximum(na, nb) * 4) & (a != b) & (ga != gb)
+        if pa_.shape[1]:
+            maybe = np.flatnonzero(ok)
+            differ = np.bitwise_count(pa_[maybe] ^ pb[maybe]).sum(axis=1, dtype=np.int64)
+            ok[maybe] = differ * 9 <= na[maybe] + nb[maybe]
+        return ok
+
+    def pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        new = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, min(3, b.num_columns - 1))]
-        new[3] = new[3] if b.num_columns > 3 else new[1]  # without groups each node is its own
+        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(min(4, b.num_columns))]
+        if b.num_columns < 4:
+            new.append(new[1])  # without groups each node is its own
+        sketches = b"".join(b.column(4).to_pylist()) if b.num_columns > 4 else b""
+        new.append(np.frombuffer(sketches, np.uint64).reshape(b.num_rows, -1) if sketches else np.empty((b.num_rows, 0), np.uint64))
+        tail = tail or [x[:0] for x in new]
         old = len(tail[0])
-        key, node, n, near = (np.concatenate([r, x]) for r, x in zip(tail, new))
+        key = new[0]
+        start = np.append(0, 1 + np.flatnonzero(key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        first, before = [x[start].copy() for x in new], np.zeros(len(start), np.int64)
+        if head is not None and head[0] == key[0]:  # the open run goes on
+            before[0] = begun
+            for x, y in zip(first, head):
+                x[0] = y
+        place = np.arange(len(key)) - np.repeat(start - before, size)  # of each row in its run
+        both = [np.concatenate([r, x]) for r, x in zip(tail, new)]
+        key, given = both[0], np.zeros(old + b.num_rows, np.int64)
         for t in range(1, partners + 1):
             low = max(old - t, 0)  # the later row of a pair is new
             if low + t >= len(key):
@@ -284,34 +320,31 @@ def _candidate_runs(batches: Iterator[pa.RecordBatch], partners: int) -> Iterato
             at = low + np.flatnonzero(key[low + t :] == key[low : len(key) - t])
             if not len(at):
                 break
-            yield fitting(node[at], node[at + t], n[at], n[at + t], near[at], near[at + t])
-        goes_on = old > 0 and tail[0][-1] == new[0][0]
-        key, node, n, near = new
-        start = np.append(0, 1 + np.flatnonzero(key[1:] != key[:-1]))
-        size = np.diff(np.append(start, len(key)))
-        first, first_n, first_near, before = node[start].copy(), n[start].copy(), near[start].copy(), np.zeros(len(start), np.int64)
-        if goes_on:
-            first[0], first_n[0], first_near[0], before[0] = *head, begun
-        place = np.arange(len(key)) - np.repeat(start - before, size)  # of each row in its run
+            if sketches:
+                at = at[(place[at + t - old] <= partners) | (given[at + t] < LINKS)]
+            at = at[fitting([x[at] for x in both], [x[at + t] for x in both])]
+            given[at + t] += 1
+            yield pairs(both[1][at], both[1][at + t])
         far = np.flatnonzero(place > partners)
         if len(far):
             run = np.repeat(np.arange(len(start)), size)[far]
-            yield fitting(first[run], node[far], first_n[run], n[far], first_near[run], near[far])
-        begun, head = int(place[-1]) + 1, (int(first[-1]), int(first_n[-1]), int(first_near[-1]))
-        tail = [np.concatenate([r, x])[-partners:] for r, x in zip(tail, new)]
+            ok = fitting([x[run] for x in first], [x[far] for x in new])
+            yield pairs(first[1][run[ok]], new[1][far[ok]])
+        begun, head = int(place[-1]) + 1, [x[-1].copy() for x in first]
+        tail = [x[max(0, len(x) - partners) :].copy() for x in both]
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, near) dealt and sorted by band key, a key's nodes in a random order. A key with over a thousandth of the rows
+    """(key, node, n, near, parity) dealt and sorted by band key, a key's nodes in a random order. A key with over a thousandth of the rows
     and over SPLIT_ROWS of them, of which there are fewer than a thousand, is divided into parts with keys of their own:
     what its parts leave apart is crowd_links' to join."""
-    held = nodes.select(F.explode("keys").alias("key"), "node", "n", "near")
+    held = nodes.select(F.explode("keys").alias("key"), "node", "n", "near", "parity")
     total = nodes.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     long = held.groupBy("key").count().where((F.col("count") > SPLIT_ROWS) & (F.col("count") * 1000 > total))
     long = materialize(long.select("key", F.ceil(F.col("count") / SPLIT_ROWS).cast("int").alias("_parts")), "long-runs")
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("_parts"))
     key = F.when(part > 0, F.xxhash64("key", part)).otherwise(F.col("key"))
-    rows = held.join(F.broadcast(long), "key", "left").select(key.alias("key"), "node", "n", "near")
+    rows = held.join(F.broadcast(long), "key", "left").select(key.alias("key"), "node", "n", "near", "parity")
     return rows.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
 
 
@@ -374,15 +407,15 @@ def crowd_links(crowds: DataFrame, sets: DataFrame, sure: DataFrame, block_hashe
 
 
 def _signed_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_id, node, n, keys, fp) of each row: the text's MD5, its set's name, size and band keys, its SimHash."""
+    """(doc_id, text_id, node, n, keys, fp, parity) of each row: the text's MD5, its set's name, size, band keys and parity, its SimHash."""
 
-    @F.pandas_udf("struct<node: long, n: long, keys: array<long>, fp: long>")
+    @F.pandas_udf("struct<node: long, n: long, keys: array<long>, fp: long, parity: binary>")
     def signed(texts: pd.Series) -> pd.DataFrame:
         hashes = [shingle_hashes(t, width) for t in texts]
         sets = [_named_set(h) for h in hashes]
         nodes = np.array([x for x, _ in sets], np.uint64).view(np.int64)
         keys = [band_keys(h).view(np.int64) if len(h) else np.empty(0, np.int64) for _, h in sets]
-        return pd.DataFrame({"node": nodes, "n": np.array([len(h) for _, h in sets], np.int64), "keys": pd.Series(keys, dtype=object), "fp": np.array([_majority(h) for h in hashes], np.int64)})
+        return pd.DataFrame({"node": nodes, "n": np.array([len(h) for _, h in sets], np.int64), "keys": pd.Series(keys, dtype=object), "fp": np.array([_majority(h) for h in hashes], np.int64), "parity": [parity(h) for _, h in sets]})
 
     return docs.select("doc_id", _text_id(F.col("text")).alias("text_id"), signed("text").alias("s")).select("doc_id", "text_id", "s.*")
 
@@ -423,7 +456,7 @@ def similar_copies(docs: DataFrame, width: int = 5) -> DataFrame:
 
     prints = materialize(_signed_rows(docs, width), "shingles")
     row = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_id")
-    nodes = prints.groupBy("node").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = prints.groupBy("node").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("_n"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("parity").alias("parity"))
     nodes = materialize(nodes, "sets")
     distinct, rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     partners, block_hashes = PARTNERS, BLOCK_HASHES
@@ -444,7 +477,7 @@ def similar_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     with freed(docs.sparkSession):
         close = materialize(_fingerprint_pairs(prints), "close")
         sure = materialize(confirmed(close, sets_of(both(close), "close-sets")), "links")
-        near = nodes.join(components(sure).hint("merge"), "node", "left").select("node", "n", "keys", F.coalesce("root", "node").alias("near"))
+        near = nodes.join(components(sure).hint("merge"), "node", "left").select("node", "n", "keys", "parity", F.coalesce("root", "node").alias("near"))
         near = materialize(near, "near")
     dealt = _dealt(near)
     pairs = materialize(dealt.mapInArrow(lambda batches: _candidate_runs(batches, partners), "u long, v long").distinct(), "candidates")
