@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 
+#: Candidates of several recordings that are embedded at a time.
+TERMS_AT_ONCE = 1 << 16
+
 
 def clip_json(clips: DataFrame, key: str = "video_id") -> DataFrame:
     """(key, clip_id, json): one JSON record for each clip, seconds in place of milliseconds."""
@@ -56,14 +60,20 @@ def reusable(keyed: DataFrame, rendered: DataFrame, keys=("video_id", "clip_no")
     return keyed.join(rendered.select(*keys, "render_key").hint("merge"), [*keys, "render_key"], "left_semi")
 
 
+def _candidate_lists(segments: DataFrame, key: str) -> DataFrame:
+    """(key, _text, _terms): the whole text of each recording and the array of its keyword_candidates."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
+    words = F.filter(T.tokens(F.col("_text")), lambda w: F.length(w) >= 2)
+    # A one-row generator stands between the steps, so that the words are found once.
+    rows = segments.groupBy(key).agg(F.array_join(lines, " ").alias("_text")).select(key, "_text", F.explode(F.array(words)).alias("_w"))
+    pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return rows.select(key, "_text", F.array_distinct(F.concat("_w", pairs)).alias("_terms"))
+
+
 def keyword_candidates(segments: DataFrame, key: str = "video_id") -> DataFrame:
     """(key, term): the distinct words of two characters or more of each recording, and the pairs of such words that stand
     next to each other."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
-    words = F.filter(T.tokens(F.array_join("_lines", " ")), lambda w: F.length(w) >= 2)
-    rows = segments.groupBy(key).agg(lines.alias("_lines")).withColumn("_w", words)
-    pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return rows.select(key, F.explode(F.array_distinct(F.concat("_w", pairs))).alias("term"))
+    return _candidate_lists(segments, key).select(key, F.explode("_terms").alias("term"))
 
 
 def embedded(texts: DataFrame, column: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:
@@ -81,18 +91,60 @@ def embedded(texts: DataFrame, column: str, embed: Callable[[list[str]], list[li
     return texts.mapInArrow(run, StructType([*texts.schema.fields, StructField("vector", ArrayType(DoubleType()))]))
 
 
-def keywords(segments: DataFrame, embed: Callable[[list[str]], list[list[float]]], n: int = 10, key: str = "video_id") -> DataFrame:
-    """(key, term, rank): the candidates of each recording nearest by cosine to its whole text, as embed sees both. Each
-    distinct term is embedded once. Equal cosines go in order of the term; a zero vector has cosine 0."""
-    found = keyword_candidates(segments, key)
-    terms = embedded(found.select("term").distinct(), "term", embed).select(F.col("term").alias("_t"), F.col("vector").alias("_v"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
-    texts = embedded(segments.groupBy(key).agg(F.array_join(lines, " ").alias("_text")), "_text", embed).select(F.col(key).alias("_k"), F.col("vector").alias("_d"))
-    rows = found.join(terms.hint("merge"), F.col("term") == F.col("_t")).join(texts.hint("merge"), F.col(key) == F.col("_k"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = F.coalesce(dot("_v", "_d") / F.nullif(F.sqrt(dot("_v", "_v") * dot("_d", "_d")), F.lit(0.0)), F.lit(0.0))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_cosine"), "term"))
-    return rows.select(key, "term", cosine.alias("_cosine")).withColumn("rank", rank).where(F.col("rank") <= n).select(key, "term", "rank")
+def keywords(segments: DataFrame, embed: Callable[[list[str]], list[list[float]]], n: int = 10, key: str = "video_id", batch: int = 256) -> DataFrame:
+    """(key, term, rank): the candidates of each recording nearest by cosine to its whole text, as embed sees both. Equal
+    cosines go in order of the term; a zero vector has cosine 0.
+
+    The terms of a recording are ranked in its row, so no term is shuffled. embed is given lists of at most `batch` texts; recordings
+    that lie next to each other, of about TERMS_AT_ONCE candidates together, have each distinct term embedded once."""
+    at_once = TERMS_AT_ONCE
+
+    def cosines(vectors: list[list[float]], d: list[float]) -> np.ndarray:
+        """Cosines with d, summed from the first dimension on; 0 where a vector is zero or of another length."""
+        fits = np.array([len(v) == len(d) for v in vectors], bool)
+        m = np.array([v for v in vectors if len(v) == len(d)], np.float64).reshape(-1, len(d))
+        dot, a, b = np.zeros(len(m)), np.zeros(len(m)), 0.0
+        with np.errstate(all="ignore"):
+            for i, x in enumerate(np.array(d, np.float64)):
+                dot, a, b = dot + m[:, i] * x, a + m[:, i] * m[:, i], b + x * x
+            norm = np.sqrt(a * b)
+            out = np.zeros(len(vectors))
+            out[fits] = np.where(norm == 0, 0.0, dot / np.where(norm == 0, 1.0, norm))
+        return out
+
+    def vectors(texts: list[str]) -> list[list[float]]:
+        return [v for at in range(0, len(texts), batch) for v in embed(texts[at : at + batch])]
+
+    def ranked(rows: pa.RecordBatch) -> pa.RecordBatch:
+        terms = rows.column(2).to_pylist()
+        names = list(dict.fromkeys(t for listed in terms for t in listed))
+        known, whole = dict(zip(names, vectors(names))), vectors(rows.column(1).to_pylist())
+        at, kept = [], []
+        for k, listed in enumerate(terms):
+            cosine = cosines([known[t] for t in listed], whole[k])
+            value = np.where(np.isnan(cosine), np.inf, cosine)  # not a number comes first, as in Spark
+            if len(listed) > n:
+                least = np.partition(value, len(listed) - n)[len(listed) - n]
+                chosen = np.flatnonzero(value >= least).tolist()
+            else:
+                chosen = range(len(listed))
+            best = sorted(chosen, key=lambda i: (-value[i], listed[i]))[:n]
+            at += [k] * len(best)
+            kept += [(listed[i], r) for r, i in enumerate(best, 1)]
+        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at, pa.int64())), pa.array([t for t, _ in kept], pa.string()), pa.array([r for _, r in kept], pa.int32())], names=[key, "term", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum(b.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            low = 0
+            while low < b.num_rows:
+                before = ends[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, before + at_once, "right")))
+                yield ranked(b.slice(low, high - low))
+                low = high
+
+    rows = _candidate_lists(segments, key).where(F.size("_terms") > 0)
+    return rows.mapInArrow(run, StructType([rows.schema[key], StructField("term", StringType(), False), StructField("rank", IntegerType(), False)]))
 
 
 def nearest_terms(terms: DataFrame, vectors: DataFrame, n: int = 10, key: str = "video_id") -> DataFrame:

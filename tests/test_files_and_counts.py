@@ -67,6 +67,17 @@ def test_keywords_by_a_model_of_the_caller(spark):
     assert got == [("apple pie", 1), ("pie apple", 2), ("apple", 3), ("big apple", 4), ("pie", 5)]
 
 
+def test_keywords_shuffle_no_term(spark, monkeypatch):
+    """Only segments are dealt, once; equal cosines, zero vectors and several slices of recordings rank as the operator says."""
+    monkeypatch.setattr(outputs, "TERMS_AT_ONCE", 3)
+    segments = spark.createDataFrame([(v, 0, "aa bb cc dd" if v % 2 else "zz aa") for v in range(6)] + [(6, 0, "x y")], "video_id long, ord long, text string")
+    found = outputs.keywords(segments, lambda texts: [[float(t.count("a")), 0.0] for t in texts], 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == sorted(r for v in range(6) for r in [(v, "aa", 1), (v, "aa bb" if v % 2 else "zz aa", 2)])
+
+
 def test_videos_without_artifacts_resume_at_the_first_stage(spark):
     rules = spark.createDataFrame([(1, "a", True), (1, "b", False), (2, "a", True), (2, "b", True)], "video_id long, artifact string, ok boolean")
     videos = spark.createDataFrame([(1,), (2,), (3,)], "video_id long")
