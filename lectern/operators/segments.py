@@ -28,10 +28,13 @@ def absorb_short(shot_rows: DataFrame, clips: DataFrame, min_ms: int = 2000) ->
         lasts = F.transform(groups, lambda g, i: following(i) - g["at"])
 
         def merged(d: Column) -> Column:
-            i = (F.array_position(d, F.array_min(d)) - 1).cast("int")
-            forward = (i == 0) | ((i < F.size(d) - 1) & (F.get(d, i - 1) < F.get(d, i + 1)))
-            gone = F.when(forward, i + 1).otherwise(i)
-            return F.when(F.array_min(d) >= min_ms, groups).otherwise(F.filter(groups, lambda _g, k: k != gone))
+            def without_shortest(i: Column) -> Column:
+                forward = (i == 0) | ((i < F.size(d) - 1) & (F.get(d, i - 1) < F.get(d, i + 1)))
+                # Found once for a step: within the filter it would be searched for again at every group.
+                return _let(F.when(forward, i + 1).otherwise(i), lambda gone: F.filter(groups, lambda _g, k: k != gone))
+
+            shortest = lambda low: F.when(low >= min_ms, groups).otherwise(_let((F.array_position(d, low) - 1).cast("int"), without_shortest))
+            return _let(F.array_min(d), shortest)
 
         return F.when(F.size(groups) < 2, groups).otherwise(_let(lasts, merged))
 
@@ -64,7 +67,8 @@ def join_same(samples: DataFrame, size_ratio: float = 1.35, jump: float = 0.5) -
         return F.when(a.isNull() & b.isNull(), True).otherwise(F.coalesce(alike, F.lit(False)))
 
     def step(acc: Column, e: Column) -> Column:
-        goes_on = (F.size(acc["now"]) > 0) & same(_box(acc["now"]), _box(e["samples"]))
+        boxes = F.struct(_box(acc["now"]).alias("a"), _box(e["samples"]).alias("b"))
+        goes_on = (F.size(acc["now"]) > 0) & _let(boxes, lambda x: same(x["a"], x["b"]))
 
         def taken(on: Column) -> Column:
             part = F.when(on, acc["part"]).otherwise(acc["part"] + 1).cast("long")
