@@ -28,8 +28,9 @@ def _index(a: Column) -> Column:
 
 
 def median(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
-    return (_at(s, F.floor((n - 1) / 2)) + _at(s, F.floor(n / 2))) / 2
+    # Sorted once: an expression that is named twice is computed twice within a lambda.
+    middle = lambda s: (_at(s, F.floor((F.size(s) - 1) / 2)) + _at(s, F.floor(F.size(s) / 2))) / 2
+    return F.get(F.transform(F.array(F.array_sort(a)), middle), F.lit(0))
 
 
 def running_median(a: Column, radius: Column) -> Column:

@@ -312,7 +312,9 @@ def _camera(s, d):
     """A path for each shot in which a walking face is seen."""
     walking = V.detections(s, d).withColumn("x", 700 + 20 * (F.col("n") % 40)).withColumn("w", F.lit(120))
     faces = K.shots(walking).where("conf_pm > 0").select("clip_id", "shot_no", "t_ms", (F.col("x") + F.col("w") / 2).alias("cx"))
-    paths = K_camera.camera_paths(faces, 607, 1920, keys=("clip_id", "shot_no"))
+    made, at = K_camera.camera_paths(faces, 607, 1920, keys=("clip_id", "shot_no")), f"{J.shared_folder(s)}/paths"
+    made.write.parquet(at)  # read twice below
+    paths = s.read.parquet(at)
     frames = K_camera.keyframes(paths, keys=("clip_id", "shot_no")).select("clip_id", "shot_no", F.size("keyframes").alias("keyframes"))
     return paths.join(frames.hint("merge"), ["clip_id", "shot_no"]).select("clip_id", "shot_no", "start_ms", "keyframes", F.size("path").alias("points"), F.round(F.array_min("path"), 1).alias("leftmost"), F.round(F.array_max("path"), 1).alias("rightmost"))
 
