@@ -19,6 +19,19 @@ def fold(rows: Column, start: Column, step: Callable[[Column, Column], Column],
     return F.aggregate(rows, start, step, finish) if finish else F.aggregate(rows, start, step)
 
 
+def made_once(df: DataFrame, name: str, made: Column) -> DataFrame:
+    """df with a column that is computed once a row. A generator of one row keeps it apart from later steps: merged into
+    them, what a lambda looks into would be computed again for each element."""
+    return df.select("*", F.explode(F.array(made)).alias(name))
+
+
+def running_max(values: Column) -> Column:
+    """The largest value up to each position, in rounds that double how far back they reach."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    back = lambda acc, i, k: F.get(acc, i - F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(rounds, values, lambda acc, k: F.transform(acc, lambda x, i: F.greatest(x, back(acc, i, k))))
+
+
 def rank_of(size: Column, at: Callable[[Column], Column], x: Column) -> Column:
     """How many of the positions 0 .. size - 1 hold at most x, where at(i) never falls with i: a search by halves."""
     powers = F.transform(F.sequence(F.ceil(F.log2(size + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))

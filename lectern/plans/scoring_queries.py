@@ -43,7 +43,7 @@ _FALLBACK = "SELECT * FROM (SELECT *, end_ms - start_ms BETWEEN 45000 AND 90000
 
 
 def score_transcript(spark, d):
-    out = S.score_transcript(V.segments(spark, d), V.segment_answers(spark, d))
+    out = S.score_recordings(V.recordings(spark, d))
     return _tags(out).select("video_id", "clip_id", "start_ms", "end_ms", *_PM, "self_contained", "n_segments", "tags", "rank")
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from lectern.operators import cues as U
 from lectern.operators import outputs as P
 from lectern.operators import scoring as S
-from lectern.plans import ops_queries
+from lectern.plans import ops_queries, scoring_queries
+
+from .conftest import SMALL
 
 
 def test_cleanup_summary_where_nothing_is_freed(spark, tmp_path):
@@ -64,3 +67,36 @@ def test_nearest_terms_do_not_shuffle_single_numbers(spark):
     got = [tuple(r) for r in P.nearest_terms(terms, vectors).orderBy("video_id", "rank").collect()]
     assert got == [(1, "c", 1), (1, "b", 2), (1, "a", 3), (2, "a", 1)]
     assert "posexplode" not in _plan(P.nearest_terms(terms, vectors))
+
+
+def test_a_recording_is_scored_in_its_row(spark):
+    """score_transcript deals segments and answers once and shuffles no term, score or clip; the same clips as step by step, also
+    where segments lie within others, begin out of order or have no words, and answers come twice, late or for no segment."""
+    r = random.Random(7)
+    vocabulary = ["why", "gravity", "means", "it", "that", "curvature", "is", "почему", "это", "called", "important", "orbit", "?", "то", "есть"]
+    lines, answers = [], []
+    for v in range(9):
+        at = 0
+        for i in range(r.randrange(1, 60)):
+            start = max(0, at + r.choice([0, 100, 100, -4000]))
+            at = start + r.randrange(300, 40_000)
+            lines.append((v, i, start, at + r.choice([0, 0, 30_000]), " ".join(r.choices(vocabulary, k=r.randrange(0, 14))) + "."))
+            answers += [(v, i, k, r.choice(["n/a", "950", "120", None]), r.choice(["definition", "story", "", None]), r.randrange(1001)) for k in r.choice([[], [0], [1, 0], [None]])]
+    answers += [(3, 999, 0, "900", "story", 900), (77, 0, 0, "900", "story", 900)]
+    segments = spark.createDataFrame(lines, "video_id long, ord long, start_ms long, end_ms long, text string").repartition(3, "ord").localCheckpoint()
+    answers = spark.createDataFrame(answers, "video_id long, ord long, answer_no long, llm_pm string, content_type string, virality_pm long").localCheckpoint()
+    for given in (answers, None):
+        scored = S.score_segments(segments, S.extract_terms(segments))
+        scored = S.blend_answers(scored, given) if given is not None else scored
+        want = S.top_clips(S.score_filter(S.duration_filter_or_all(S.merge_clips(scored)), 300))
+        found = S.score_transcript(segments, given, min_pm=300)
+        got = found.select(*want.columns).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want.collect())) and len({x["video_id"] for x in got}) > 5
+        assert _plan(found).count("Exchange") == 1 and "Window" not in _plan(found) and "Join" not in _plan(found)
+    row = segments.groupBy("video_id").agg(F.collect_list(F.struct("ord", "start_ms", "end_ms", "text")).alias("segments")).localCheckpoint()
+    assert "Exchange" not in _plan(S.score_recordings(row))
+
+
+def test_the_query_shuffles_nothing_by_key(spark):
+    plan = _plan(scoring_queries.QUERIES["score_transcript"](spark, SMALL))
+    assert "hashpartitioning" not in plan and plan.count("Scan parquet") == 1
